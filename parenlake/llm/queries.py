@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parenlake.llm.pii import surrogate_table
+
+    return surrogate_table(table(spark, sf_dir, "documents"))
+
+
 def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parenlake.llm.sharding import shard_table
 
@@ -37,6 +43,12 @@ def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parenlake.llm.lzprint import edit_table
+
+    return edit_table(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parenlake.llm.rules import judge
 
@@ -91,10 +103,12 @@ def op8_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_jump_hash_shards": op2_jump_hash_shards,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_sainte_lague_mix": op5_sainte_lague_mix,
+    "op6_lempel_ziv_fingerprints": op6_lempel_ziv_fingerprints,
     "op8_quality_rules": op8_quality_rules,
 }
 
