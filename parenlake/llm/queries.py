@@ -49,6 +49,12 @@ def op6_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_table(table(spark, sf_dir, "documents"))
 
 
+def op7_universe_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parenlake.llm.jaccard import Measure, link
+
+    return link(table(spark, sf_dir, "documents"), Measure(words=4, part=85, whole=100))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parenlake.llm.rules import judge
 
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_sainte_lague_mix": op5_sainte_lague_mix,
     "op6_lempel_ziv_fingerprints": op6_lempel_ziv_fingerprints,
+    "op7_universe_partition_join": op7_universe_partition_join,
     "op8_quality_rules": op8_quality_rules,
 }
 
