@@ -108,6 +108,18 @@ def op8_sql() -> str:
     return _OP8_SQL.replace("%STOP%", ", ".join(f"'{w}'" for w in STOP_WORDS))
 
 
+def op9_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parenlake.llm.debruijn import dedupe
+
+    return dedupe(table(spark, sf_dir, "documents"), k=35)
+
+
+def op10_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parenlake.llm.sparse_suffix import dedupe
+
+    return dedupe(table(spark, sf_dir, "documents"), least=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_jump_hash_shards": op2_jump_hash_shards,
@@ -117,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lempel_ziv_fingerprints": op6_lempel_ziv_fingerprints,
     "op7_universe_partition_join": op7_universe_partition_join,
     "op8_quality_rules": op8_quality_rules,
+    "op9_de_bruijn_dedup": op9_de_bruijn_dedup,
+    "op10_sparse_suffix_dedup": op10_sparse_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {"op8_quality_rules": op8_sql()}
