@@ -295,6 +295,29 @@ def link(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id",
     given back as null. Whole texts count; an empty table gives an empty
     result.
     """
+    back = lambda c: F.when(c != NO_ID, c)
+    done = grouped(docs, measure, doc_id, text)
+    return done.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("first.id", "id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group of linked
+    documents, the one with the smallest id stays (of equal ids, one text).
+    Documents without words all stay."""
+    done = stage(grouped(docs, measure, doc_id, text), "groups")
+    gone = done.filter(F.col("first").isNotNull() & (F.struct("id", "crc") != F.col("first"))).select(F.col("id").alias("_id"), F.col("crc").alias("_crc")).distinct()
+    keyed = docs.withColumn("_key", F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("crc")))
+    kept = keyed.join(gone, (F.col("_key.id") == F.col("_id")) & (F.col("_key.crc") == F.col("_crc")), "left_anti")
+    stay = done.filter("n > 0").groupBy("id", "crc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if stay.isEmpty():  # no row is there twice
+        return kept.select(*docs.columns)
+    once = F.when(F.length(F.trim(text_of(text))) > 0, F.lit("")).otherwise(F.uuid())
+    return kept.withColumn("_once", once).dropDuplicates(["_key", "_once"]).select(*docs.columns)
+
+
+def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
+    """id, crc, n, first of each document: ``first`` is the (id, crc) of the
+    least member of its group, null without shingles."""
     content = text_of(text)
     read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(content).alias("crc"), content.alias("text"))
     digests = stage(digest(read, measure), "digests")
@@ -320,8 +343,7 @@ def link(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id",
     parts = components(links.unionByName(more)).withColumnRenamed("node", "_n")
 
     owned = classes.join(parts, F.col("node") == F.col("_n"), "left").withColumn("_part", F.coalesce("component", "node"))
-    least = owned.groupBy("_part").agg(F.min("rep.id").alias("_c")).withColumnRenamed("_part", "_p")
-    own = owned.join(least, F.col("_part") == F.col("_p")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("n").alias("_n"), "_c")
+    least = owned.groupBy("_part").agg(F.min("rep").alias("first")).withColumnRenamed("_part", "_p")
+    own = owned.join(least, F.col("_part") == F.col("_p")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("n").alias("_n"), "first")
     done = digests.join(own, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left")
-    back = lambda c: F.when(c != NO_ID, c)
-    return done.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("_c", "id")).alias("component_id"))
+    return done.select("id", "crc", "n", "first")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import positions, stage, text_of, word_count
+from parenlake.llm.common import SPACE, positions, stage, text_of, word_count
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -74,7 +74,29 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(b, d) - F.greatest(a, c))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, blocks: int = 1 << 22, shard_blocks: int = 4096) -> DataFrame:
+def apply_mix(docs: DataFrame, **settings: object) -> DataFrame:
+    """The mixed corpus: each document as often as the mix takes it whole, and
+    an excerpt of its first words for the rest of what is taken of it.
+
+    Columns are those of ``docs``; n_chars, if there, follows an excerpt's text.
+    Equal rows share what is taken of all of them."""
+    text = text_of("text")
+    shares = mix(docs, keep_hash=True, **settings).groupBy("doc_id", "source", "size", "_text").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"))
+    shares = shares.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("_text").alias("_t"), "_taken")
+    keyed = docs.withColumn("_hash", F.xxhash64(F.lit(settings.get("seed", 7)), text))
+    on = (keyed["_hash"] == shares["_t"]) & keyed["doc_id"].eqNullSafe(shares["_d"]) & keyed["source"].cast("string").eqNullSafe(shares["_s"])
+    joined = keyed.join(shares.filter("_taken > 0"), on)
+    times, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
+    dealt = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.col("_size"), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    short = F.col("_words") < F.col("_size")
+    words = F.slice(F.array_remove(F.split(text, SPACE), ""), 1, F.col("_words").cast("int"))
+    cut = dealt.withColumn("text", F.when(short, F.array_join(words, " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, blocks: int = 1 << 22, shard_blocks: int = 4096, keep_hash: bool = False) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken.
 
     ``taken`` is how many words the mix takes of the document, repeats
@@ -126,4 +148,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     extra = _overlap(low, high, begin, F.least(end, edge)) + _overlap(low, high, origin, origin + F.greatest(F.lit(0).cast("long"), end - edge))
     taken = F.coalesce(F.col("_times") * _overlap(low, high, origin, edge) + extra, F.lit(0).cast("long"))
     done = joined.withColumn("_taken", taken)
-    return done.groupBy("doc_id", "source", "size", "source_size", "target", "_text", "_at", "_copy").agg(F.sum("_taken").alias("taken")).drop("_text", "_at", "_copy")
+    return done.groupBy("doc_id", "source", "size", "source_size", "target", "_text", "_at", "_copy").agg(F.sum("_taken").alias("taken")).drop("_at", "_copy", *([] if keep_hash else ["_text"]))
