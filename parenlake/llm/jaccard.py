@@ -153,7 +153,7 @@ def signed(x: int) -> int:
 def keys_of(sets: np.ndarray, measure: Measure) -> np.ndarray:
     """Keys under which a set meets all it may link with."""
     out = []
-    for b in schemes(len(sets), measure):
+    for b in schemes(len(sets), measure) if len(sets) else ():
         band = bands(measure.part, measure.whole)[b]
         m = band.segments
         spread = mix64(sets ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))

@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     rows = texts.select("doc_id", "text", "_quality").mapInArrow(run, "doc_id long, label int, found array<long>, value array<double>, stats array<double>").toArrow()
     # Tasks end in any order; training must see one order.
     made = sorted(zip(*[rows.column(k).to_pylist() for k in range(5)], strict=True), key=lambda r: (r[0], r[1], len(r[2]), r[4]))
-    return train([(np.array(r[2], np.int64), np.array(r[3])) for r in made], np.array([r[4] for r in made]).reshape(len(made), -1), np.array([float(r[1] > 0) for r in made]), settings)
+    return train([(np.array(r[2], np.int64), np.array(r[3])) for r in made], np.array([r[4] for r in made]).reshape(len(made), len(STATISTICS)), np.array([float(r[1] > 0) for r in made]), settings)
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
