@@ -14,8 +14,11 @@ There are at most 2 sqrt(C) classes, so at most C H(sqrt(C)) pieces (fewer than
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,6 +50,33 @@ def cuts(capacity: int, slack: int) -> tuple[tuple[int, ...], ...]:
     return tuple(table)
 
 
+#: Fixed value: how the byte-level tokenizers split a text, as published.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked_encoder(path: str):
+    """The same tokenizer as a rank table, which is several times faster on
+    short stretches. Only for byte-level BPE whose ids follow the order of its
+    merges, so that ids are ranks; None for any other."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told.get("model", {}), told.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or told.get("normalizer"):
+        return None
+    vocabulary = model["vocab"]
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if None in merged or merged != sorted(merged) or sys.byteorder != "little":
+        return None
+    # Byte-level vocabularies write bytes that don't print as later characters.
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 32 and b != 173]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {x["content"] for x in told.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if token not in special}
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class SegmentTokens:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
@@ -56,7 +86,7 @@ class SegmentTokens:
     Other texts go through the tokenizer whole.
     """
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,14 +96,16 @@ class SegmentTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ranked = ranked_encoder(path)
         self.known: dict[str, bytes] = {}
         self.touching = re.compile(r"\s\s")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        if self.ranked:
+            found = map(self.ranked.encode_ordinary, texts)
+        else:
+            found = (x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False))
+        return [array("I", x).tobytes() for x in found]
 
     def of(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -88,9 +120,7 @@ class SegmentTokens:
         if len(self.known) > self.LIMIT:
             self.known.clear()
         missing = list(set().union(*[x for x in split if x]) - self.known.keys())
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            self.known.update(zip(part, self.encode(part), strict=True))
+        self.known.update(zip(missing, self.encode(missing), strict=True))
         others = iter(self.encode(whole) if whole else [])
         get = self.known.__getitem__
         return [next(others) if x is None else b"".join(map(get, x)) for x in split]
