@@ -275,3 +275,18 @@ def impact(sources: DataFrame, symbol: str) -> DataFrame:
     ))
     level = F.when(F.size(risks) == 0, "info").otherwise("warning")
     return out.select(F.lit(symbol).alias("symbol"), *[F.col(c).cast("long").alias(c) for c in ("definitions", "references", "calls", "non_call_references", "signature_mismatches")], F.array_join(risks, ",").alias("risks"), level.alias("risk_level"))
+
+
+def capabilities(spark) -> DataFrame:
+    """The catalog of reports and commands, from the functions themselves."""
+    import inspect
+
+    from parenlake.functions.edits import COMMANDS
+
+    edit = "format repair-unclosed-lists select replace kill wrap splice raise transpose-forward transpose-backward slurp-forward slurp-backward barf-forward barf-backward".split()
+    reports = (check, dialect, stats, agent_report, outline, form, form_symbols, symbols, calls, signature, call_graph, impact, workspace, dependencies, packages, definitions, unused_definitions, duplicates, replacement_plan, lets)
+    said = lambda f, drop: ", ".join(str(p) for p in list(inspect.signature(f).parameters.values())[drop:])
+    rows = [("inspect", f.__name__.replace("_", "-"), said(f, 1)) for f in reports] + [("inspect", "similarity", "threshold, min_node_count, min_line_span, comparison_scope, form_scope, overlap_policy, max_results")]
+    rows += [("edit" if n in edit else "refactor", n, said(f, 1)) for n, f in COMMANDS.items()]
+    rows += [("refactor", n, "") for n in ("plan", "verify", "preview", "check-manifest", "manifest-status", "apply-manifest", "diff", "workspace-execute", "remove-unused-definitions", "move-forms")]
+    return spark.createDataFrame(sorted(rows), "namespace string, command string, parameters string")

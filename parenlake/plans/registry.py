@@ -154,3 +154,4 @@ add("preview_policy_orders", C.orders, lambda s: preview_policy(preview(s, "rena
     f"WITH {_ITEMS} SELECT count(*) AS changed, CAST(0 AS BIGINT) AS bad, count(*) AS edits, true AS passed FROM texts")
 add("diff_suppliers", C.bindings, lambda s: diff(preview(s, "rename-symbol", from_="width", to="w"), s))
 add("hash_suppliers", C.bindings, hashed)
+QUERIES["capabilities"] = lambda spark, sf_dir: R.capabilities(spark)
