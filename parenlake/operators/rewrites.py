@@ -188,7 +188,9 @@ def remove_unused(sources: DataFrame, include_protected: bool = False, include_e
     table = nodes(sources)
     unused = unused_definitions(sources)
     at = table.filter("depth = 1").select(F.col("file_id").alias("f"), dotted(F.col("path")).alias("p"), "span_start", "span_end", "def_needle")
-    exported = table.filter("kind = 'atom' AND in_defpackage").select(F.col("needle").alias("_e")).distinct()
+    lists = table.filter("kind = 'list' AND in_defpackage AND lower(head) = ':export'").select(F.col("file_id").alias("lf"), F.col("node_id").alias("ln"))
+    names = table.filter("kind = 'atom' AND in_defpackage AND sib_idx > 0").join(lists, (F.col("file_id") == F.col("lf")) & (F.col("parent_id") == F.col("ln")))
+    exported = names.select(F.col("needle").alias("_e")).distinct()
     joined = unused.join(at, (F.col("file_id") == F.col("f")) & (F.col("path") == F.col("p"))).join(exported, F.col("def_needle") == F.col("_e"), "left")
     reason = F.when(F.col("_e").isNotNull() & F.lit(not include_exported), "exported").when(~F.col("actionable") & F.lit(not include_protected), "protected")
     return joined.select("file_id", "path", "name", "category", reason.alias("skipped"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.lit("").alias("replacement"))
