@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 DIALECTS = ("common-lisp", "emacs-lisp", "scheme", "clojure", "janet", "fennel", "unknown")
 
@@ -122,6 +123,7 @@ def dialect_of(path: str) -> str:
     return EXTENSIONS.get(name.rsplit(".", 1)[1], "unknown") if "." in name[1:] else "unknown"
 
 
+@lru_cache(maxsize=50_000)
 def operator_key(head: str) -> str:
     """A head as operators are looked up: ASCII lower case, without the name of
     a standard package."""
@@ -131,15 +133,19 @@ def operator_key(head: str) -> str:
 
 
 def ascii_lower(text: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return text.lower() if text.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
+_CHANGED = re.compile(r"[:\\|]")
 _MARK = re.compile(r"\\.|\|(?:\\.|[^|\\])*\||:", re.S)
 
 
+@lru_cache(maxsize=50_000)
 def needle(symbol: str) -> str:
     """The name a symbol is compared by: no package, no escapes, upper case
     where ASCII and not escaped."""
+    if symbol.isascii() and not _CHANGED.search(symbol):
+        return symbol.upper()
     name = symbol.removeprefix("#:")
     marks = [m.start() for m in _MARK.finditer(name) if m[0] == ":"]
     if marks and marks[-1] > 0:

@@ -214,7 +214,7 @@ def columns(tree: Tree, shapes: bool) -> list[dict]:
         head = tree.head(k) if node.kind == "list" else None
         top[k] = k if depth[k] == 1 else top[max(node.parent, 0)]
         packaged[k] = (head is not None and operator_key(head) == "defpackage") or (k > 0 and packaged[node.parent])
-        it = definition(tree, k) if node.kind == "list" else None
+        it = definition(tree, k) if head is not None else None
         call = by_node.get(k)
         bounds = arity(tree, node.children[it.parameters]) if it and it.parameters is not None else (None, None)
         symbol = tree.symbol(k) if node.kind == "atom" else None

@@ -19,6 +19,10 @@ DELIMITER = {b"(": "paren", b"[": "bracket", b"{": "brace"}
 DISCARD_LIMIT = 65_536
 
 
+#: Bytes with which prefixes and discards of any dialect start.
+SPECIAL = frozenset(b"'`,#^~@;|")
+
+
 class Unreadable(ValueError):
     """A text that can't be read: code, byte position, message."""
 
@@ -256,7 +260,7 @@ def _read(text: str | bytes, dialect: str) -> tuple[Tree, list[int]]:
         if at >= len(source):
             break
         start, prefixes = at, []
-        while True:
+        while source[at] in SPECIAL:
             if (end := scan.discard(source, at)) is not None:
                 done = scan.skip_form(source, end, at)
                 comments.append((at, done))
@@ -275,14 +279,15 @@ def _read(text: str | bytes, dialect: str) -> tuple[Tree, list[int]]:
         if start < 0:
             at = resume
             continue
-        if taken := scan.take_along(source, at):
+        if source[at] == 35 and (taken := scan.take_along(source, at)):
             origin, at = at, taken[0]
             for _ in range(taken[1]):
                 at = scan.skip_form(source, at, origin)
             nodes[stack[-1]].children.append(len(nodes))
             nodes.append(Node("atom", start, at, stack[-1], start, opaque=True))
             continue
-        scan.refuse(source, at)
+        if source[at] == 35:
+            scan.refuse(source, at)
         byte = source[at : at + 1]
         if byte in CLOSER and byte in scan.opens:
             nodes[stack[-1]].children.append(len(nodes))
