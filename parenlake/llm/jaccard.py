@@ -18,7 +18,9 @@ all satisfied segments.
 
 Copies are one class and stand in once. Of the sets that share a key, all are
 first verified against one of them; after that only pairs in different
-components are. Verification counts exact intersections of whole texts.
+components are, unless parity sketches show that they differ too much (a sketch
+bit is the parity of the shingles hashed to it, so sets differ in at least as
+many shingles as their sketches in bits). Verification counts exact intersections of whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ from parenlake.llm.components import components
 
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
+#: Longs of 64 bits in a parity sketch.
+SKETCH = 16
 #: A key shared by more sets than this is frequent.
 FREQUENT = 32
 
@@ -182,17 +186,26 @@ def frequent_slack(n: int, measure: Measure) -> int:
     return min((b.frequent_slack // (2 if b.loose else 1) for b in some), default=0)
 
 
+def sketch(sets: np.ndarray) -> list[int]:
+    """Parity sketch of a set, as signed longs."""
+    odd = np.bincount((sets >> np.uint64(54)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+_WORDS = [f"s{k}" for k in range(SKETCH)]
+
+
 def digest(docs: DataFrame, measure: Measure) -> DataFrame:
-    """id, crc, n, h1, h2 of each document: its id, text hash, set size and set
-    name."""
+    """id, crc, n, h1, h2, s0.. of each document: its id, text hash, set size,
+    set name and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            rows = [(len(s), *set_ids(s)) for s in (shingles(t, measure.words, known) for t in raw_bytes(batch.column(2)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]], names=["id", "crc", "n", "h1", "h2"])
+            rows = [(len(s), *set_ids(s), *sketch(s)) for s in (shingles(t, measure.words, known) for t in raw_bytes(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3 + SKETCH)]], names=["id", "crc", "n", "h1", "h2", *_WORDS])
 
-    return docs.mapInArrow(run, "id long, crc long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "id long, crc long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def signatures(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -321,8 +334,9 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
     content = text_of(text)
     read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(content).alias("crc"), content.alias("text"))
     digests = stage(digest(read, measure), "digests")
-    classes = stage(digests.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "crc")).alias("rep")), "classes")
-    classes = stage(positions(classes, [], ["h1", "h2", "n"], out="node"), "classes")
+    classes = stage(digests.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "crc")).alias("rep"), *[F.min(w).alias(w) for w in _WORDS]), "classes")
+    sketches = classes.select("h1", "h2", "n", *_WORDS)
+    classes = stage(positions(classes.drop(*_WORDS), [], ["h1", "h2", "n"], out="node"), "classes")
     found = candidates(read, classes, measure)
     fits = lambda x, y: measure.whole * F.least(x, y) >= measure.part * F.greatest(x, y)
 
@@ -335,9 +349,13 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
     first = components(links)
     labelled = found.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low != _high").select(F.col("key").alias("_k"))
-    open_ = stage(labelled.join(mixed, F.col("key") == F.col("_k")).drop("_k"), "open")
-    other = open_.select(F.col("key").alias("_k"), F.col("node").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"))
-    cross = open_.join(other, (F.col("key") == F.col("_k")) & (F.col("node") < F.col("b")) & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")))
+    open_ = labelled.join(mixed, F.col("key") == F.col("_k")).drop("_k", "n")
+    named = classes.join(sketches, ["h1", "h2", "n"]).select(F.col("node").alias("_node"), "n", *_WORDS)
+    open_ = stage(open_.join(named, F.col("node") == F.col("_node")).drop("_node"), "open")
+    other = open_.select(F.col("key").alias("_k"), F.col("node").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"), *[F.col(w).alias(f"_{w}") for w in _WORDS])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in _WORDS])
+    near = (measure.whole + measure.part) * apart <= (measure.whole - measure.part) * (F.col("n") + F.col("_n"))
+    cross = open_.join(other, (F.col("key") == F.col("_k")) & (F.col("node") < F.col("b")) & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & near)
     rest = cross.select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
     more = stage(verify(stage(rest, "pairs"), texts, measure), "links")
     parts = components(links.unionByName(more)).withColumnRenamed("node", "_n")
