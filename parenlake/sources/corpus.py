@@ -54,7 +54,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "lineitem").filter("l_partkey % 10 < 7")
     number = F.col("l_quantity").cast("long").cast("string")
     call = F.concat(F.lit("(part-"), F.col("l_partkey").cast("string"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("l_linenumber") % 3), lambda i: F.concat(F.lit(" "), number)), ""), F.lit(")"))
-    body = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", call.alias("call")))).alias("calls"))
+    # Texts are small but costly to parse: keep all partitions of this shuffle.
+    dealt = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    body = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", call.alias("call")))).alias("calls"))
     key = F.col("l_orderkey").cast("string")
     text = F.concat(F.lit("(defun order-"), key, F.lit(" (customer priority)\n  "), F.array_join(F.col("calls.call"), "\n  "), F.lit(")\n"))
     return body.select(F.col("l_orderkey").alias("file_id"), F.concat(F.lit("orders/"), key, F.lit(".lisp")).alias("path"), F.lit("common-lisp").alias("dialect"), text.alias("text"))
