@@ -17,8 +17,8 @@ of a linked pair leaves out is equal in both, so it weighs too little to hide
 all satisfied segments.
 
 Copies are one class and stand in once. Of the sets that share a key, all are
-first verified against one of them; after that only pairs in different
-components are, unless parity sketches show that they differ too much (a sketch
+first verified against one of them and against one drawn at random; after that
+only pairs in different components are, unless parity sketches show that they differ too much (a sketch
 bit is the parity of the shingles hashed to it, so sets differ in at least as
 many shingles as their sketches in bits). Verification counts exact intersections of whole texts.
 """
@@ -328,6 +328,15 @@ def keep_one(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_i
     return kept.withColumn("_once", once).dropDuplicates(["_key", "_once"]).select(*docs.columns)
 
 
+def _open(found: DataFrame, parts: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """key, node, n, part and sketch of the members of keys whose members lie in
+    different components. Staged."""
+    labelled = found.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low != _high").select(F.col("key").alias("_k"))
+    named = classes.join(sketches, ["h1", "h2", "n"]).select(F.col("node").alias("_node"), "n", *_WORDS)
+    return stage(labelled.join(mixed, F.col("key") == F.col("_k")).drop("_k").join(named, F.col("node") == F.col("_node")).drop("_node"), "open")
+
+
 def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
     """id, crc, n, first of each document: ``first`` is the (id, crc) of the
     least member of its group, null without shingles."""
@@ -345,20 +354,27 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
     texts = stage(class_texts(read, classes, found.select("node").distinct()), "texts")
     links = stage(verify(star, texts, measure), "links")
 
-    # What still lies in different components of a key is compared in full.
-    first = components(links)
-    labelled = found.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low != _high").select(F.col("key").alias("_k"))
-    open_ = labelled.join(mixed, F.col("key") == F.col("_k")).drop("_k", "n")
-    named = classes.join(sketches, ["h1", "h2", "n"]).select(F.col("node").alias("_node"), "n", *_WORDS)
-    open_ = stage(open_.join(named, F.col("node") == F.col("_node")).drop("_node"), "open")
-    other = open_.select(F.col("key").alias("_k"), F.col("node").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"), *[F.col(w).alias(f"_{w}") for w in _WORDS])
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in _WORDS])
-    near = (measure.whole + measure.part) * apart <= (measure.whole - measure.part) * (F.col("n") + F.col("_n"))
-    cross = open_.join(other, (F.col("key") == F.col("_k")) & (F.col("node") < F.col("b")) & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & near)
-    rest = cross.select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = stage(verify(stage(rest, "pairs"), texts, measure), "links")
-    parts = components(links.unionByName(more)).withColumnRenamed("node", "_n")
+    # What lies in different components of a key is compared with a member of
+    # the key drawn at random, for each key another one; the rest in full.
+    tried, parts = star, components(links)
+    for draw in (True, False):
+        open_ = _open(found, parts, classes, sketches)
+        if draw:
+            other = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "part", *_WORDS), F.xxhash64("node", "key")).alias("o")).select("key", "o.*")
+            apart = F.col("node") != F.col("_node")
+        else:
+            other, apart = open_, F.col("node") < F.col("_node")
+        other = other.select(*[F.col(c).alias(f"_{c}") for c in ("key", "node", "n", "part", *_WORDS)])
+        bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in _WORDS])
+        near = (measure.whole + measure.part) * bits <= (measure.whole - measure.part) * (F.col("n") + F.col("_n"))
+        met = open_.join(other, (F.col("key") == F.col("_key")) & apart & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & near)
+        pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(stage(verify(pairs, texts, measure), "links"))
+        tried = tried.unionByName(pairs)
+        if draw:
+            parts = components(links)
+    parts = components(links).withColumnRenamed("node", "_n")
 
     owned = classes.join(parts, F.col("node") == F.col("_n"), "left").withColumn("_part", F.coalesce("component", "node"))
     least = owned.groupBy("_part").agg(F.min("rep").alias("first")).withColumnRenamed("_part", "_p")
