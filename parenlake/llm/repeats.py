@@ -93,14 +93,16 @@ def anchors(rows: DataFrame, k: int, w: int) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             hs, rs, ps = [], [], []
-            for rid, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
-                words = text.split()
-                if len(words) >= k + w - 1:
-                    kmers = Rolling(known.of(words)).windows(k)
-                    at = minimizers(kmers, w)
-                    hs.append(kmers[at])
-                    rs.append(np.full(len(at), rid, np.int64))
-                    ps.append(at.astype(np.int64))
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                for rid, text in zip(part.column(0).to_pylist(), raw_bytes(part.column(1)), strict=True):
+                    words = text.split()
+                    if len(words) >= k + w - 1:
+                        kmers = Rolling(known.of(words)).windows(k)
+                        at = minimizers(kmers, w)
+                        hs.append(kmers[at])
+                        rs.append(np.full(len(at), rid, np.int64))
+                        ps.append(at.astype(np.int64))
             if hs:
                 h, r, p, n = met_arrays(np.concatenate(hs), np.concatenate(rs), np.concatenate(ps))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r), pa.array(p.astype(np.int32)), pa.array(n)], names=["h", "rid", "place", "len"])

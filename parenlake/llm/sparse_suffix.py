@@ -43,31 +43,33 @@ def suffixes(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, expand = WordHashes(), zstandard.ZstdDecompressor()
-        for batch in batches:
-            met: dict[tuple, list[int]] = {}
-            for packed, order, spots in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
-                value = hashes.of(expand.decompress(packed).split())
-                heads = Rolling(value).windows(HEAD)
-                at = places(spots)
-                word = (value >> np.uint64(32)).astype(">u4").tobytes()
-                back = (value[::-1] >> np.uint64(32)).astype(">u4").tobytes()
-                n = len(value)
-                for p, head in zip(at.tolist(), heads[at].view(np.int64).tolist(), strict=True):
-                    after = word[4 * (p + HEAD) : 4 * (p + least)]
-                    before = back[4 * (n - p) : 4 * (n - p + side)]
-                    met.setdefault((head, after, before), []).append(order << PLACE | p)
-            out: list[tuple] = []
-            for (head, after, before), locs in met.items():
-                if len(locs) == 1:
-                    out.append((head, after, before, locs[0], 0))
-                else:
-                    left, length = len(before) // 4, len(before) // 4 + HEAD + len(after) // 4
-                    out.append((head, after, before, NOWHERE, 0))
-                    if length >= least:
-                        out.extend((loc, None, None, loc - left, length) for loc in locs)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                met: dict[tuple, list[int]] = {}
+                for packed, order, spots in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                    value = hashes.of(expand.decompress(packed).split())
+                    heads = Rolling(value).windows(HEAD)
+                    at = places(spots)
+                    word = (value >> np.uint64(32)).astype(">u4").tobytes()
+                    back = (value[::-1] >> np.uint64(32)).astype(">u4").tobytes()
+                    n = len(value)
+                    for p, head in zip(at.tolist(), heads[at].view(np.int64).tolist(), strict=True):
+                        after = word[4 * (p + HEAD) : 4 * (p + least)]
+                        before = back[4 * (n - p) : 4 * (n - p + side)]
+                        met.setdefault((head, after, before), []).append(order << PLACE | p)
+                out: list[tuple] = []
+                for (head, after, before), locs in met.items():
+                    if len(locs) == 1:
+                        out.append((head, after, before, locs[0], 0))
                     else:
-                        out.extend((head, after, before, loc, 0) for loc in locs)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()))], names=["head", "after", "before", "loc", "len"])
+                        left, length = len(before) // 4, len(before) // 4 + HEAD + len(after) // 4
+                        out.append((head, after, before, NOWHERE, 0))
+                        if length >= least:
+                            out.extend((loc, None, None, loc - left, length) for loc in locs)
+                        else:
+                            out.extend((head, after, before, loc, 0) for loc in locs)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()))], names=["head", "after", "before", "loc", "len"])
 
     joined = packed_rows(rows).join(known.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"))
     return joined.select("packed", "ord", "spots").mapInArrow(run, SUFFIX)
