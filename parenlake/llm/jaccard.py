@@ -33,7 +33,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parenlake.llm.common import WordHashes, drop_stage, mix64, positions, raw_bytes, stage, text_of
@@ -328,6 +328,13 @@ def keep_one(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_i
     return kept.withColumn("_once", once).dropDuplicates(["_key", "_once"]).select(*docs.columns)
 
 
+def _near(measure: Measure) -> Column:
+    """Whether sketches s0.. and _s0.. of sets of n and _n shingles leave room
+    for a link."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in _WORDS])
+    return (measure.whole + measure.part) * bits <= (measure.whole - measure.part) * (F.col("n") + F.col("_n"))
+
+
 def _open(found: DataFrame, parts: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
     """key, node, n, part and sketch of the members of keys whose members lie in
     different components. Staged."""
@@ -350,7 +357,11 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
     fits = lambda x, y: measure.whole * F.least(x, y) >= measure.part * F.greatest(x, y)
 
     star = found.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-    star = stage(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    bits_of = classes.join(sketches, ["h1", "h2", "n"]).select("node", "n", *_WORDS)
+    one, two = (bits_of.select(*[F.col(c).alias(f"{mark}{c}") for c in bits_of.columns]) for mark in ("", "_"))
+    star = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(one, F.col("a") == F.col("node")).join(two, F.col("b") == F.col("_node"))
+    star = stage(star.filter(_near(measure)).select("a", "b"), "pairs")
     texts = stage(class_texts(read, classes, found.select("node").distinct()), "texts")
     links = stage(verify(star, texts, measure), "links")
 
@@ -365,9 +376,7 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
         else:
             other, apart = open_, F.col("node") < F.col("_node")
         other = other.select(*[F.col(c).alias(f"_{c}") for c in ("key", "node", "n", "part", *_WORDS)])
-        bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in _WORDS])
-        near = (measure.whole + measure.part) * bits <= (measure.whole - measure.part) * (F.col("n") + F.col("_n"))
-        met = open_.join(other, (F.col("key") == F.col("_key")) & apart & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & near)
+        met = open_.join(other, (F.col("key") == F.col("_key")) & apart & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & _near(measure))
         pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(stage(verify(pairs, texts, measure), "links"))
