@@ -1,11 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from parenlake.functions.distance import distance, encode
+from parenlake.functions.reader import read
 from parenlake.operators import reports as R
 from parenlake.operators import rewrites as W
 from parenlake.operators.nodes import comments, nodes
 from parenlake.operators.similarity import similarity
-from parenlake.sources.corpus import dialect_column, from_files, workspace
+from parenlake.plans.registry import QUERIES
+from parenlake.sources.corpus import bindings, dialect_column, from_files, workspace
 
 SCHEMA = "file_id long, path string, dialect string, text string"
 
@@ -111,6 +114,18 @@ def test_duplicates_lets_similarity(spark):
         similarity(rows, 2.0)
 
 
+def test_similarity_of_all_suppliers(spark, tmp_path):
+    keys = [1, 2, 3, 58, 59, 60, 61, 62, 100, 1000]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    trees = {}
+    for r in bindings(spark, str(tmp_path)).collect():
+        tree = read(r.text, r.dialect)
+        trees[r.file_id] = encode(tree, next(k for k, n in enumerate(tree.nodes) if not n.parent and n.kind == "list"))
+    want = {(a, b, distance(trees[a], trees[b])) for a in keys for b in keys if a < b}
+    got = QUERIES["similarity_suppliers"](spark, str(tmp_path)).collect()
+    assert {(r.left_file, r.right_file, r.distance_x10) for r in got} == want and len(got) == len(want)
+
+
 def test_manifest_lifecycle(spark, tmp_path):
     s = sources(spark, *AREA)
     manifest = W.preview(s, "rename-function", from_="area", to="surface")
