@@ -3,10 +3,11 @@
 Of all suffixes of the corpus, only those that start at content-selected
 minimizer positions are retained: any ``least`` words hold one whose first
 ``HEAD`` words lie within. Two passages of ``least`` equal words therefore
-retain equal suffixes. Retained suffixes are sorted by what follows and, once
-more, by what precedes; each is compared with its neighbour, and the match is
-extended to the right and to the left. Matches of at least ``least`` words mark
-both passages.
+retain equal suffixes. Retained suffixes are sorted by head, what follows and
+what precedes; those of one head are compared in every stretch of ``least``
+words around it, by the words before and after taken together. Neighbours alone
+would not do: the suffix that shares most after the head need not be the one
+that shares enough on both sides. Equal stretches mark their passages.
 
 A suffix carries the words around its head as far as they can matter: with
 ``least - HEAD`` words on either side, every stretch of ``least`` words that
@@ -22,17 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import Rolling, WordHashes, drop_stage, stage
-from parenlake.llm.repeats import PLACE, packed_rows, paths, places, release, rows_of, suspects
+from parenlake.llm.common import Rolling, WordHashes, drop_stage, mix64, stage
+from parenlake.llm.repeats import AGAIN, MET, ONE, PLACE, met_again, packed_rows, paths, places, release, rows_of, suspects
 
 #: Words by which suffixes are matched before they are sorted and extended.
 HEAD = 26
 #: Stands for the location of a suffix whose copies are already marked.
 NOWHERE = -1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 SUFFIX = "head long, after binary, before binary, loc long, len int"
 
 
@@ -75,69 +76,95 @@ def suffixes(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
     return joined.select("packed", "ord", "spots").mapInArrow(run, SUFFIX)
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their start."""
-    low, high = 0, min(len(a), len(b)) // 4
-    if a[: 4 * high] == b[: 4 * high]:
-        return high
-    while low + 1 < high:
-        middle = (low + high) // 2
-        low, high = (middle, high) if a[: 4 * middle] == b[: 4 * middle] else (low, middle)
-    return low
-
-
-def matches(one: tuple, other: tuple, least: int) -> list[tuple[int, int]]:
-    """(loc, len) of the stretches that two suffixes (head, after, before, loc)
-    have in common, if they are long enough."""
-    if one[0] != other[0]:
-        return []
-    right, left = common(one[1], other[1]), common(one[2], other[2])
-    if left + HEAD + right < least:
-        return []
-    return [(x[3] - left, left + HEAD + right) for x in (one, other) if x[3] != NOWHERE]
-
-
-def neighbours(kept: DataFrame, order: list[str], parts: int, least: int) -> DataFrame:
-    """loc, len of the matches of suffixes next to each other in one order.
-
-    Suffixes are range-partitioned by the whole sort key, so a head that a
-    third of all documents share is spread over tasks. The first and last
-    suffix of every task are then compared with those of the next: two rows a
-    task."""
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-    names = ["head", "after", "before", "loc", "len", "part"]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=names)
+def contexts(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each context as a row of ``side`` numbers, and how many it has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    known = np.diff(ends) // 4
+    table = np.zeros((len(column), side), np.uint64)
+    if known.any():
+        table[np.arange(side) < known[:, None]] = np.frombuffer(column.buffers()[2], ">u4")[ends[0] // 4 : ends[-1] // 4]
+    return table, known
+
+
+def prefixes(table: np.ndarray) -> np.ndarray:
+    """Hash of the first 0, 1, .. words of each row."""
+    out = np.zeros((len(table), table.shape[1] + 1), np.uint64)
+    for k in range(table.shape[1]):
+        out[:, k + 1] = mix64(out[:, k] * _STEP + table[:, k] + np.uint64(1))
+    return out
+
+
+def windows(head: np.ndarray, after: pa.Array, before: pa.Array, side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For i = 0 .. side: which suffixes have i words after their head and
+    side - i before, and the hash of these with the head."""
+    (right, most), (left, least) = contexts(after, side), contexts(before, side)
+    right, left, turned = prefixes(right), prefixes(left), mix64(head.view(np.uint64))
+    for i in range(side + 1):
+        has = np.flatnonzero((most >= i) & (least >= side - i))
+        yield has, mix64(mix64(mix64(turned[has] + np.uint64(i)) + right[has, i]) * _STEP + left[has, side - i])
+
+
+def repeats(kept: DataFrame, parts: int, least: int, block: int = 50_000) -> DataFrame:
+    """loc, len of every stretch of ``least`` words around a head that suffixes
+    of that head share, wherever in the stretch it lies.
+
+    Two suffixes share such a stretch if, for some i, they agree in the first i
+    words after the head and in the first least - HEAD - i before. Suffixes are
+    range-partitioned by the whole sort key, so a head that a third of all
+    documents share is spread over tasks. A head that lies within one block of
+    a sorted task is decided there, for every i. The others, the first and the
+    last of a block, are merged by block and meet by the hash of the stretch."""
+    side = least - HEAD
+    names = ["h", "loc", "len"]
+
+    def rows(h: np.ndarray, loc: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(loc), pa.array(length.astype(np.int32))], names=names)
+
+    def decide(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        held = held.combine_chunks()
+        head = held.column(0).to_numpy()
+        edge = (head == head[0]) | (head == head[-1])
+        same = np.concatenate([[False], head[1:] == head[:-1]])
+        # A head met once within a block repeats nothing.
+        some = np.flatnonzero(edge | same | np.concatenate([same[1:], [False]]))
+        held, head, edge = held.take(pa.array(some)).combine_chunks(), head[some], edge[some]
+        after, before = [held.column(k).combine_chunks() for k in (1, 2)]
+        after, before = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (after, before)]
+        loc = held.column(3).to_numpy()
+        marked = np.zeros((len(head), side + 3), bool)
+        for i, (has, key) in enumerate(windows(head, after, before, side)):
+            if not len(has):
+                continue
+            unique, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            marked[has[count[inverse] > 1], i + 1] = True
+            open_ = edge[has[first]]
+            once, again = open_ & (count == 1), open_ & (count > 1)
+            if open_.any():
+                at = loc[has[first[once]]]
+                at = np.where(at == NOWHERE, NOWHERE, at - (side - i))
+                yield rows(unique[once], at, np.full(int(once.sum()), ONE))
+                yield rows(unique[again], np.full(int(again.sum()), NOWHERE), np.full(int(again.sum()), AGAIN))
+        marked[loc == NOWHERE] = False
+        change = np.diff(marked.astype(np.int8), axis=1)
+        (who, start), (_, end) = np.nonzero(change == 1), np.nonzero(change == -1)
+        yield rows(np.zeros(len(who), np.uint64), loc[who] - side + start, least - 1 + end - start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, first = TaskContext.get().partitionId(), None, None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                if last is None:
-                    first = row
-                else:
-                    out.extend((None, None, None, loc, n, -1) for loc, n in matches(last, row, least))
-                last = row
-            yield batch_of(out)
-        if first is not None:
-            yield batch_of([(*first, 0, 2 * part), (*last, 0, 2 * part + 1)])
-
-    def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            out = []
-            for row in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                out.extend(matches(last, row, least) if last is not None else [])
-                last = row
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32())], names=["loc", "len"])
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= block:
+                yield from decide(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield from decide(pa.Table.from_batches(held))
 
-    sorted_ = kept.repartitionByRange(parts, *order, "loc").sortWithinPartitions(*order, "loc")
-    made = stage(sorted_.mapInArrow(run, SUFFIX + ", part int"), "matches")
-    # Two rows a task, whatever the size of the corpus.
-    edge = made.filter("part >= 0").repartition(1).sortWithinPartitions("part").select("head", "after", "before", "loc").mapInArrow(seams, "loc long, len int")
-    return made.filter("part < 0").select("loc", "len").unionByName(edge)
+    order = ["head", "after", "before", "loc"]
+    sorted_ = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    made = stage(sorted_.mapInArrow(run, MET), "matches")
+    met = met_again(made.filter("len <= 0")).filter(F.col("loc") != NOWHERE).select("loc", F.lit(least).cast("int").alias("len"))
+    return made.filter("len > 0").select("loc", "len").unionByName(met)
 
 
 def spans(docs: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -152,9 +179,8 @@ def spans(docs: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
     kept = made.filter("len = 0").select("head", "after", "before", "loc")
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(kept.count() / 50_000))
     found = made.filter("len > 0").select("loc", "len")
-    for order in (["head", "after", "before"], ["head", "before", "after"]):
-        found = found.unionByName(neighbours(kept, order, parts, least))
-        release(docs.sparkSession)
+    found = found.unionByName(repeats(kept, parts, least))
+    release(docs.sparkSession)
     runs = paths(found, known, "passages")
     drop_stage(made)
     release(docs.sparkSession)

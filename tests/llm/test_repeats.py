@@ -38,6 +38,40 @@ def test_repeated_passages_as_by_brute_force(spark, operator, k):
     assert operator(empty(spark)).count() == 0
 
 
+def edited_copies(seed, n, length, share):
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 5000, length)]
+    return [(k, " ".join(f"x{rng.integers(0, 5000)}" if rng.random() < share else w for w in base), None, None, None) for k in range(n)]
+
+
+def around(head, left, right, own):
+    """A head with words of two common contexts, cut short by words of its own."""
+    before, after = words(80, 24, 10**6).split(), words(81, 24, 10**6).split()
+    fill = [f"{own}-{k}" for k in range(60)]
+    return " ".join([*fill[:30], *before[24 - left :], head, *after[:right], *fill[30:]])
+
+
+def test_edited_copies_as_by_brute_force(spark):
+    head = words(82, 26, 10**6)
+    shared = [(k, around(head, left, right, f"d{k}"), None, None, None) for k, (left, right) in enumerate([(10, 14), (10, 14), (0, 20), (0, 14), (0, 15), (12, 0), (11, 0), (18, 3)])]
+    for rows in (shared, edited_copies(1, 100, 300, 0.02), edited_copies(2, 150, 300, 0.05)):
+        got = sparse_suffix.dedupe(spark.createDataFrame(rows, SCHEMA).repartition(3), 50).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_dedupe(rows, 50)
+
+
+@pytest.mark.parametrize("parts, block", [(1, 50_000), (5, 50_000), (2, 7)])
+def test_stretches_around_a_head_in_any_blocks(spark, parts, block):
+    rng, side = np.random.default_rng(3), 24
+    near = lambda: "".join(chr(97 + x) for x in np.where(rng.random(side) < 0.1, rng.integers(0, 26, side), 0))[: rng.integers(8, side + 1)]
+    code = lambda t: b"".join(ord(c).to_bytes(4, "big") for c in t)
+    rows = [(int(h), near(), near(), 1000 * k + 100) for k, h in enumerate(rng.integers(0, 4, 200))]
+    kept = spark.createDataFrame([(h, bytearray(code(a)), bytearray(code(b)), loc) for h, a, b, loc in rows], "head long, after binary, before binary, loc long")
+    seen = Counter((h, i, a[:i], b[: side - i]) for h, a, b, _ in rows for i in range(side + 1) if len(a) >= i and len(b) >= side - i)
+    want = {loc - (side - i) + p for h, a, b, loc in rows for i in range(side + 1) if seen[h, i, a[:i], b[: side - i]] > 1 for p in range(50)}
+    got = {r.loc + p for r in sparse_suffix.repeats(kept, parts, 50, block).collect() for p in range(r.len)}
+    assert want and got == want
+
+
 def test_every_window_holds_a_minimizer():
     rng = np.random.default_rng(5)
     for n, w in ((24, 24), (100, 24), (500, 7), (60, 1)):
