@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import SPACE, positions, stage, text_of, word_count
+from parenlake.llm.common import SPACE, WORD, positions, stage, text_of, word_count
+
+#: Fixed value: words of a shard, at least.
+SHARD_WORDS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -74,23 +77,47 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(b, d) - F.greatest(a, c))
 
 
+def _runs(parts: Column, most: int) -> Column:
+    """[(first, end)]: the stretches of words taken at least once, then those
+    taken at least twice, and so on up to ``most``; ``parts`` are [(first, end,
+    times)] and may overlap. Stretches that touch are one."""
+    ends = F.array_sort(F.array_distinct(F.concat(F.transform(parts, lambda x: x["first"]), F.transform(parts, lambda x: x["end"]))))
+    zero = F.lit(0).cast("long")
+
+    def times(at: Column) -> Column:
+        return F.aggregate(parts, zero, lambda n, x: n + F.when((x["first"] <= at) & (at < x["end"]), x["times"]).otherwise(zero))
+
+    found = []
+    for level in range(1, most + 1):
+        first = F.filter(ends, lambda c: (times(c) >= level) & (times(c - 1) < level))  # noqa: B023
+        end = F.filter(ends, lambda c: (times(c) < level) & (times(c - 1) >= level))  # noqa: B023
+        found.append(F.zip_with(first, end, lambda x, y: F.struct(x.alias("first"), y.alias("end"))))
+    return F.concat(*found)
+
+
 def apply_mix(docs: DataFrame, **settings: object) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it whole, and
-    an excerpt of its first words for the rest of what is taken of it.
+    of one taken in part the stretches of words in the blocks that were taken,
+    each a row of its own and with its white space as it is.
 
     Columns are those of ``docs``; n_chars, if there, follows an excerpt's text.
-    Equal rows share what is taken of all of them."""
+    Equal rows are told apart by number, so each has its own stretches."""
     text = text_of("text")
-    shares = mix(docs, keep_hash=True, **settings).groupBy("doc_id", "source", "size", "_text").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"))
-    shares = shares.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("_text").alias("_t"), "_taken")
+    shares = mix(docs, keep_hash=True, **settings)
+    shares = stage(shares.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("_text").alias("_t"), F.col("_copy").alias("_c"), _runs(F.col("_parts"), settings.get("most", 2)).alias("_runs")).filter("_size > 0"), "taken")
     keyed = docs.withColumn("_hash", F.xxhash64(F.lit(settings.get("seed", 7)), text))
     on = (keyed["_hash"] == shares["_t"]) & keyed["doc_id"].eqNullSafe(shares["_d"]) & keyed["source"].cast("string").eqNullSafe(shares["_s"])
-    joined = keyed.join(shares.filter("_taken > 0"), on)
-    times, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    dealt = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.col("_size"), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
-    short = F.col("_words") < F.col("_size")
-    words = F.slice(F.array_remove(F.split(text, SPACE), ""), 1, F.col("_words").cast("int"))
-    cut = dealt.withColumn("text", F.when(short, F.array_join(words, " ")).otherwise(F.col("text")))
+    if not shares.filter("_c > 0").isEmpty():  # some row is there twice
+        alike = Window.partitionBy("_hash", "doc_id", "source").orderBy(F.xxhash64(*docs.columns))
+        keyed = keyed.withColumn("_number", F.row_number().over(alike).cast("long") - 1)
+        on = on & (keyed["_number"] == shares["_c"])
+    dealt = keyed.join(shares.filter("size(_runs) > 0"), on).withColumn("_run", F.explode("_runs"))
+    short = F.col("_run.end") - F.col("_run.first") < F.col("_size")
+    # Each word with the white space after it; what precedes the first is apart.
+    words = F.split(text, f"(?<={SPACE})(?={WORD})")
+    begin = F.col("_run.first") + F.when(text.rlike(f"^{SPACE}"), 2).otherwise(1)
+    part = F.array_join(F.slice(words, begin.cast("int"), (F.col("_run.end") - F.col("_run.first")).cast("int")), "")
+    cut = dealt.withColumn("text", F.when(short, F.regexp_replace(part, f"{SPACE}+$", "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
@@ -118,8 +145,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     seats = sainte_lague(aim, ["_all"], "target", "_seats", ["source"], "_quota")
     seats = stage(seats.withColumn("_quota", F.least(F.col("_quota"), F.lit(most) * F.col("_blocks"))), "seats")
 
-    # Shards of consecutive blocks, each with its own quota.
-    step = F.greatest(F.lit(1).cast("long"), F.least(F.lit(shard_blocks).cast("long"), F.ceil(F.sqrt(F.col("_blocks") * 4.0))))
+    # Shards of consecutive blocks, each with its own quota. They have many more
+    # words than a document, however few a block has: what is taken of a shard
+    # ends in two places at most.
+    step = F.greatest(F.lit(shard_blocks).cast("long"), F.ceil(F.lit(SHARD_WORDS) / F.col("_block")).cast("long"))
     some = seats.filter("_blocks > 0").withColumn("_step", step)
     shards = some.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_blocks") - 1) / F.col("_step")))))
     shards = shards.withColumn("_in", F.least(F.col("_step"), F.col("_blocks") - F.col("_shard") * F.col("_step")).cast("double"))
@@ -148,4 +177,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     extra = _overlap(low, high, begin, F.least(end, edge)) + _overlap(low, high, origin, origin + F.greatest(F.lit(0).cast("long"), end - edge))
     taken = F.coalesce(F.col("_times") * _overlap(low, high, origin, edge) + extra, F.lit(0).cast("long"))
     done = joined.withColumn("_taken", taken)
-    return done.groupBy("doc_id", "source", "size", "source_size", "target", "_text", "_at", "_copy").agg(F.sum("_taken").alias("taken")).drop("_at", "_copy", *([] if keep_hash else ["_text"]))
+    if not keep_hash:
+        return done.groupBy("doc_id", "source", "size", "source_size", "target", "_text", "_at", "_copy").agg(F.sum("_taken").alias("taken")).drop("_at", "_copy", "_text")
+    inside = lambda c, d, times: F.struct((F.greatest(low, c) - low).alias("first"), (F.least(high, d) - low).alias("end"), times.cast("long").alias("times"))
+    parts = F.array(
+        inside(origin, edge, F.col("_times")),
+        inside(begin, F.least(end, edge), F.lit(1)),
+        inside(origin, origin + F.greatest(F.lit(0).cast("long"), end - edge), F.lit(1)),
+    )
+    done = done.withColumn("_some", F.filter(parts, lambda x: (x["times"] > 0) & (x["first"] < x["end"])))
+    return done.groupBy("doc_id", "source", "size", "source_size", "target", "_text", "_at", "_copy").agg(F.sum("_taken").alias("taken"), F.flatten(F.collect_list("_some")).alias("_parts")).drop("_at")

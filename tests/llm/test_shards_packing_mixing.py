@@ -10,7 +10,7 @@ from parenlake.llm.common import positions
 from parenlake.llm.mixing import apply_mix, mix, sainte_lague, targets
 from parenlake.llm.packing import SegmentTokens, cuts, pack
 from parenlake.llm.sharding import assign, jump, shard_table
-from tests.llm.corpus import clashing, empty, odd, odd_rows
+from tests.llm.corpus import SCHEMA, clashing, empty, odd, odd_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -166,3 +166,21 @@ def test_mix(spark):
     assert mixed.columns == odd(spark).columns
     total = sum(len((r.text or "").split()) for r in mixed.collect())
     assert abs(total - sum(r.taken for r in rows)) <= 4
+
+
+def test_mix_takes_the_blocks_it_chose(spark):
+    # Every word once in the whole corpus, with line breaks between words.
+    rows = [(k, "".join(f"d{k}-{p}" + ("\n" if p % 7 == 0 else "  ") for p in range(20 + 13 * (k % 40))), "en", f"s{k % 3}", 1) for k in range(120)]
+    rows.append((500, "\n " + " ".join(f"long-{p}" for p in range(9000)), "en", "s1", 1))
+    rows += [(501, "twice " * 40, "en", "s1", k) for k in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    text, taken = {d: t for d, t, *_ in rows}, Counter()
+    for r in mix(docs).collect():
+        taken[r.doc_id] += r.taken
+    got = apply_mix(docs).collect()
+    assert Counter({d: n for d, n in taken.items() if n}) == sum((Counter({r.doc_id: len(r.text.split())}) for r in got), Counter())
+    cut = [r for r in got if r.text != text[r.doc_id]]
+    assert all(r.text in text[r.doc_id] and r.n_chars == len(r.text) for r in cut)
+    assert any(not text[r.doc_id].split()[0] == r.text.split()[0] for r in cut)
+    by = Counter(r.source for r in cut)
+    assert cut and max(by.values()) <= 4
