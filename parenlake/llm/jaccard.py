@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import WordHashes, drop_stage, mix64, positions, raw_bytes, stage, text_of
+from parenlake.llm.common import WORD, WordHashes, drop_stage, mix64, positions, raw_bytes, stage, text_of
 from parenlake.llm.components import components
 
 #: Stands for a null doc_id.
@@ -324,7 +324,7 @@ def keep_one(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_i
     stay = done.filter("n > 0").groupBy("id", "crc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     if stay.isEmpty():  # no row is there twice
         return kept.select(*docs.columns)
-    once = F.when(F.length(F.trim(text_of(text))) > 0, F.lit("")).otherwise(F.uuid())
+    once = F.when(text_of(text).rlike(WORD), F.lit("")).otherwise(F.uuid())
     return kept.withColumn("_once", once).dropDuplicates(["_key", "_once"]).select(*docs.columns)
 
 

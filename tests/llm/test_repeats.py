@@ -140,6 +140,12 @@ def test_one_of_each_group_stays(spark):
     assert keep_one(empty(spark)).count() == 0 and keep_one(clashing(spark)).columns == clashing(spark).columns
 
 
+def test_repeated_rows_without_words_stay(spark):
+    blank = [(1, "\t\n", "en", "a", 2)] * 3 + [(2, " ", "en", "a", 1)] * 2
+    rows = [*blank, (3, words(1, 50), "en", "a", 1), (3, words(1, 50), "en", "a", 1)]
+    assert Counter(r.doc_id for r in keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == {1: 3, 2: 2, 3: 1}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
