@@ -8,7 +8,9 @@ from parenlake.functions.dialects import CALLABLE, ascii_lower, category, is_def
 from parenlake.functions.reader import Tree
 
 #: Forms that bind functions or macros for their body.
-LOCAL_CALLABLES = ("flet", "labels", "macrolet", "compiler-macrolet")
+LOCAL_CALLABLES = ("flet", "labels", "macrolet", "compiler-macrolet", "cl-flet", "cl-flet*", "cl-labels", "cl-macrolet")
+#: Those whose own bodies see them.
+RECURSIVE = ("labels", "cl-labels")
 #: Forms that declare and call nothing.
 DECLARATIONS = ("declare", "declaim", "proclaim")
 #: Binding forms, by the place of their bindings.
@@ -140,7 +142,7 @@ def calls(tree: Tree) -> tuple[list[Call], list[int | None]]:
             if local and key in LOCAL_CALLABLES and len(kids) > 1:
                 own = [c for c in tree.nodes[kids[1]].children if tree.nodes[c].children]
                 inner = bound | {needle(tree.head(c)) for c in own if tree.head(c)}
-                scope = inner if key == "labels" else bound
+                scope = inner if key in RECURSIVE else bound
                 below = [(b, around, scope, depth) for c in own for b in tree.nodes[c].children[2:]] + [(c, around, inner, depth) for c in kids[2:]]
             elif key == "locally":
                 below = below[2:]
@@ -188,52 +190,90 @@ def shape(tree: Tree, k: int, keep_head: bool = True) -> str:
     return "".join(out)
 
 
-def columns(tree: Tree, shapes: bool) -> list[dict]:
-    """One dict for each node: the rows of the ``nodes`` table."""
-    n = len(tree.nodes)
-    last, size, leaves, depth = list(range(n)), [1] * n, [0] * n, [0] * n
-    path: list[list[int]] = [[] for _ in range(n)]
-    sib = [0] * n
-    for k, node in enumerate(tree.nodes):
+def columns(tree: Tree, wanted: set[str] | None = None) -> dict[str, list]:
+    """The columns of the ``nodes`` table, a value for each node; of those
+    ``wanted`` only, and only what these need is worked out. None: all but
+    shape."""
+    nodes, n = tree.nodes, len(tree.nodes)
+    need = (lambda *names: wanted is None or not wanted.isdisjoint(names)) if wanted is not None else (lambda *names: "shape" not in names)
+    depth, sib = [0] * n, [0] * n
+    for k, node in enumerate(nodes):
+        below = depth[k] + 1
         for i, c in enumerate(node.children):
-            depth[c], path[c], sib[c] = depth[k] + 1, [*path[k], i], i
-    for k in range(n - 1, -1, -1):
-        node = tree.nodes[k]
-        if node.children:
-            last[k] = last[node.children[-1]]
-            size[k] += sum(size[c] for c in node.children)
-            leaves[k] = sum(leaves[c] for c in node.children)
-        else:
-            leaves[k] = 1
-    found, live = calls(tree)
-    by_node = {c.node: c for c in found}
-    opaque_above, top, packaged = [False] * n, [0] * n, [False] * n
-    rows = []
-    for k, node in enumerate(tree.nodes):
-        opaque_above[k] = node.opaque or (k > 0 and opaque_above[node.parent])
-        head = tree.head(k) if node.kind == "list" else None
-        top[k] = k if depth[k] == 1 else top[max(node.parent, 0)]
-        packaged[k] = (head is not None and operator_key(head) == "defpackage") or (k > 0 and packaged[node.parent])
-        it = definition(tree, k) if head is not None else None
-        call = by_node.get(k)
-        bounds = arity(tree, node.children[it.parameters]) if it and it.parameters is not None else (None, None)
-        symbol = tree.symbol(k) if node.kind == "atom" else None
-        rows.append(
-            {
-                "node_id": k, "last_id": last[k], "parent_id": node.parent if k else None, "sib_idx": sib[k], "depth": depth[k],
-                "kind": node.kind, "delimiter": node.delimiter, "prefixes": list(node.prefixes),
-                "span_start": node.start, "span_end": node.end, "content_start": node.content, "open_off": node.open, "close_off": node.close,
-                "n_children": len(node.children), "subtree_nodes": size[k], "leaf_count": leaves[k], "path": path[k],
-                "text": tree.text(k) if node.kind == "atom" else None, "symbol": symbol, "needle": needle(symbol) if symbol else None,
-                "head": head, "opaque": node.opaque, "opaque_above": opaque_above[k], "top_id": top[k], "in_defpackage": packaged[k], "qq_depth": live[k], "live": live[k] is not None,
-                "definition_like": bool(head) and is_definition_head(tree.dialect, head),
-                "category": it.category if it else None, "def_name": it.name if it else None, "def_needle": needle(it.name) if it and it.name else None,
-                "parameter_count": parameter_count(tree, node.children[it.parameters]) if it and it.parameters is not None else None,
-                "body_forms": max(0, len(node.children) - it.body) if it else None,
-                "min_arity": bounds[0], "max_arity": bounds[1], "has_lambda": bool(it and it.parameters is not None),
-                "is_call": call is not None, "call_needle": needle(call.head) if call else None, "enclosing": call.enclosing if call else None,
-                "line_span": 1 + tree.source.count(b"\n", node.start, max(node.start, node.end - 1)),
-                "shape": shape(tree, k) if shapes and node.kind == "list" and node.delimiter == "paren" else None,
-            }
-        )
-    return rows
+            depth[c], sib[c] = below, i
+    out: dict[str, list] = {
+        "node_id": list(range(n)), "parent_id": [x.parent if k else None for k, x in enumerate(nodes)], "sib_idx": sib, "depth": depth,
+        "kind": [x.kind for x in nodes], "span_start": [x.start for x in nodes], "span_end": [x.end for x in nodes], "n_children": [len(x.children) for x in nodes],
+    }
+    heads = [tree.head(k) if x.kind == "list" else None for k, x in enumerate(nodes)]
+    out["head"] = heads
+    if need("delimiter"):
+        out["delimiter"] = [x.delimiter for x in nodes]
+    if need("prefixes"):
+        out["prefixes"] = [list(x.prefixes) for x in nodes]
+    if need("content_start", "open_off", "close_off"):
+        out |= {"content_start": [x.content for x in nodes], "open_off": [x.open for x in nodes], "close_off": [x.close for x in nodes]}
+    if need("path"):
+        paths: list[list[int]] = [[] for _ in range(n)]
+        for k, node in enumerate(nodes):
+            for i, c in enumerate(node.children):
+                paths[c] = [*paths[k], i]
+        out["path"] = paths
+    if need("last_id", "subtree_nodes", "leaf_count"):
+        last, size, leaves = list(range(n)), [1] * n, [0] * n
+        for k in range(n - 1, -1, -1):
+            kids = nodes[k].children
+            if kids:
+                last[k] = last[kids[-1]]
+                size[k] += sum(size[c] for c in kids)
+            leaves[k] = sum(leaves[c] for c in kids) if kids else 1
+        out |= {"last_id": last, "subtree_nodes": size, "leaf_count": leaves}
+    if need("text"):
+        out["text"] = [tree.text(k) if x.kind == "atom" else None for k, x in enumerate(nodes)]
+    if need("symbol", "needle"):
+        symbols = [tree.symbol(k) if x.kind == "atom" else None for k, x in enumerate(nodes)]
+        out |= {"symbol": symbols, "needle": [needle(x) if x else None for x in symbols]}
+    if need("opaque", "opaque_above"):
+        above = [False] * n
+        for k, node in enumerate(nodes):
+            above[k] = node.opaque or (k > 0 and above[node.parent])
+        out |= {"opaque": [x.opaque for x in nodes], "opaque_above": above}
+    if need("top_id", "in_defpackage"):
+        top, packaged = [0] * n, [False] * n
+        for k, node in enumerate(nodes):
+            top[k] = k if depth[k] == 1 else top[max(node.parent, 0)]
+            packaged[k] = (heads[k] is not None and operator_key(heads[k]) == "defpackage") or (k > 0 and packaged[node.parent])
+        out |= {"top_id": top, "in_defpackage": packaged}
+    if need("definition_like"):
+        out["definition_like"] = [bool(h) and is_definition_head(tree.dialect, h) for h in heads]
+    if need("category", "def_name", "def_needle", "parameter_count", "body_forms", "min_arity", "max_arity", "has_lambda"):
+        its = [definition(tree, k) if h is not None else None for k, h in enumerate(heads)]
+        lists = [nodes[k].children[it.parameters] if it and it.parameters is not None else None for k, it in enumerate(its)]
+        bounds = [arity(tree, x) if x is not None else (None, None) for x in lists]
+        out |= {
+            "category": [it.category if it else None for it in its], "def_name": [it.name if it else None for it in its],
+            "def_needle": [needle(it.name) if it and it.name else None for it in its],
+            "parameter_count": [parameter_count(tree, x) if x is not None else None for x in lists],
+            "body_forms": [max(0, len(nodes[k].children) - it.body) if it else None for k, it in enumerate(its)],
+            "min_arity": [b[0] for b in bounds], "max_arity": [b[1] for b in bounds], "has_lambda": [x is not None for x in lists],
+        }
+    if need("qq_depth", "live", "is_call", "call_needle", "enclosing"):
+        found, live = calls(tree)
+        by_node = {c.node: c for c in found}
+        made = [by_node.get(k) for k in range(n)]
+        out |= {
+            "qq_depth": live, "live": [x is not None for x in live], "is_call": [c is not None for c in made],
+            "call_needle": [needle(c.head) if c else None for c in made], "enclosing": [c.enclosing if c else None for c in made],
+        }
+    if need("local"):
+        from parenlake.functions.scope import local_atoms
+
+        mine = local_atoms(tree)
+        out["local"] = [k in mine for k in range(n)]
+    if need("line_span"):
+        out["line_span"] = [1 + tree.source.count(b"\n", x.start, max(x.start, x.end - 1)) for x in nodes]
+    if need("shape"):
+        out["shape"] = [shape(tree, k) if x.kind == "list" and x.delimiter == "paren" else None for k, x in enumerate(nodes)]
+    elif wanted is None:
+        out["shape"] = [None] * n
+    return out

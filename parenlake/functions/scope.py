@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from parenlake.functions.dialects import needle, operator_key
-from parenlake.functions.facts import entered
+from parenlake.functions.facts import LOCAL_CALLABLES, RECURSIVE, entered
 from parenlake.functions.reader import Tree
 
 #: Binding forms whose names see the ones before them, or not.
@@ -12,7 +12,7 @@ PARALLEL = ("let", "do", "prog", "symbol-macrolet", "when-let", "if-let")
 LAMBDAS = ("lambda", "fn", "named-lambda", "fn*")
 COUNTED = ("dolist", "dotimes", "do-symbols")
 DESTRUCTURED = ("destructuring-bind", "multiple-value-bind")
-LOCAL = ("flet", "labels", "macrolet")
+LOCAL = LOCAL_CALLABLES
 
 
 def same(dialect: str, a: str, b: str) -> bool:
@@ -99,6 +99,78 @@ def references(tree: Tree, roots: list[int], name: str) -> list[int]:
     return sorted(found)
 
 
+def local_atoms(tree: Tree) -> set[int]:
+    """Atoms that bind a local name or refer to one: no references to what is
+    defined at the top. Variables and local functions are told apart where the
+    dialect does."""
+    apart = tree.dialect in ("common-lisp", "emacs-lisp", "unknown")
+    exact = tree.dialect not in ("common-lisp", "unknown")
+    name = (lambda k: tree.symbol(k)) if exact else (lambda k: needle(tree.symbol(k)))
+    found: set[int] = set()
+    none: frozenset = frozenset()
+    # (node, quasiquote depth, bound variables, bound functions, whether it is a head)
+    stack: list[tuple[int, int, frozenset, frozenset, bool]] = [(c, 0, none, none, False) for c in reversed(tree.nodes[0].children)]
+    while stack:
+        k, outer, variables, functions, first = stack.pop()
+        depth = entered(tree, k, outer)
+        if depth is None:
+            continue
+        node = tree.nodes[k]
+        if node.kind == "atom":
+            called = apart and (first or "function" in node.prefixes)
+            if depth == 0 and name(k) in (functions if called else variables if apart else variables | functions):
+                found.add(k)
+            continue
+        kids = node.children
+        head = tree.head(k) if node.delimiter == "paren" and depth == 0 else None
+        key = operator_key(head) if head is not None else None
+
+        def go(some: list[int], seen: frozenset, own: frozenset = functions, depth: int = depth) -> None:
+            stack.extend((c, depth, seen, own, False) for c in reversed(some))
+
+        def bound(k: int) -> list[int]:
+            some = names_in(tree, k)
+            found.update(some)
+            return some
+
+        def with_(seen: frozenset, atoms: list[int]) -> frozenset:
+            return seen | {name(x) for x in atoms} if atoms else seen
+
+        if kids and node.delimiter == "paren":
+            stack.append((kids[0], depth, variables, functions, True))
+        if key in SEQUENTIAL + PARALLEL and len(kids) > 1 and tree.nodes[kids[1]].kind == "list":
+            in_turn = key in SEQUENTIAL or tree.nodes[kids[1]].delimiter == "bracket"
+            inner = variables
+            for target, value in binding_pairs(tree, kids[1]):
+                if value is not None:
+                    go([value], inner if in_turn else variables)
+                inner = with_(inner, bound(target))
+            go(kids[2:], inner)
+        elif key in LAMBDAS or (key in ("defun", "defmacro", "defn", "cl-defun", "defsubst", "defmethod") and len(kids) > 2):
+            at = next((i for i, c in enumerate(kids[1:4], 1) if tree.nodes[c].kind == "list"), None)
+            go(kids[(at or 0) + 1 :] if at is not None else kids[1:], with_(variables, bound(kids[at])) if at is not None else variables)
+        elif key in COUNTED and len(kids) > 1 and tree.nodes[kids[1]].children:
+            spec = tree.nodes[kids[1]].children
+            inner = with_(variables, bound(spec[0]))
+            go(spec[1:2], variables)
+            go(spec[2:] + kids[2:], inner)
+        elif key in DESTRUCTURED and len(kids) > 2:
+            go([kids[2]], variables)
+            go(kids[3:], with_(variables, bound(kids[1])))
+        elif key in LOCAL and len(kids) > 1:
+            parts = [tree.nodes[c].children for c in tree.nodes[kids[1]].children]
+            named = [p[0] for p in parts if p and tree.nodes[p[0]].kind == "atom"]
+            found.update(named)
+            inner = functions | {name(x) for x in named}
+            for p in parts:
+                if len(p) > 1:
+                    go(p[2:], with_(variables, bound(p[1])), inner if key in RECURSIVE else functions)
+            go(kids[2:], variables, inner)
+        else:
+            go(kids[1:] if node.delimiter == "paren" else kids, variables)
+    return found
+
+
 def lets(tree: Tree) -> list[dict]:
     """A row for each binding of each let form that is evaluated."""
     rows = []

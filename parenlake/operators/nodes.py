@@ -7,26 +7,33 @@ A.node_id <= B.node_id <= A.last_id: containment is an equi-join with a range.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+_own_folder: list[str] = []
+
 NODES = (
     "file_id long, node_id int, last_id int, parent_id int, sib_idx int, depth int, kind string, delimiter string, prefixes array<string>, "
     "span_start long, span_end long, content_start long, open_off long, close_off long, n_children int, subtree_nodes int, leaf_count int, path array<int>, "
     "text string, symbol string, needle string, head string, opaque boolean, opaque_above boolean, top_id int, in_defpackage boolean, qq_depth int, live boolean, definition_like boolean, "
     "category string, def_name string, def_needle string, parameter_count int, body_forms int, min_arity int, max_arity int, has_lambda boolean, "
-    "is_call boolean, call_needle string, enclosing string, line_span int, shape string"
+    "is_call boolean, call_needle string, enclosing string, local boolean, line_span int, shape string"
 )
 COMMENTS = "file_id long, span_start long, span_end long, own_line boolean, text string"
 ERRORS = "file_id long, code string, position long, message string"
 
 
-def _parsed(sources: DataFrame, schema: str, rows_of) -> DataFrame:
-    """Rows that ``rows_of(tree or Unreadable)`` gives for each source."""
+def _parsed(sources: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
+    """What ``rows_of(tree or Unreadable)`` gives for each source: columns by
+    name, all but file_id."""
     arrow = to_arrow_schema(sources.sparkSession.createDataFrame([], schema).schema)
     names = arrow.names[1:]
 
@@ -42,22 +49,51 @@ def _parsed(sources: DataFrame, schema: str, rows_of) -> DataFrame:
                         got = read(text or "", dialect)
                     except Unreadable as error:
                         got = error
-                    for row in rows_of(got):
-                        out["file_id"].append(file)
+                    made = rows_of(got)
+                    if made:
                         for n in names:
-                            out[n].append(row[n])
+                            out[n] += made[n]
+                        out["file_id"] += [file] * (len(out[names[0]]) - len(out["file_id"]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return sources.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("dialect", F.lit("unknown")).alias("dialect"), "text").mapInArrow(run, schema)
 
 
-def nodes(sources: DataFrame, shapes: bool = False) -> DataFrame:
-    """The ``nodes`` table of sources(file_id, dialect, text). Files that can't
-    be read have no rows here; see ``errors``."""
+def by_name(rows: list[dict]) -> dict[str, list]:
+    """Rows as columns."""
+    return {n: [r[n] for r in rows] for n in rows[0]} if rows else {}
+
+
+def nodes(sources: DataFrame, wanted: str | None = None) -> DataFrame:
+    """The ``nodes`` table of sources(file_id, dialect, text), or of it the
+    columns ``wanted`` (names separated by spaces; only what they need is worked
+    out). Files that can't be read have no rows here; see ``errors``."""
     from parenlake.functions.facts import columns
     from parenlake.functions.reader import Tree
 
-    return _parsed(sources, NODES, lambda got: columns(got, shapes) if isinstance(got, Tree) else ())
+    some = None if wanted is None else set(wanted.split())
+    schema = NODES if some is None else ", ".join(c for c in NODES.split(", ") if c.split()[0] in some | {"file_id"})
+    return _parsed(sources, schema, lambda got: columns(got, some) if isinstance(got, Tree) else None)
+
+
+def parsed(sources: DataFrame, wanted: str | None = None) -> DataFrame:
+    """``nodes``, parsed once and written to the folder that the session's
+    spark.checkpoint.dir names: for reports that read the table several times.
+    Without that setting a local session writes to a folder of its own; any
+    other has no place that all executors share, and is refused."""
+    spark = sources.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="parenlake-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+        shared = f"file://{_own_folder[0]}"
+    table = nodes(sources, wanted)
+    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/nodes-{uuid.uuid4().hex}"
+    table.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def comments(sources: DataFrame) -> DataFrame:
@@ -65,9 +101,7 @@ def comments(sources: DataFrame) -> DataFrame:
     from parenlake.functions.reader import Tree
 
     def rows(got):
-        if isinstance(got, Tree):
-            for a, b, own in got.comments:
-                yield {"span_start": a, "span_end": b, "own_line": own, "text": got.source[a:b].decode("utf-8", "replace")}
+        return by_name([{"span_start": a, "span_end": b, "own_line": own, "text": got.source[a:b].decode("utf-8", "replace")} for a, b, own in got.comments]) if isinstance(got, Tree) else None
 
     return _parsed(sources, COMMENTS, rows)
 
@@ -76,4 +110,4 @@ def errors(sources: DataFrame) -> DataFrame:
     """One row for each file that can't be read."""
     from parenlake.functions.reader import Tree
 
-    return _parsed(sources, ERRORS, lambda got: () if isinstance(got, Tree) else ({"code": got.code, "position": got.position, "message": got.message},))
+    return _parsed(sources, ERRORS, lambda got: None if isinstance(got, Tree) else by_name([{"code": got.code, "position": got.position, "message": got.message}]))

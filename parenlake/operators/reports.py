@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import KEPT, needle
-from parenlake.operators.nodes import errors, nodes
+from parenlake.operators.nodes import by_name, errors, nodes, parsed
 
 #: The family of each dialect.
 FAMILY = {"common-lisp": "lisp", "emacs-lisp": "lisp", "scheme": "scheme", "clojure": "clojure", "janet": "janet", "fennel": "fennel", "unknown": "unknown"}
@@ -37,9 +37,87 @@ def with_path(df: DataFrame, sources: DataFrame) -> DataFrame:
 
 def gate(report: DataFrame, name: str, limit: Column, violation: str) -> DataFrame:
     """One row: does the report pass? ``limit`` is an aggregate that must be 0."""
-    bad = report.agg(F.coalesce(limit, F.lit(0)).alias("bad"))
-    none = F.array().cast("array<string>")
-    return bad.select(F.lit(name).alias("report"), (F.col("bad") == 0).alias("passed"), F.when(F.col("bad") > 0, F.array(F.lit(violation))).otherwise(none).alias("violations"))
+    return policy(report, name, **{violation: limit > 0})
+
+
+def policy(report: DataFrame, name: str, **violations: Column) -> DataFrame:
+    """One row: does the report pass? Each violation is an aggregate over the
+    report that is true where it is violated; null counts as no."""
+    said = report.agg(F.array_compact(F.array(*[F.when(broken, n.replace("_", "-")) for n, broken in violations.items()])).alias("violations"))
+    return said.select(F.lit(name).alias("report"), (F.size("violations") == 0).alias("passed"), "violations")
+
+
+def signature_policy(report: DataFrame, fail_on_mismatch: bool = True, require_calls: int = 0) -> DataFrame:
+    """Calls that don't fit their definition, or fewer calls than required."""
+    bad = F.count_if(F.col("status").isin("missing-arguments", "extra-arguments", "ambiguous-definition")) > 0
+    return policy(report, "signature", mismatch=F.lit(fail_on_mismatch) & bad, calls=F.count(F.lit(1)) < require_calls)
+
+
+def calls_policy(report: DataFrame, require_calls: int = 1) -> DataFrame:
+    return policy(report, "calls", calls=F.count(F.lit(1)) < require_calls)
+
+
+def unused_policy(report: DataFrame, fail_on_unused: bool = True) -> DataFrame:
+    """Definitions that nothing refers to and that may be removed."""
+    return policy(report, "unused-definitions", unused=F.lit(fail_on_unused) & (F.count_if(F.col("unused") & F.col("actionable")) > 0))
+
+
+def impact_policy(report: DataFrame, fail_on_risk_level: str = "warning", require_definitions: int = 0) -> DataFrame:
+    """Risk levels at or above the one named; info is below warning."""
+    level = F.max(F.when(F.col("risk_level") == "warning", 1).otherwise(0))
+    return policy(report, "impact", risk_level=level >= {"info": 0, "warning": 1}[fail_on_risk_level], definitions=F.min("definitions") < require_definitions)
+
+
+def lets_policy(report: DataFrame, fail_on_duplicate_evaluation: bool = False, fail_on_unused_binding: bool = False, require_inlineable: bool = False) -> DataFrame:
+    """Let bindings with risks that the policy names."""
+    has = lambda risk: F.count_if(F.array_contains(F.split("risks", ","), risk)) > 0
+    return policy(
+        report, "lets", duplicate_evaluation=F.lit(fail_on_duplicate_evaluation) & has("duplicate-evaluation"), unused_binding=F.lit(fail_on_unused_binding) & has("unused-binding"),
+        inlineable=F.lit(require_inlineable) & (F.count_if(~F.col("inlineable")) > 0),
+    )
+
+
+def duplicates_policy(report: DataFrame, max_groups: int = 0) -> DataFrame:
+    """More groups of forms of one shape than allowed."""
+    return policy(report, "duplicates", groups=F.count(F.lit(1)) > max_groups)
+
+
+def counted(report: DataFrame, by: str, *more: Column) -> DataFrame:
+    """A summary: a row for each value of a column, and one for all (null)."""
+    return report.rollup(by).agg(F.count(F.lit(1)).alias("count"), F.count_distinct("file_id").alias("files"), *more)
+
+
+def signature_summary(sources: DataFrame) -> DataFrame:
+    """Calls by status, and all of them (null)."""
+    return counted(signature(sources), "status")
+
+
+def definition_summary(sources: DataFrame) -> DataFrame:
+    """Definitions by category, and all of them (null)."""
+    return counted(definitions(sources), "category")
+
+
+def dependency_summary(sources: DataFrame) -> DataFrame:
+    """Dependencies by kind, and all of them (null)."""
+    return counted(dependencies(sources), "dependency", F.count_distinct("target").alias("targets"))
+
+
+def let_summary(sources: DataFrame) -> DataFrame:
+    """Let bindings by head, and all of them (null)."""
+    return counted(lets(sources), "head", F.count_if("inlineable").alias("inlineable"), F.sum("reference_count").alias("references"))
+
+
+def duplicate_summary(sources: DataFrame, min_group_size: int = 2, min_node_count: int = 4) -> DataFrame:
+    """One row: groups, the forms in them and the largest group."""
+    return duplicates(sources, min_group_size, min_node_count).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("forms"), F.max("count").alias("largest"))
+
+
+def graph_nodes(sources: DataFrame) -> DataFrame:
+    """The call graph's nodes: name, calls made and received, whether defined."""
+    edges = call_graph(sources)
+    ends = edges.select(F.upper("caller").alias("name"), F.col("calls").alias("made"), F.lit(0).cast("long").alias("received"), F.lit(True).alias("defined")).filter("name IS NOT NULL")
+    ends = ends.unionByName(edges.select(F.col("callee").alias("name"), F.lit(0).cast("long").alias("made"), F.col("calls").alias("received"), F.col("internal").alias("defined")))
+    return ends.groupBy("name").agg(F.sum("made").alias("made"), F.sum("received").alias("received"), F.max("defined").alias("defined"))
 
 
 def check(sources: DataFrame) -> DataFrame:
@@ -56,22 +134,25 @@ def dialect(sources: DataFrame) -> DataFrame:
 
 def stats(sources: DataFrame) -> DataFrame:
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return nodes(sources).groupBy("file_id").agg(
+    return nodes(sources, "depth kind prefixes opaque_above").groupBy("file_id").agg(
         count(F.col("depth") == 1).alias("top_level_forms"), count((F.col("depth") == 1) & (F.col("kind") == "list")).alias("outline_entries"), count(occurrence()).alias("atom_occurrences")
     )
 
 
 def outline(sources: DataFrame) -> DataFrame:
-    return nodes(sources).filter("depth = 1 AND kind = 'list'").select("file_id", dotted(F.col("path")).alias("path"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), "head", "definition_like")
+    return nodes(sources, "depth kind path span_start span_end head definition_like").filter("depth = 1 AND kind = 'list'").select("file_id", dotted(F.col("path")).alias("path"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), "head", "definition_like")
 
 
 def agent_report(sources: DataFrame) -> DataFrame:
     """Statistics, outline and atoms of each file in one row."""
-    table = nodes(sources)
+    table = nodes(sources, "node_id depth kind path head definition_like text prefixes opaque_above")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     entry = F.when((F.col("depth") == 1) & (F.col("kind") == "list"), F.struct("node_id", dotted(F.col("path")).alias("path"), "head", "definition_like"))
     atom = F.when(occurrence(), F.struct("node_id", dotted(F.col("path")).alias("path"), "text"))
-    lists = table.groupBy("file_id").agg(F.array_sort(F.collect_list(entry)).alias("outline"), F.array_sort(F.collect_list(atom)).alias("atoms"))
-    return stats(sources).join(lists, "file_id")
+    return table.groupBy("file_id").agg(
+        count(F.col("depth") == 1).alias("top_level_forms"), count((F.col("depth") == 1) & (F.col("kind") == "list")).alias("outline_entries"), count(occurrence()).alias("atom_occurrences"),
+        F.array_sort(F.collect_list(entry)).alias("outline"), F.array_sort(F.collect_list(atom)).alias("atoms"),
+    )
 
 
 def select_node(table: DataFrame, path: str | None = None, at: int | None = None) -> DataFrame:
@@ -87,7 +168,7 @@ def select_node(table: DataFrame, path: str | None = None, at: int | None = None
 
 def form(sources: DataFrame, path: str | None = None, at: int | None = None) -> DataFrame:
     """Kind, head and counts of the selected form of each file."""
-    table = nodes(sources)
+    table = parsed(sources, "node_id last_id depth kind head n_children path span_start span_end")
     root = select_node(table, path, at).select("file_id", F.col("node_id").alias("r"), F.col("last_id").alias("l"), F.col("depth").alias("d"), F.col("kind").alias("form_kind"), F.col("head").alias("form_head"), F.col("n_children").alias("children"))
     inside = table.join(root, (table["file_id"] == root["file_id"]) & table["node_id"].between(root["r"], root["l"])).drop(root["file_id"])
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
@@ -98,7 +179,7 @@ def form(sources: DataFrame, path: str | None = None, at: int | None = None) ->
 
 def form_symbols(sources: DataFrame, path: str | None = None, at: int | None = None) -> DataFrame:
     """How often each symbol occurs in the selected form, and where first."""
-    table = nodes(sources)
+    table = parsed(sources, "node_id last_id kind path span_start span_end symbol text")
     root = select_node(table, path, at).select(F.col("file_id").alias("f"), F.col("node_id").alias("r"), F.col("last_id").alias("l"))
     inside = table.filter(F.col("kind") == "atom").filter(~F.col("symbol").startswith('"')).join(root, (F.col("file_id") == F.col("f")) & F.col("node_id").between(F.col("r"), F.col("l")))
     return inside.groupBy("file_id", "text").agg(F.count(F.lit(1)).alias("count"), F.min("span_start").alias("first_start"))
@@ -106,7 +187,7 @@ def form_symbols(sources: DataFrame, path: str | None = None, at: int | None = N
 
 def symbols(sources: DataFrame, symbol: str) -> DataFrame:
     """Occurrences of a symbol and the head of the top-level form around."""
-    table = nodes(sources)
+    table = parsed(sources, "node_id depth kind prefixes opaque_above needle text path span_start span_end top_id head")
     found = table.filter((occurrence() | quoted_designator()) & (F.col("needle") == needle(symbol)))
     top = table.filter("depth = 1").select(F.col("file_id").alias("f"), F.col("node_id").alias("t"), F.col("head").alias("form_head"))
     joined = found.join(top, (F.col("file_id") == F.col("f")) & (F.col("top_id") == F.col("t")))
@@ -117,7 +198,7 @@ find_symbol = symbols
 
 
 def calls(sources: DataFrame, symbol: str | None = None, include_definitions: bool = False) -> DataFrame:
-    found = nodes(sources).filter("is_call")
+    found = nodes(sources, "is_call category call_needle path span_start span_end head n_children enclosing").filter("is_call")
     if not include_definitions:
         found = found.filter("category IS NULL")
     if symbol is not None:
@@ -127,7 +208,7 @@ def calls(sources: DataFrame, symbol: str | None = None, include_definitions: bo
 
 def definitions(sources: DataFrame) -> DataFrame:
     """Top-level definitions with the package they are in."""
-    top = nodes(sources).filter("depth <= 2").select("file_id", "node_id", "parent_id", "depth", "sib_idx", "path", "kind", "head", "category", "def_name", "parameter_count", "body_forms", "text")
+    top = nodes(sources, "node_id parent_id depth sib_idx path kind head category def_name parameter_count body_forms text").filter("depth <= 2").select("file_id", "node_id", "parent_id", "depth", "sib_idx", "path", "kind", "head", "category", "def_name", "parameter_count", "body_forms", "text")
     forms = top.filter("depth = 1 AND kind = 'list' AND head IS NOT NULL")
     is_in = F.lower(F.regexp_extract("head", "([^:]*)$", 1)) == "in-package"
     along = Window.partitionBy("file_id").orderBy("sib_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -141,9 +222,14 @@ def _arities(table: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("def_needle").alias("n")).agg(F.count(F.lit(1)).alias("defined"), F.min("min_arity").alias("low"), F.max("max_arity").alias("high"), F.max(F.col("max_arity").isNull()).alias("open"))
 
 
-def signature(sources: DataFrame, symbol: str | None = None) -> DataFrame:
-    """Each call against the sole definition of what it calls."""
-    table = nodes(sources)
+#: What ``signature`` needs of the nodes.
+_SIGNATURE = "depth has_lambda def_needle category min_arity max_arity is_call call_needle n_children path head"
+
+
+def signature(sources: DataFrame, symbol: str | None = None, table: DataFrame | None = None) -> DataFrame:
+    """Each call against the sole definition of what it calls. ``table``: the
+    sources' nodes, where they are parsed already."""
+    table = parsed(sources, _SIGNATURE) if table is None else table
     found = table.filter("is_call AND category IS NULL")
     if symbol is not None:
         found = found.filter(F.col("call_needle") == needle(symbol))
@@ -158,7 +244,7 @@ def signature(sources: DataFrame, symbol: str | None = None) -> DataFrame:
 
 def call_graph(sources: DataFrame, symbol: str | None = None, include_external: bool = True) -> DataFrame:
     """Edges caller -> callee with counts; internal if the callee is defined."""
-    table = nodes(sources)
+    table = parsed(sources, "def_needle category is_call enclosing call_needle")
     defined = table.filter("def_needle IS NOT NULL").groupBy(F.col("def_needle").alias("n")).agg(F.count(F.lit(1)).alias("definition_count"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
     edge = table.filter("is_call AND category IS NULL").groupBy(F.col("enclosing").alias("caller"), F.col("call_needle").alias("callee")).agg(F.count(F.lit(1)).alias("calls"))
     joined = edge.join(defined, F.col("callee") == F.col("n"), "left").withColumn("internal", F.col("definition_count").isNotNull()).drop("n")
@@ -169,14 +255,19 @@ def call_graph(sources: DataFrame, symbol: str | None = None, include_external:
     return joined.select("caller", "callee", "calls", "internal", F.coalesce("definition_count", F.lit(0)).cast("long").alias("definition_count"), F.coalesce("categories", F.lit("")).alias("callee_categories"))
 
 
-def unused_definitions(sources: DataFrame, include_protected: bool = False) -> DataFrame:
+#: What ``unused_definitions`` needs of the nodes.
+_UNUSED = "node_id depth kind head path opaque_above in_defpackage needle local top_id category def_name def_needle"
+
+
+def unused_definitions(sources: DataFrame, include_protected: bool = False, table: DataFrame | None = None) -> DataFrame:
     """Top-level definitions by how many references lie outside of them.
 
     References outside = all of the name less those in its own form: two
     aggregations on equality keys, so a name used everywhere is counted where
-    it is read and nothing is compared pair by pair."""
-    table = nodes(sources)
-    uses = table.filter("kind = 'atom' AND NOT opaque_above AND NOT in_defpackage AND needle IS NOT NULL")
+    it is read and nothing is compared pair by pair. Atoms that refer to a local
+    binding of the same name are no references."""
+    table = parsed(sources, _UNUSED) if table is None else table
+    uses = table.filter("kind = 'atom' AND NOT opaque_above AND NOT in_defpackage AND NOT local AND needle IS NOT NULL")
     total = uses.groupBy(F.col("needle").alias("n")).agg(F.count(F.lit(1)).alias("all_uses"))
     own = uses.groupBy(F.col("file_id").alias("f"), F.col("top_id").alias("t"), F.col("needle").alias("m")).agg(F.count(F.lit(1)).alias("own_uses"))
     defs = table.filter("depth = 1 AND category IS NOT NULL AND def_needle IS NOT NULL").filter(~F.lower("head").isin("in-package"))
@@ -187,33 +278,35 @@ def unused_definitions(sources: DataFrame, include_protected: bool = False) -> D
 
 
 def dependencies(sources: DataFrame) -> DataFrame:
-    """What files depend on: packages, systems, loads, qualified symbols."""
-    table = nodes(sources)
-    parent = table.filter("kind = 'list'").select(F.col("file_id").alias("f"), F.col("node_id").alias("p"), F.lower(F.regexp_extract("head", "([^:]*)$", 1)).alias("phead"), F.col("parent_id").alias("gp"), F.lower("head").alias("rawhead"))
+    """What files depend on: packages, systems, loads, qualified symbols. Quoted
+    data, and what is evaluated as it is read, are no dependencies."""
+    table = parsed(sources, "node_id last_id parent_id sib_idx kind head span_start text symbol live opaque_above in_defpackage prefixes")
+    bare = F.lower(F.regexp_extract("head", "([^:]*)$", 1))
+    parent = table.filter("kind = 'list'").select(F.col("file_id").alias("f"), F.col("node_id").alias("p"), bare.alias("phead"), F.col("parent_id").alias("gp"), F.lower("head").alias("rawhead"), F.col("live").alias("plive"))
     grand = parent.select(F.col("f").alias("gf"), F.col("p").alias("g"), F.col("phead").alias("ghead"))
-    atom = table.filter("kind = 'atom' AND NOT opaque_above").join(parent, (F.col("file_id") == F.col("f")) & (F.col("parent_id") == F.col("p")), "left").join(grand, (F.col("file_id") == F.col("gf")) & (F.col("gp") == F.col("g")), "left")
+    atoms = table.filter("kind = 'atom' AND NOT opaque_above")
+    atom = atoms.join(parent, (F.col("file_id") == F.col("f")) & (F.col("parent_id") == F.col("p")), "left").join(grand, (F.col("file_id") == F.col("gf")) & (F.col("gp") == F.col("g")), "left")
     in_package = F.col("ghead") == "defpackage"
     kind = (
         F.when(in_package & (F.col("rawhead") == ":use") & (F.col("sib_idx") > 0), "defpackage-use")
         .when(in_package & (F.col("rawhead") == ":import-from") & (F.col("sib_idx") == 1), "defpackage-import-from")
-        .when((F.col("ghead") == "defsystem") & F.col("rawhead").isNotNull() & (F.col("sib_idx") >= 0) & F.lit(False), "asdf-depends-on")
         .when(F.col("phead").isin("require", "provide", "load", "load-file", "load-library", "use-package", "import") & (F.col("sib_idx") == 1) & ~F.coalesce(in_package, F.lit(False)), F.col("phead"))
     )
-    simple = atom.withColumn("dependency", kind).filter("dependency IS NOT NULL").select("file_id", "span_start", "dependency", F.col("symbol").alias("target"))
-    # A system's dependencies follow :depends-on, its components are (:file "x").
+    # The form must be evaluated; its designator may be quoted, as in (require 'x).
+    simple = atom.withColumn("dependency", kind).filter("dependency IS NOT NULL AND plive").select("file_id", "span_start", "dependency", F.col("symbol").alias("target"))
+    # A system's dependencies follow :depends-on, also inside (:version "z" ..); its components are (:file "x").
     key = table.filter("kind = 'atom' AND lower(text) = ':depends-on'").select(F.col("file_id").alias("kf"), F.col("parent_id").alias("kp"), (F.col("sib_idx") + 1).alias("ks"))
-    listed = table.filter("kind = 'list'").join(key, (F.col("file_id") == F.col("kf")) & (F.col("parent_id") == F.col("kp")) & (F.col("sib_idx") == F.col("ks"))).select(F.col("file_id").alias("lf"), F.col("node_id").alias("lp"))
-    asdf = table.filter("kind = 'atom'").join(listed, (F.col("file_id") == F.col("lf")) & (F.col("parent_id") == F.col("lp"))).select("file_id", "span_start", F.lit("asdf-depends-on").alias("dependency"), F.col("symbol").alias("target"))
+    listed = table.join(key, (F.col("file_id") == F.col("kf")) & (F.col("parent_id") == F.col("kp")) & (F.col("sib_idx") == F.col("ks"))).select(F.col("file_id").alias("lf"), F.col("node_id").alias("lp"), F.col("last_id").alias("ll"))
+    asdf = atoms.filter(~F.col("text").startswith(":")).join(listed, (F.col("file_id") == F.col("lf")) & F.col("node_id").between(F.col("lp"), F.col("ll"))).select("file_id", "span_start", F.lit("asdf-depends-on").alias("dependency"), F.col("symbol").alias("target"))
     component = atom.filter(F.col("rawhead").isin(":file", ":module") & (F.col("sib_idx") == 1)).select("file_id", "span_start", F.lit("asdf-component").alias("dependency"), F.col("symbol").alias("target"))
-    name = F.col("symbol")
-    qualified = table.filter("kind = 'atom' AND NOT opaque_above AND NOT in_defpackage").filter(name.rlike(r"^[^:\"#/\\]+::?[^:/\\]+$"))
+    qualified = atoms.filter("live AND NOT in_defpackage").filter(~F.array_contains("prefixes", "quote")).filter(F.col("symbol").rlike(r"^[^:\"#/\\]+::?[^:/\\]+$"))
     qualified = qualified.select("file_id", "span_start", F.lit("qualified-symbol").alias("dependency"), F.regexp_extract("symbol", "^([^:]+)::?", 1).alias("target"))
     return simple.unionByName(asdf).unionByName(component).unionByName(qualified)
 
 
 def packages(sources: DataFrame) -> DataFrame:
     """Package declarations with their options."""
-    table = nodes(sources)
+    table = parsed(sources, "node_id parent_id sib_idx kind head path def_name text")
     decl = table.filter("kind = 'list' AND lower(regexp_extract(head, '([^:]*)$', 1)) = 'defpackage'").select("file_id", F.col("node_id").alias("d"), dotted(F.col("path")).alias("path"), F.col("def_name").alias("package"))
     option = table.filter("kind = 'list' AND head IS NOT NULL").select(F.col("file_id").alias("f"), F.col("parent_id").alias("od"), F.col("node_id").alias("o"), F.lower(F.regexp_replace("head", "^:", "")).alias("option"))
     arg = table.filter("kind = 'atom' AND sib_idx > 0").select(F.col("file_id").alias("af"), F.col("parent_id").alias("ao"), "sib_idx", "node_id", "text")
@@ -227,13 +320,13 @@ def duplicates(sources: DataFrame, min_group_size: int = 2, min_node_count: int
     only in ``duplicate_forms``."""
     if min_group_size < 1 or min_node_count < 1:
         raise ValueError("sizes must be 1 or more")
-    forms = nodes(sources, shapes=True).filter(F.col("shape").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
+    forms = nodes(sources, "shape subtree_nodes head path").filter(F.col("shape").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
     return forms.groupBy("shape").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("file_id").alias("files"), F.first("head").alias("head")).filter(F.col("count") >= min_group_size)
 
 
 def replacement_plan(sources: DataFrame, min_group_size: int = 2, min_node_count: int = 4, keep_first: bool = False) -> DataFrame:
     """Batches of forms of one shape in one file."""
-    forms = nodes(sources, shapes=True).filter(F.col("shape").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
+    forms = nodes(sources, "shape subtree_nodes head path").filter(F.col("shape").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
     batch = forms.groupBy("file_id", "shape").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list("path")).alias("paths")).filter(F.col("count") >= min_group_size)
     paths = F.slice("paths", 2, 1 << 30) if keep_first else F.col("paths")
     return batch.select("file_id", "shape", "count", F.when(F.lit(keep_first), dotted(F.col("paths")[0])).alias("kept_form"), F.array_join(F.transform(paths, dotted), " ").alias("replaced"))
@@ -246,21 +339,21 @@ def lets(sources: DataFrame) -> DataFrame:
     from parenlake.operators.nodes import _parsed
 
     schema = "file_id long, path array<int>, head string, binding_index int, name string, value string, style string, reference_count int, inlineable boolean, risks array<string>"
-    found = _parsed(sources, schema, lambda got: rows_of(got) if isinstance(got, Tree) else ())
+    found = _parsed(sources, schema, lambda got: by_name(rows_of(got)) if isinstance(got, Tree) else None)
     return found.select("file_id", dotted(F.col("path")).alias("path"), "head", "binding_index", "name", "value", "style", F.col("reference_count").cast("long").alias("reference_count"), "inlineable", F.array_join("risks", ",").alias("risks"))
 
 
 def workspace(sources: DataFrame) -> DataFrame:
     """Totals over all files, by dialect and by status."""
-    facts = nodes(sources).groupBy("file_id").agg(F.sum(F.when(F.col("depth") == 1, 1).otherwise(0)).alias("forms"), F.sum(F.when((F.col("depth") == 1) & F.col("definition_like"), 1).otherwise(0)).alias("defs"))
+    facts = nodes(sources, "depth definition_like").groupBy("file_id").agg(F.sum(F.when(F.col("depth") == 1, 1).otherwise(0)).alias("forms"), F.sum(F.when((F.col("depth") == 1) & F.col("definition_like"), 1).otherwise(0)).alias("defs"))
     joined = sources.select("file_id", "dialect").join(facts, "file_id", "left").withColumn("status", F.when(F.col("forms").isNull(), "error").otherwise("ok"))
     return joined.groupingSets([[], ["dialect"], ["status"]], "dialect", "status").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("forms"), F.lit(0)).alias("top_level_forms"), F.coalesce(F.sum("defs"), F.lit(0)).alias("definitions"))
 
 
 def impact(sources: DataFrame, symbol: str) -> DataFrame:
     """One row: what a change of a symbol touches, and how risky that is."""
-    table, key = nodes(sources), needle(symbol)
-    sig = signature(sources, symbol).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.when(F.col("status") != "exact", 1)), F.lit(0)).alias("signature_mismatches"))
+    table, key = parsed(sources, _SIGNATURE + " node_id parent_id sib_idx kind opaque_above needle"), needle(symbol)
+    sig = signature(sources, symbol, table).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.when(F.col("status") != "exact", 1)), F.lit(0)).alias("signature_mismatches"))
     defs = table.filter((F.col("depth") == 1) & (F.col("def_needle") == key)).agg(F.count(F.lit(1)).alias("definitions"))
     uses = table.filter((F.col("kind") == "atom") & ~F.col("opaque_above") & (F.col("needle") == key))
     heads = table.filter((F.col("kind") == "list") & (F.col("is_call") | F.col("category").isNotNull())).select(F.col("file_id").alias("f"), F.col("node_id").alias("p"), F.col("category").isNotNull().alias("is_def"))
@@ -284,7 +377,10 @@ def capabilities(spark) -> DataFrame:
     from parenlake.functions.edits import COMMANDS
 
     edit = "format repair-unclosed-lists select replace kill wrap splice raise transpose-forward transpose-backward slurp-forward slurp-backward barf-forward barf-backward".split()
-    reports = (check, dialect, stats, agent_report, outline, form, form_symbols, symbols, calls, signature, call_graph, impact, workspace, dependencies, packages, definitions, unused_definitions, duplicates, replacement_plan, lets)
+    reports = (
+        check, dialect, stats, agent_report, outline, form, form_symbols, symbols, calls, signature, call_graph, graph_nodes, impact, workspace, dependencies, packages, definitions, unused_definitions, duplicates, replacement_plan, lets,
+        signature_summary, definition_summary, dependency_summary, duplicate_summary, let_summary, calls_policy, signature_policy, unused_policy, impact_policy, lets_policy, duplicates_policy,
+    )
     said = lambda f, drop: ", ".join(str(p) for p in list(inspect.signature(f).parameters.values())[drop:])
     rows = [("inspect", f.__name__.replace("_", "-"), said(f, 1)) for f in reports] + [("inspect", "similarity", "threshold, min_node_count, min_line_span, comparison_scope, form_scope, overlap_policy, max_results")]
     rows += [("edit" if n in edit else "refactor", n, said(f, 1)) for n, f in COMMANDS.items()]

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parenlake.operators.nodes import nodes
-from parenlake.operators.reports import dotted, impact, unused_definitions
+from parenlake.operators.nodes import nodes, parsed
+from parenlake.operators.reports import _UNUSED, dotted, impact, unused_definitions
 
 REWRITTEN = "file_id long, path string, dialect string, rewritten string, changed boolean, output_parse_ok boolean, refused string, input_hash string, output_hash string, edits array<struct<start:bigint,end:bigint,replacement:string>>"
 
@@ -185,8 +185,8 @@ def workspace_execute(sources: DataFrame, from_: str, to: str, path: str | None
 def remove_unused(sources: DataFrame, include_protected: bool = False, include_exported: bool = False) -> DataFrame:
     """Edits that delete every unreferenced definition, and the rest with the
     reason for which it stays: exported first, then protected."""
-    table = nodes(sources)
-    unused = unused_definitions(sources)
+    table = parsed(sources, _UNUSED + " parent_id sib_idx span_start span_end")
+    unused = unused_definitions(sources, table=table)
     at = table.filter("depth = 1").select(F.col("file_id").alias("f"), dotted(F.col("path")).alias("p"), "span_start", "span_end", "def_needle")
     lists = table.filter("kind = 'list' AND in_defpackage AND lower(head) = ':export'").select(F.col("file_id").alias("lf"), F.col("node_id").alias("ln"))
     names = table.filter("kind = 'atom' AND in_defpackage AND sib_idx > 0").join(lists, (F.col("file_id") == F.col("lf")) & (F.col("parent_id") == F.col("ln")))
@@ -199,7 +199,7 @@ def remove_unused(sources: DataFrame, include_protected: bool = False, include_e
 def move_forms(sources: DataFrame, from_path: str, to_path: str, paths: list[str] | None = None, names: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
     """Sources with top-level forms of one file moved to the end of another:
     move-definition, move-form and split-file."""
-    table = nodes(sources.filter(F.col("path") == from_path)).filter("depth = 1")
+    table = nodes(sources.filter(F.col("path") == from_path), "depth path def_name category span_start span_end").filter("depth = 1")
     wanted = F.lit(False)
     for column, some in ((dotted(F.col("path")), paths), (F.col("def_name"), names), (F.col("category"), categories)):
         if some:

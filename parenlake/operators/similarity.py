@@ -9,13 +9,14 @@ compares label multisets. The distance runs on the survivors alone.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parenlake.operators.nodes import _parsed
+from parenlake.operators.nodes import _parsed, by_name
 
 FORMS = "file_id long, path array<int>, top boolean, head string, subtree_nodes int, line_span int, span_start long, span_end long, labels array<string>, leftmost array<int>"
 
@@ -27,8 +28,9 @@ def forms(sources: DataFrame, min_node_count: int = 4, min_line_span: int = 1, t
     from parenlake.functions.reader import Tree
 
     def rows(got):
-        if not isinstance(got, Tree):
-            return
+        return by_name(list(each(got))) if isinstance(got, Tree) else None
+
+    def each(got):
         for k, node in enumerate(got.nodes):
             if node.kind != "list" or node.delimiter != "paren" or (top_level_only and node.parent):
                 continue
@@ -45,23 +47,19 @@ def forms(sources: DataFrame, min_node_count: int = 4, min_line_span: int = 1, t
     return _parsed(sources, FORMS, rows)
 
 
-def similarity(
-    sources: DataFrame, threshold: float = 0.87, min_node_count: int = 4, min_line_span: int = 1, comparison_scope: str = "all",
-    form_scope: str = "all", overlap_policy: str = "maximal", max_results: int | None = 10_000,
-) -> DataFrame:
-    """Pairs at or above the threshold: files, paths, distance in tenths,
-    similarity, score (similarity times mean size), best first.
+NAMES = ["l_file_id", "l_path", "l_span_start", "l_span_end", "r_file_id", "r_path", "r_span_start", "r_span_end", "l_subtree_nodes", "r_subtree_nodes"]
 
-    comparison_scope: all, same-file or cross-file; form_scope: all or
-    top-level; overlap_policy: maximal drops a pair strictly inside another of
-    the same two files, all keeps every pair. Pairs too large to compare are
-    left out."""
+
+def measured(sources: DataFrame, threshold: float = 0.87, min_node_count: int = 4, min_line_span: int = 1, comparison_scope: str = "all", form_scope: str = "all") -> DataFrame:
+    """Pairs whose sizes leave room for the threshold: NAMES, outcome (pruned by
+    its labels, skipped as too large to compare, or evaluated) and distance in
+    tenths."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie between 0 and 1")
     found = forms(sources, min_node_count, min_line_span, form_scope == "top-level")
     # Texts don't rank; a form's place does. Bins are as wide as the threshold.
-    base = max(1.01, 1 / max(threshold, 0.05))
-    size_bin = F.floor(F.log("subtree_nodes") / math.log(base))
+    base = max(1.01, 1 / threshold) if threshold > 0 else None
+    size_bin = F.floor(F.log("subtree_nodes") / math.log(base)) if base else F.lit(0).cast("long")
     left = found.select(*[F.col(c).alias(f"l_{c}") for c in found.columns], F.explode(F.array(size_bin - 1, size_bin, size_bin + 1)).alias("_bin"), F.coalesce("head", F.lit("\0")).alias("_head"))
     right = found.select(*[F.col(c).alias(f"r_{c}") for c in found.columns], size_bin.alias("_rbin"), F.coalesce("head", F.lit("\0")).alias("_rhead"))
     place = lambda s: F.struct(f"{s}_file_id", f"{s}_path")
@@ -73,26 +71,53 @@ def similarity(
     elif comparison_scope == "cross-file":
         on = on & (F.col("l_file_id") != F.col("r_file_id"))
     pairs = left.join(right, on)
-    names = ["l_file_id", "l_path", "l_span_start", "l_span_end", "r_file_id", "r_path", "r_span_start", "r_span_end", "l_subtree_nodes", "r_subtree_nodes"]
+    names = NAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from parenlake.functions.distance import ATOM, GAP, distance
 
         for batch in batches:
-            costs = []
+            costs, outcomes = [], []
             for a, x, b, y in zip(*[batch.column(k).to_pylist() for k in range(len(names), len(names) + 4)], strict=True):
                 most = (1 - threshold) * max(len(a), len(b)) * GAP + 1e-6
                 # What the label multisets alone force.
-                rest = list(b)
-                spare = [lab for lab in a if not (lab in rest and not rest.remove(lab))]
-                least = abs(len(a) - len(b)) * GAP + ATOM * min(len(spare), len(rest))
-                costs.append(None if least > most else distance((a, x), (b, y)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(costs, pa.int64())], names=[*names, "distance_x10"])
+                ours, theirs = Counter(a), Counter(b)
+                least = abs(len(a) - len(b)) * GAP + ATOM * min((ours - theirs).total(), (theirs - ours).total())
+                cost = None if least > most else distance((a, x), (b, y))
+                costs.append(cost)
+                outcomes.append("pruned" if least > most else "skipped" if cost is None else "evaluated")
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(costs, pa.int64()), pa.array(outcomes, pa.string())], names=[*names, "distance_x10", "outcome"])
 
     kinds = "l_file_id long, l_path array<int>, l_span_start long, l_span_end long, r_file_id long, r_path array<int>, r_span_start long, r_span_end long, l_subtree_nodes int, r_subtree_nodes int"
-    measured = pairs.select(*names, "l_labels", "l_leftmost", "r_labels", "r_leftmost").mapInArrow(run, f"{kinds}, distance_x10 long")
+    return pairs.select(*names, "l_labels", "l_leftmost", "r_labels", "r_leftmost").mapInArrow(run, f"{kinds}, distance_x10 long, outcome string")
+
+
+def similarity_summary(sources: DataFrame, threshold: float = 0.87, fail_on_skipped: bool = False, **scope: object) -> DataFrame:
+    """One row: pairs whose sizes fit, how many of them were pruned by labels,
+    skipped as too large, evaluated and matched; and whether the report is
+    complete enough for the policy."""
+    done = measured(sources, threshold, **scope)
+    count = lambda what: F.count_if(F.col("outcome") == what).alias(what)
+    matched = F.count_if(F.col("distance_x10") <= (1 - threshold) * 10 * F.greatest("l_subtree_nodes", "r_subtree_nodes") + 1e-9).alias("matched")
+    facts = done.agg(F.count(F.lit(1)).alias("possible"), count("pruned"), count("skipped"), count("evaluated"), matched)
+    return facts.withColumn("passed", ~(F.lit(fail_on_skipped) & (F.col("skipped") > 0)))
+
+
+def similarity(
+    sources: DataFrame, threshold: float = 0.87, min_node_count: int = 4, min_line_span: int = 1, comparison_scope: str = "all",
+    form_scope: str = "all", overlap_policy: str = "maximal", max_results: int | None = 10_000,
+) -> DataFrame:
+    """Pairs at or above the threshold: files, paths, distance in tenths,
+    similarity, score (similarity times mean size), best first.
+
+    comparison_scope: all, same-file or cross-file; form_scope: all or
+    top-level; overlap_policy: maximal drops a pair strictly inside another of
+    the same two files, all keeps every pair. Pairs too large to compare are
+    not here; ``similarity_summary`` counts them."""
+    names = NAMES
+    compared = measured(sources, threshold, min_node_count, min_line_span, comparison_scope, form_scope)
     ratio = F.greatest(F.lit(0.0), 1 - F.col("distance_x10") / (10.0 * F.greatest("l_subtree_nodes", "r_subtree_nodes")))
-    matched = measured.filter("distance_x10 IS NOT NULL").withColumn("similarity", ratio).filter(F.col("similarity") >= threshold)
+    matched = compared.filter("distance_x10 IS NOT NULL").withColumn("similarity", ratio).filter(F.col("similarity") >= threshold)
     matched = matched.withColumn("score", F.col("similarity") * (F.col("l_subtree_nodes") + F.col("r_subtree_nodes")) / 2.0)
     if overlap_policy == "maximal":
         outer = matched.select(*[F.col(n).alias(f"o_{n}") for n in names])

@@ -6,7 +6,7 @@ from parenlake.functions.reader import read
 from parenlake.operators import reports as R
 from parenlake.operators import rewrites as W
 from parenlake.operators.nodes import comments, nodes
-from parenlake.operators.similarity import similarity
+from parenlake.operators.similarity import similarity, similarity_summary
 from parenlake.plans.registry import QUERIES
 from parenlake.sources.corpus import bindings, dialect_column, from_files, workspace
 
@@ -18,43 +18,83 @@ def sources(spark, *files):
     return df.withColumn("dialect", dialect_column(F.col("path"))).select("file_id", "path", "dialect", "text")
 
 
-AREA = (
-    ("core.lisp", "(defun area (width height) (* width height))\n(defun render () (area 10 20))\n(defun total () (+ (area 3 4) 1))"),
-    ("init.el", "(defun demo-mode () (area 5 6))"),
+FREIGHT = (
+    ("core.lisp", "(defun freight (weight distance) (* weight distance))\n(defun invoice () (freight 10 20))\n(defun ledger () (+ (freight 3 4) 1))"),
+    ("init.el", "(defun courier-mode () (freight 5 6))"),
 )
 
 
 def test_calls_and_graph(spark):
-    got = R.calls(sources(spark, *AREA), "area").orderBy("file_id", "path").collect()
-    assert [(r.argument_count, r.enclosing_definition) for r in got] == [(2, "render"), (2, "total"), (2, "demo-mode")]
-    edges = R.call_graph(sources(spark, *AREA), "area").collect()
-    assert {(e.caller, e.internal) for e in edges if e.callee == "AREA"} == {("render", True), ("total", True), ("demo-mode", True)}
+    got = R.calls(sources(spark, *FREIGHT), "freight").orderBy("file_id", "path").collect()
+    assert [(r.argument_count, r.enclosing_definition) for r in got] == [(2, "invoice"), (2, "ledger"), (2, "courier-mode")]
+    edges = R.call_graph(sources(spark, *FREIGHT), "freight").collect()
+    assert {(e.caller, e.internal) for e in edges if e.callee == "FREIGHT"} == {("invoice", True), ("ledger", True), ("courier-mode", True)}
 
 
 def test_signature_statuses(spark):
-    more = ("x.lisp", "(defun a () (area 1)) (defun b () (area 1 2 3)) (defun c () (nothing)) (defun d () (labels ((area (x) x)) (area 1)))")
-    got = [r.status for r in R.signature(sources(spark, *AREA, more), "area").orderBy("file_id", "path").collect()]
+    more = ("x.lisp", "(defun a () (freight 1)) (defun b () (freight 1 2 3)) (defun c () (nothing)) (defun d () (labels ((freight (x) x)) (freight 1)))")
+    got = [r.status for r in R.signature(sources(spark, *FREIGHT, more), "freight").orderBy("file_id", "path").collect()]
     assert sorted(got) == ["exact", "exact", "exact", "extra-arguments", "missing-arguments"]
     twice = sources(spark, ("a.lisp", "(defun f (x) x) (defun f (x) x) (f 1)"))
     assert [r.status for r in R.signature(twice).collect()] == ["ambiguous-definition"]
 
 
 def test_impact(spark):
-    files = (("core.lisp", "(defun area (width height) (* width height))\n(defun render () (area 10) area)"), ("init.el", "(defun draw () (area 5 6))"))
-    r = R.impact(sources(spark, *files), "area").first()
+    files = (("core.lisp", "(defun freight (weight distance) (* weight distance))\n(defun invoice () (freight 10) freight)"), ("init.el", "(defun draw () (freight 5 6))"))
+    r = R.impact(sources(spark, *files), "freight").first()
     assert (r.definitions, r.references, r.calls, r.non_call_references, r.risk_level) == (1, 3, 2, 1, "warning")
     assert r.risks == "inbound-callers,non-call-references,signature-mismatch"
 
 
 def test_definitions_packages_dependencies(spark):
-    text = "(defpackage #:demo (:use #:cl) (:import-from #:lib #:f) (:export #:g) (:nicknames #:d))\n(in-package #:demo)\n(defun g (x) (other:h x))\n(define-trading-strategy s :a 1)\n(require :asdf)"
-    s = sources(spark, ("a.lisp", text), ("b.asd", '(defsystem "b" :depends-on ("c" :d) :components ((:file "e")))'))
+    text = "(defpackage #:parcel (:use #:cl) (:import-from #:lib #:f) (:export #:g) (:nicknames #:d))\n(in-package #:parcel)\n(defun g (x) (other:h x))\n(define-trading-strategy s :a 1)\n(require :asdf)"
+    s = sources(spark, ("a.lisp", text), ("b.asd", '(defsystem "b" :depends-on ("c" (:version "z" "1.0")) :components ((:file "e")))'))
     got = R.definitions(s).filter("file_id = 0").orderBy("path").collect()
-    assert [(d.name, d.category, d.package) for d in got] == [("#:demo", "package", None), ("g", "function", "#:demo"), ("s", "unknown-macro", "#:demo"), (":asdf", "package", "#:demo")]
+    assert [(d.name, d.category, d.package) for d in got] == [("#:parcel", "package", None), ("g", "function", "#:parcel"), ("s", "unknown-macro", "#:parcel"), (":asdf", "package", "#:parcel")]
     p = R.packages(s).first()
     assert (p.uses, p.exports, p.nicknames, p.imports, p.option_count) == ("#:cl", "#:g", "#:d", "#:lib", 4)
     kinds = {(r.dependency, r.target) for r in R.dependencies(s).collect()}
-    assert {("defpackage-use", "#:cl"), ("defpackage-import-from", "#:lib"), ("qualified-symbol", "other"), ("require", ":asdf"), ("asdf-depends-on", '"c"'), ("asdf-depends-on", ":d"), ("asdf-component", '"e"')} <= kinds
+    assert {("defpackage-use", "#:cl"), ("defpackage-import-from", "#:lib"), ("qualified-symbol", "other"), ("require", ":asdf"), ("asdf-depends-on", '"c"'), ("asdf-depends-on", '"z"'), ("asdf-component", '"e"')} <= kinds
+
+
+def test_dependencies_leave_out_what_is_not_evaluated(spark):
+    s = sources(spark, ("a.lisp", "(defun stock () #.(list (depot:shelf) (yard:gate 1)) (depot:shelf 2))\n'(crane:lift x)\n'(require :quay)"))
+    assert [(r.dependency, r.target) for r in R.dependencies(s).collect()] == [("qualified-symbol", "depot")]
+
+
+def test_local_functions_are_no_calls(spark):
+    s = sources(
+        spark, ("a.el", "(defun ship () (cl-flet ((label (x) (stamp x))) (label 1) (stamp 2)))"), ("b.el", "(defun ship () (cl-labels ((label (x) (label x) (stamp x))) (label 1)))"),
+        ("c.el", "(defun ship () (cl-macrolet ((label (x) (list 'stamp x))) (label 1)))"),
+    )
+    got = R.calls(s).orderBy("file_id", "span_start").collect()
+    assert [(r.file_id, r.head) for r in got if r.head != "list"] == [(0, "stamp"), (0, "stamp"), (1, "stamp")]
+
+
+def test_local_bindings_are_no_references(spark):
+    text = "(defun dock () :here)\n(defun crane () (let ((dock 1)) (+ dock dock)))\n(defun quay () (flet ((dock () 2)) (dock)))\n(defun pier (dock) (list dock))"
+    assert {r.name for r in R.unused_definitions(sources(spark, ("a.lisp", text))).collect()} == {"dock", "crane", "quay", "pier"}
+    called = text + "\n(let ((dock 1)) (dock dock))"
+    assert {r.name for r in R.unused_definitions(sources(spark, ("a.lisp", called))).collect()} == {"crane", "quay", "pier"}
+
+
+def test_policies_and_summaries(spark):
+    s = sources(spark, *FREIGHT, ("x.lisp", "(defun extra () (freight 1))\n(let ((a (freight 1 2))) (list a a))"))
+    assert R.signature_policy(R.signature(s)).first().violations == ["mismatch"]
+    assert R.signature_policy(R.signature(s), fail_on_mismatch=False, require_calls=100).first().violations == ["calls"]
+    assert R.calls_policy(R.calls(s, "freight"), 5).first().passed and not R.calls_policy(R.calls(s, "nothing")).first().passed
+    assert not R.unused_policy(R.unused_definitions(s)).first().passed
+    assert R.impact_policy(R.impact(s, "nothing"), require_definitions=1).first().violations == ["risk-level", "definitions"]
+    assert R.lets_policy(R.lets(s), fail_on_duplicate_evaluation=True).first().violations == ["duplicate-evaluation"]
+    assert R.duplicates_policy(R.duplicates(s), max_groups=50).first().passed
+    statuses = {r.status: r["count"] for r in R.signature_summary(s).collect()}
+    assert statuses[None] == sum(n for k, n in statuses.items() if k) and statuses["missing-arguments"] == 1
+    assert {r.category: r["count"] for r in R.definition_summary(s).collect()} == {None: 5, "function": 5}
+    assert {(r.name, r.made, r.received) for r in R.graph_nodes(s).collect()} >= {("FREIGHT", 1, 5), ("EXTRA", 1, 0)}
+    big = " ".join(f"(a{k} b)" for k in range(1100))
+    pair = sources(spark, ("l.lisp", f"(defun f () {big})"), ("r.lisp", f"(defun f () {big} c)"))
+    told = similarity_summary(pair, 0.5, form_scope="top-level", fail_on_skipped=True).first()
+    assert (told.possible, told.skipped, told.evaluated, told.passed) == (1, 1, 0, False)
 
 
 def test_workspace_check_and_discovery(spark, tmp_path):
@@ -100,7 +140,7 @@ def test_duplicates_lets_similarity(spark):
     s = sources(spark, ("a.lisp", "(deftest a (is (f 1 2)))\n(deftest b (is (f 3 4)))\n(defun x () (f 1))"))
     assert [(r["count"], r["head"]) for r in R.duplicates(s, min_node_count=7).collect()] == [(2, "deftest")]
     assert [r.replaced for r in R.replacement_plan(s, min_node_count=7, keep_first=True).collect()] == ["1"]
-    lets = R.lets(sources(spark, ("a.lisp", "(defun render () (let ((product (* w h))) (+ product m)))\n(let ((x (compute))) (+ x x))"))).orderBy("path").collect()
+    lets = R.lets(sources(spark, ("a.lisp", "(defun invoice () (let ((product (* w h))) (+ product m)))\n(let ((x (compute))) (+ x x))"))).orderBy("path").collect()
     assert [(r.path, r.reference_count, r.inlineable, r.risks) for r in lets] == [("0.3", 1, True, ""), ("1", 2, False, "duplicate-evaluation")]
     pair = sources(spark, ("left.lisp", "(defun alpha (x) (+ x 1))"), ("right.lisp", "(defun beta (y) (+ y 2))"))
     got = similarity(pair, 0.8, comparison_scope="cross-file").collect()
@@ -127,24 +167,24 @@ def test_similarity_of_all_suppliers(spark, tmp_path):
 
 
 def test_manifest_lifecycle(spark, tmp_path):
-    s = sources(spark, *AREA)
-    manifest = W.preview(s, "rename-function", from_="area", to="surface")
+    s = sources(spark, *FREIGHT)
+    manifest = W.preview(s, "rename-function", from_="freight", to="haulage")
     W.write_manifest(manifest, f"{tmp_path}/m")
     again = W.read_manifest(spark, f"{tmp_path}/m")
     assert W.preview_policy(again, require_changed_files=2).first().passed
     assert W.manifest_status(again, s).first()["action"] == "apply"
-    assert "+(defun demo-mode () (surface 5 6))" in "".join(r.diff for r in W.diff(again, s).collect())
+    assert "+(defun courier-mode () (haulage 5 6))" in "".join(r.diff for r in W.diff(again, s).collect())
     stale = s.withColumn("text", F.concat("text", F.lit(" ")))
     assert W.manifest_status(again, stale).first()["action"] == "preview-again"
     with pytest.raises(ValueError):
         W.apply_manifest(again, stale, f"{tmp_path}/no")
     W.apply_manifest(again, s, f"{tmp_path}/new")
     after = spark.read.parquet(f"{tmp_path}/new")
-    assert all(r.passed for r in W.verify(s, "area", "surface", after=after).collect())
-    steps = {r.step: r.passed for r in W.workspace_execute(s, "area", "size", f"{tmp_path}/newer").collect()}
+    assert all(r.passed for r in W.verify(s, "freight", "haulage", after=after).collect())
+    steps = {r.step: r.passed for r in W.workspace_execute(s, "freight", "size", f"{tmp_path}/newer").collect()}
     assert steps == {"preview": True, "pre-verify": True, "write": True, "old-symbol-gone": True, "new-symbol-present": True}
-    moved = {r.path: r.text for r in W.move_forms(s, "core.lisp", "init.el", names=["total"]).collect()}
-    assert "total" not in moved["core.lisp"] and moved["init.el"].endswith("(defun total () (+ (area 3 4) 1))\n")
+    moved = {r.path: r.text for r in W.move_forms(s, "core.lisp", "init.el", names=["ledger"]).collect()}
+    assert "ledger" not in moved["core.lisp"] and moved["init.el"].endswith("(defun ledger () (+ (freight 3 4) 1))\n")
     assert W.plan(s, "missing").first().decision == "manual"
 
 
@@ -158,14 +198,14 @@ def test_overlapping_edits_are_an_error(spark):
 def test_stream_index(spark, tmp_path):
     from parenlake.streaming.index import index_stream
 
-    sources(spark, *AREA).write.parquet(f"{tmp_path}/in")
+    sources(spark, *FREIGHT).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
     index_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/nodes").filter("is_call").count() > 4
 
 
 def test_gate_and_capabilities(spark):
-    s = sources(spark, *AREA)
+    s = sources(spark, *FREIGHT)
     g = R.gate(R.signature(s), "signature", F.sum(F.when(F.col("status").isin("missing-arguments", "extra-arguments"), 1)), "mismatch").first()
     assert g.passed and g.violations == []
     assert R.capabilities(spark).count() > 100
