@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parenlake.operators import reports as R
-from parenlake.operators.rewrites import apply_edits, diff, hashed, plan, preview, preview_policy, remove_unused, rewrite
-from parenlake.operators.similarity import similarity
+from parenlake.operators.rewrites import apply_edits, check_manifest, diff, hashed, manifest_status, plan, preview, preview_policy, remove_unused, rewrite, verify
+from parenlake.operators.similarity import similarity, similarity_summary
+from parenlake.plans import commands
 from parenlake.sources import corpus as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,7 +113,7 @@ add("duplicates_orders", C.orders, lambda s: R.duplicates(s),
 add("replacement_plan_orders", C.orders, lambda s: R.replacement_plan(s).select("file_id", "shape", "count", "replaced"),
     f"""WITH {_ITEMS} SELECT k AS file_id, '(paren head:part-' || p || repeat(' _atom', args) || ')' AS shape, count(*) AS count, string_agg('0.' || (3 + i), ' ' ORDER BY i) AS replaced FROM items WHERE args >= 2 GROUP BY k, p, args HAVING count(*) >= 2""")
 add("similarity_suppliers", C.bindings, lambda s: similarity(s, 0.9, form_scope="top-level", max_results=None).withColumn("similarity", F.round("similarity", 9)).withColumn("score", F.round("score", 9)),
-    f"""WITH {_LETS}, pairs AS (SELECT a.k AS x, b.k AS y, 6 + CASE WHEN a.turn = b.turn THEN 0 WHEN a.turn + b.turn = 3 THEN 6 ELSE 3 END AS c FROM lets a JOIN lets b ON a.k < b.k AND b.k < 60)
+    f"""WITH {_LETS}, pairs AS (SELECT a.k AS x, b.k AS y, 6 + CASE WHEN a.turn = b.turn THEN 0 WHEN a.turn + b.turn = 3 THEN 6 ELSE 3 END AS c FROM lets a JOIN lets b ON a.k < b.k)
         SELECT x AS left_file, '0' AS left_path, y AS right_file, '0' AS right_path, CAST(c AS BIGINT) AS distance_x10, round(1 - c / 180.0::DOUBLE, 9) AS similarity, round((1 - c / 180.0::DOUBLE) * 18, 9) AS score FROM pairs""")
 add("lets_suppliers", C.bindings, R.lets,
     f"""WITH {_LETS} SELECT k AS file_id, '0.3' AS path, 'let' AS head, CAST(0 AS INTEGER) AS binding_index, 'value' AS name, '(* width ' || k || ')' AS value, 'list-pair' AS style,
@@ -152,6 +153,49 @@ add("apply_edits_orders", C.orders, lambda s: apply_edits(s, rewrite(s, "rename-
     f"WITH {_ITEMS} SELECT k AS file_id, replace(text, 'priority', 'rank') AS text FROM texts")
 add("preview_policy_orders", C.orders, lambda s: preview_policy(preview(s, "rename-symbol", from_="customer", to="client")).select("changed", "bad", "edits", "passed"),
     f"WITH {_ITEMS} SELECT count(*) AS changed, CAST(0 AS BIGINT) AS bad, count(*) AS edits, true AS passed FROM texts")
-add("diff_suppliers", C.bindings, lambda s: diff(preview(s, "rename-symbol", from_="width", to="w"), s))
-add("hash_suppliers", C.bindings, hashed)
+_MARKED = "list_aggregate(list_transform(lines[{}], lambda x: '{}' || {} || chr(10)), 'string_agg', '')"
+_OLD, _NEW = [_MARKED.format("1:m", mark, line) for mark, line in (("-", "x"), ("+", "replace(x, 'width', 'w')"))]
+add("diff_suppliers", C.bindings, lambda s: diff(preview(s, "rename-symbol", from_="width", to="w"), s),
+    f"""WITH {_LETS}, split AS (SELECT k, CASE turn WHEN 2 THEN 3 ELSE 2 END AS m, string_split(rtrim(text, chr(10)), chr(10)) AS lines FROM texts)
+        SELECT 'suppliers/' || k || '.lisp' AS path, '--- a/suppliers/' || k || '.lisp' || chr(10) || '+++ b/suppliers/' || k || '.lisp' || chr(10) || '@@ -1,3 +1,3 @@' || chr(10)
+            || {_OLD} || {_NEW} || CASE m WHEN 3 THEN '' ELSE ' ' || lines[3] || chr(10) END AS diff FROM split""")
+add("hash_suppliers", C.bindings, hashed,
+    f"""WITH {_LETS}, steps AS (SELECT k, list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(text, ''), lambda x: ascii(x)::HUGEINT)) AS codes FROM texts)
+        SELECT 'suppliers/' || k || '.lisp' AS path, 'fnv1a64:' || lower(lpad(to_hex((list_reduce(codes, lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT))::UBIGINT), 16, '0')) AS hash FROM steps""")
+add("similarity_summary_suppliers", C.bindings, lambda s: similarity_summary(s, 0.9, form_scope="top-level"),
+    "SELECT n * (n - 1) // 2 AS possible, CAST(0 AS BIGINT) AS pruned, CAST(0 AS BIGINT) AS skipped, n * (n - 1) // 2 AS evaluated, n * (n - 1) // 2 AS matched, true AS passed FROM (SELECT count(*) AS n FROM supplier)")
+add("signature_summary_shop", C.shop, R.signature_summary,
+    f"""WITH {_ITEMS}, told AS (SELECT k, CASE WHEN library.p IS NULL THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status FROM items LEFT JOIN library ON items.p = library.p
+        UNION ALL SELECT -1 - p, 'unknown-definition' FROM library) SELECT status, count(*) AS count, count(DISTINCT k) AS files FROM told GROUP BY ROLLUP (status)""")
+add("signature_policy_shop", C.shop, lambda s: R.signature_policy(R.signature(s), require_calls=1).select("report", "passed", F.array_join("violations", ",").alias("violations")),
+    f"WITH {_ITEMS}, bad AS (SELECT count(*) AS n FROM items JOIN library ON items.p = library.p WHERE args <> 2) SELECT 'signature' AS report, n = 0 AS passed, CASE WHEN n > 0 THEN 'mismatch' ELSE '' END AS violations FROM bad")
+add("definition_summary_customers", C.customers, R.definition_summary,
+    f"""WITH {_CUSTOMERS}, told AS (SELECT k, ['function', 'variable', 'function', 'function', 'function', 'function', 'other'][CAST(turn + 1 AS BIGINT)] AS category FROM files) SELECT category, count(*) AS count, count(DISTINCT k) AS files FROM told GROUP BY ROLLUP (category)""")
+add("dependency_summary_nations", C.nations, R.dependency_summary,
+    """WITH told AS (SELECT n_nationkey AS k, 'defpackage-use' AS dependency, '#:cl' AS target FROM nation UNION ALL SELECT n_nationkey, 'defpackage-use', '#:region-' || n_regionkey FROM nation UNION ALL SELECT n_nationkey, 'qualified-symbol', 'region-' || n_regionkey FROM nation)
+        SELECT dependency, count(*) AS count, count(DISTINCT k) AS files, count(DISTINCT target) AS targets FROM told GROUP BY ROLLUP (dependency)""")
+add("let_summary_suppliers", C.bindings, R.let_summary,
+    f"""WITH {_LETS}, told AS (SELECT k, 'let' AS head, turn = 0 AS ok, CASE turn WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS refs FROM lets)
+        SELECT head, count(*) AS count, count(DISTINCT k) AS files, count(*) FILTER (ok) AS inlineable, CAST(sum(refs) AS BIGINT) AS "references" FROM told GROUP BY ROLLUP (head)""")
+add("lets_policy_suppliers", C.bindings, lambda s: R.lets_policy(R.lets(s), fail_on_duplicate_evaluation=True, require_inlineable=True).select("report", "passed", F.array_join("violations", ",").alias("violations")),
+    f"WITH {_LETS}, tally AS (SELECT count(*) FILTER (turn = 1) AS d, count(*) FILTER (turn <> 0) AS n FROM lets) SELECT 'lets' AS report, d + n = 0 AS passed, concat_ws(',', CASE WHEN d > 0 THEN 'duplicate-evaluation' END, CASE WHEN n > 0 THEN 'inlineable' END) AS violations FROM tally")
+add("unused_policy_shop", C.shop, lambda s: R.unused_policy(R.unused_definitions(s)).select("report", "passed", F.array_join("violations", ",").alias("violations")),
+    f"WITH {_ITEMS} SELECT 'unused-definitions' AS report, count(*) = 0 AS passed, CASE WHEN count(*) > 0 THEN 'unused' ELSE '' END AS violations FROM texts")
+add("graph_nodes_shop", C.shop, R.graph_nodes,
+    f"""WITH {_ITEMS}, ends AS (SELECT 'ORDER-' || k AS name, 1 AS made, 0 AS received, true AS defined FROM items UNION ALL SELECT 'PART-' || items.p, 0, 1, library.p IS NOT NULL FROM items LEFT JOIN library ON items.p = library.p
+        UNION ALL SELECT 'PART-' || p, 1, 0, true FROM library UNION ALL SELECT 'LIST', 0, 1, false FROM library)
+        SELECT name, CAST(sum(made) AS BIGINT) AS made, CAST(sum(received) AS BIGINT) AS received, bool_or(defined) AS defined FROM ends GROUP BY name""")
+add("duplicate_summary_orders", C.orders, lambda s: R.duplicate_summary(s),
+    f"""WITH {_ITEMS}, forms AS (SELECT k, '(paren head:part-' || p || repeat(' _atom', args) || ')' AS shape FROM items WHERE args >= 2
+        UNION ALL SELECT k, '(paren head:defun _atom (paren _atom _atom) ' || string_agg('(paren _atom' || repeat(' _atom', args) || ')', ' ' ORDER BY i) || ')' FROM items GROUP BY k),
+        shapes AS (SELECT shape, count(*) AS n FROM forms GROUP BY shape HAVING count(*) >= 2) SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS forms, max(n) AS largest FROM shapes""")
+add("verify_after_rename_part", C.shop, lambda s: verify(s, "part-3", "piece-3", after=apply_edits(s, rewrite(s, "rename-symbol", from_="part-3", to="piece-3").select("file_id", F.explode("edits").alias("e")).select("file_id", "e.*"))),
+    f"""WITH {_ITEMS}, one AS (SELECT (SELECT count(*) FROM library WHERE p = 3) AS d, (SELECT count(*) FROM items WHERE p = 3 AND (args <> 2 OR NOT EXISTS (SELECT 1 FROM library WHERE p = 3))) AS m)
+        SELECT 'old-symbol-gone' AS check, true AS passed UNION ALL SELECT 'new-symbol-present', d > 0 FROM one UNION ALL SELECT 'arity-compatible', m = 0 FROM one""")
+add("manifest_check_orders", C.orders, lambda s: check_manifest(preview(s, "rename-symbol", from_="customer", to="client"), s).select("path", "status", "changed", "output_parse_ok"),
+    f"WITH {_ITEMS} SELECT 'orders/' || k || '.lisp' AS path, 'fresh' AS status, true AS changed, true AS output_parse_ok FROM texts")
+add("manifest_status_suppliers", C.bindings, lambda s: manifest_status(preview(s, "rename-symbol", from_="nothing", to="something"), s),
+    "SELECT CAST(0 AS BIGINT) AS stale, CAST(0 AS BIGINT) AS bad, CAST(0 AS BIGINT) AS changed, 'nothing-to-do' AS action")
 QUERIES["capabilities"] = lambda spark, sf_dir: R.capabilities(spark)
+QUERIES |= commands.QUERIES
+ORACLES |= commands.ORACLES
