@@ -24,15 +24,17 @@ ORACLES: dict[str, str] = {}
 #: Orders as the corpus writes them.
 _ITEMS = """
 items AS (
-    SELECT l_orderkey AS k, l_partkey AS p, l_linenumber % 3 + 1 AS args,
-           '(part-' || l_partkey || repeat(' ' || CAST(l_quantity AS BIGINT), l_linenumber % 3 + 1) || ')' AS call,
+    SELECT l_orderkey AS k, l_partkey AS p, l_partkey % 10 < 7 AS known, CASE WHEN l_partkey % 10 < 7 THEN 'part-' ELSE 'spare-' END || l_partkey AS name, l_linenumber % 3 + 1 AS args,
+           '(' || name || repeat(' ' || CAST(l_quantity AS BIGINT), l_linenumber % 3 + 1) || ')' AS call,
            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i
-    FROM lineitem WHERE l_partkey % 10 < 7
+    FROM lineitem
 ), texts AS (
     SELECT k, count(*) AS n, sum(args) AS a, '(defun order-' || k || ' (customer priority)' || chr(10) || '  ' || string_agg(call, chr(10) || '  ' ORDER BY i) || ')' || chr(10) AS text
     FROM items GROUP BY k
 ), library AS (
     SELECT p_partkey AS p, '(defun part-' || p_partkey || ' (x y)' || chr(10) || '  (list x y))' || chr(10) AS text FROM part WHERE p_size % 5 <> 0
+), stock AS (
+    SELECT p_partkey AS p, '(defvar stock-' || p_partkey || ' 0)' || chr(10) AS text FROM part WHERE p_size % 5 = 0
 )"""
 _CUSTOMERS = """
 files AS (
@@ -75,14 +77,14 @@ add("symbols_part", C.shop, lambda s: R.symbols(s, "part-3").select("file_id", "
     f"WITH {_ITEMS} SELECT k AS file_id, '0.' || (3 + i) || '.0' AS path, 'part-3' AS text, false AS quoted, 'defun' AS form_head FROM items WHERE p = 3 UNION ALL SELECT -4, '0.1', 'part-3', false, 'defun' FROM library WHERE p = 3")
 add("calls_orders", C.orders, R.calls,
     f"""WITH {_ITEMS}, spans AS (SELECT *, length('(defun order-' || k || ' (customer priority)') + 3 + coalesce(sum(length(call) + 3) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM items)
-        SELECT k AS file_id, '0.' || (3 + i) AS path, CAST(pos AS BIGINT) AS span_start, CAST(pos + length(call) AS BIGINT) AS span_end, 'part-' || p AS head, CAST(args AS BIGINT) AS argument_count, CAST(NULL AS VARCHAR) AS category, 'order-' || k AS enclosing_definition FROM spans""")
+        SELECT k AS file_id, '0.' || (3 + i) AS path, CAST(pos AS BIGINT) AS span_start, CAST(pos + length(call) AS BIGINT) AS span_end, name AS head, CAST(args AS BIGINT) AS argument_count, CAST(NULL AS VARCHAR) AS category, 'order-' || k AS enclosing_definition FROM spans""")
 add("signature_shop", C.shop, R.signature,
-    f"""WITH {_ITEMS} SELECT k AS file_id, '0.' || (3 + i) AS path, 'part-' || items.p AS head, CAST(args AS BIGINT) AS argument_count,
-        CASE WHEN library.p IS NULL THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status FROM items LEFT JOIN library ON items.p = library.p
+    f"""WITH {_ITEMS} SELECT k AS file_id, '0.' || (3 + i) AS path, name AS head, CAST(args AS BIGINT) AS argument_count,
+        CASE WHEN library.p IS NULL THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status FROM items LEFT JOIN library ON items.p = library.p AND known
         UNION ALL SELECT -1 - p, '0.3', 'list', CAST(2 AS BIGINT), 'unknown-definition' FROM library""")
 add("call_graph_shop", C.shop, R.call_graph,
-    f"""WITH {_ITEMS} SELECT 'order-' || k AS caller, 'PART-' || items.p AS callee, count(*) AS calls, library.p IS NOT NULL AS internal, CAST(CASE WHEN library.p IS NULL THEN 0 ELSE 1 END AS BIGINT) AS definition_count, CASE WHEN library.p IS NULL THEN '' ELSE 'function' END AS callee_categories
-        FROM items LEFT JOIN library ON items.p = library.p GROUP BY k, items.p, library.p UNION ALL SELECT 'part-' || p, 'LIST', 1, false, CAST(0 AS BIGINT), '' FROM library""")
+    f"""WITH {_ITEMS} SELECT 'order-' || k AS caller, upper(name) AS callee, count(*) AS calls, library.p IS NOT NULL AS internal, CAST(CASE WHEN library.p IS NULL THEN 0 ELSE 1 END AS BIGINT) AS definition_count, CASE WHEN library.p IS NULL THEN '' ELSE 'function' END AS callee_categories
+        FROM items LEFT JOIN library ON items.p = library.p AND known GROUP BY k, name, library.p UNION ALL SELECT 'part-' || p, 'LIST', 1, false, CAST(0 AS BIGINT), '' FROM library""")
 add("impact_part", C.shop, lambda s: R.impact(s, "part-3"),
     f"""WITH {_ITEMS}, one AS (SELECT (SELECT count(*) FROM library WHERE p = 3) AS d, (SELECT count(*) FROM items WHERE p = 3) AS c, (SELECT count(*) FROM items WHERE p = 3 AND (args <> 2 OR NOT EXISTS (SELECT 1 FROM library WHERE p = 3))) AS m)
         SELECT 'part-3' AS symbol, d AS definitions, c AS "references", c AS calls, CAST(0 AS BIGINT) AS non_call_references, m AS signature_mismatches,
@@ -105,13 +107,14 @@ add("dependencies_nations", C.nations, lambda s: R.dependencies(s).select("file_
         UNION ALL SELECT n_nationkey, 'qualified-symbol', 'region-' || n_regionkey FROM nation""")
 add("unused_definitions_shop", C.shop, R.unused_definitions,
     f"""WITH {_ITEMS} SELECT k AS file_id, '0' AS path, 'order-' || k AS name, 'function' AS category, CAST(0 AS BIGINT) AS reference_count, true AS unused, true AS actionable FROM texts
-        UNION ALL SELECT -1 - p, '0', 'part-' || p, 'function', 0, true, true FROM library WHERE p NOT IN (SELECT p FROM items)""")
+        UNION ALL SELECT -1 - p, '0', 'part-' || p, 'function', 0, true, true FROM library WHERE p NOT IN (SELECT p FROM items WHERE known)
+        UNION ALL SELECT -1 - p, '0', 'stock-' || p, 'variable', 0, true, true FROM stock""")
 add("duplicates_orders", C.orders, lambda s: R.duplicates(s),
-    f"""WITH {_ITEMS}, forms AS (SELECT k, 'part-' || p AS head, '(paren head:part-' || p || repeat(' _atom', args) || ')' AS shape FROM items WHERE args >= 2
+    f"""WITH {_ITEMS}, forms AS (SELECT k, name AS head, '(paren head:' || name || repeat(' _atom', args) || ')' AS shape FROM items WHERE args >= 2
         UNION ALL SELECT k, 'defun', '(paren head:defun _atom (paren _atom _atom) ' || string_agg('(paren _atom' || repeat(' _atom', args) || ')', ' ' ORDER BY i) || ')' FROM items GROUP BY k)
         SELECT shape, count(*) AS count, count(DISTINCT k) AS files, min(head) AS head FROM forms GROUP BY shape HAVING count(*) >= 2""")
 add("replacement_plan_orders", C.orders, lambda s: R.replacement_plan(s).select("file_id", "shape", "count", "replaced"),
-    f"""WITH {_ITEMS} SELECT k AS file_id, '(paren head:part-' || p || repeat(' _atom', args) || ')' AS shape, count(*) AS count, string_agg('0.' || (3 + i), ' ' ORDER BY i) AS replaced FROM items WHERE args >= 2 GROUP BY k, p, args HAVING count(*) >= 2""")
+    f"""WITH {_ITEMS} SELECT k AS file_id, '(paren head:' || name || repeat(' _atom', args) || ')' AS shape, count(*) AS count, string_agg('0.' || (3 + i), ' ' ORDER BY i) AS replaced FROM items WHERE args >= 2 GROUP BY k, name, args HAVING count(*) >= 2""")
 add("similarity_suppliers", C.bindings, lambda s: similarity(s, 0.9, form_scope="top-level", max_results=None).withColumn("similarity", F.round("similarity", 9)).withColumn("score", F.round("score", 9)),
     f"""WITH {_LETS}, pairs AS (SELECT a.k AS x, b.k AS y, 6 + CASE WHEN a.turn = b.turn THEN 0 WHEN a.turn + b.turn = 3 THEN 6 ELSE 3 END AS c FROM lets a JOIN lets b ON a.k < b.k)
         SELECT x AS left_file, '0' AS left_path, y AS right_file, '0' AS right_path, CAST(c AS BIGINT) AS distance_x10, round(1 - c / 180.0::DOUBLE, 9) AS similarity, round((1 - c / 180.0::DOUBLE) * 18, 9) AS score FROM pairs""")
@@ -122,7 +125,8 @@ add("plan_rename_part", C.shop, lambda s: plan(s, "part-3").select("symbol", "de
     f"""WITH {_ITEMS}, one AS (SELECT (SELECT count(*) FROM library WHERE p = 3) AS d, (SELECT count(*) FROM items WHERE p = 3) AS c) SELECT 'part-3' AS symbol, d AS definitions, c AS "references", 'rename' AS operation, CASE WHEN d = 0 THEN 'definitions' ELSE '' END AS blocking_gates, CASE WHEN d = 0 THEN 'manual' ELSE 'automatic' END AS decision FROM one""")
 add("remove_unused_shop", C.shop, lambda s: remove_unused(s).select("file_id", "name", "skipped", "start", "end"),
     f"""WITH {_ITEMS} SELECT k AS file_id, 'order-' || k AS name, CAST(NULL AS VARCHAR) AS skipped, CAST(0 AS BIGINT) AS start, CAST(length(text) - 1 AS BIGINT) AS "end" FROM texts
-        UNION ALL SELECT -1 - p, 'part-' || p, NULL, 0, length(text) - 1 FROM library WHERE p NOT IN (SELECT p FROM items)""")
+        UNION ALL SELECT -1 - p, 'part-' || p, NULL, 0, length(text) - 1 FROM library WHERE p NOT IN (SELECT p FROM items WHERE known)
+        UNION ALL SELECT -1 - p, 'stock-' || p, NULL, 0, length(text) - 1 FROM stock""")
 
 
 def _rewritten(name: str, sources, expected: str, base: str, where: str = "true", /, **args: object) -> None:
@@ -165,10 +169,10 @@ add("hash_suppliers", C.bindings, hashed,
 add("similarity_summary_suppliers", C.bindings, lambda s: similarity_summary(s, 0.9, form_scope="top-level"),
     "SELECT n * (n - 1) // 2 AS possible, CAST(0 AS BIGINT) AS pruned, CAST(0 AS BIGINT) AS skipped, n * (n - 1) // 2 AS evaluated, n * (n - 1) // 2 AS matched, true AS passed FROM (SELECT count(*) AS n FROM supplier)")
 add("signature_summary_shop", C.shop, R.signature_summary,
-    f"""WITH {_ITEMS}, told AS (SELECT k, CASE WHEN library.p IS NULL THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status FROM items LEFT JOIN library ON items.p = library.p
+    f"""WITH {_ITEMS}, told AS (SELECT k, CASE WHEN library.p IS NULL THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status FROM items LEFT JOIN library ON items.p = library.p AND known
         UNION ALL SELECT -1 - p, 'unknown-definition' FROM library) SELECT status, count(*) AS count, count(DISTINCT k) AS files FROM told GROUP BY ROLLUP (status)""")
 add("signature_policy_shop", C.shop, lambda s: R.signature_policy(R.signature(s), require_calls=1).select("report", "passed", F.array_join("violations", ",").alias("violations")),
-    f"WITH {_ITEMS}, bad AS (SELECT count(*) AS n FROM items JOIN library ON items.p = library.p WHERE args <> 2) SELECT 'signature' AS report, n = 0 AS passed, CASE WHEN n > 0 THEN 'mismatch' ELSE '' END AS violations FROM bad")
+    f"WITH {_ITEMS}, bad AS (SELECT count(*) AS n FROM items JOIN library ON items.p = library.p AND known WHERE args <> 2) SELECT 'signature' AS report, n = 0 AS passed, CASE WHEN n > 0 THEN 'mismatch' ELSE '' END AS violations FROM bad")
 add("definition_summary_customers", C.customers, R.definition_summary,
     f"""WITH {_CUSTOMERS}, told AS (SELECT k, ['function', 'variable', 'function', 'function', 'function', 'function', 'other'][CAST(turn + 1 AS BIGINT)] AS category FROM files) SELECT category, count(*) AS count, count(DISTINCT k) AS files FROM told GROUP BY ROLLUP (category)""")
 add("dependency_summary_nations", C.nations, R.dependency_summary,
@@ -182,11 +186,11 @@ add("lets_policy_suppliers", C.bindings, lambda s: R.lets_policy(R.lets(s), fail
 add("unused_policy_shop", C.shop, lambda s: R.unused_policy(R.unused_definitions(s)).select("report", "passed", F.array_join("violations", ",").alias("violations")),
     f"WITH {_ITEMS} SELECT 'unused-definitions' AS report, count(*) = 0 AS passed, CASE WHEN count(*) > 0 THEN 'unused' ELSE '' END AS violations FROM texts")
 add("graph_nodes_shop", C.shop, R.graph_nodes,
-    f"""WITH {_ITEMS}, ends AS (SELECT 'ORDER-' || k AS name, 1 AS made, 0 AS received, true AS defined FROM items UNION ALL SELECT 'PART-' || items.p, 0, 1, library.p IS NOT NULL FROM items LEFT JOIN library ON items.p = library.p
+    f"""WITH {_ITEMS}, ends AS (SELECT 'ORDER-' || k AS name, 1 AS made, 0 AS received, true AS defined FROM items UNION ALL SELECT upper(name), 0, 1, library.p IS NOT NULL FROM items LEFT JOIN library ON items.p = library.p AND known
         UNION ALL SELECT 'PART-' || p, 1, 0, true FROM library UNION ALL SELECT 'LIST', 0, 1, false FROM library)
         SELECT name, CAST(sum(made) AS BIGINT) AS made, CAST(sum(received) AS BIGINT) AS received, bool_or(defined) AS defined FROM ends GROUP BY name""")
 add("duplicate_summary_orders", C.orders, lambda s: R.duplicate_summary(s),
-    f"""WITH {_ITEMS}, forms AS (SELECT k, '(paren head:part-' || p || repeat(' _atom', args) || ')' AS shape FROM items WHERE args >= 2
+    f"""WITH {_ITEMS}, forms AS (SELECT k, '(paren head:' || name || repeat(' _atom', args) || ')' AS shape FROM items WHERE args >= 2
         UNION ALL SELECT k, '(paren head:defun _atom (paren _atom _atom) ' || string_agg('(paren _atom' || repeat(' _atom', args) || ')', ' ' ORDER BY i) || ')' FROM items GROUP BY k),
         shapes AS (SELECT shape, count(*) AS n FROM forms GROUP BY shape HAVING count(*) >= 2) SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS forms, max(n) AS largest FROM shapes""")
 add("verify_after_rename_part", C.shop, lambda s: verify(s, "part-3", "piece-3", after=apply_edits(s, rewrite(s, "rename-symbol", from_="part-3", to="piece-3").select("file_id", F.explode("edits").alias("e")).select("file_id", "e.*"))),

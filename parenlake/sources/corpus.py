@@ -49,11 +49,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Common Lisp file for each order with items of the parts used: one
-    function that calls a function for each such item."""
-    items = _table(spark, sf_dir, "lineitem").filter("l_partkey % 10 < 7")
+    """A Common Lisp file for each order: one function that calls a function for
+    each of its items, which has a library file or, for spares, has none."""
+    items = _table(spark, sf_dir, "lineitem")
     number = F.col("l_quantity").cast("long").cast("string")
-    call = F.concat(F.lit("(part-"), F.col("l_partkey").cast("string"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("l_linenumber") % 3), lambda i: F.concat(F.lit(" "), number)), ""), F.lit(")"))
+    call = F.concat(F.when(F.col("l_partkey") % 10 < 7, "(part-").otherwise("(spare-"), F.col("l_partkey").cast("string"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("l_linenumber") % 3), lambda i: F.concat(F.lit(" "), number)), ""), F.lit(")"))
     # Texts are small but costly to parse: keep all partitions of this shuffle.
     dealt = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     body = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", call.alias("call")))).alias("calls"))
@@ -63,10 +63,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A library file for each part whose size is no multiple of five."""
+    """A library file for each part: a function, or a variable where its size is
+    a multiple of five."""
     key = F.col("p_partkey").cast("string")
-    text = F.concat(F.lit("(defun part-"), key, F.lit(" (x y)\n  (list x y))\n"))
-    return _table(spark, sf_dir, "part").filter("p_size % 5 <> 0").select((-1 - F.col("p_partkey")).alias("file_id"), F.concat(F.lit("parts/"), key, F.lit(".lisp")).alias("path"), F.lit("common-lisp").alias("dialect"), text.alias("text"))
+    text = F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("(defun part-"), key, F.lit(" (x y)\n  (list x y))\n"))).otherwise(F.concat(F.lit("(defvar stock-"), key, F.lit(" 0)\n")))
+    return _table(spark, sf_dir, "part").select((-1 - F.col("p_partkey")).alias("file_id"), F.concat(F.lit("parts/"), key, F.lit(".lisp")).alias("path"), F.lit("common-lisp").alias("dialect"), text.alias("text"))
 
 
 def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
