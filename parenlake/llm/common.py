@@ -2,6 +2,7 @@
 
 * ``stage``     writes a table to the folder all executors share and reads it
                 back: it cuts lineage, and a lost executor costs one reread.
+* ``bounded``   bounds what Python workers are handed at a time.
 * ``positions`` gives every row its exclusive running total inside its group,
                 in a fixed order, without ever putting a whole group into one
                 task.
@@ -11,6 +12,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -58,6 +60,26 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bytes of an Arrow batch, where the session does not say.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are bounded by bytes, for texts may be
+    long and both sides of a Python worker hold a batch. A bound that the
+    session sets itself stays."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def text_of(column: str | Column) -> Column:
     """The whole text; a null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -11,16 +11,20 @@ segments tolerate a difference is chosen for each band by its estimated cost.
 
 Two refinements keep frequent keys from pairing everything, without losing a
 link. Weights sum to H + 1 + e, so satisfied segments weigh e + 1 or more. A
-set leaves out empty segments without tolerance if they weigh e0 or less, and
-keys shared by many sets if these weigh e1 or less (e = e0 + e1); what one set
-of a linked pair leaves out is equal in both, so it weighs too little to hide
-all satisfied segments.
+set leaves out empty segments without tolerance if they weigh e0 or less (what
+one set of a linked pair leaves out is equal in both, so it weighs too little to
+hide all satisfied segments). And each set leaves out its most frequent keys, up
+to a weight of e1 = e - e0: of more than e1 keys that two sets share, the least
+frequent has at least e1 more frequent ones in either set, so both keep it.
 
 Copies are one class and stand in once. Of the sets that share a key, all are
 first verified against one of them and against one drawn at random; after that
-only pairs in different components are, unless parity sketches show that they differ too much (a sketch
-bit is the parity of the shingles hashed to it, so sets differ in at least as
-many shingles as their sketches in bits). Verification counts exact intersections of whole texts.
+only pairs in different components are, unless parity sketches show that they
+differ too much (a sketch bit is the parity of the shingles hashed to it, so
+sets differ in at least as many shingles as their sketches in bits). Sets of
+more shingles than a sketch has bits get a second one as wide as they need.
+Verification counts the intersections of whole texts, shingles taken as hashes
+of 64 bits.
 """
 
 from __future__ import annotations
@@ -36,15 +40,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import WORD, WordHashes, drop_stage, mix64, positions, raw_bytes, stage, text_of
+from parenlake.llm.common import WORD, WordHashes, bounded, drop_stage, mix64, positions, raw_bytes, release, stage, text_of
 from parenlake.llm.components import components
 
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 #: Longs of 64 bits in a parity sketch.
 SKETCH = 16
-#: A key shared by more sets than this is frequent.
-FREQUENT = 32
 
 
 @dataclass(frozen=True)
@@ -186,56 +188,78 @@ def frequent_slack(n: int, measure: Measure) -> int:
     return min((b.frequent_slack // (2 if b.loose else 1) for b in some), default=0)
 
 
-def sketch(sets: np.ndarray) -> list[int]:
-    """Parity sketch of a set, as signed longs."""
-    odd = np.bincount((sets >> np.uint64(54)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def parities(sets: np.ndarray, bits: int) -> np.ndarray:
+    """Parity sketch of a set, as bytes."""
+    odd = np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
 
 
-_WORDS = [f"s{k}" for k in range(SKETCH)]
+def wide_sketch(sets: np.ndarray) -> bytes | None:
+    """For a set too large for the common sketch: a bit or two a shingle."""
+    return parities(sets, 1 << (len(sets) - 1).bit_length()).tobytes() if len(sets) > 64 * SKETCH else None
 
 
-def digest(docs: DataFrame, measure: Measure) -> DataFrame:
-    """id, crc, n, h1, h2, s0.. of each document: its id, text hash, set size,
-    set name and sketch."""
+def unlike(a: bytes, b: bytes) -> int:
+    """In how many bits wide sketches differ; the wider is folded first."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            rows = [(len(s), *set_ids(s), *sketch(s)) for s in (shingles(t, measure.words, known) for t in raw_bytes(batch.column(2)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3 + SKETCH)]], names=["id", "crc", "n", "h1", "h2", *_WORDS])
 
-    return docs.mapInArrow(run, "id long, crc long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS))
+_WORDS = [f"s{k}" for k in range(SKETCH)]
 
 
-def signatures(docs: DataFrame, measure: Measure) -> DataFrame:
-    """key, h1: a row for each key of each set. A task signs a set once,
-    however many copies it reads."""
+def digest(docs: DataFrame, measure: Measure) -> DataFrame:
+    """id, crc, n, h1, h2, s0.., wide, keys of each document: its id, text hash,
+    set size, set name, sketches and keys. A task gives a set's keys once,
+    however many copies it reads; at other copies they are null."""
+    names = ["id", "crc", "n", "h1", "h2", *_WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = WordHashes(), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                keys, names, sizes = [np.zeros(0, np.uint64)], [], []
-                for text in raw_bytes(whole.column(2).slice(at, 512)):
+                batch = whole.slice(at, 512)
+                rows, wide, keys, ends = [], [], [np.zeros(0, np.uint64)], [0]
+                fresh = []
+                for text in raw_bytes(batch.column(2)):
                     sets = shingles(text, measure.words, known)
                     name = set_ids(sets)
-                    if name in done:
-                        continue
-                    if len(done) < 1_000_000:
-                        done.add(name)
-                    made = keys_of(sets, measure)
-                    keys.append(made)
-                    names.append(name[0])
-                    sizes.append(len(made))
-                all_ = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(all_.view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), np.array(sizes, np.int64)))], names=["key", "h1"])
-
-    return docs.mapInArrow(run, "key long, h1 long")
-
-
-def verify(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
-    """Of pairs(a, b) of classes, those that link; texts(node, packed)."""
+                    rows.append((len(sets), *name, *parities(sets, 64 * SKETCH).view(np.int64).tolist()))
+                    wide.append(wide_sketch(sets))
+                    fresh.append(name not in done)
+                    if fresh[-1]:
+                        if len(done) < 1_000_000:
+                            done.add(name)
+                        keys.append(keys_of(sets, measure))
+                    ends.append(ends[-1] + (len(keys[-1]) if fresh[-1] else 0))
+                flat = pa.array(np.concatenate(keys).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([not x for x in fresh]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3 + SKETCH)], pa.array(wide, pa.binary()), lists], names=[*names, "wide", "keys"])
+
+    return bounded(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", wide binary, keys array<long>")
+
+
+def screened(pairs: DataFrame, wide: DataFrame, measure: Measure) -> DataFrame:
+    """Of pairs(a, b), those that wide(node, n, wide) leaves room for. Pairs with
+    a member that has no wide sketch stay."""
+    one, two = (wide.select(F.col("node").alias(f"_{m}"), F.col("n").alias(f"n{m}"), F.col("wide").alias(f"w{m}")) for m in "ab")
+    both = pairs.join(two, F.col("b") == F.col("_b"), "left").drop("_b").join(one, F.col("a") == F.col("_a"), "left").select("a", "b", "na", "nb", "wa", "wb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [wa is None or wb is None or (measure.whole + measure.part) * unlike(wa, wb) <= (measure.whole - measure.part) * (na + nb) for na, nb, wa, wb in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stage(both.mapInArrow(run, "a long, b long"), "screened")
+
+
+def verify(pairs: DataFrame, wide: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """Of pairs(a, b) of classes, those that link; wide(node, n, wide) and
+    texts(node, packed)."""
+    pairs = screened(pairs, wide, measure)
     left = pairs.join(texts.select(F.col("node").alias("_b"), F.col("packed").alias("pb")), F.col("b") == F.col("_b")).drop("_b")
     both = left.join(texts.select(F.col("node").alias("_a"), F.col("packed").alias("pa")), F.col("a") == F.col("_a")).select("a", "b", "pa", "pb")
 
@@ -275,26 +299,29 @@ def class_texts(read: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFr
     return packed.join(wanted, (F.col("id") == F.col("_id")) & (F.col("crc") == F.col("_crc"))).groupBy("node").agg(F.min("packed").alias("packed"))
 
 
-def candidates(read: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
+def candidates(signed: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
     """key, node, n, hub, hub_n: classes that share a key, with its least one."""
     by_key, whole = Window.partitionBy("key").orderBy("h1"), Window.partitionBy("key")
-    met = signatures(read, measure).withColumn("_twin", F.coalesce(F.lag("h1").over(by_key) == F.col("h1"), F.lit(False)))
+    met = signed.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "h1").withColumn("_twin", F.coalesce(F.lag("h1").over(by_key) == F.col("h1"), F.lit(False)))
     met = met.withColumn("c", F.sum(F.when(F.col("_twin"), 0).otherwise(1)).over(whole)).filter("c > 1 AND NOT _twin").select("key", "h1", "c")
     met = stage(met, "met")
-    named = classes.select(F.col("h1").alias("_h"), "node", "n")
+    drop_stage(signed)
+    release(signed.sparkSession)
 
-    # Sets with few frequent keys leave these out.
-    often = met.filter(F.col("c") > FREQUENT).groupBy("h1").agg(F.count(F.lit(1)).alias("many")).join(named, F.col("h1") == F.col("_h"))
+    # Of its keys that others share, each set leaves out the most frequent.
+    named = classes.select(F.col("h1").alias("_h"), "node", "n")
     table = F.array(*[F.lit(frequent_slack(n, measure)) for n in range(1, 4096)])
     longer = F.floor(F.col("n") * (measure.whole - measure.part) / (4.0 * (measure.whole + measure.part))) - 2
     allowed = F.when(F.col("n") < 4096, F.get(table, (F.col("n") - 1).cast("int")).cast("long")).otherwise(longer)
-    light = often.filter(F.col("many") <= allowed).select(F.col("h1").alias("_light")).distinct()
-    kept = met.join(light, (F.col("h1") == F.col("_light")) & (F.col("c") > FREQUENT), "left_anti")
-    kept = kept.join(named, F.col("h1") == F.col("_h")).select("key", "node", "n")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("c").desc(), "key"))
+    kept = met.join(named, F.col("h1") == F.col("_h")).withColumn("_rank", rank).filter(F.col("_rank") > allowed).select("key", "node", "n")
+    kept = stage(kept, "kept")
+    drop_stage(met)
     least = kept.groupBy("key").agg(F.min(F.struct("node", "n")).alias("_hub"), F.max("node").alias("_top")).filter("_hub.node != _top")
     least = least.select(F.col("key").alias("_k"), F.col("_hub.node").alias("hub"), F.col("_hub.n").alias("hub_n"))
     out = stage(kept.join(least, F.col("key") == F.col("_k")).select("key", "node", "n", "hub", "hub_n"), "candidates")
-    drop_stage(met)
+    drop_stage(kept)
+    release(signed.sparkSession)
     return out
 
 
@@ -321,11 +348,11 @@ def keep_one(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_i
     gone = done.filter(F.col("first").isNotNull() & (F.struct("id", "crc") != F.col("first"))).select(F.col("id").alias("_id"), F.col("crc").alias("_crc")).distinct()
     keyed = docs.withColumn("_key", F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("crc")))
     kept = keyed.join(gone, (F.col("_key.id") == F.col("_id")) & (F.col("_key.crc") == F.col("_crc")), "left_anti")
-    stay = done.filter("n > 0").groupBy("id", "crc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    if stay.isEmpty():  # no row is there twice
-        return kept.select(*docs.columns)
-    once = F.when(text_of(text).rlike(WORD), F.lit("")).otherwise(F.uuid())
-    return kept.withColumn("_once", once).dropDuplicates(["_key", "_once"]).select(*docs.columns)
+    twice = done.filter("n > 0").groupBy("id", "crc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if not twice.isEmpty():  # some row is there twice
+        worded = text_of(text).rlike(WORD)
+        kept = kept.filter(worded).dropDuplicates(["_key"]).unionByName(kept.filter(~worded))
+    return kept.select(*docs.columns)
 
 
 def _near(measure: Measure) -> Column:
@@ -348,12 +375,15 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
     """id, crc, n, first of each document: ``first`` is the (id, crc) of the
     least member of its group, null without shingles."""
     content = text_of(text)
-    read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(content).alias("crc"), content.alias("text"))
-    digests = stage(digest(read, measure), "digests")
-    classes = stage(digests.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "crc")).alias("rep"), *[F.min(w).alias(w) for w in _WORDS]), "classes")
-    sketches = classes.select("h1", "h2", "n", *_WORDS)
-    classes = stage(positions(classes.drop(*_WORDS), [], ["h1", "h2", "n"], out="node"), "classes")
-    found = candidates(read, classes, measure)
+    read = bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(content).alias("crc"), content.alias("text"))
+    spark = docs.sparkSession
+    signed = stage(digest(read, measure), "signed")
+    digests = stage(signed.select("id", "crc", "n", "h1", "h2"), "digests")
+    sets = stage(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "crc")).alias("rep"), *[F.min(w).alias(w) for w in (*_WORDS, "wide")]), "sets")
+    sketches = sets.select("h1", "h2", "n", *_WORDS, "wide")
+    classes = stage(positions(sets.drop(*_WORDS, "wide"), [], ["h1", "h2", "n"], out="node"), "classes")
+    release(spark)
+    found = candidates(signed, classes, measure)
     fits = lambda x, y: measure.whole * F.least(x, y) >= measure.part * F.greatest(x, y)
 
     star = found.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
@@ -363,7 +393,9 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
     star = star.join(one, F.col("a") == F.col("node")).join(two, F.col("b") == F.col("_node"))
     star = stage(star.filter(_near(measure)).select("a", "b"), "pairs")
     texts = stage(class_texts(read, classes, found.select("node").distinct()), "texts")
-    links = stage(verify(star, texts, measure), "links")
+    wide = stage(classes.join(sketches.filter("wide IS NOT NULL"), ["h1", "h2", "n"]).select("node", "n", "wide"), "wide")
+    links = stage(verify(star, wide, texts, measure), "links")
+    release(spark)
 
     # What lies in different components of a key is compared with a member of
     # the key drawn at random, for each key another one; the rest in full.
@@ -379,11 +411,16 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
         met = open_.join(other, (F.col("key") == F.col("_key")) & apart & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & _near(measure))
         pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(stage(verify(pairs, texts, measure), "links"))
+        links = links.unionByName(stage(verify(pairs, wide, texts, measure), "links"))
         tried = tried.unionByName(pairs)
+        drop_stage(open_)
+        release(spark)
         if draw:
             parts = components(links)
     parts = components(links).withColumnRenamed("node", "_n")
+    for done in (found, texts, wide):
+        drop_stage(done)
+    release(spark)
 
     owned = classes.join(parts, F.col("node") == F.col("_n"), "left").withColumn("_part", F.coalesce("component", "node"))
     least = owned.groupBy("_part").agg(F.min("rep").alias("first")).withColumnRenamed("_part", "_p")
