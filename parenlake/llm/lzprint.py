@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import Rolling, mix64, text_of
+from parenlake.llm.common import Rolling, bounded, mix64, text_of
 
 #: Hashes in a signature.
 KEPT = 96
@@ -195,6 +195,6 @@ def edit_table(docs: DataFrame, rows_per_range: int = 1000, most_ranges: int = 2
                     now = (part, doc, text)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    dealt = docs.select("doc_id", text_of("text").alias("text")).mapInArrow(deal, "part int, ahead int, doc_id long, packed binary")
+    dealt = bounded(docs).select("doc_id", text_of("text").alias("text")).mapInArrow(deal, "part int, ahead int, doc_id long, packed binary")
     sorted_ = dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "packed")
     return sorted_.mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import positions, stage, text_of
+from parenlake.llm.common import bounded, positions, stage, text_of
 
 PIECE = "doc_id long, text_hash long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
@@ -139,7 +139,7 @@ def tokens_of(path: str) -> SegmentTokens:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, slack: int = 16) -> DataFrame:
     """Tokenize whole documents and cut them; a row for each piece."""
     plan = cuts(capacity, slack)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.xxhash64(text_of("text")).alias("text_hash"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.xxhash64(text_of("text")).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import Rolling, WordHashes, raw_bytes, text_of
+from parenlake.llm.common import Rolling, WordHashes, bounded, raw_bytes, text_of
 
 #: Statistics in the order in which ``statistics`` gives them.
 STATISTICS = ("words", "bytes_per_word", "upper", "digits", "symbols", "marks", "other", "distinct", "top_word", "dup_lines", "words_per_line", "repeats")
@@ -176,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     order of their ids. Null labels and held-out rows are left out."""
     usable = labels.select(F.col("doc_id").alias("_doc"), F.col("quality").alias("_quality")).filter(F.col("_quality").isNotNull() & F.col("_doc").isNotNull() & ~held_out(F.col("_doc")))
     sample = usable.orderBy(F.xxhash64(F.lit(settings.seed), "_doc"), "_doc", "_quality").limit(settings.train_rows)
-    texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"))
+    texts = bounded(docs).select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"))
+    # A repeated id counts once for each of its labels, so the bound holds.
+    texts = texts.groupBy("doc_id", "_quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, known = WordBuckets(settings.buckets), WordHashes()
@@ -195,24 +197,29 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 at 0.5 and above) of each whole
-    text. With ``keep``, the input's columns follow as they are under
-    ``_row``. Null and empty texts are scored by their statistics alone;
+    text. With ``keep``, the input's columns follow as c0, c1, .. of ``_row``,
+    in their order. Null and empty texts are scored by their statistics alone;
     repeated rows get equal scores; an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", text_of("text").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []))
+    columns = docs.columns if keep else ["doc_id", "text"]
+    at = [columns.index("doc_id"), columns.index("text")]
+    # Names that can't clash; each text travels once, inside its row.
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).alias("_row")
+    rows = bounded(docs).select(row)
     row_type = f", _row {rows.schema['_row'].dataType.simpleString()}" if keep else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, known = WordBuckets(model.settings.buckets), WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                made = list(features(raw_bytes(batch.column(1)), buckets, known))
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                doc_id, text = [batch.column(0).field(k) for k in at]
+                made = list(features(raw_bytes(text), buckets, known))
                 bins = binned(np.array([m[2] for m in made]), model.edges, model.settings)
                 index, value, starts = assemble([m[:2] for m in made], bins)
                 found = sigmoid(scores(index, value, starts, model)[0])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array(found), pa.array((found >= 0.5).astype(np.int32)), *batch.columns[2:]],
+                    [doc_id.cast(pa.int64()), pa.array(found), pa.array((found >= 0.5).astype(np.int32)), *([batch.column(0)] if keep else [])],
                     names=["doc_id", "score", "predicted", *(["_row"] if keep else [])],
                 )
 
