@@ -25,7 +25,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the factorisation machine rates below 0.5 go."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = score(docs, model, keep=True).filter("predicted = 1")
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities give way to surrogates; n_chars follows the text."""
-    done = replace(docs).select(*docs.columns)
+    done = replace(docs, counts=False)
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
