@@ -23,6 +23,7 @@ COMMANDS: list[tuple[str, dict, str, str, str, bool]] = [
     ("slurp-backward", {"path": "1"}, "n{k} (rest of it)", "(n{k} rest of it)", "(n{k} x)", True),
     ("barf-backward", {"path": "0"}, "(n{k} stays in)", "n{k} (stays in)", "n{k}", True),
     ("repair-unclosed-lists", {}, "(open (list n{k}", "(open (list n{k}))", "(whole n{k})", True),
+    ("format", {}, "(let ((box (find n{k})) (tag 1)) (send box tag))", "(let ((box (find n{k}))\n      (tag 1))\n  (send box tag))\n", "(list n{k}", True),
     ("insert-top-level", {"with_": "(added)"}, "(first n{k})\n", "(first n{k})\n\n(added)\n", "n{k})", True),
     ("replace-forms", {"paths": ["0.1", "0.3"], "with_": "(same)"}, "(list (a) n{k} (b))", "(list (same) n{k} (same))", "(n{k})", True),
     ("remove-definition", {"path": "0"}, "(defun gone-{k} () 1)\n(defun kept-{k} () 2)", "(defun kept-{k} () 2)", "(call n{k})", True),
