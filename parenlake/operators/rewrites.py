@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parenlake.functions.dialects import needle
 from parenlake.operators.nodes import nodes, parsed
 from parenlake.operators.reports import _UNUSED, dotted, impact, unused_definitions
+from parenlake.sources.corpus import discovered
 
 REWRITTEN = "file_id long, path string, dialect string, rewritten string, changed boolean, output_parse_ok boolean, refused string, input_hash string, output_hash string, edits array<struct<start:bigint,end:bigint,replacement:string>>"
 
@@ -73,12 +75,22 @@ def preview(sources: DataFrame, command: str = "rename-function", max_preview_by
     return done.withColumn("preview", F.substring("rewritten", 1, max_preview_bytes))
 
 
-def preview_policy(manifest: DataFrame, fail_on_no_change: bool = False, fail_on_parse_error: bool = True, require_changed_files: int | None = None, require_edits: int | None = None) -> DataFrame:
-    """One row: passed and violations."""
+def preview_policy(
+    manifest: DataFrame, fail_on_no_change: bool = False, fail_on_parse_error: bool = True, require_changed_files: int | None = None, require_edits: int | None = None,
+    target: str | None = None, sources: DataFrame | None = None,
+) -> DataFrame:
+    """One row: passed and violations. With ``target`` and the sources, a name
+    that something has already is a violation too (target-conflict)."""
     facts = manifest.agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("output_parse_ok")).alias("bad"), F.coalesce(F.sum(F.size("edits")), F.lit(0)).alias("edits"))
+    if target is not None and sources is not None:
+        taken = nodes(sources, "def_needle").agg(F.count_if(F.col("def_needle") == needle(target)).alias("taken"))
+    else:
+        taken = manifest.sparkSession.range(1).select(F.lit(0).alias("taken"))
+    facts = facts.crossJoin(taken)  # one row by one row
     said = F.array_compact(F.array(
         F.when(F.lit(fail_on_no_change) & (F.col("changed") == 0), "no-change"),
         F.when(F.lit(fail_on_parse_error) & (F.col("bad") > 0), "parse-error"),
+        F.when(F.col("taken") > 0, "target-conflict"),
         F.when(F.lit(require_changed_files is not None) & (F.col("changed") < (require_changed_files or 0)), "changed-files"),
         F.when(F.lit(require_edits is not None) & (F.col("edits") < (require_edits or 0)), "edits"),
     ))
@@ -93,25 +105,35 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REWRITTEN + ", preview string").json(path)
 
 
-def check_manifest(manifest: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each file of the manifest: fresh, stale (its text changed) or missing."""
+def manifest_hash(manifest: DataFrame) -> str:
+    """What a manifest says, in 16 digits, whatever the order of its files."""
+    mark = manifest.agg(F.sum(F.xxhash64("path", "input_hash", "output_hash", "changed").cast("decimal(38,0)")).alias("s")).first()["s"]
+    return f"{int(mark or 0) % (1 << 64):016x}"
+
+
+def check_manifest(manifest: DataFrame, sources: DataFrame, expect_hash: str | None = None, root: str | None = None) -> DataFrame:
+    """Each file of the manifest: fresh, stale (its text changed), missing, or
+    outside of ``root``. A manifest that is not the expected one is an error."""
+    if expect_hash is not None and manifest_hash(manifest) != expect_hash:
+        raise ValueError("the manifest is not the one expected")
     now = hashed(sources).select("path", F.col("hash").alias("_now"))
     joined = manifest.join(now, "path", "left")
-    status = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("input_hash"), "stale").otherwise("fresh")
+    outside = ~F.startswith(F.col("path"), F.lit(root.rstrip("/") + "/")) if root is not None else F.lit(False)
+    status = F.when(outside, "outside").when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("input_hash"), "stale").otherwise("fresh")
     return joined.select("path", status.alias("status"), "changed", "output_parse_ok", F.col("output_hash"))
 
 
-def manifest_status(manifest: DataFrame, sources: DataFrame) -> DataFrame:
+def manifest_status(manifest: DataFrame, sources: DataFrame, **identity: object) -> DataFrame:
     """One row: the next safe action."""
-    facts = check_manifest(manifest, sources).agg(F.count_if(F.col("status") != "fresh").alias("stale"), F.count_if(~F.col("output_parse_ok")).alias("bad"), F.count_if("changed").alias("changed"))
+    facts = check_manifest(manifest, sources, **identity).agg(F.count_if(F.col("status") != "fresh").alias("stale"), F.count_if(~F.col("output_parse_ok")).alias("bad"), F.count_if("changed").alias("changed"))
     action = F.when(F.col("stale") > 0, "preview-again").when(F.col("bad") > 0, "fix-refusals").when(F.col("changed") == 0, "nothing-to-do").otherwise("apply")
     return facts.withColumn("action", action)
 
 
-def apply_manifest(manifest: DataFrame, sources: DataFrame, path: str) -> None:
+def apply_manifest(manifest: DataFrame, sources: DataFrame, path: str, **identity: object) -> None:
     """Write the rewritten corpus as a new version, if nothing is stale or
-    refused."""
-    state = manifest_status(manifest, sources).first()
+    refused and the manifest is the one expected."""
+    state = manifest_status(manifest, sources, **identity).first()
     if state["action"] != "apply":
         raise ValueError(f"not applied: {state['action']}")
     new = manifest.select("path", F.col("rewritten").alias("_new"))
@@ -167,11 +189,29 @@ def verify(before: DataFrame, symbol: str, new_symbol: str | None = None, operat
     return old.unionByName(new.select(F.lit("new-symbol-present").alias("check"), (F.col("definitions") > 0).alias("passed"))).unionByName(new.select(F.lit("arity-compatible").alias("check"), (F.col("signature_mismatches") == 0).alias("passed")))
 
 
-def workspace_execute(sources: DataFrame, from_: str, to: str, path: str | None = None) -> DataFrame:
+def workspace_plan(files: DataFrame, root: str, symbol: str, operation: str = "rename", require_definitions: int = 1, require_references: int = 0, **discovery: object) -> DataFrame:
+    """``plan`` over the files that discovery keeps below a root."""
+    return plan(discovered(files, root, **discovery), symbol, operation, require_definitions, require_references)
+
+
+def workspace_preview(files: DataFrame, root: str, from_: str, to: str, mode: str = "function", max_preview_bytes: int = 160, **discovery: object) -> DataFrame:
+    """``preview`` of a rename over the files that discovery keeps."""
+    return preview(discovered(files, root, **discovery), _renaming(mode), max_preview_bytes, from_=from_, to=to)
+
+
+def _renaming(mode: str) -> str:
+    if mode not in ("symbol", "function"):
+        raise ValueError(f"no mode {mode}")
+    return f"rename-{mode}"
+
+
+def workspace_execute(sources: DataFrame, from_: str, to: str, path: str | None = None, mode: str = "symbol", fail_on_target_conflict: bool = False, **policy: object) -> DataFrame:
     """Preview, gates, pre-check, write (with a path) and post-check: a row for
-    each step. Without a path nothing is written."""
-    manifest = preview(sources, "rename-symbol", from_=from_, to=to)
-    passed = preview_policy(manifest).first()["passed"]
+    each step. Without a path nothing is written. ``policy`` goes to
+    ``preview_policy``."""
+    manifest = preview(sources, _renaming(mode), from_=from_, to=to)
+    more = {"target": to, "sources": sources} if fail_on_target_conflict else {}
+    passed = preview_policy(manifest, **policy, **more).first()["passed"]
     ready = plan(sources, from_).first()["decision"] == "automatic"
     steps = [("preview", passed), ("pre-verify", ready)]
     if path is not None and passed and ready:
@@ -196,9 +236,15 @@ def remove_unused(sources: DataFrame, include_protected: bool = False, include_e
     return joined.select("file_id", "path", "name", "category", reason.alias("skipped"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.lit("").alias("replacement"))
 
 
-def move_forms(sources: DataFrame, from_path: str, to_path: str, paths: list[str] | None = None, names: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
-    """Sources with top-level forms of one file moved to the end of another:
-    move-definition, move-form and split-file."""
+def move_forms(
+    sources: DataFrame, from_path: str, to_path: str, paths: list[str] | None = None, names: list[str] | None = None, categories: list[str] | None = None,
+    insert: str = "append", anchor_path: str | None = None,
+) -> DataFrame:
+    """Sources with top-level forms of one file moved to another: move-definition,
+    move-form and split-file. They are appended, or put before or after the
+    top-level form at ``anchor_path``; without such a form nothing moves."""
+    if insert not in ("append", "before", "after") or (insert == "append") != (anchor_path is None):
+        raise ValueError("insert is append, or before or after an anchor_path")
     table = nodes(sources.filter(F.col("path") == from_path), "depth path def_name category span_start span_end").filter("depth = 1")
     wanted = F.lit(False)
     for column, some in ((dotted(F.col("path")), paths), (F.col("def_name"), names), (F.col("category"), categories)):
@@ -206,8 +252,16 @@ def move_forms(sources: DataFrame, from_path: str, to_path: str, paths: list[str
             wanted = wanted | column.isin(*some)
     picked = table.filter(wanted).join(sources.select("file_id", F.col("text").cast("binary").alias("_b")), "file_id")
     picked = picked.withColumn("form", F.substring("_b", (F.col("span_start") + 1).cast("int"), (F.col("span_end") - F.col("span_start")).cast("int")).cast("string"))
+    target = sources.filter(F.col("path") == to_path)
+    if insert == "append":
+        place = target.select("file_id", F.octet_length("text").cast("long").alias("at"))
+        before, after = "\n", "\n"
+    else:
+        anchor = nodes(target, "depth path span_start span_end").filter((F.col("depth") == 1) & (dotted(F.col("path")) == anchor_path))
+        place = anchor.select("file_id", F.col("span_start" if insert == "before" else "span_end").alias("at"))
+        before, after = ("", "\n\n") if insert == "before" else ("\n\n", "")
+    forms = picked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_start", "form"))), lambda x: x["form"]), "\n\n").alias("forms"), F.count(F.lit(1)).alias("n")).filter("n > 0")
+    put = place.crossJoin(forms).select("file_id", F.col("at").alias("start"), F.col("at").alias("end"), F.concat(F.lit(before), "forms", F.lit(after)).alias("replacement"))  # one row by one row
     cut = picked.select("file_id", F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.lit("").alias("replacement"))
-    target = sources.filter(F.col("path") == to_path).select("file_id", F.octet_length("text").cast("long").alias("at"))
-    moved = picked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_start", "form"))), lambda x: x["form"]), "\n\n").alias("forms"), F.count(F.lit(1)).alias("n")).filter("n > 0")
-    put = target.crossJoin(moved).select("file_id", F.col("at").alias("start"), F.col("at").alias("end"), F.concat(F.lit("\n"), "forms", F.lit("\n")).alias("replacement"))  # one row by one row
+    cut = cut.join(put.select(F.lit(True).alias("_there")).limit(1), F.lit(True), "left_semi")  # a single row
     return apply_edits(sources, cut.unionByName(put))

@@ -18,16 +18,20 @@ def dialect_column(path: Column) -> Column:
 
 
 def from_files(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
-    """All files under the paths, each a row; text is null if it isn't UTF-8."""
+    """All files under the paths, each a row; text is null if it isn't UTF-8.
+    ``ordinal`` is the place of a file named itself among the paths, null for
+    files found in folders."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(paths).select("path", "content", F.col("length").alias("bytes"))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select(F.xxhash64("path").alias("file_id"), "path", dialect_column(F.col("path")).alias("dialect"), text.alias("text"), "bytes")
+    bare = lambda path: F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    named = F.array_position(F.array(*[bare(F.lit(p)) for p in paths]), bare(F.col("path")))
+    return files.select(F.xxhash64("path").alias("file_id"), "path", dialect_column(F.col("path")).alias("dialect"), text.alias("text"), "bytes", F.when(named > 0, named - 1).alias("ordinal"))
 
 
-def workspace(files: DataFrame, root: str, include_unknown: bool = False, include_hidden: bool = False, include_generated: bool = False, exclude: tuple[str, ...] = (), max_depth: int | None = None) -> DataFrame:
+def workspace(files: DataFrame, root: str, include_unknown: bool = False, include_hidden: bool = False, include_generated: bool = False, exclude: tuple[str, ...] = (), max_depth: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
     """Files with the reason for which discovery skips them (null: kept)."""
     relative = F.regexp_replace(F.expr(f"substring(path, {len(root) + 1})"), "^/", "")
     parts = F.split(relative, "/")
@@ -36,6 +40,7 @@ def workspace(files: DataFrame, root: str, include_unknown: bool = False, includ
         out = out | (relative == prefix) | relative.startswith(prefix.rstrip("/") + "/")
     reason = (
         F.when(out, "excluded")
+        .when(F.lit(max_file_bytes is not None) & (F.octet_length("text") > F.lit(max_file_bytes or 0)), "too-large")
         .when(F.lit(max_depth is not None) & (F.size(parts) > F.lit((max_depth or 0) + 1)), "too-deep")
         .when(F.lit(not include_hidden) & F.exists(parts, lambda p: p.startswith(".")), "hidden")
         .when(F.lit(not include_generated) & F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(g) for g in GENERATED])), "generated")
@@ -44,6 +49,26 @@ def workspace(files: DataFrame, root: str, include_unknown: bool = False, includ
     return files.dropDuplicates(["path"]).withColumn("skipped", reason)
 
 
+def discovered(files: DataFrame, root: str, **discovery: object) -> DataFrame:
+    """The files that discovery keeps."""
+    return workspace(files, root, **discovery).filter("skipped IS NULL").drop("skipped")
+
+
+def skipped_summary(files: DataFrame) -> DataFrame:
+    """How many files of ``workspace`` are kept (null) or skipped, by reason."""
+    return files.groupBy("skipped").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
+
+
+def quota(files: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """One row: files and bytes that discovery keeps, and whether they lie within
+    the limits; nothing is dropped."""
+    facts = files.filter("skipped IS NULL").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
+    said = F.array_compact(F.array(
+        F.when(F.lit(max_files is not None) & (F.col("files") > F.lit(max_files or 0)), "files"), F.when(F.lit(max_bytes is not None) & (F.col("bytes") > F.lit(max_bytes or 0)), "bytes")
+    ))
+    return facts.select("files", "bytes", said.alias("violations"), (F.size(said) == 0).alias("passed"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

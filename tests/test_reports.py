@@ -8,7 +8,7 @@ from parenlake.operators import rewrites as W
 from parenlake.operators.nodes import comments, nodes
 from parenlake.operators.similarity import similarity, similarity_summary
 from parenlake.plans.registry import QUERIES
-from parenlake.sources.corpus import bindings, dialect_column, from_files, workspace
+from parenlake.sources.corpus import bindings, dialect_column, from_files, quota, skipped_summary, workspace
 
 SCHEMA = "file_id long, path string, dialect string, text string"
 
@@ -107,6 +107,8 @@ def test_workspace_check_and_discovery(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("(defun f ())")
     files = from_files(spark, [str(tmp_path)])
+    named = from_files(spark, [f"{tmp_path}/notes.txt", f"file://{tmp_path}/a.lisp"])
+    assert {r.path.rsplit("/", 1)[-1]: r.ordinal for r in named.collect()} == {"notes.txt": 0, "a.lisp": 1}
     found = {r.path.rsplit("/", 1)[-1]: r.skipped for r in workspace(files, f"file:{tmp_path}", exclude=("skip",)).collect()}
     assert found["a.lisp"] is None and found["notes.txt"] == "unknown" and found["c.lisp"] == "generated" and found["d.lisp"] == "excluded"
 
@@ -186,6 +188,36 @@ def test_manifest_lifecycle(spark, tmp_path):
     moved = {r.path: r.text for r in W.move_forms(s, "core.lisp", "init.el", names=["ledger"]).collect()}
     assert "ledger" not in moved["core.lisp"] and moved["init.el"].endswith("(defun ledger () (+ (freight 3 4) 1))\n")
     assert W.plan(s, "missing").first().decision == "manual"
+    mark = W.manifest_hash(again)
+    assert W.manifest_hash(again.orderBy(F.desc("path"))) == mark and W.check_manifest(again, s, expect_hash=mark).count() == 2
+    with pytest.raises(ValueError, match="expected"):
+        W.check_manifest(again, s, expect_hash="0" * 16)
+    assert {r.status for r in W.check_manifest(again, s, root="elsewhere").collect()} == {"outside"}
+
+
+def test_moves_to_an_anchor(spark):
+    s = sources(spark, ("a.lisp", "(defun one () 1)\n(defun two () 2)\n"), ("b.lisp", "(first)\n(second)\n"))
+    at = lambda **more: {r.path: r.text for r in W.move_forms(s, "a.lisp", "b.lisp", names=["one"], **more).collect()}["b.lisp"]
+    assert at(insert="before", anchor_path="1") == "(first)\n(defun one () 1)\n\n(second)\n"
+    assert at(insert="after", anchor_path="0") == "(first)\n\n(defun one () 1)\n(second)\n"
+    stays = {r.path: r.text for r in W.move_forms(s, "a.lisp", "b.lisp", names=["one"], insert="after", anchor_path="9").collect()}
+    assert stays == {r.path: r.text for r in s.collect()}
+    with pytest.raises(ValueError):
+        W.move_forms(s, "a.lisp", "b.lisp", names=["one"], insert="before")
+
+
+def test_workspace_commands(spark):
+    s = sources(spark, ("w/a.lisp", FREIGHT[0][1]), ("w/build/b.lisp", FREIGHT[0][1]), ("w/c.txt", "x"))
+    assert W.workspace_plan(s, "w", "freight").first().decision == "automatic"
+    manifest = W.workspace_preview(s, "w", "freight", "haulage")
+    assert [r.path for r in manifest.collect()] == ["w/a.lisp"] and "haulage" in manifest.first().rewritten
+    steps = {r.step: r.passed for r in W.workspace_execute(s.filter("path = 'w/a.lisp'"), "freight", "ledger", mode="function", fail_on_target_conflict=True).collect()}
+    assert steps == {"preview": False, "pre-verify": True}
+    with pytest.raises(ValueError, match="mode"):
+        W.workspace_preview(s, "w", "freight", "haulage", mode="all")
+    kept = workspace(s, "w", include_unknown=True, max_file_bytes=10)
+    assert {r.skipped: r.files for r in skipped_summary(kept).collect()} == {"too-large": 2, None: 1}
+    assert quota(kept, max_files=1).first().passed and quota(kept, max_bytes=0).first().violations == ["bytes"]
 
 
 def test_overlapping_edits_are_an_error(spark):
