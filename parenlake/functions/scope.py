@@ -171,6 +171,21 @@ def local_atoms(tree: Tree) -> set[int]:
     return found
 
 
+def captured(tree: Tree, k: int, found: list[int], value: int | None) -> bool:
+    """Whether a name in ``value`` would be bound by a form between ``k`` and one
+    of the atoms that the value is to replace."""
+    if value is None:
+        return False
+    free = {tree.symbol(c) for c in tree.subtree(value) if tree.nodes[c].kind == "atom"}
+    binders = {outer for c in found for outer in ancestors(tree, c) if outer > k}
+    for outer in binders:
+        head = tree.head(outer)
+        if head and operator_key(head) in ("let", "let*", "lambda", "dolist", "dotimes", "do", "do*") and len(tree.nodes[outer].children) > 1:
+            if free & {tree.symbol(x) for x in names_in(tree, tree.nodes[outer].children[1])}:
+                return True
+    return False
+
+
 def lets(tree: Tree) -> list[dict]:
     """A row for each binding of each let form that is evaluated."""
     rows = []
@@ -187,17 +202,20 @@ def lets(tree: Tree) -> list[dict]:
             plain = tree.nodes[target].kind == "atom"
             name = tree.text(target)
             later = [v for _, v in pairs[i + 1 :] if v is not None] if in_turn else []
-            count = len(references(tree, later + node.children[2:], tree.symbol(target))) if plain else 0
+            used = references(tree, later + node.children[2:], tree.symbol(target)) if plain else []
+            count = len(used)
             value_text = tree.text(value) if value is not None else "nil"
-            atom = value is None or tree.nodes[value].kind == "atom"
+            special = tree.dialect == "common-lisp" and len(name) > 2 and name[0] == name[-1] == "*"
             risks = [
                 risk
                 for risk, there in (
                     ("multiple-bindings", len(pairs) > 1),
                     ("unsupported-binding-name", not plain),
-                    ("possible-dynamic-variable-rebind", plain and len(name) > 2 and name[0] == name[-1] == "*"),
-                    ("unused-binding", plain and count == 0),
-                    ("duplicate-evaluation", plain and count > 1 and not atom),
+                    ("possible-dynamic-variable-rebind", count == 0 and special),
+                    ("unused-binding", count == 0 and not special),
+                    ("duplicate-evaluation", count > 1),
+                    ("capture", captured(tree, k, used, value)),
+                    ("unsupported-by-inline-let", len(pairs) != 1 or len(node.children) < 3),
                 )
                 if there
             ]

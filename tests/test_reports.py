@@ -156,6 +156,13 @@ def test_duplicates_lets_similarity(spark):
         similarity(rows, 2.0)
 
 
+def test_risks_of_let_bindings(spark):
+    text = "(let ((crate hook)) (let ((hook 1)) (list hook crate)))\n(let ((*level* 2)) (pour))\n(let ((a 1) (b 2)) (+ a b))\n(let ((k 1)) (+ k k))"
+    got = {r.name: r.risks for r in R.lets(sources(spark, ("a.lisp", text))).collect()}
+    assert got["crate"] == "capture" and got["*level*"] == "possible-dynamic-variable-rebind" and got["k"] == "duplicate-evaluation"
+    assert got["a"] == got["b"] == "multiple-bindings,unsupported-by-inline-let" and got["hook"] == ""
+
+
 def test_similarity_of_all_suppliers(spark, tmp_path):
     keys = [1, 2, 3, 58, 59, 60, 61, 62, 100, 1000]
     spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
