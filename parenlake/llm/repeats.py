@@ -9,16 +9,16 @@ only documents that hold such are looked at word by word.
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import Rolling, WordHashes, drop_stage, minimizers, mix64, positions, raw_bytes, stage, text_of
+from parenlake.llm.common import Rolling, WordHashes, bounded, drop_stage, minimizers, mix64, positions, raw_bytes, release, stage, text_of
 
 #: Bits of a location that hold the word's place in its document.
 PLACE = 28
@@ -26,18 +26,68 @@ PLACE = 28
 ONE, AGAIN = 0, -1
 
 MET = "h long, loc long, len int"
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are done."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Occurrences that a task merges at a time, about.
+MERGED = 500_000
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
     """rid, doc_id, text of each document; a null text is empty."""
     text = text_of("text")
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return bounded(docs).select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+
+def opened(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rid, doc_id, n_words, kept_sha256, ord, spots, packed of every document:
+    number and hash of all its words, and of a suspect also the text.
+
+    Texts are shuffled once, compressed, to meet ``known``; staged, so that
+    later steps read and move the texts of suspects alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            sizes, digests, packed = [], [], []
+            for text in raw_bytes(batch.column(2)):
+                words = text.split()
+                sizes.append(len(words))
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                packed.append(squeeze.compress(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(packed, pa.binary())], names=["rid", "doc_id", "n_words", "kept_sha256", "packed"])
+
+    packed = rows.mapInArrow(run, "rid long, doc_id long, n_words long, kept_sha256 string, packed binary")
+    joined = packed.join(known.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
+    return stage(joined.select("rid", "doc_id", "n_words", "kept_sha256", "ord", "spots", F.when(F.col("ord").isNotNull(), F.col("packed")).alias("packed")), "opened")
+
+
+def without(documents: DataFrame, runs: DataFrame, spans: Callable[[list[dict]], list[tuple[int, int]]], extra: str | None = None, also: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of documents(``opened``) without
+    the words of runs(rid, runs); ``spans`` gives the sorted stretches of words,
+    none overlapping, of a document's runs. ``extra`` names a column for these,
+    as start:end joined by commas; ``also`` a number in ``runs`` to pass on, 0
+    for documents without runs."""
+    more = [*([f"{also} long"] if also else []), *([f"{extra} string"] if extra else [])]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *[x.split()[0] for x in more]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            removed, digests, texts = [], [], []
+            for digest, packed, found in zip(*[batch.column(k).to_pylist() for k in range(2, 5)], strict=True):
+                some = spans(found) if found else []
+                if some:
+                    words, kept, last = expand.decompress(packed).split(), [], 0
+                    for start, end in some:
+                        kept += words[last:start]
+                        last = end
+                    digest = hashlib.sha256(b" ".join([*kept, *words[last:]])).hexdigest()
+                removed.append(sum(end - start for start, end in some))
+                digests.append(digest)
+                texts.append(",".join(f"{a}:{b}" for a, b in some))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(digests, pa.string()), *batch.columns[5:], *([pa.array(texts, pa.string())] if extra else [])], names=names)
+
+    joined = documents.join(runs.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
+    passed = [F.coalesce(F.col(also), F.lit(0)).cast("long").alias(also)] if also else []
+    return joined.select("doc_id", "n_words", "kept_sha256", "packed", "runs", *passed).mapInArrow(run, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string", *more]))
 
 
 def packed_rows(rows: DataFrame) -> DataFrame:
@@ -91,21 +141,27 @@ def anchors(rows: DataFrame, k: int, w: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        hs, rs, ps = [], [], []
+
+        def merged() -> pa.RecordBatch:
+            h, r, p, n = met_arrays(np.concatenate(hs), np.concatenate(rs), np.concatenate(ps))
+            for some in (hs, rs, ps):
+                some.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r), pa.array(p.astype(np.int32)), pa.array(n)], names=["h", "rid", "place", "len"])
+
         for batch in batches:
-            hs, rs, ps = [], [], []
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                for rid, text in zip(part.column(0).to_pylist(), raw_bytes(part.column(1)), strict=True):
-                    words = text.split()
-                    if len(words) >= k + w - 1:
-                        kmers = Rolling(known.of(words)).windows(k)
-                        at = minimizers(kmers, w)
-                        hs.append(kmers[at])
-                        rs.append(np.full(len(at), rid, np.int64))
-                        ps.append(at.astype(np.int64))
-            if hs:
-                h, r, p, n = met_arrays(np.concatenate(hs), np.concatenate(rs), np.concatenate(ps))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r), pa.array(p.astype(np.int32)), pa.array(n)], names=["h", "rid", "place", "len"])
+            for rid, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
+                words = text.split()
+                if len(words) >= k + w - 1:
+                    kmers = Rolling(known.of(words)).windows(k)
+                    at = minimizers(kmers, w)
+                    hs.append(kmers[at])
+                    rs.append(np.full(len(at), rid, np.int64))
+                    ps.append(at.astype(np.int64))
+            if sum(map(len, hs)) >= MERGED:
+                yield merged()
+        if hs:
+            yield merged()
 
     return rows.select("rid", "text").mapInArrow(run, "h long, rid long, place int, len int")
 

@@ -3,11 +3,14 @@
 Of all suffixes of the corpus, only those that start at content-selected
 minimizer positions are retained: any ``least`` words hold one whose first
 ``HEAD`` words lie within. Two passages of ``least`` equal words therefore
-retain equal suffixes. Retained suffixes are sorted by head, what follows and
-what precedes; those of one head are compared in every stretch of ``least``
-words around it, by the words before and after taken together. Neighbours alone
-would not do: the suffix that shares most after the head need not be the one
-that shares enough on both sides. Equal stretches mark their passages.
+retain equal suffixes. Suffixes that repeat with all the words around them that
+can matter are found by a hash of these and need no comparison. The others
+are, where their head stands in other surroundings too: they are sorted by head,
+what follows and what precedes, and those of one head are compared in every
+stretch of ``least`` words around it, by the words before and after taken
+together. Neighbours alone would not do: the suffix that shares most after the
+head need not be the one that shares enough on both sides. Equal stretches mark
+their passages.
 
 A suffix carries the words around its head as far as they can matter: with
 ``least - HEAD`` words on either side, every stretch of ``least`` words that
@@ -16,64 +19,97 @@ uses this suffix is decided; longer passages hold more retained suffixes.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parenlake.llm.common import Rolling, WordHashes, drop_stage, mix64, stage
-from parenlake.llm.repeats import AGAIN, MET, ONE, PLACE, met_again, packed_rows, paths, places, release, rows_of, suspects
+from parenlake.llm.repeats import AGAIN, MERGED, MET, ONE, PLACE, met_again, opened, paths, places, release, rows_of, suspects, without
 
 #: Words by which suffixes are matched before they are sorted and extended.
 HEAD = 26
 #: Stands for the location of a suffix whose copies are already marked.
 NOWHERE = -1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-SUFFIX = "head long, after binary, before binary, loc long, len int"
+SUFFIX = "h long, head long, loc long, len int, size int"
 
 
-def suffixes(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
-    """Retained suffixes of suspect documents (len 0), and the stretches that a
-    batch holds twice with all their surroundings (len in words)."""
+def suffixes(documents: DataFrame, least: int) -> DataFrame:
+    """Retained suffixes of suspect documents: h names a suffix's head and all
+    the words around it that can matter, size says how many words that is.
+
+    A task gives suffixes it holds twice as stretches to mark (loc, len) and one
+    ``AGAIN`` row for the rest of the corpus. ``loc`` is a head's place."""
+    side = least - HEAD
+    names = [part.split()[0] for part in SUFFIX.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, expand = WordHashes(), zstandard.ZstdDecompressor()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> pa.RecordBatch:
+            h, head, loc, left, size = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            unique, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            once, more = count[inverse] == 1, first[count > 1]
+            again = ~once
+            zero = np.zeros(int(again.sum()), np.int64)
+            spread = mix64((loc[again] - left[again]).view(np.uint64))
+            columns = (
+                np.concatenate([h[once], spread, h[more]]).view(np.int64),
+                np.concatenate([head[once].view(np.int64), zero, head[more].view(np.int64)]),
+                np.concatenate([loc[once], loc[again] - left[again], loc[more]]),
+                np.concatenate([np.full(int(once.sum()), ONE), size[again], np.full(len(more), AGAIN)]).astype(np.int32),
+                np.concatenate([size[once], size[again], size[more]]).astype(np.int32),
+            )
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        for batch in batches:
+            for packed, order, spots in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                rolling = Rolling(hashes.of(expand.decompress(packed).split()))
+                at = places(spots)
+                start, end = np.maximum(at - side, 0), np.minimum(at + least, rolling.n)
+                around = mix64(rolling.spans(start, end) + (at - start).astype(np.uint64) * _STEP)
+                held.append((around, rolling.windows(HEAD)[at], order << PLACE | at, at - start, end - start))
+            if sum(len(x[0]) for x in held) >= MERGED:
+                yield merged()
+        if held:
+            yield merged()
+
+    return documents.filter("ord IS NOT NULL").select("packed", "ord", "spots").mapInArrow(run, SUFFIX)
+
+
+def with_contexts(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """head, after, before, loc of the suffixes wanted(ord, some [(place, alone)]):
+    the words after and before their heads, as 32 bits each. Those that are
+    not alone are marked already, so they go without their place."""
     side = least - HEAD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, expand = WordHashes(), zstandard.ZstdDecompressor()
         for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
-                met: dict[tuple, list[int]] = {}
-                for packed, order, spots in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+            for first in range(0, whole.num_rows, 200):
+                out: list[list] = [[], [], [], []]
+                for packed, order, some in zip(*[whole.column(c).slice(first, 200).to_pylist() for c in range(3)], strict=True):
                     value = hashes.of(expand.decompress(packed).split())
-                    heads = Rolling(value).windows(HEAD)
-                    at = places(spots)
+                    heads = Rolling(value).windows(HEAD).view(np.int64)
                     word = (value >> np.uint64(32)).astype(">u4").tobytes()
                     back = (value[::-1] >> np.uint64(32)).astype(">u4").tobytes()
                     n = len(value)
-                    for p, head in zip(at.tolist(), heads[at].view(np.int64).tolist(), strict=True):
-                        after = word[4 * (p + HEAD) : 4 * (p + least)]
-                        before = back[4 * (n - p) : 4 * (n - p + side)]
-                        met.setdefault((head, after, before), []).append(order << PLACE | p)
-                out: list[tuple] = []
-                for (head, after, before), locs in met.items():
-                    if len(locs) == 1:
-                        out.append((head, after, before, locs[0], 0))
-                    else:
-                        left, length = len(before) // 4, len(before) // 4 + HEAD + len(after) // 4
-                        out.append((head, after, before, NOWHERE, 0))
-                        if length >= least:
-                            out.extend((loc, None, None, loc - left, length) for loc in locs)
-                        else:
-                            out.extend((head, after, before, loc, 0) for loc in locs)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()))], names=["head", "after", "before", "loc", "len"])
-
-    joined = packed_rows(rows).join(known.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"))
-    return joined.select("packed", "ord", "spots").mapInArrow(run, SUFFIX)
+                    for x in some:
+                        p = x["place"]
+                        row = heads[p], word[4 * (p + HEAD) : 4 * (p + least)], back[4 * (n - p) : 4 * (n - p + side)], order << PLACE | p if x["alone"] else NOWHERE
+                        for column, made in zip(out, row, strict=True):
+                            column.append(made)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["head", "after", "before", "loc"])
+
+    joined = documents.filter("ord IS NOT NULL").join(wanted.withColumnRenamed("ord", "_ord"), F.col("ord") == F.col("_ord"))
+    return joined.select("packed", "ord", "some").mapInArrow(run, "head long, after binary, before binary, loc long")
 
 
 def contexts(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,28 +203,46 @@ def repeats(kept: DataFrame, parts: int, least: int, block: int = 50_000) -> Dat
     return made.filter("len > 0").select("loc", "len").unionByName(met)
 
 
-def spans(docs: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Packed rows of all documents, and rid, runs [(place, len)] of those with
-    a repeated passage."""
+def passages(docs: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
+    """``opened`` documents, and rid, runs [(place, len)] of those with a
+    repeated passage."""
     if least < HEAD + 2:
         raise ValueError(f"least must be {HEAD + 2} or more")
+    spark = docs.sparkSession
     rows = rows_of(docs)
     known = suspects(rows, HEAD, least - HEAD + 1)
-    made = stage(suffixes(rows, known, least), "suffixes")
-    release(docs.sparkSession)
-    kept = made.filter("len = 0").select("head", "after", "before", "loc")
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(kept.count() / 50_000))
-    found = made.filter("len > 0").select("loc", "len")
-    found = found.unionByName(repeats(kept, parts, least))
-    release(docs.sparkSession)
-    runs = paths(found, known, "passages")
-    drop_stage(made)
-    release(docs.sparkSession)
-    return packed_rows(rows), runs
+    documents = opened(rows, known)
+    release(spark)
+
+    # Suffixes met again with all that surrounds them need no comparison.
+    weight = F.when(F.col("len") == AGAIN, 2).when(F.col("len") == ONE, 1).otherwise(0)
+    same = Window.partitionBy("h")
+    met = suffixes(documents, least).withColumn("c", F.sum(weight).over(same)).withColumn("first", F.row_number().over(same.orderBy("len", "loc")) == 1)
+    met = stage(met.drop("h"), "suffixes")
+    release(spark)
+    place = F.col("loc").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+    left = F.least(place, F.lit(least - HEAD))
+    full = met.filter("len > 0").select("loc", "len").unionByName(met.filter((F.col("len") == ONE) & (F.col("c") > 1)).select((F.col("loc") - left).alias("loc"), F.col("size").alias("len")))
+
+    # The others are compared where their head stands in other surroundings too.
+    distinct = met.filter(F.col("first") & (F.col("len") <= 0))
+    open_ = distinct.groupBy("head").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("head").alias("_head"))
+    wanted = distinct.join(open_, F.col("head") == F.col("_head")).select(F.shiftright("loc", PLACE).alias("ord"), place.alias("place"), (F.col("c") == 1).alias("alone"))
+    kept = stage(with_contexts(documents, wanted.groupBy("ord").agg(F.collect_list(F.struct("place", "alone")).alias("some")), least), "contexts")
+    release(spark)
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(kept.count() / 50_000))
+    partial = stage(repeats(kept, parts, least), "partial")
+    drop_stage(kept)
+    release(spark)
+    runs = paths(full.unionByName(partial), known, "passages")
+    for done in (met, partial):
+        drop_stage(done)
+    release(spark)
+    return documents, runs
 
 
 def dedupe(docs: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, spans, kept_sha256 of each document.
+    """doc_id, n_words, n_removed, kept_sha256, spans of each document.
 
     ``spans`` lists the repeated passages of at least ``least`` words as
     start:end in words, joined by commas; n_removed counts their words and
@@ -196,23 +250,5 @@ def dedupe(docs: DataFrame, least: int = 50) -> DataFrame:
     texts have no words; shorter texts keep all; a repeated row repeats all its
     passages; an empty table gives an empty result. Whole texts count.
     """
-    packed, runs = spans(docs, least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = expand.decompress(data).split()
-                some = sorted((x["place"], x["place"] + x["len"]) for x in found or [])
-                kept, last = [], 0
-                for start, end in some:
-                    kept += words[last:start]
-                    last = end
-                kept += words[last:]
-                for column, value in zip(out, (len(words), len(words) - len(kept), ",".join(f"{a}:{b}" for a, b in some), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_sha256"])
-
-    joined = packed.join(runs.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
-    return joined.select("doc_id", "packed", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans string, kept_sha256 string")
+    documents, runs = passages(docs, least)
+    return without(documents, runs, lambda found: sorted((x["place"], x["place"] + x["len"]) for x in found), "spans")
