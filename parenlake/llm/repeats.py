@@ -90,17 +90,6 @@ def without(documents: DataFrame, runs: DataFrame, spans: Callable[[list[dict]],
     return joined.select("doc_id", "n_words", "kept_sha256", "packed", "runs", *passed).mapInArrow(run, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string", *more]))
 
 
-def packed_rows(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, packed: texts compressed one by one, for a cheap shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([squeeze.compress(t) for t in raw_bytes(batch.column(2))], pa.binary())], names=["rid", "doc_id", "packed"])
-
-    return rows.mapInArrow(run, "rid long, doc_id long, packed binary")
-
-
 def met_arrays(h: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences (hash, row, place) of a batch, merged before they travel.
 
