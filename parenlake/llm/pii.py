@@ -5,12 +5,15 @@ digits stay digits, letters stay letters of the same case, card numbers keep
 network, length and check digit, international account numbers their country
 and check, names their gender, script and case. A surrogate is drawn from a
 keyed hash of the entity's canonical form, so one entity gets one surrogate all
-over the corpus (coreference), however it is written.
+over the corpus (coreference), however it is written. Of a person's name each
+word has its own surrogate: "Anna Bauer" and "Frau Bauer" keep a family name in
+common, and two persons differ if any of their words does.
 
 Different entities may draw the same surrogate, and a surrogate may happen to
 be somebody's real value. So the corpus's distinct entities are collected in a
 table, clashes are found there by grouping, and the losers draw again until
-none is left (distinctness). Only those redrawn need to be looked up later.
+none is left (distinctness); names drawn again get longer, so they don't run
+out. Only those redrawn need to be looked up later.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import stage, text_of
+from parenlake.llm.common import bounded, stage, text_of
 
 #: Given names by gender, in Latin, Cyrillic and Greek script.
 GIVEN = {
@@ -48,6 +51,14 @@ SYLLABLES = {
     "Greek": "βαρ γερ δημ καλ λαμ μαν νικ παπ ραλ σταμ τσα".split(),
 }
 ENDINGS = {"Latin": "son er ini ez ley".split(), "Cyrillic": "ов ин ский".split(), "Greek": "ος ης ίδης".split()}
+#: Endings of made-up given names by gender and script.
+GIVEN_ENDINGS = {
+    ("female", "Latin"): "a ia ina".split(), ("male", "Latin"): "o us an".split(),
+    ("female", "Cyrillic"): "а ина".split(), ("male", "Cyrillic"): "ий ан".split(),
+    ("female", "Greek"): "α ία".split(), ("male", "Greek"): "ος ης".split(),
+}
+#: International calling codes of one and two digits; others have three.
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 _GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in names} | {t: g for g, ts in TITLES.items() for t in ts}
 
 
@@ -74,7 +85,7 @@ class Draw:
 
     def __init__(self, key: bytes, kind: str, form: str, attempt: int) -> None:
         self.seed = f"{kind}\0{form}\0{attempt}".encode()
-        self.key, self.round, self.pool = key[:64], 0, 0
+        self.key, self.attempt, self.round, self.pool = key[:64], attempt, 0, 0
         self.left = 0
 
     def below(self, n: int) -> int:
@@ -149,18 +160,55 @@ def script_of(name: str) -> str:
     return "Latin"
 
 
-def _person(draw: Draw, form: str) -> str:
-    gender, _, name = form.partition(":")
-    words, script = name.split(" "), script_of(name)
-    pool = GIVEN[(gender or ("female", "male")[draw.below(2)], script)]
+def made_up(draw: Draw, script: str, endings: list[str]) -> str:
+    """A name of syllables, the longer the more often it was drawn."""
     parts = SYLLABLES[script]
-    last = "".join(parts[draw.below(len(parts))] for _ in range(3)) + ENDINGS[script][draw.below(len(ENDINGS[script]))]
-    given = [pool[draw.below(len(pool))] for _ in words[:-1]]
-    return f"{gender}:{' '.join([*given, last]).lower()}"
+    return "".join(parts[draw.below(len(parts))] for _ in range(3 + draw.attempt)) + endings[draw.below(len(endings))]
+
+
+def _surname(draw: Draw, form: str) -> str:
+    script = script_of(form)
+    return made_up(draw, script, ENDINGS[script])
+
+
+@lru_cache(maxsize=64)
+def shuffled(key: bytes, kind: str, pool: tuple[str, ...]) -> tuple[str, ...]:
+    """A keyed order of a pool."""
+    draw, out = Draw(key, "order", kind, 0), list(pool)
+    for k in range(len(out) - 1, 0, -1):
+        j = draw.below(k + 1)
+        out[k], out[j] = out[j], out[k]
+    return tuple(out)
+
+
+def _given(draw: Draw, form: str) -> str:
+    """A known given name turns into another of its gender and script, by a
+    keyed permutation; others are made up."""
+    gender, _, name = form.partition(":")
+    script = script_of(name)
+    gender = gender or ("female", "male")[draw.below(2)]
+    pool = tuple(x.lower() for x in GIVEN[(gender, script)])
+    if name in pool and not draw.attempt:
+        order = shuffled(draw.key, f"{gender} {script}", pool)
+        return f"{gender}:{order[(order.index(name) + 1) % len(order)]}"
+    return f"{gender}:{made_up(draw, script, GIVEN_ENDINGS[(gender, script)])}"
+
+
+def words_of(form: str) -> list[tuple[str, str]]:
+    """(kind, form) of the words of a person's canonical form, in order.
+    Initials are left as they are."""
+    gender, _, name = form.partition(":")
+    *given, last = name.split(" ")
+    return [("INITIAL", w) if len(w) == 1 else ("GIVEN", f"{gender}:{w}") for w in given] + [("SURNAME", last)]
+
+
+def entities_in(kind: str, form: str) -> list[tuple[str, str]]:
+    """What of an entity is drawn: itself, or a person's words."""
+    return [x for x in words_of(form) if x[0] != "INITIAL"] if kind == "PERSON" else [(kind, form)]
 
 
 SURROGATE: dict[str, Callable[[Draw, str], str]] = {
-    "EMAIL": _email, "PHONE": _phone, "CARD": _card, "IP": _ip, "IBAN": _iban, "PERSON": _person,
+    "EMAIL": _email, "PHONE": _phone, "CARD": _card, "IP": _ip, "IBAN": _iban, "SURNAME": _surname, "GIVEN": _given,
     "SECRET": lambda draw, form: draw.like(form), "SSN": lambda draw, form: poured("".join("0123456789"[draw.below(10)] for _ in range(9)), form),
 }
 
@@ -212,9 +260,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in PATTERNS["SSN"].finditer(text):
             add(*m.span(), "SSN", m[0])
         for m in PATTERNS["PHONE"].finditer(text):
-            digits = digits_of(m[0])
-            country = digits_of(re.match(r"\+(\d{1,3})[ .(-]", m[0])[0]) if re.match(r"\+\d{1,3}[ .(-]", m[0]) else ("1" if len(digits) == 10 else "")
-            number = digits[len(country) :] if m[0].startswith("+") else digits
+            digits, abroad = digits_of(m[0]), m[0].startswith("+")
+            size = next((n for n in (1, 2) if digits[:n] in CALLING), 3) if abroad else 0
+            country = digits[:size] if abroad else ("1" if len(digits) == 10 else "")
+            # A trunk 0, as in +44 (0)20, is part of how it is written.
+            number = digits[size:].removeprefix("0") if abroad else digits
             if 7 <= len(number) <= 14:
                 add(*m.span(), "PHONE", f"{country}:{number}")
     if not _FULL.isdisjoint(text.replace(".", " ").split()):
@@ -235,19 +285,39 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
     return SURROGATE[kind](Draw(key, kind, form, attempt), form)
 
 
-def rendered(kind: str, fake: str, original: str) -> str:
-    """The surrogate, written as the original was."""
+_NAME = re.compile(r"[^\s.]+")
+
+
+def rendered(key: bytes, kind: str, form: str, original: str, attempts: dict[tuple[str, str], int]) -> str:
+    """An entity's surrogate, written as the original was. ``attempts``: of the
+    entities that had to draw again."""
+
+    def drawn(kind: str, form: str) -> str:
+        return surrogate(key, kind, form, attempts.get((kind, form), 0))
+
+    if kind == "PERSON":
+        parts = iter(words_of(form))
+
+        def one(m: re.Match) -> str:
+            own, word = next(parts, ("INITIAL", "")), m[0]
+            if own[0] == "INITIAL":
+                return word
+            name = drawn(*own).rpartition(":")[2]
+            return name.upper() if word.isupper() else name.capitalize()
+
+        return _NAME.sub(one, original)
+    fake = drawn(kind, form)
     if kind == "PHONE":
         country, number = fake.split(":")
-        return poured((country if original.startswith("+") else "") + number, original)
+        written = digits_of(original)
+        if original.startswith("+"):
+            number = country + "0" * (len(written) - len(country) - len(number)) + number
+        return poured(number, original)
     if kind in ("CARD", "SSN"):
         return poured(digits_of(fake), original)
     if kind == "IBAN":
         rest = iter(fake)
         return "".join(next(rest) if c != " " else c for c in original)
-    if kind == "PERSON":
-        name = fake.partition(":")[2]
-        return name.upper() if original.isupper() else name.title()
     if kind == "EMAIL" and original.isupper():
         return fake.upper()
     return fake
@@ -258,7 +328,10 @@ def clash_free(entities: DataFrame, key: bytes, rounds: int = 25) -> DataFrame:
 
     ``entities``: distinct kind and form, staged. Of several entities with one
     surrogate, and of one whose surrogate is another's real form, all but the
-    first draw again, together with a check against all others.
+    first draw again, together with a check against all others. (Given names
+    are anybody's, so those may be real.) Formats of fixed length may hold fewer
+    surrogates than a corpus has entities; what still clashes after ``rounds``
+    stays as it was drawn last.
     """
 
     def drawn(df: DataFrame) -> DataFrame:
@@ -275,13 +348,13 @@ def clash_free(entities: DataFrame, key: bytes, rounds: int = 25) -> DataFrame:
         first = Window.partitionBy("kind", "fake").orderBy("attempt", "form")
         # Few rows share a surrogate; groups stay small however common an entity is.
         checked = at.join(real, (F.col("kind") == F.col("_kind")) & (F.col("fake") == F.col("_form")), "left")
-        checked = checked.withColumn("_again", (F.row_number().over(first) > 1) | F.col("_form").isNotNull()).drop("_kind", "_form")
+        checked = checked.withColumn("_again", (F.row_number().over(first) > 1) | (F.col("_form").isNotNull() & (F.col("kind") != "GIVEN"))).drop("_kind", "_form")
         losers = stage(checked.filter("_again").withColumn("attempt", F.col("attempt") + 1), "clashes")
         if losers.isEmpty():
             return at.filter("attempt > 0").select("kind", "form", "attempt")
         kept = checked.filter(~F.col("_again")).drop("_again")
         at = stage(kept.unionByName(drawn(losers)), "drawn")
-    raise RuntimeError("surrogates still clash; the type's format leaves too little room")
+    return at.filter("attempt > 0").select("kind", "form", "attempt")
 
 
 def entities_of(docs: DataFrame) -> DataFrame:
@@ -289,7 +362,7 @@ def entities_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sorted({(k, f) for text in batch.column(0).to_pylist() if text for _, _, k, f in find(text)})
+            found = sorted({x for text in batch.column(0).to_pylist() if text for _, _, k, f in find(text) for x in entities_in(k, f)})
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["kind", "form"])
 
@@ -300,17 +373,17 @@ def entities_of(docs: DataFrame) -> DataFrame:
 SHIPPED = 20_000
 
 
-def replace(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
-    """The rows of ``docs`` with surrogates in column text; added: n_entities
-    and kinds (the distinct types found, in order, joined by commas).
+def replace(docs: DataFrame, key: bytes = b"surrogates", counts: bool = True) -> DataFrame:
+    """The rows of ``docs`` with surrogates in column text; with ``counts`` also
+    n_entities and kinds (the distinct types found, in order, joined by commas),
+    in place of columns of these names.
 
     A null text stays null and an empty one empty. Repeated rows are treated
-    alike. Columns with clashing names are an error; others pass through.
+    alike. Other columns pass through, whatever their names.
     """
-    for name in ("n_entities", "kinds"):
-        if name in docs.columns:
-            raise ValueError(f"the input already has a column {name}")
-    redrawn = clash_free(stage(entities_of(docs), "entities"), key)
+    if counts:
+        docs = docs.drop("n_entities", "kinds")
+    redrawn = clash_free(stage(entities_of(bounded(docs)), "entities"), key)
     some = redrawn.limit(SHIPPED + 1).collect()
     shipped = {(r.kind, r.form): r.attempt for r in some}
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -330,8 +403,7 @@ def replace(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
                     attempts = {(x["kind"], x["form"]): x["attempt"] for x in own} if own else shipped
                     out, last = [], 0
                     for start, end, kind, form in found:
-                        fake = surrogate(key, kind, form, attempts.get((kind, form), 0))
-                        out += [text[last:start], rendered(kind, fake, text[start:end])]
+                        out += [text[last:start], rendered(key, kind, form, text[start:end], attempts)]
                         last = end
                     text = "".join(out) + text[last:]
                 texts.append(text)
@@ -342,7 +414,7 @@ def replace(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(batch.column(1).type)), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], names=["_row", "n_entities", "kinds"])
 
     made = source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, n_entities long, kinds string")
-    return made.select(*[F.col(f"_row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)], "n_entities", "kinds")
+    return made.select(*[F.col(f"_row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)], *(["n_entities", "kinds"] if counts else []))
 
 
 def _with_redrawn(rows: DataFrame, redrawn: DataFrame) -> DataFrame:
@@ -350,7 +422,7 @@ def _with_redrawn(rows: DataFrame, redrawn: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(h, k, f) for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for k, f in {(k, f) for _, _, k, f in find(text)}]
+            found = [(h, k, f) for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for k, f in {x for _, _, k, f in find(text) for x in entities_in(k, f)}]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.string()))], names=["_hash", "kind", "form"])
 

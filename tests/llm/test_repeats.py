@@ -59,6 +59,64 @@ def test_edited_copies_as_by_brute_force(spark):
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_dedupe(rows, 50)
 
 
+def test_a_passage_between_partial_ones(spark):
+    """Two documents share 50 words; many others their last or first 49."""
+    passage = [f"p{k}" for k in range(50)]
+
+    def placed(some, own):
+        return " ".join([*[f"{own}-{k}" for k in range(30)], *some, *[f"{own}+{k}" for k in range(30)]])
+
+    rows = [(k, placed(passage, f"d{k}"), None, None, None) for k in range(2)]
+    rows += [(10 + k, placed(passage[1:], f"r{k}"), None, None, None) for k in range(60)]
+    rows += [(100 + k, placed(passage[:-1], f"l{k}"), None, None, None) for k in range(60)]
+    got = sparse_suffix.dedupe(spark.createDataFrame(rows, SCHEMA).repartition(3), 50).collect()
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == {0: 50, 1: 50}
+
+
+def unitigs(spark, texts, k=35):
+    """How many compacted paths each document lies on, and segments per path."""
+    df = spark.createDataFrame([(j, t, None, None, None) for j, t in enumerate(texts)], SCHEMA)
+    documents = debruijn.opened(rows := debruijn.rows_of(df), debruijn.suspects(rows, debruijn.ANCHOR, k - debruijn.ANCHOR))
+    read = debruijn.read_back(documents, debruijn.segments(debruijn.graph(debruijn.occurrences(documents, k))), k)
+    paths = Counter(r.path for r in debruijn.compacted(read).collect())
+    lies = {r.doc_id: r.n_paths for r in debruijn.dedupe(df, k).collect()}
+    return [lies[j] for j in range(len(texts))], sorted(paths.values())
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    a, b, c, d = (words(110 + j, 60, 10**6) for j in range(4))
+    own = [words(120 + j, 30, 10**6) for j in range(6)]
+    # b is followed by c or d, both twice: one path up to the branch, one after each side.
+    texts = [f"{own[0]} {a} {c}", f"{own[1]} {a} {c}", f"{own[2]} {a} {d}", f"{own[3]} {a} {d}", b]
+    lies, paths = unitigs(spark, texts)
+    assert lies == [2, 2, 2, 2, 0] and paths == [1, 1, 1]
+    # A text that begins inside a path, and one that ends there, cut segments but not the path.
+    whole = f"{a} {b} {c}"
+    lies, paths = unitigs(spark, [whole, f"{b} {c}", f"{a} {b}", f"{own[4]} {words(130, 40, 10**6)}"])
+    assert lies == [1, 1, 1, 0] and len(paths) == 1 and paths[0] > 1
+    # A circle of one edge, and one of more.
+    assert unitigs(spark, ["same " * 300])[0] == [1]
+    circle = " ".join(f"c{k}" for k in range(50))
+    assert unitigs(spark, [" ".join([circle] * 4)])[0] == [1]
+
+
+def test_equal_occurrences_of_a_batch_travel_once(spark, monkeypatch):
+    rows = many_rows() + [(500 + k, words(50, 75) + " " + words(140, 50), None, None, None) for k in range(40)]
+    monkeypatch.setattr(debruijn, "MERGED", 300)
+    for parts in (1, 4):
+        got = debruijn.dedupe(spark.createDataFrame(rows, SCHEMA).repartition(parts), 35).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_dedupe(rows, 35)
+
+
+def test_wide_sketches_never_tell_too_many_differences():
+    rng = np.random.default_rng(4)
+    for n, cut in ((1500, 100), (3000, 900), (2047, 0), (1025, 1025)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[cut:], rng.integers(0, 1 << 63, cut + 300).astype(np.uint64)]))
+        assert jaccard.unlike(jaccard.wide_sketch(x), jaccard.wide_sketch(y)) <= len(np.setxor1d(x, y))
+    assert jaccard.wide_sketch(np.arange(1024, dtype=np.uint64)) is None
+
+
 @pytest.mark.parametrize("parts, block", [(1, 50_000), (5, 50_000), (2, 7)])
 def test_stretches_around_a_head_in_any_blocks(spark, parts, block):
     rng, side = np.random.default_rng(3), 24

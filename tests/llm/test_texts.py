@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parenlake.llm import pii
 from parenlake.llm.lzprint import edit_table, fingerprint, likeness, printed, read, with_edit
-from parenlake.llm.quality import Settings, fit, held_out, quality_table, score
+from parenlake.llm.quality import Model, Settings, fit, held_out, quality_table, score, scores
 from parenlake.llm.rules import Rule, judge
 from tests.llm.corpus import SCHEMA, clashing, empty, odd, odd_rows, words
 
@@ -96,6 +96,55 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     assert sorted(r.text for r in pii.replace(df).collect()) == want
 
 
+def test_family_names_do_not_run_out(spark):
+    # More names than three Greek syllables and an ending give.
+    letters = "αβγδεζηθικ"
+    forms = ["ψ" + "".join(letters[int(c)] for c in f"{k:04d}") for k in range(10_000)]
+    entities = spark.createDataFrame([("SURNAME", f) for f in forms], "kind string, form string")
+    attempts = {r.form: r.attempt for r in pii.clash_free(entities, b"k").collect()}
+    fakes = [pii.surrogate(b"k", "SURNAME", f, attempts.get(f, 0)) for f in forms]
+    assert len(set(fakes)) == len(forms) and not set(fakes) & set(forms)
+    assert {pii.script_of(f) for f in fakes} == {"Greek"}
+
+
+def surrogates_of(text):
+    return [pii.rendered(b"k", kind, form, text[a:b], {}) for a, b, kind, form in pii.find(text)]
+
+
+def test_one_number_however_written():
+    written = ["+14155550123", "+1 415 555 0123", "(415) 555-0123", "415-555-0123"]
+    got = [surrogates_of(f"call {w} now") for w in written]
+    assert len({re.sub(r"\D", "", x[0])[-10:] for x in got}) == 1
+    assert [re.sub(r"\d", "0", x[0]) for x in got] == [re.sub(r"\d", "0", w) for w in written]
+    trunk = [re.sub(r"\D", "", surrogates_of(f"call {w} now")[0]) for w in ("+44 20 7946 0018", "+44 (0)20 7946 0018", "+442079460018")]
+    assert trunk[0] == trunk[2] and trunk[1] == "440" + trunk[0][2:]
+
+
+def test_a_person_keeps_names_across_mentions():
+    full, titled, doctor, initial = [surrogates_of(t)[0] for t in ("Anna Bauer came", "Frau Bauer came", "Dr. Bauer came", "Anna J. Bauer came")]
+    assert full.split()[1] == titled == doctor == initial.split()[2]
+    assert full.split()[0] == initial.split()[0] in pii.GIVEN["female", "Latin"] and initial.split()[1] == "J."
+    known = {n: pii.surrogate(b"k", "GIVEN", f"female:{n.lower()}", 0) for n in pii.GIVEN["female", "Greek"]}
+    assert len(set(known.values())) == len(known) and all(f"female:{n.lower()}" != fake for n, fake in known.items())
+
+
+def test_columns_named_like_the_counts(spark):
+    df = odd(spark).withColumn("kinds", F.lit("mine")).withColumn("n_entities", F.lit(-1))
+    assert pii.replace(df, counts=False).columns == df.columns
+    assert {r.kinds for r in pii.replace(df, counts=False).collect()} == {"mine"}
+    assert sorted(pii.replace(df).columns) == sorted(df.columns)
+
+
+def test_scores_are_the_sums_over_pairs():
+    rng = np.random.default_rng(1)
+    model = Model(np.zeros((1, 1)), 0.3, rng.normal(size=50), rng.normal(size=(50, 4)), Settings())
+    index, value, starts = rng.integers(0, 50, 12), rng.random(12), np.array([0, 5, 6])
+    got, _ = scores(index, value, starts, model)
+    for row, (a, b) in enumerate([(0, 5), (5, 6), (6, 12)]):
+        pairs = sum(model.factor[index[i]] @ model.factor[index[j]] * value[i] * value[j] for i in range(a, b) for j in range(i + 1, b))
+        assert got[row] == pytest.approx(0.3 + (model.weight[index[a:b]] * value[a:b]).sum() + pairs)
+
+
 def test_classifier_learns_held_out_rows(spark):
     rng = random.Random(2)
     docs = [(k, words(k, 80) if k % 2 else " ".join(f"{w}###" for w in words(k, 80).split()), "en", "a", 1) for k in range(300)]
