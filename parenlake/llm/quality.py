@@ -197,14 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 at 0.5 and above) of each whole
-    text. With ``keep``, the input's columns follow as c0, c1, .. of ``_row``,
-    in their order. Null and empty texts are scored by their statistics alone;
+    text. With ``keep``, the input's columns follow as they are under
+    ``_row``. Null and empty texts are scored by their statistics alone;
     repeated rows get equal scores; an empty table gives an empty result.
     """
     columns = docs.columns if keep else ["doc_id", "text"]
     at = [columns.index("doc_id"), columns.index("text")]
-    # Names that can't clash; each text travels once, inside its row.
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).alias("_row")
+    # Each text travels once, inside its row.
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     rows = bounded(docs).select(row)
     row_type = f", _row {rows.schema['_row'].dataType.simpleString()}" if keep else ""
 
