@@ -34,10 +34,13 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), one of our own."""
+    """The cluster's shared folder; where a local session sets none (tests), one
+    of our own. Any other session must set it."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="parenlake-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)

@@ -21,13 +21,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import bounded, stage, text_of
+from parenlake.llm.common import bounded, drop_stage, stage, text_of
 
 #: Given names by gender, in Latin, Cyrillic and Greek script.
 GIVEN = {
@@ -342,19 +342,31 @@ def clash_free(entities: DataFrame, key: bytes, rounds: int = 25) -> DataFrame:
 
         return df.select("kind", "form", "attempt").mapInArrow(run, "kind string, form string, attempt int, fake string")
 
-    at = stage(drawn(entities.withColumn("attempt", F.lit(0))), "drawn")
-    real = entities.select(F.col("kind").alias("_kind"), F.col("form").alias("_form"))
-    for _ in range(rounds):
+    def judged(df: DataFrame, taken: DataFrame) -> DataFrame:
+        """``again`` for all but the first of one surrogate, and where it is taken."""
         first = Window.partitionBy("kind", "fake").orderBy("attempt", "form")
         # Few rows share a surrogate; groups stay small however common an entity is.
-        checked = at.join(real, (F.col("kind") == F.col("_kind")) & (F.col("fake") == F.col("_form")), "left")
-        checked = checked.withColumn("_again", (F.row_number().over(first) > 1) | (F.col("_form").isNotNull() & (F.col("kind") != "GIVEN"))).drop("_kind", "_form")
-        losers = stage(checked.filter("_again").withColumn("attempt", F.col("attempt") + 1), "clashes")
+        checked = df.join(taken, (F.col("kind") == F.col("_kind")) & (F.col("fake") == F.col("_fake")), "left")
+        again = (F.row_number().over(first) > 1) | F.col("_fake").isNotNull()
+        return stage(checked.withColumn("again", again).drop("_kind", "_fake"), "drawn")
+
+    real = entities.filter(F.col("kind") != "GIVEN").select(F.col("kind").alias("_kind"), F.col("form").alias("_fake"))
+    at = judged(drawn(entities.withColumn("attempt", F.lit(0))), real)
+    settled = [at.filter(~F.col("again"))]
+    for _ in range(rounds):
+        # Only what is drawn again is looked up, among all the rest.
+        losers = at.filter("again").withColumn("attempt", F.col("attempt") + 1)
         if losers.isEmpty():
-            return at.filter("attempt > 0").select("kind", "form", "attempt")
-        kept = checked.filter(~F.col("_again")).drop("_again")
-        at = stage(kept.unionByName(drawn(losers)), "drawn")
-    return at.filter("attempt > 0").select("kind", "form", "attempt")
+            break
+        made = stage(drawn(losers), "again")
+        wanted = made.select(F.col("kind").alias("_k"), F.col("fake").alias("_f")).distinct()
+        taken = reduce(DataFrame.unionByName, [x.select(F.col("kind").alias("_kind"), F.col("fake").alias("_fake")) for x in settled], real)
+        met = taken.join(wanted, (F.col("_kind") == F.col("_k")) & (F.col("_fake") == F.col("_f")), "left_semi").distinct()
+        at = judged(made, met)
+        drop_stage(made)
+        settled.append(at.filter(~F.col("again")))
+    rest = [x.filter("attempt > 0") for x in (*settled, at.filter("again"))]
+    return reduce(DataFrame.unionByName, rest).select("kind", "form", "attempt")
 
 
 def entities_of(docs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from parenlake.llm.common import Rolling, WordHashes, bounded, raw_bytes, text_of
 
@@ -206,7 +207,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     # Each text travels once, inside its row.
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     rows = bounded(docs).select(row)
-    row_type = f", _row {rows.schema['_row'].dataType.simpleString()}" if keep else ""
+    schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), *(rows.schema.fields if keep else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, known = WordBuckets(model.settings.buckets), WordHashes()
@@ -223,7 +224,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                     names=["doc_id", "score", "predicted", *(["_row"] if keep else [])],
                 )
 
-    return rows.mapInArrow(run, f"doc_id long, score double, predicted int{row_type}")
+    return rows.mapInArrow(run, schema)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
