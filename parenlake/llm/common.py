@@ -83,6 +83,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns other than those ``used`` under names that clash
+    with nothing, and what to select to have all columns back in their order."""
+    names = [c if c in used else f"_aside{k}" for k, c in enumerate(docs.columns)]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    return renamed, [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def text_of(column: str | Column) -> Column:
     """The whole text; a null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

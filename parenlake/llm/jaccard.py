@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import WORD, WordHashes, bounded, drop_stage, mix64, positions, raw_bytes, release, stage, text_of
+from parenlake.llm.common import WORD, WordHashes, aside, bounded, drop_stage, mix64, positions, raw_bytes, release, stage, text_of
 from parenlake.llm.components import components
 
 #: Stands for a null doc_id.
@@ -346,13 +346,14 @@ def keep_one(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_i
     Documents without words all stay."""
     done = stage(grouped(docs, measure, doc_id, text), "groups")
     gone = done.filter(F.col("first").isNotNull() & (F.struct("id", "crc") != F.col("first"))).select(F.col("id").alias("_id"), F.col("crc").alias("_crc")).distinct()
-    keyed = docs.withColumn("_key", F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("crc")))
+    rows, back = aside(docs, doc_id, text)
+    keyed = rows.withColumn("_key", F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("crc")))
     kept = keyed.join(gone, (F.col("_key.id") == F.col("_id")) & (F.col("_key.crc") == F.col("_crc")), "left_anti")
     twice = done.filter("n > 0").groupBy("id", "crc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     if not twice.isEmpty():  # some row is there twice
         worded = text_of(text).rlike(WORD)
         kept = kept.filter(worded).dropDuplicates(["_key"]).unionByName(kept.filter(~worded))
-    return kept.select(*docs.columns)
+    return kept.select(*back)
 
 
 def _near(measure: Measure) -> Column:

@@ -134,8 +134,8 @@ def edit_table(docs: DataFrame, rows_per_range: int = 1000, most_ranges: int = 2
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The last document is followed by the first. Null
-    texts are empty; rows of one doc_id follow each other by text; null ids come
-    first; an empty table gives an empty result; a single row follows itself.
+    texts are empty; rows of one doc_id follow each other in the order of their
+    compressed texts; null ids come first; an empty table gives an empty result; a single row follows itself.
 
     Documents are dealt into ranges of doc_id whose bounds are ids of the
     table. The row at a bound also goes to the range before it, so each range

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.llm.common import SPACE, WORD, positions, stage, text_of, word_count
+from parenlake.llm.common import SPACE, WORD, aside, positions, stage, text_of, word_count
 
 #: Fixed value: words of a shard, at least.
 SHARD_WORDS = 1 << 16
@@ -102,6 +102,7 @@ def apply_mix(docs: DataFrame, **settings: object) -> DataFrame:
 
     Columns are those of ``docs``; n_chars, if there, follows an excerpt's text.
     Equal rows are told apart by number, so each has its own stretches."""
+    docs, back = aside(docs, "doc_id", "source", "text", "n_chars")
     text = text_of("text")
     shares = mix(docs, keep_hash=True, **settings)
     shares = stage(shares.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("_text").alias("_t"), F.col("_copy").alias("_c"), _runs(F.col("_parts"), settings.get("most", 2)).alias("_runs")).filter("_size > 0"), "taken")
@@ -120,7 +121,7 @@ def apply_mix(docs: DataFrame, **settings: object) -> DataFrame:
     cut = dealt.withColumn("text", F.when(short, F.regexp_replace(part, f"{SPACE}+$", "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.select(*back)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, blocks: int = 1 << 22, shard_blocks: int = 4096, keep_hash: bool = False) -> DataFrame:

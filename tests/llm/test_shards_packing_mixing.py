@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from parenlake.llm.common import positions
+from parenlake.llm.jaccard import keep_one
 from parenlake.llm.mixing import apply_mix, mix, sainte_lague, targets
 from parenlake.llm.packing import SegmentTokens, cuts, pack
 from parenlake.llm.sharding import assign, jump, shard_table
@@ -184,3 +186,13 @@ def test_mix_takes_the_blocks_it_chose(spark):
     assert any(not text[r.doc_id].split()[0] == r.text.split()[0] for r in cut)
     by = Counter(r.source for r in cut)
     assert cut and max(by.values()) <= 4
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    df = clashing(spark)
+    for name in ("_hash", "_d", "_t", "_number", "_run", "_runs", "_once", "_id", "taken"):
+        df = df.withColumn(name, F.lit("mine"))
+    for got in (apply_mix(df), keep_one(df)):
+        assert got.columns == df.columns
+        rows = got.select("_key", "_hash", "_d", "_run", "size", "taken").distinct().collect()
+        assert [tuple(r) for r in rows] == [("x", "mine", "mine", "mine", "x", "mine")]
