@@ -19,6 +19,8 @@ DELIMITER = {b"(": "paren", b"[": "bracket", b"{": "brace"}
 DISCARD_LIMIT = 65_536
 
 
+#: White space and an atom that reads alike in every dialect, as most do.
+PLAIN = re.compile(rb"[ \t\n\r\x0c]*+([A-Za-z0-9_*+/<>=!.:%$&\x80-\xff-]++)(?=[ \t\n\r\x0c()\[\]{}]|\Z)")
 #: Bytes with which prefixes and discards of any dialect start.
 SPECIAL = frozenset(b"'`,#^~@;|")
 
@@ -31,7 +33,7 @@ class Unreadable(ValueError):
         self.code, self.position, self.message = code, position, message
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     kind: str
     start: int
@@ -255,7 +257,12 @@ def _read(text: str | bytes, dialect: str) -> tuple[Tree, list[int]]:
     scan = scanner(dialect)
     nodes = [Node("root", 0, len(source), -1, 0)]
     stack, comments, at = [0], [], 0
+    plain = PLAIN.match
     while True:
+        while m := plain(source, at):
+            start, at = m.span(1)
+            nodes[stack[-1]].children.append(len(nodes))
+            nodes.append(Node("atom", start, at, stack[-1], start))
         at = scan.skip_blank(source, at, comments)
         if at >= len(source):
             break
