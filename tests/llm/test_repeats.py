@@ -182,7 +182,7 @@ def test_groups_as_by_brute_force(spark, measure, monkeypatch):
         base = list(base)
         base[(7 * k) % 200] = f"x{k}"
         rows.append((400 + k, " ".join(base), None, None, None))
-    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
     df = spark.createDataFrame(rows, SCHEMA)
     want, _ = slow_groups(rows, measure)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in link(df, measure).collect()) == want
