@@ -364,14 +364,105 @@ def _near(measure: Measure) -> Column:
 
 
 def _open(found: DataFrame, parts: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """key, node, n, part and sketch of the members of keys whose members lie in
-    different components. Staged."""
+    """key, node, n, part, c and sketch of the members of keys whose c members lie
+    in different components. Staged."""
     labelled = found.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low != _high").select(F.col("key").alias("_k"))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count(F.lit(1)).alias("c")).filter("_low != _high").select(F.col("key").alias("_k"), "c")
     named = classes.join(sketches, ["h1", "h2", "n"]).select(F.col("node").alias("_node"), "n", *_WORDS)
     return stage(labelled.join(mixed, F.col("key") == F.col("_k")).drop("_k").join(named, F.col("node") == F.col("_node")).drop("_node"), "open")
 
 
+#: Members of a key that are compared with each other in one piece of work.
+BLOCK = 2048
+#: Bytes of the sketches by which long sets are compared within a key.
+MIDDLE = 512
+
+
+def folded(wide: DataFrame) -> DataFrame:
+    """node, middle: wide sketches folded to MIDDLE bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for bits in batch.column(1).to_pylist():
+                x = np.frombuffer(bits, np.uint8)
+                while len(x) > MIDDLE:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["_m", "middle"])
+
+    # Narrower sketches can't be told from folded ones by width; those stay out.
+    return wide.filter(F.octet_length("wide") >= MIDDLE).select("node", "wide").mapInArrow(run, "_m long, middle binary")
+
+
+def close_pairs(open_: DataFrame, wide: DataFrame, measure: Measure) -> DataFrame:
+    """a, b: members of a key in different components whose sizes and sketches
+    leave room for a link. Pairs that don't never become rows.
+
+    A key of many members is cut into blocks, and every two of its blocks meet
+    in a group of their own, so no task holds more than two blocks at a time."""
+    cut = open_.withColumn("_g", F.ceil(F.col("c") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_g")).cast("int"))
+    cut = cut.join(folded(wide), F.col("node") == F.col("_m"), "left").withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_g") - 1).cast("int"))))
+    group = ["key", "low", "high"]
+    rows = cut.select("key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "n", "part", F.array(*_WORDS).alias("sketch"), "middle")
+    names = ["a", "b"]
+
+    def pairs_of(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        held = held.combine_chunks()
+        key, low, high, own, node, n, part = [held.column(k).to_numpy() for k in range(7)]
+        narrow = held.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), SKETCH)
+        there = held.column(8).is_valid().to_numpy()
+        middle = np.zeros((len(node), MIDDLE // 8), np.uint64)
+        if there.any():
+            middle[there] = np.frombuffer(b"".join(held.column(8).drop_null().to_pylist()), np.uint64).reshape(-1, MIDDLE // 8)
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        ends = np.append(np.flatnonzero(fresh)[1:], len(node))[np.cumsum(fresh) - 1]
+        later = ends - np.arange(len(node)) - 1
+        done = np.cumsum(later)
+        start = 0
+        while start < len(node):
+            # As many rows as give about a million pairs.
+            stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + 1_000_000, side="right")))
+            many = later[start:stop]
+            x = np.repeat(np.arange(start, stop), many)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+            start = stop
+            fit = (part[x] != part[y]) & ((low[x] == high[x]) | (own[x] != own[y])) & (measure.whole * np.minimum(n[x], n[y]) >= measure.part * np.maximum(n[x], n[y]))
+            x, y = x[fit], y[fit]
+            for table, some in ((narrow, None), (middle, there)):
+                keep = np.ones(len(x), bool)
+                both = np.arange(len(x)) if some is None else np.flatnonzero(some[x] & some[y])
+                for at in range(0, len(both), 65_536):
+                    i = both[at : at + 65_536]
+                    bits = np.bitwise_count(table[x[i]] ^ table[y[i]]).sum(axis=1, dtype=np.int64)
+                    keep[i] = (measure.whole + measure.part) * bits <= (measure.whole - measure.part) * (n[x[i]] + n[y[i]])
+                x, y = x[keep], y[keep]
+            found = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(k)[batch.num_rows - 1] for k in range(3)]
+            same = np.logical_and.reduce([batch.column(k).to_numpy() == last[k].as_py() for k in range(3)])
+            first = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if first:
+                yield from pairs_of(pa.Table.from_batches([*rest, batch.slice(0, first)]))
+                rest = [batch.slice(first)]
+            else:
+                if rest and [rest[-1].column(k)[0].as_py() for k in range(3)] != [x.as_py() for x in last]:
+                    yield from pairs_of(pa.Table.from_batches(rest))
+                    rest = []
+                rest.append(batch)
+        if rest:
+            yield from pairs_of(pa.Table.from_batches(rest))
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
     """id, crc, n, first of each document: ``first`` is the (id, crc) of the
     least member of its group, null without shingles."""
@@ -405,12 +496,11 @@ def grouped(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFr
         open_ = _open(found, parts, classes, sketches)
         if draw:
             other = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "part", *_WORDS), F.xxhash64("node", "key")).alias("o")).select("key", "o.*")
-            apart = F.col("node") != F.col("_node")
+            other = other.select(*[F.col(c).alias(f"_{c}") for c in ("key", "node", "n", "part", *_WORDS)])
+            met = open_.join(other, (F.col("key") == F.col("_key")) & (F.col("node") != F.col("_node")) & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & _near(measure))
+            pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         else:
-            other, apart = open_, F.col("node") < F.col("_node")
-        other = other.select(*[F.col(c).alias(f"_{c}") for c in ("key", "node", "n", "part", *_WORDS)])
-        met = open_.join(other, (F.col("key") == F.col("_key")) & apart & (F.col("part") != F.col("_part")) & fits(F.col("n"), F.col("_n")) & _near(measure))
-        pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+            pairs = close_pairs(open_, wide, measure)
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(stage(verify(pairs, wide, texts, measure), "links"))
         tried = tried.unionByName(pairs)
