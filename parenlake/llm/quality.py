@@ -191,9 +191,22 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             )
 
     rows = texts.select("doc_id", "text", "_quality").mapInArrow(run, "doc_id long, label int, found array<long>, value array<double>, stats array<double>").toArrow()
-    # Tasks end in any order; training must see one order.
-    made = sorted(zip(*[rows.column(k).to_pylist() for k in range(5)], strict=True), key=lambda r: (r[0], r[1], len(r[2]), r[4]))
-    return train([(np.array(r[2], np.int64), np.array(r[3])) for r in made], np.array([r[4] for r in made]).reshape(len(made), len(STATISTICS)), np.array([float(r[1] > 0) for r in made]), settings)
+    # Tasks end in any order; training must see one order. Values stay in
+    # arrays: as Python objects they would be most of the driver's memory.
+    rows = rows.combine_chunks()
+    doc_id, label = [rows.column(k).to_numpy() for k in (0, 1)]
+    lists = [rows.column(k).combine_chunks() for k in (2, 3, 4)]
+    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in lists]
+    order = np.lexsort((label, doc_id))
+    if not len(order):
+        return train([], np.zeros((0, len(STATISTICS))), np.zeros(0), settings)
+    ends = lists[0].offsets.to_numpy()
+    found, value, stats = [x.flatten().to_numpy() for x in lists]
+    some = [(found[ends[k] - ends[0] : ends[k + 1] - ends[0]], value[ends[k] - ends[0] : ends[k + 1] - ends[0]]) for k in order]
+    model = train(some, stats.reshape(len(order), len(STATISTICS))[order], (label[order] > 0).astype(float), settings)
+    del some, rows, lists, found, value, stats, doc_id, label, ends
+    pa.default_memory_pool().release_unused()  # Arrow keeps what it has freed
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
