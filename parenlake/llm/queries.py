@@ -120,6 +120,28 @@ def op10_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(table(spark, sf_dir, "documents"), least=50)
 
 
+def op11_dangling_suffix_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from parenlake.llm.alignment import alignment_table
+
+    return alignment_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from parenlake.llm.token_files import token_table
+
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parenlake.llm.spelling import variant_table
+
+    return variant_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_jump_hash_shards": op2_jump_hash_shards,
@@ -131,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_de_bruijn_dedup": op9_de_bruijn_dedup,
     "op10_sparse_suffix_dedup": op10_sparse_suffix_dedup,
+    "op11_dangling_suffix_alignment": op11_dangling_suffix_alignment,
+    "op12_elias_fano_token_files": op12_elias_fano_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {"op8_quality_rules": op8_sql()}
