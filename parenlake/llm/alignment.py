@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parenlake.llm.common import bounded, stage, text_of
-from parenlake.llm.tokens import byte_values, library_tokens, stretches
+from parenlake.llm.tokens import Recent, byte_values, library_tokens, words_of
 
 ALIGNED = "doc_id long, n_a long, n_b long, groups string, links array<int>"
 
@@ -154,7 +154,7 @@ class Transducer:
 class Aligner:
     """Aligns texts; what it has found for stretches is remembered."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
     NOTHING = ("", b"", 0, 0)
 
     def __init__(self, a_path: str, b_path: str) -> None:
@@ -164,8 +164,8 @@ class Aligner:
         self.shown = [str(k) for k in range(max(map(len, self.transducer.bytes)))]
         #: No piece reaches over a space that follows a non-space.
         self.cuts = self.tokens.splits and not any(re.search("[^▁]▁", self.model.id_to_piece(k)) for k in range(self.model.get_piece_size()))
-        #: word -> groups, links, numbers of A and B tokens; None if bytes differ
-        self.known: dict[str, tuple[str, bytes, int, int] | None] = {}
+        #: word -> groups, links, numbers of A and B tokens; () if bytes differ
+        self.known = Recent(self.learn, self.LIMIT)
 
     def joined(self, text: str, a: list[int], b: list[int]) -> tuple[str, bytes, int, int] | None:
         """Groups and links of one stretch (without its space); None if the
@@ -184,26 +184,20 @@ class Aligner:
             i, j = p, q
         return ";".join(said), links.tobytes(), len(a), len(b)
 
-    def learn(self, words: list[str]) -> None:
-        ids = self.tokens.stretch_ids([" " + x for x in words])
-        for word, a, b in zip(words, ids, self.model.encode(words, num_threads=1), strict=True):
-            self.known[word] = self.joined(word, array("I", a).tolist(), b)
+    def learn(self, words: list[str]) -> Iterator[tuple]:
+        for word, a, b in zip(words, self.tokens.word_ids(words), self.model.encode(words, num_threads=1), strict=True):
+            yield self.joined(word, array("I", a).tolist(), b) or ()
 
     def whole(self, text: str) -> tuple[str, bytes, int, int]:
         a = array("I", self.tokens.library([" " + text])[0]).tolist()
         return self.joined(text, a, self.model.encode(text, num_threads=1)) or self.NOTHING
 
     def of(self, texts: list[str]) -> list[tuple[str, bytes, int, int]]:
-        split = [x.split(" ") if self.cuts and x and stretches(x) is not None else None for x in texts]
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        missing = list(set().union(*[x for x in split if x]) - self.known.keys())
-        if missing:
-            self.learn(missing)
-        get, out = self.known.__getitem__, []
+        split = [words_of(x) if self.cuts and x else None for x in texts]
+        known, out = iter(self.known.of([x for x in split if x])), []
         for text, words in zip(texts, split, strict=True):
-            found = [get(w) for w in words] if words else [None]
-            if None in found:
+            found = next(known) if words else [()]
+            if () in found:
                 out.append(self.whole(text) if text else self.NOTHING)
             else:
                 said, links, n_a, n_b = zip(*found, strict=True)

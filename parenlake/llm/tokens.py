@@ -14,6 +14,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -26,21 +27,52 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
 
 
-def stretches(text: str) -> list[str] | None:
-    """The text cut in front of single spaces; None if white space touches or
-    stands at an end."""
+def words_of(text: str) -> list[str] | None:
+    """The text cut at single spaces; None if white space touches or stands at
+    an end."""
     if _TOUCHING.search(text) or text[:1].isspace() or text[-1:].isspace():
         return None
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+    return text.split(" ")
+
+
+class Recent:
+    """word -> value, worked out by ``learn`` for many words at once, for the
+    words met lately: when ``limit`` new ones are known, those not met since
+    the last time are forgotten."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable], limit: int) -> None:
+        self.learn, self.limit = learn, limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def of(self, lists: list[list[str]]) -> list[list]:
+        """The value of every word; values are never None."""
+        get = self.new.get
+        found = [list(map(get, x)) for x in lists]
+        lacking = [k for k, values in enumerate(found) if None in values]
+        unknown = {w for k in lacking for w, v in zip(lists[k], found[k], strict=True) if v is None}
+        missing = []
+        for word in unknown:
+            value = self.old.get(word)
+            if value is None:
+                missing.append(word)
+            else:
+                self.new[word] = value
+        if missing:
+            self.new.update(zip(missing, self.learn(missing), strict=True))
+        for k in lacking:
+            found[k] = list(map(get, lists[k]))
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        return found
 
 
 class LibraryTokens:
     """Encodes texts with one tokenizer; special tokens' strings in a text are
-    ordinary text. ``LIMIT`` bounds what is remembered."""
+    ordinary text. ``LIMIT`` bounds what is remembered (twice)."""
 
-    LIMIT = 500_000
-    #: Stretches that are encoded together.
+    LIMIT = 300_000
+    #: Words that are encoded together.
     TOGETHER = 2_000
 
     def __init__(self, path: str) -> None:
@@ -57,37 +89,30 @@ class LibraryTokens:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: Bytes of each id: a byte-level vocabulary writes a byte a character.
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.size)], np.int64)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(self.word_ids, self.LIMIT)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def stretch_ids(self, missing: list[str]) -> list[bytes]:
-        """Ids of stretches that were not met before."""
-        heads = [x for x in missing if x[:1] != " "]
-        spaced = [x for x in missing if x[:1] == " "]
-        found = dict(zip(heads, self.library(heads), strict=True))
-        blocks = [spaced[k : k + self.TOGETHER] for k in range(0, len(spaced), self.TOGETHER)]
-        for block, raw in zip(blocks, self.library(["".join(x) for x in blocks]), strict=True):
-            ends = np.cumsum([len(x.encode()) for x in block])
+    def word_ids(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, each with a space in front of it."""
+        blocks = [words[k : k + self.TOGETHER] for k in range(0, len(words), self.TOGETHER)]
+        for block, raw in zip(blocks, self.library([" " + " ".join(x) for x in blocks]), strict=True):
+            ends = np.cumsum([len(x.encode()) + 1 for x in block])
             reached = np.cumsum(self.lengths[np.frombuffer(raw, np.uint32)])
             at = np.searchsorted(reached, ends)
             if len(reached) != at[-1] + 1 or (reached[at] != ends).any():
                 raise ValueError("the tokenizer does not end a token in front of every space")
             cuts = [0, *(4 * at + 4).tolist()]
-            found.update((x, raw[a:b]) for x, a, b in zip(block, cuts, cuts[1:], strict=False))
-        return [found[x] for x in missing]
+            yield from (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [stretches(x) if self.splits else None for x in texts]
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        missing = list(set().union(*[x for x in split if x]) - self.known.keys())
-        self.known.update(zip(missing, self.stretch_ids(missing), strict=True))
-        others = iter(self.library([t for t, x in zip(texts, split, strict=True) if x is None]))
-        get = self.known.__getitem__
-        return [next(others) if x is None else b"".join(map(get, x)) for x in split]
+        split = [words_of(x) if self.splits else None for x in texts]
+        known = iter(self.known.of([x[1:] for x in split if x]))
+        # A first word has no space in front of it.
+        whole = iter(self.library([x[0] if x else t for t, x in zip(texts, split, strict=True)]))
+        return [next(whole) + b"".join(next(known)) if x else next(whole) for x in split]
 
 
 _shared: dict[str, LibraryTokens] = {}

@@ -70,7 +70,7 @@ def test_library_tokens_are_the_librarys():
     due = ours.tokenizer.encode_batch(texts, add_special_tokens=False)
     for _ in range(2):
         assert ours.of(texts) == [array("I", x.ids).tobytes() for x in due]
-    ours.LIMIT = 10  # forgetting changes nothing
+    ours.known.limit = 10  # forgetting changes nothing
     assert b"".join(x for k in range(0, len(texts), 50) for x in ours.of(texts[k : k + 50])) == b"".join(array("I", x.ids).tobytes() for x in due)
 
 
@@ -186,7 +186,7 @@ def test_alignment_remembers_within_bounds():
     work = alignment.Aligner(A, B)
     due = work.of(texts)
     assert [work.whole(t) if t else work.NOTHING for t in texts] == due
-    work.LIMIT, work.transducer.LIMIT, work.tokens.LIMIT = 5, 5, 5
+    work.known.limit, work.transducer.LIMIT, work.tokens.known.limit = 5, 5, 5
     assert [x for k in range(0, len(texts), 7) for x in work.of(texts[k : k + 7])] == due
 
 
