@@ -170,17 +170,18 @@ class Aligner:
     def joined(self, text: str, a: list[int], b: list[int]) -> tuple[str, bytes, int, int] | None:
         """Groups and links of one stretch (without its space); None if the
         tokens of a side don't spell space+text."""
-        spelled = b" " + text.encode()
-        of_a, of_b = self.transducer.bytes
-        if b"".join([of_a[k] for k in a]) != spelled or b"".join([of_b[k] for k in b]) != spelled:
+        of_a = self.transducer.bytes[0]
+        if b"".join([of_a[k] for k in a]) != b" " + text.encode():
             return None
-        ends = self.transducer.groups(a, b)
+        ends = self.transducer.groups(a, b)  # None unless B spells what A does
         if ends is None:
             return None
-        shown, said, links, i, j = self.shown, [], array("i"), 0, 0
+        shown, pairs, said, links, i, j = self.shown, self.pairs, [], array("i"), 0, 0
         for p, q in ends:
-            said.append(f"{','.join([shown[k] for k in a[i:p]])}|{','.join([shown[k] for k in b[j:q]])}")
-            links.append(self.pairs[a[p - 1] << 32 | b[q - 1]])
+            left = shown[a[i]] if p == i + 1 else ",".join([shown[k] for k in a[i:p]])
+            right = shown[b[j]] if q == j + 1 else ",".join([shown[k] for k in b[j:q]])
+            said.append(f"{left}|{right}")
+            links.append(pairs[a[p - 1] << 32 | b[q - 1]])
             i, j = p, q
         return ";".join(said), links.tobytes(), len(a), len(b)
 
