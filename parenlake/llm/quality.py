@@ -7,7 +7,7 @@ and its length as metadata. The score is
 
 whose pairwise part is computed in linear time as half of the sum over factors
 of (sum v_if x_i)^2 - sum (v_if x_i)^2. Training sees a bounded sample of the
-labelled rows on the driver; scoring is Arrow-batched over all documents,
+labelled rows in one task; scoring is Arrow-batched over all documents,
 with a model of fixed size and no shuffle.
 """
 
@@ -186,27 +186,36 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         for batch in batches:
             made = list(features(raw_bytes(batch.column(1)), buckets, known))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), *[pa.array([m[k] for m in made], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]],
+                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), *[pa.array([m[k] for m in made], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32(), pa.float64()))]],
                 names=["doc_id", "label", "found", "value", "stats"],
             )
 
-    rows = texts.select("doc_id", "text", "_quality").mapInArrow(run, "doc_id long, label int, found array<long>, value array<double>, stats array<double>").toArrow()
-    # Tasks end in any order; training must see one order. Values stay in
-    # arrays: as Python objects they would be most of the driver's memory.
+    def learn(rows: pa.Table) -> pa.Table:
+        model = learnt(rows, settings)
+        return pa.table({n: [getattr(model, n).tobytes()] for n in ("edges", "weight", "factor")} | {"bias": [model.bias]})
+
+    rows = texts.select("doc_id", "text", "_quality").mapInArrow(run, "doc_id long, label int, found array<int>, value array<float>, stats array<double>")
+    # One task trains: the sample is bounded. The driver gets the model alone.
+    row = rows.groupBy(F.lit(0).alias("one")).applyInArrow(learn, "edges binary, weight binary, factor binary, bias double").first()
+    if row is None:
+        return train([], np.zeros((0, len(STATISTICS))), np.zeros(0), settings)
+    edges, weight, factor = [np.frombuffer(row[n], np.float64).copy() for n in ("edges", "weight", "factor")]
+    return Model(edges.reshape(len(STATISTICS), -1), row["bias"], weight, factor.reshape(len(weight), -1), settings)
+
+
+def learnt(rows: pa.Table, settings: Settings) -> Model:
+    """The model of a sample's rows, which come in any order: training sees them
+    in one order. Values stay in arrays; as Python objects they would take
+    several times the memory."""
     rows = rows.combine_chunks()
-    doc_id, label = [rows.column(k).to_numpy() for k in (0, 1)]
-    lists = [rows.column(k).combine_chunks() for k in (2, 3, 4)]
-    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in lists]
+    doc_id, label = [rows.column(k).to_numpy() for k in ("doc_id", "label")]
+    found, value, stats = [rows.column(k).combine_chunks() for k in ("found", "value", "stats")]
+    found, value, stats = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (found, value, stats)]
     order = np.lexsort((label, doc_id))
-    if not len(order):
-        return train([], np.zeros((0, len(STATISTICS))), np.zeros(0), settings)
-    ends = lists[0].offsets.to_numpy()
-    found, value, stats = [x.flatten().to_numpy() for x in lists]
+    ends = found.offsets.to_numpy()
+    found, value, stats = [x.flatten().to_numpy() for x in (found, value, stats)]
     some = [(found[ends[k] - ends[0] : ends[k + 1] - ends[0]], value[ends[k] - ends[0] : ends[k + 1] - ends[0]]) for k in order]
-    model = train(some, stats.reshape(len(order), len(STATISTICS))[order], (label[order] > 0).astype(float), settings)
-    del some, rows, lists, found, value, stats, doc_id, label, ends
-    pa.default_memory_pool().release_unused()  # Arrow keeps what it has freed
-    return model
+    return train(some, stats.reshape(len(order), len(STATISTICS))[order], (label[order] > 0).astype(float), settings)
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
