@@ -76,12 +76,12 @@ def nodes(sources: DataFrame, wanted: str | None = None) -> DataFrame:
     return _parsed(sources, schema, lambda got: columns(got, some) if isinstance(got, Tree) else None)
 
 
-def parsed(sources: DataFrame, wanted: str | None = None) -> DataFrame:
-    """``nodes``, parsed once and written to the folder that the session's
-    spark.checkpoint.dir names: for reports that read the table several times.
-    Without that setting a local session writes to a folder of its own; any
-    other has no place that all executors share, and is refused."""
-    spark = sources.sparkSession
+def staged(table: DataFrame, name: str) -> DataFrame:
+    """``table``, written once to the folder that the session's
+    spark.checkpoint.dir names and read back. Without that setting a local
+    session writes to a folder of its own; any other has no place that all
+    executors share, and is refused."""
+    spark = table.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -90,12 +90,17 @@ def parsed(sources: DataFrame, wanted: str | None = None) -> DataFrame:
             _own_folder.append(tempfile.mkdtemp(prefix="parenlake-"))
             atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
         shared = f"file://{_own_folder[0]}"
-    table = nodes(sources, wanted)
-    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/nodes-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     table.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 
+def parsed(sources: DataFrame, wanted: str | None = None) -> DataFrame:
+    """``nodes``, parsed once and staged: for reports that read the table
+    several times."""
+    return staged(nodes(sources, wanted), "nodes")
+
+
 def comments(sources: DataFrame) -> DataFrame:
     """Comments and discarded forms, which lie outside the tree."""
     from parenlake.functions.reader import Tree

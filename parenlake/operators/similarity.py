@@ -1,24 +1,32 @@
 """Pairs of similar forms by tree edit distance.
 
-Forms meet within a bucket (their head). Only pairs that can reach the
-threshold are handed to the distance: the size bound is a band of node counts,
-made an equi-join by cutting node counts into geometric bins; the label bound
-compares label multisets. The distance runs on the survivors alone.
+Equal trees are one class; distances are worked out between classes. Classes of
+one head meet through an inverted index: a form's labels, each with its number
+among equal ones, are ordered by how many classes have them, rarest first. The
+threshold says how many labels two forms must share at least, so forms that can
+reach it share one among the first few (the prefix). Keys of many classes are
+cut into blocks. Ids alone are joined and made distinct; trees are fetched for
+the pairs left.
+
+What a report says about all pairs is never counted pair by pair: running sums
+over the node counts of each head give the possible pairs and those that sizes
+rule out, and members of classes multiply.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parenlake.operators.nodes import _parsed, by_name
+from parenlake.operators.nodes import _parsed, by_name, staged
 
-FORMS = "file_id long, path array<int>, top boolean, head string, subtree_nodes int, line_span int, span_start long, span_end long, labels array<string>, leftmost array<int>"
+FORMS = "file_id long, path array<int>, top boolean, head string, tree string, subtree_nodes int, line_span int, span_start long, span_end long, labels array<string>, leftmost array<int>"
 
 
 def forms(sources: DataFrame, min_node_count: int = 4, min_line_span: int = 1, top_level_only: bool = False) -> DataFrame:
@@ -39,68 +47,215 @@ def forms(sources: DataFrame, min_node_count: int = 4, min_line_span: int = 1, t
             if size >= min_node_count and lines >= min_line_span:
                 labels, leftmost = encode(got, k)
                 head = got.head(k)
+                tree = hashlib.blake2b("\1".join([*labels, *map(str, leftmost)]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
                 yield {
-                    "path": got.path(k), "top": not node.parent, "head": operator_key(head) if head is not None else None, "subtree_nodes": size,
+                    "path": got.path(k), "top": not node.parent, "head": operator_key(head) if head is not None else None, "tree": tree, "subtree_nodes": size,
                     "line_span": lines, "span_start": node.start, "span_end": node.end, "labels": labels, "leftmost": leftmost,
                 }
 
     return _parsed(sources, FORMS, rows)
 
 
+#: Classes of a key that one block holds.
+BLOCK = 256
 NAMES = ["l_file_id", "l_path", "l_span_start", "l_span_end", "r_file_id", "r_path", "r_span_start", "r_span_end", "l_subtree_nodes", "r_subtree_nodes"]
 
 
-def measured(sources: DataFrame, threshold: float = 0.87, min_node_count: int = 4, min_line_span: int = 1, comparison_scope: str = "all", form_scope: str = "all") -> DataFrame:
-    """Pairs whose sizes leave room for the threshold: NAMES, outcome (pruned by
-    its labels, skipped as too large to compare, or evaluated) and distance in
-    tenths."""
-    if not 0 <= threshold <= 1:
-        raise ValueError("threshold must lie between 0 and 1")
-    found = forms(sources, min_node_count, min_line_span, form_scope == "top-level")
-    # Texts don't rank; a form's place does. Bins are as wide as the threshold.
-    base = max(1.01, 1 / threshold) if threshold > 0 else None
-    size_bin = F.floor(F.log("subtree_nodes") / math.log(base)) if base else F.lit(0).cast("long")
-    left = found.select(*[F.col(c).alias(f"l_{c}") for c in found.columns], F.explode(F.array(size_bin - 1, size_bin, size_bin + 1)).alias("_bin"), F.coalesce("head", F.lit("\0")).alias("_head"))
-    right = found.select(*[F.col(c).alias(f"r_{c}") for c in found.columns], size_bin.alias("_rbin"), F.coalesce("head", F.lit("\0")).alias("_rhead"))
-    place = lambda s: F.struct(f"{s}_file_id", f"{s}_path")
-    low, high = F.least("l_subtree_nodes", "r_subtree_nodes"), F.greatest("l_subtree_nodes", "r_subtree_nodes")
-    fits = (high - low) <= (1 - threshold) * high + 1e-9
-    on = (F.col("_head") == F.col("_rhead")) & (F.col("_bin") == F.col("_rbin")) & (F.struct(F.col("l_file_id").alias("a"), F.col("l_path").alias("b")) < F.struct(F.col("r_file_id").alias("a"), F.col("r_path").alias("b"))) & fits
-    if comparison_scope == "same-file":
-        on = on & (F.col("l_file_id") == F.col("r_file_id"))
-    elif comparison_scope == "cross-file":
-        on = on & (F.col("l_file_id") != F.col("r_file_id"))
-    pairs = left.join(right, on)
-    names = NAMES
+def _head(column: str = "head") -> Column:
+    return F.coalesce(column, F.lit("\0"))
+
+
+def _fits(threshold: float, a: str, b: str) -> Column:
+    """Whether two node counts leave room for the threshold."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    return (high - low) <= (1 - threshold) * high + 1e-9
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """Equal trees, of staged forms: tree, head, subtree_nodes, labels,
+    leftmost, members."""
+    same = [F.first(c).alias(c) for c in ("head", "subtree_nodes", "labels", "leftmost")]
+    return staged(found.groupBy("tree").agg(*same, F.count(F.lit(1)).alias("members")), "classes")
+
+
+def _keys(trees: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """tree, head, subtree_nodes and key, for either side of the candidate join:
+    classes that can reach the threshold have a key in common.
+
+    n nodes and m >= n with o labels in common cost at least 10 (m - n) + 3
+    (n - o), so o >= (1 - (1 - threshold) 10 / 3) n of either's n. Where that is
+    no bound, classes meet by bins of node counts as wide as the threshold."""
+    from parenlake.functions.distance import ATOM, GAP
+
+    facts = trees.select("tree", _head().alias("head"), "subtree_nodes")
+    share = 1 - (1 - threshold) * GAP / ATOM
+    if share > 0:
+        spelled = trees.select("tree", _head().alias("head"), "subtree_nodes", F.explode("labels").alias("label")).groupBy("tree", "head", "subtree_nodes", "label").count()
+        numbered = spelled.select("tree", "head", "subtree_nodes", "label", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("nth"))
+        often = numbered.groupBy("head", "label", "nth").agg(F.count(F.lit(1)).alias("often"))
+        ranked = numbered.join(often, ["head", "label", "nth"]).withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy("often", "label", "nth")))
+        prefix = F.col("subtree_nodes") - F.ceil(share * F.col("subtree_nodes") - 1e-9) + 1
+        both = staged(ranked.filter(F.col("rank") <= prefix).select("tree", "head", "subtree_nodes", F.xxhash64("head", "label", "nth").alias("key")), "label-keys")
+        return both, both
+    size_bin = F.floor(F.log("subtree_nodes") / math.log(max(1.01, 1 / threshold))) if threshold > 0 else F.lit(0).cast("long")
+    binned = facts.withColumn("bin", size_bin)
+    beside = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)) if threshold > 0 else F.col("bin")
+    key = F.xxhash64("head", "bin").alias("key")
+    return binned.withColumn("bin", beside).select("tree", "head", "subtree_nodes", key), binned.select("tree", "head", "subtree_nodes", key)
+
+
+def candidates(trees: DataFrame, threshold: float) -> DataFrame:
+    """left, right: classes of one head, by id, whose labels and sizes leave
+    room for the threshold. Each pair once; equal trees are no pair."""
+    left, right = _keys(trees, threshold)
+    cuts = right.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts")).filter("cuts > 1")
+    block = F.pmod(F.hash("tree"), F.coalesce("cuts", F.lit(1)))
+    ours = left.join(cuts, "key", "left").select(F.col("tree").alias("left"), F.col("head").alias("l_head"), F.col("subtree_nodes").alias("l_size"), "key", block.alias("block"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))
+    theirs = right.join(cuts, "key", "left").select(F.col("tree").alias("right"), F.col("head").alias("r_head"), F.col("subtree_nodes").alias("r_size"), F.col("key").alias("r_key"), everywhere.alias("r_block"))
+    on = (F.col("key") == F.col("r_key")) & (F.col("block") == F.col("r_block")) & (F.col("l_head") == F.col("r_head")) & (F.col("left") < F.col("right"))
+    pairs = ours.join(theirs, on & _fits(threshold, "l_size", "r_size")).select("left", "right")
+    # Pairs take long to compare for their bytes: their number of tasks is kept.
+    return pairs.repartition(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left", "right").distinct()
+
+
+def class_links(trees: DataFrame, threshold: float) -> DataFrame:
+    """left, right, distance_x10 of the classes at or above the threshold, and
+    of those too large to compare (distance null). ``trees``: staged classes."""
+    side = lambda s: trees.select(F.col("tree").alias(s), F.col("labels").alias(f"{s}_labels"), F.col("leftmost").alias(f"{s}_leftmost"))
+    fetched = candidates(trees, threshold).join(side("left"), "left").join(side("right"), "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from parenlake.functions.distance import ATOM, GAP, distance
 
         for batch in batches:
-            costs, outcomes = [], []
-            for a, x, b, y in zip(*[batch.column(k).to_pylist() for k in range(len(names), len(names) + 4)], strict=True):
+            costs, kept = [], []
+            for k, (a, x, b, y) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True)):
                 most = (1 - threshold) * max(len(a), len(b)) * GAP + 1e-6
                 # What the label multisets alone force.
                 ours, theirs = Counter(a), Counter(b)
                 least = abs(len(a) - len(b)) * GAP + ATOM * min((ours - theirs).total(), (theirs - ours).total())
                 cost = None if least > most else distance((a, x), (b, y))
-                costs.append(cost)
-                outcomes.append("pruned" if least > most else "skipped" if cost is None else "evaluated")
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(costs, pa.int64()), pa.array(outcomes, pa.string())], names=[*names, "distance_x10", "outcome"])
+                if least <= most and (cost is None or cost <= most):
+                    kept.append(k)
+                    costs.append(cost)
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(costs, pa.int64())], names=["left", "right", "distance_x10"])
+
+    rows = fetched.select("left", "right", "left_labels", "left_leftmost", "right_labels", "right_leftmost").mapInArrow(run, "left string, right string, distance_x10 long")
+    return staged(rows, "class-links")
+
 
-    kinds = "l_file_id long, l_path array<int>, l_span_start long, l_span_end long, r_file_id long, r_path array<int>, r_span_start long, r_span_end long, l_subtree_nodes int, r_subtree_nodes int"
-    return pairs.select(*names, "l_labels", "l_leftmost", "r_labels", "r_leftmost").mapInArrow(run, f"{kinds}, distance_x10 long, outcome string")
+def _checked(threshold: float) -> None:
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must lie between 0 and 1")
 
 
-def similarity_summary(sources: DataFrame, threshold: float = 0.87, fail_on_skipped: bool = False, **scope: object) -> DataFrame:
-    """One row: pairs whose sizes fit, how many of them were pruned by labels,
-    skipped as too large, evaluated and matched; and whether the report is
-    complete enough for the policy."""
-    done = measured(sources, threshold, **scope)
-    count = lambda what: F.count_if(F.col("outcome") == what).alias(what)
-    matched = F.count_if(F.col("distance_x10") <= (1 - threshold) * 10 * F.greatest("l_subtree_nodes", "r_subtree_nodes") + 1e-9).alias("matched")
-    facts = done.agg(F.count(F.lit(1)).alias("possible"), count("pruned"), count("skipped"), count("evaluated"), matched)
-    return facts.withColumn("passed", ~(F.lit(fail_on_skipped) & (F.col("skipped") > 0)))
+def possible_pairs(found: DataFrame, threshold: float, within: list[str]) -> DataFrame:
+    """One row: possible, the pairs of forms that agree in ``within``, and
+    pruned, those whose sizes alone rule the threshold out.
+
+    In the order of node counts, each count's forms pair with all before them;
+    a probe below the least partner of a count says how many of these are too
+    small. One window over the node counts of a head gives both sums."""
+    tally = found.groupBy(*within, F.col("subtree_nodes").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
+    entries = tally.select(*within, F.col("size").cast("long").alias("at"), F.lit(1).alias("entry"), "n", none.alias("asking"))
+    probes = tally.select(*within, F.ceil(threshold * F.col("size") - 1e-9).cast("long").alias("at"), F.lit(0).alias("entry"), none.alias("n"), F.col("n").alias("asking"))
+    run = F.sum("n").over(Window.partitionBy(*within).orderBy("at", "entry").rowsBetween(Window.unboundedPreceding, 0))
+    both = entries.unionByName(probes).withColumn("run", run)
+    pairs = F.sum(F.col("n") * (F.col("run") - F.col("n")) + F.floor(F.col("n") * (F.col("n") - 1) / 2))
+    return both.agg(F.coalesce(pairs, none).alias("possible"), F.coalesce(F.sum(F.col("asking") * F.col("run")), none).alias("pruned"))
+
+
+def _pair_counts(found: DataFrame, links: DataFrame, within: list[str]) -> DataFrame:
+    """One row: matched and skipped pairs of forms, of equal or linked trees,
+    that agree in ``within``: members of classes multiply."""
+    held = found.groupBy("tree", *within).agg(F.count(F.lit(1)).alias("n"))
+    equal = held.agg(F.coalesce(F.sum(F.floor(F.col("n") * (F.col("n") - 1) / 2)), F.lit(0)).alias("equal"))
+    left = held.select(F.col("tree").alias("left"), F.col("n").alias("l_n"), *within)
+    right = held.select(F.col("tree").alias("right"), F.col("n").alias("r_n"), *within)
+    met = links.join(left, "left").join(right, ["right", *within])
+    product = F.col("l_n") * F.col("r_n")
+    linked = met.agg(*[F.coalesce(F.sum(F.when(c, product)), F.lit(0)).alias(n) for n, c in (("linked", F.col("distance_x10").isNotNull()), ("skipped", F.col("distance_x10").isNull()))])
+    return equal.crossJoin(linked).select((F.col("equal") + F.col("linked")).alias("matched"), "skipped")  # one row each
+
+
+def similarity_summary(
+    sources: DataFrame, threshold: float = 0.87, min_node_count: int = 4, min_line_span: int = 1, comparison_scope: str = "all", form_scope: str = "all",
+    overlap_policy: str = "all", max_results: int | None = 10_000, fail_on_skipped: bool = False, fail_on_matches: bool = False,
+) -> DataFrame:
+    """One row about all pairs of forms with one head: possible; pruned by their
+    sizes; skipped as too large to compare; unprocessed (none is left out);
+    evaluated, all others; matched; suppressed as inside another match; reported
+    and whether that is truncated; and the policy: ``decision`` is indeterminate
+    where skipped pairs could change it, and passed only if it is passed."""
+    _checked(threshold)
+    found = staged(forms(sources, min_node_count, min_line_span, form_scope == "top-level").select("file_id", "path", _head().alias("head"), "tree", "subtree_nodes", "span_start", "span_end", "labels", "leftmost"), "forms")
+    links = class_links(classes(found), threshold)
+
+    def counted(within: list[str]) -> DataFrame:
+        return possible_pairs(found, threshold, ["head", *within]).crossJoin(_pair_counts(found, links, within))  # one row each
+
+    if comparison_scope == "cross-file":
+        names = ["possible", "pruned", "matched", "skipped"]
+        same = counted(["file_id"]).select(*[F.col(n).alias(f"s_{n}") for n in names])
+        told = counted([]).crossJoin(same).select(*[(F.col(n) - F.col(f"s_{n}")).alias(n) for n in names])
+    else:
+        told = counted(["file_id"] if comparison_scope == "same-file" else [])
+    if overlap_policy == "maximal":
+        left = _maximal(_form_pairs(found, links, comparison_scope)).agg(F.count(F.lit(1)).alias("left"))
+        told = told.crossJoin(left).withColumn("suppressed", F.col("matched") - F.col("left")).drop("left")
+    else:
+        told = told.withColumn("suppressed", F.lit(0).cast("long"))
+    kept = F.col("matched") - F.col("suppressed")
+    told = told.withColumn("evaluated", F.col("possible") - F.col("pruned") - F.col("skipped")).withColumn("reported", F.least(kept, F.lit(max_results)) if max_results is not None else kept)
+    failed, unsure = F.lit(fail_on_matches) & (kept > 0), F.lit(fail_on_skipped) & (F.col("skipped") > 0)
+    told = told.withColumn("decision", F.when(failed, "failed").when(unsure, "indeterminate").otherwise("passed"))
+    return told.select("possible", "pruned", "skipped", F.lit(0).cast("long").alias("unprocessed"), "evaluated", "matched", "suppressed", "reported", (F.col("reported") < kept).alias("truncated"), "decision", (F.col("decision") == "passed").alias("passed"))
+
+
+def similarity_classes(sources: DataFrame, threshold: float = 0.87, min_node_count: int = 4, min_line_span: int = 1, form_scope: str = "all") -> DataFrame:
+    """A row for each form, however many others it resembles: file, path, its
+    class's first form (class_file, class_path), members of the class, linked
+    classes, and links: how many other forms reach the threshold with it."""
+    _checked(threshold)
+    found = staged(forms(sources, min_node_count, min_line_span, form_scope == "top-level").select("file_id", "path", "head", "tree", "subtree_nodes", "labels", "leftmost"), "forms")
+    trees = classes(found)
+    links = class_links(trees, threshold).filter("distance_x10 IS NOT NULL")
+    both = links.select(F.col("left").alias("tree"), F.col("right").alias("other")).unionByName(links.select(F.col("right").alias("tree"), F.col("left").alias("other")))
+    sizes = trees.select(F.col("tree").alias("other"), F.col("members").alias("others"))
+    near = both.join(sizes, "other").groupBy("tree").agg(F.count(F.lit(1)).alias("linked_classes"), F.sum("others").alias("linked"))
+    first = found.groupBy("tree").agg(F.min(F.struct("file_id", "path")).alias("first"), F.count(F.lit(1)).alias("members"))
+    told = found.select("tree", "file_id", "path").join(first, "tree").join(near, "tree", "left")
+    dotted = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
+    return told.select(
+        "file_id", dotted("path").alias("path"), F.col("first.file_id").alias("class_file"), dotted("first.path").alias("class_path"), "members",
+        F.coalesce("linked_classes", F.lit(0)).cast("long").alias("linked_classes"), (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).cast("long").alias("links"),
+    )
+
+
+def _form_pairs(found: DataFrame, links: DataFrame, comparison_scope: str) -> DataFrame:
+    """NAMES and distance_x10 of all matching pairs of forms, the one that comes
+    first on the left."""
+    place = lambda s: found.select(F.col("tree").alias(s), F.struct("file_id", "path", "span_start", "span_end", "subtree_nodes").alias(f"{s}_form"))
+    near = links.filter("distance_x10 IS NOT NULL").join(place("left"), "left").join(place("right"), "right").select("left_form", "right_form", "distance_x10")
+    equal = place("left").join(place("right"), (F.col("left") == F.col("right")) & (F.col("left_form") < F.col("right_form"))).select("left_form", "right_form", F.lit(0).cast("long").alias("distance_x10"))
+    pairs = near.unionByName(equal).select(F.least("left_form", "right_form").alias("l"), F.greatest("left_form", "right_form").alias("r"), "distance_x10")
+    if comparison_scope == "same-file":
+        pairs = pairs.filter("l.file_id = r.file_id")
+    elif comparison_scope == "cross-file":
+        pairs = pairs.filter("l.file_id <> r.file_id")
+    return pairs.select(*[F.col(f"{n[0]}.{n[2:]}").alias(n) for n in NAMES], "distance_x10")
+
+
+def _maximal(matched: DataFrame) -> DataFrame:
+    """The pairs that lie in no other of the same two files."""
+    matched = staged(matched, "form-pairs")
+    outer = matched.select(*[F.col(n).alias(f"o_{n}") for n in NAMES])
+    holds = lambda s: (F.col(f"o_{s}_span_start") <= F.col(f"{s}_span_start")) & (F.col(f"o_{s}_span_end") >= F.col(f"{s}_span_end"))
+    larger = (F.col("o_l_span_end") - F.col("o_l_span_start") > F.col("l_span_end") - F.col("l_span_start")) | (F.col("o_r_span_end") - F.col("o_r_span_start") > F.col("r_span_end") - F.col("r_span_start"))
+    return matched.join(outer, (F.col("l_file_id") == F.col("o_l_file_id")) & (F.col("r_file_id") == F.col("o_r_file_id")) & holds("l") & holds("r") & larger, "left_anti")
 
 
 def similarity(
@@ -114,16 +269,14 @@ def similarity(
     top-level; overlap_policy: maximal drops a pair strictly inside another of
     the same two files, all keeps every pair. Pairs too large to compare are
     not here; ``similarity_summary`` counts them."""
-    names = NAMES
-    compared = measured(sources, threshold, min_node_count, min_line_span, comparison_scope, form_scope)
+    _checked(threshold)
+    found = staged(forms(sources, min_node_count, min_line_span, form_scope == "top-level").select("file_id", "path", "head", "tree", "subtree_nodes", "span_start", "span_end", "labels", "leftmost"), "forms")
+    matched = _form_pairs(found, class_links(classes(found), threshold), comparison_scope)
+    if overlap_policy == "maximal":
+        matched = _maximal(matched)
     ratio = F.greatest(F.lit(0.0), 1 - F.col("distance_x10") / (10.0 * F.greatest("l_subtree_nodes", "r_subtree_nodes")))
-    matched = compared.filter("distance_x10 IS NOT NULL").withColumn("similarity", ratio).filter(F.col("similarity") >= threshold)
+    matched = matched.withColumn("similarity", ratio).filter(F.col("similarity") >= threshold)
     matched = matched.withColumn("score", F.col("similarity") * (F.col("l_subtree_nodes") + F.col("r_subtree_nodes")) / 2.0)
-    if overlap_policy == "maximal":
-        outer = matched.select(*[F.col(n).alias(f"o_{n}") for n in names])
-        holds = lambda s: (F.col(f"o_{s}_span_start") <= F.col(f"{s}_span_start")) & (F.col(f"o_{s}_span_end") >= F.col(f"{s}_span_end"))
-        larger = (F.col("o_l_span_end") - F.col("o_l_span_start") > F.col("l_span_end") - F.col("l_span_start")) | (F.col("o_r_span_end") - F.col("o_r_span_start") > F.col("r_span_end") - F.col("r_span_start"))
-        matched = matched.join(outer, (F.col("l_file_id") == F.col("o_l_file_id")) & (F.col("r_file_id") == F.col("o_r_file_id")) & holds("l") & holds("r") & larger, "left_anti")
     dotted = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
     ranked = matched.orderBy(F.desc("score"), F.desc("similarity"), "l_file_id", "l_path", "r_file_id", "r_path")
     ranked = ranked.limit(max_results) if max_results is not None else ranked

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parenlake.operators import reports as R
 from parenlake.operators.rewrites import apply_edits, check_manifest, diff, hashed, manifest_status, plan, preview, preview_policy, remove_unused, rewrite, verify
-from parenlake.operators.similarity import similarity, similarity_summary
+from parenlake.operators.similarity import similarity, similarity_classes, similarity_summary
 from parenlake.plans import commands
 from parenlake.sources import corpus as C
 
@@ -166,8 +166,18 @@ add("diff_suppliers", C.bindings, lambda s: diff(preview(s, "rename-symbol", fro
 add("hash_suppliers", C.bindings, hashed,
     f"""WITH {_LETS}, steps AS (SELECT k, list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(text, ''), lambda x: ascii(x)::HUGEINT)) AS codes FROM texts)
         SELECT 'suppliers/' || k || '.lisp' AS path, 'fnv1a64:' || lower(lpad(to_hex((list_reduce(codes, lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT))::UBIGINT), 16, '0')) AS hash FROM steps""")
-add("similarity_summary_suppliers", C.bindings, lambda s: similarity_summary(s, 0.9, form_scope="top-level"),
-    "SELECT n * (n - 1) // 2 AS possible, CAST(0 AS BIGINT) AS pruned, CAST(0 AS BIGINT) AS skipped, n * (n - 1) // 2 AS evaluated, n * (n - 1) // 2 AS matched, true AS passed FROM (SELECT count(*) AS n FROM supplier)")
+_ACCOUNT = """SELECT {all} AS possible, {pruned} AS pruned, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS unprocessed, {all} - {pruned} AS evaluated, {matched} AS matched,
+        CAST(0 AS BIGINT) AS suppressed, least({matched}, 10000) AS reported, {matched} > 10000 AS truncated, 'passed' AS decision, true AS passed
+        FROM (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 2 = 1) AS o, count(*) FILTER (s_suppkey % 2 = 0) AS e FROM supplier)"""
+_ALL, _HALVES = "(n * (n - 1) // 2)", "(o * (o - 1) // 2 + e * (e - 1) // 2)"
+add("similarity_summary_suppliers", C.bindings, lambda s: similarity_summary(s, 0.9, form_scope="top-level"), _ACCOUNT.format(all=_ALL, pruned="CAST(0 AS BIGINT)", matched=_ALL))
+for kind, told in (("names", {"pruned": "CAST(0 AS BIGINT)", "matched": _ALL}), ("sizes", {"pruned": "o * e", "matched": _HALVES}), ("leaves", {"pruned": "CAST(0 AS BIGINT)", "matched": _HALVES})):
+    add(f"similarity_summary_{kind}", lambda spark, sf_dir, kind=kind: C.measures(spark, sf_dir, kind), lambda s: similarity_summary(s, 0.9, min_node_count=2, form_scope="top-level"), _ACCOUNT.format(all=_ALL, **told))
+# Calls of one name and as many arguments resemble each other where their
+# arguments do: 3 tenths for each that differs, of 10 for each node.
+add("similarity_classes_suppliers", C.bindings, lambda s: similarity_classes(s, 0.95, form_scope="top-level"),
+    f"""WITH {_LETS}, pairs AS (SELECT a.k AS x, b.k AS y FROM lets a JOIN lets b ON a.k <> b.k WHERE 6 + CASE WHEN a.turn = b.turn THEN 0 WHEN a.turn + b.turn = 3 THEN 6 ELSE 3 END <= 9), n AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+        SELECT k AS file_id, '0' AS path, k AS class_file, '0' AS class_path, CAST(1 AS BIGINT) AS members, coalesce(n, 0) AS linked_classes, coalesce(n, 0) AS links FROM lets LEFT JOIN n ON k = x""")
 add("signature_summary_shop", C.shop, R.signature_summary,
     f"""WITH {_ITEMS}, told AS (SELECT k, CASE WHEN library.p IS NULL THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status FROM items LEFT JOIN library ON items.p = library.p AND known
         UNION ALL SELECT -1 - p, 'unknown-definition' FROM library) SELECT status, count(*) AS count, count(DISTINCT k) AS files FROM told GROUP BY ROLLUP (status)""")

@@ -151,3 +151,17 @@ def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn == 0, "(+ value 1)").when(turn == 1, "(+ value value)").otherwise("(+ width 1)"), F.lit("))\n"),
     )
     return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.lit("suppliers/"), key, F.lit(".lisp")).alias("path"), F.lit("common-lisp").alias("dialect"), text.alias("text"))
+
+
+def measures(spark: SparkSession, sf_dir: str, kind: str = "names") -> DataFrame:
+    """A form for each supplier, for counts of similar pairs: ``names`` alone
+    differ; or, for odd keys, ``sizes`` (128 operands, not 4) or ``leaves``
+    (as many nodes, but nested)."""
+    key, odd = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 2 == 1
+    body = {
+        "names": F.lit("(+ x 1)"),
+        "sizes": F.when(odd, "(+" + " x" * 128 + ")").otherwise("(+ x x x x)"),
+        "leaves": F.when(odd, "(" * 9 + "x" + ")" * 9).otherwise("(+" + " x" * 8 + ")"),
+    }[kind]
+    text = F.concat(F.lit("(defun f"), key, F.lit(" (x) "), body, F.lit(")"))
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.lit("measures/"), key, F.lit(".lisp")).alias("path"), F.lit("common-lisp").alias("dialect"), text.alias("text"))
