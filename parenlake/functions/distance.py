@@ -37,6 +37,11 @@ def encode(tree: Tree, root: int) -> tuple[list[str], list[int]]:
     return labels, leftmost
 
 
+def relabelled(la: list[str], lb: list[str]) -> int:
+    """Cost of changing the labels of one topology alone."""
+    return sum(0 if x == y else ATOM if x[0] == y[0] == "a" else OTHER for x, y in zip(la, lb, strict=True))
+
+
 def distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int | None:
     """Distance in tenths; None if the comparison is too large."""
     (la, fa), (lb, fb) = a, b
@@ -47,7 +52,7 @@ def distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) ->
         return None
     if fa == fb:
         # The same topology: relabelling is best as long as it is cheap.
-        cost = sum(0 if x == y else ATOM if x[0] == y[0] == "a" else OTHER for x, y in zip(la, lb, strict=True))
+        cost = relabelled(la, lb)
         if cost <= 2 * GAP:
             return cost
     change = np.array([[0 if x == y else ATOM if x[0] == y[0] == "a" else OTHER for y in lb] for x in la], np.int64)

@@ -126,16 +126,19 @@ def class_links(trees: DataFrame, threshold: float) -> DataFrame:
     fetched = candidates(trees, threshold).join(side("left"), "left").join(side("right"), "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from parenlake.functions.distance import ATOM, GAP, distance
+        from parenlake.functions.distance import ATOM, GAP, distance, relabelled
 
         for batch in batches:
             costs, kept = [], []
             for k, (a, x, b, y) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True)):
                 most = (1 - threshold) * max(len(a), len(b)) * GAP + 1e-6
-                # What the label multisets alone force.
-                ours, theirs = Counter(a), Counter(b)
-                least = abs(len(a) - len(b)) * GAP + ATOM * min((ours - theirs).total(), (theirs - ours).total())
-                cost = None if least > most else distance((a, x), (b, y))
+                if x == y and (cost := relabelled(a, b)) <= 2 * GAP:
+                    least = cost  # one topology: changing labels is best
+                else:
+                    # What the label multisets alone force.
+                    ours, theirs = Counter(a), Counter(b)
+                    least = abs(len(a) - len(b)) * GAP + ATOM * min((ours - theirs).total(), (theirs - ours).total())
+                    cost = None if least > most else distance((a, x), (b, y))
                 if least <= most and (cost is None or cost <= most):
                     kept.append(k)
                     costs.append(cost)
