@@ -13,8 +13,11 @@ LOCAL_CALLABLES = ("flet", "labels", "macrolet", "compiler-macrolet", "cl-flet",
 RECURSIVE = ("labels", "cl-labels")
 #: Forms that declare and call nothing.
 DECLARATIONS = ("declare", "declaim", "proclaim")
-#: Binding forms, by the place of their bindings.
-BINDINGS = ("let", "let*", "prog", "prog*", "do", "do*", "symbol-macrolet")
+#: Binding forms of each dialect. ``pairs`` are names with values,
+#: alone or, in a vector, by turns; ``specs`` may be bare names; of ``slots``
+#: the names are of places.
+_LISP_2 = {"pairs": ("let", "let*", "symbol-macrolet"), "specs": ("prog", "prog*", "do", "do*"), "slots": ("with-slots", "with-accessors")}
+BINDINGS = {"common-lisp": _LISP_2, "emacs-lisp": _LISP_2, "unknown": _LISP_2, "scheme": {"pairs": ("let", "let*")}, **dict.fromkeys(("clojure", "janet", "fennel"), {"pairs": ("let",)})}
 LOOPS = ("dolist", "dotimes")
 #: Heads whose parameters are child 2, and those whose parameters
 #: are the first list from child 2 on.
@@ -118,6 +121,19 @@ class Call:
     enclosing: str | None
 
 
+def bound_values(tree: Tree, k: int, key: str) -> list[int] | None:
+    """The nodes that a binding form evaluates for its bindings, none where it
+    has no list of them (a named let); None for other forms."""
+    if not any(key in heads for heads in BINDINGS[tree.dialect].values()):
+        return None
+    if len(tree.nodes[k].children) < 2 or tree.nodes[tree.nodes[k].children[1]].kind != "list":
+        return []
+    bindings = tree.nodes[tree.nodes[k].children[1]]
+    if bindings.delimiter == "bracket":
+        return bindings.children[1::2]
+    return [v for b in bindings.children for v in tree.nodes[b].children[1:]]
+
+
 def calls(tree: Tree) -> tuple[list[Call], list[int | None]]:
     """List-head call sites, definitions included, and for each node the
     quasiquote depth at which it is read (None: not evaluated)."""
@@ -150,8 +166,8 @@ def calls(tree: Tree) -> tuple[list[Call], list[int | None]]:
                 shape = definition(tree, k)
                 if needle(head) not in bound:
                     found.append(Call(k, head, len(kids) - 1, shape.category if shape else None, around))
-                if local and key in BINDINGS and len(kids) > 1 and not shape:
-                    values = [v for b in tree.nodes[kids[1]].children for v in tree.nodes[b].children[1:]]
+                values = bound_values(tree, k, key)
+                if values is not None:
                     below = [(v, around, bound, depth) for v in values] + below[2:]
                 elif local and key in LOOPS and len(kids) > 1:
                     below = [(v, around, bound, depth) for v in tree.nodes[kids[1]].children[1:]] + below[2:]

@@ -78,6 +78,11 @@ add("symbols_part", C.shop, lambda s: R.symbols(s, "part-3").select("file_id", "
 add("calls_orders", C.orders, R.calls,
     f"""WITH {_ITEMS}, spans AS (SELECT *, length('(defun order-' || k || ' (customer priority)') + 3 + coalesce(sum(length(call) + 3) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM items)
         SELECT k AS file_id, '0.' || (3 + i) AS path, CAST(pos AS BIGINT) AS span_start, CAST(pos + length(call) AS BIGINT) AS span_end, name AS head, CAST(args AS BIGINT) AS argument_count, CAST(NULL AS VARCHAR) AS category, 'order-' || k AS enclosing_definition FROM spans""")
+add("calls_scopes", C.scopes, lambda s: R.calls(s).select("file_id", "path", "head", "argument_count"),
+    """WITH told(turn, path, head, args) AS (VALUES (0, '0', 'with-slots', 3), (0, '0.2', 'get-', 0), (0, '0.3', 'use-', 2), (1, '0', 'let*', 2), (1, '0.1.0.1', 'get-', 0), (1, '0.2', 'use-', 2),
+            (2, '0.1.0.1', 'get-', 0), (2, '0.2', 'use-', 2), (3, '0', 'let', 2), (3, '0.1.1', 'get-', 0), (3, '0.2', 'use-', 2), (4, '0', 'let', 2), (4, '0.1.1', 'get-', 0), (4, '0.2', 'use-', 2),
+            (5, '0', 'let', 2), (5, '0.1.1', 'get-', 0), (5, '0.2', 'use-', 2), (6, '0', 'do', 3), (6, '0.1.0.1', 'get-', 0), (6, '0.1.0.2', 'next-', 1), (6, '0.2.0', 'done-', 1), (6, '0.3', 'use-', 2))
+        SELECT c_custkey AS file_id, path, head || CASE WHEN ends_with(head, '-') THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS head, CAST(args AS BIGINT) AS argument_count FROM customer JOIN told ON c_nationkey % 7 = turn""")
 add("signature_shop", C.shop, R.signature,
     f"""WITH {_ITEMS} SELECT k AS file_id, '0.' || (3 + i) AS path, name AS head, CAST(args AS BIGINT) AS argument_count,
         CASE WHEN library.p IS NULL THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status FROM items LEFT JOIN library ON items.p = library.p AND known

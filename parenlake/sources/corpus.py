@@ -165,3 +165,21 @@ def measures(spark: SparkSession, sf_dir: str, kind: str = "names") -> DataFrame
     }[kind]
     text = F.concat(F.lit("(defun f"), key, F.lit(" (x) "), body, F.lit(")"))
     return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.lit("measures/"), key, F.lit(".lisp")).alias("path"), F.lit("common-lisp").alias("dialect"), text.alias("text"))
+
+
+def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binding form for each customer, in the dialect of its nation's turn:
+    slots, let*, let with lists or a vector, and do."""
+    key = F.col("c_custkey").cast("string")
+    turn = F.col("c_nationkey") % 7
+    say = lambda text: F.replace(F.lit(text), F.lit("K"), key)
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("lisp", "el", "scm", "clj", "janet", "fnl", "txt")]), (turn + 1).cast("int"))
+    text = (
+        F.when(turn == 0, say("(with-slots ((a slot-K) b) (get-K) (use-K a b))"))
+        .when(turn == 1, say("(let* ((a (get-K)) b) (use-K a b))"))
+        .when(turn == 2, say("(let ((x (get-K))) (use-K x x))"))
+        .when(turn == 6, say("(do ((i (get-K) (next-K i)) j) ((done-K i)) (use-K i j))"))
+        .otherwise(say("(let [x (get-K) y 1] (use-K x y))"))
+    )
+    path = F.concat(F.lit("scopes/"), key, F.lit("."), ext)
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), path.alias("path"), dialect_column(path).alias("dialect"), text.alias("text"))

@@ -113,6 +113,27 @@ def test_workspace_check_and_discovery(spark, tmp_path):
     assert found["a.lisp"] is None and found["notes.txt"] == "unknown" and found["c.lisp"] == "generated" and found["d.lisp"] == "excluded"
 
 
+@pytest.mark.parametrize(
+    ("name", "text", "due"),
+    [
+        ("a.scm", "(let ((x (fetch))) (show x))", ["fetch", "show"]),
+        ("b.scm", "(let* ((x (fetch)) (y (next x))) (show y))", ["fetch", "next", "show"]),
+        ("c.scm", "(let again ((i (first))) (again (next i)))", ["i", "first", "again", "next"]),
+        ("d.lisp", "(with-slots ((a slot-a) b) (thing) (show a))", ["with-slots", "thing", "show"]),
+        ("e.lisp", "(with-accessors ((a get-a)) thing (show a))", ["with-accessors", "show"]),
+        ("f.clj", "(let [x (fetch) y (next x)] (show y))", ["let", "fetch", "next", "show"]),
+        ("g.janet", "(let [x (fetch)] (show x))", ["let", "fetch", "show"]),
+        ("h.fnl", "(let [x (fetch)] (show x))", ["let", "fetch", "show"]),
+        ("i.lisp", "(do ((i (first) (next i)) j) ((done i) (total)) (show i))", ["do", "first", "next", "done", "total", "show"]),
+        ("j.el", "(let* ((a (fetch)) b) (show a))", ["let*", "fetch", "show"]),
+        ("k.lisp", "(prog (a (b (fetch))) (show b))", ["prog", "fetch", "show"]),
+        ("l.lisp", "(let)", ["let"]),
+    ],
+)
+def test_calls_of_binding_forms(spark, name, text, due):
+    assert [r["head"] for r in R.calls(sources(spark, (name, text))).orderBy("span_start").collect()] == due
+
+
 def test_symbols_and_forms(spark):
     s = sources(spark, ("a.lisp", "(foo 'bar (baz cl:foo \"foo\")) ; foo\n'(foo) FOO"))
     got = [(r.path, r.text, r.quoted) for r in R.symbols(s, "foo").orderBy("span_start").collect()]
