@@ -21,7 +21,7 @@ LABELS = "doc_id long, quality int, toxic int"
 
 def test_stages_and_queries():
     assert [f.__name__ for _, f in corpus_pipeline.STAGES][0] == "reject_low_quality" and len(corpus_pipeline.STAGES) == 5
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
 
 
