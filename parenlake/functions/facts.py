@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from parenlake.functions.dialects import CALLABLE, ascii_lower, category, is_definition_head, needle, operator_key
@@ -206,12 +207,32 @@ def shape(tree: Tree, k: int, keep_head: bool = True) -> str:
     return "".join(out)
 
 
+def shape_hashes(tree: Tree) -> list[str | None]:
+    """A digest of the shape of each paren list, its own head kept, bottom-up:
+    equal subtrees have one digest, and each node is read once."""
+    digest = lambda *parts: hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+    atom = digest(b"atom")
+    inner: list[bytes] = [atom] * len(tree.nodes)
+    out: list[str | None] = [None] * len(tree.nodes)
+    for k in range(len(tree.nodes) - 1, -1, -1):
+        node = tree.nodes[k]
+        if node.kind == "atom":
+            continue
+        kids, mark = [inner[c] for c in node.children], digest((node.delimiter or "root").encode())
+        inner[k] = digest(mark, *kids)
+        if node.kind == "list" and node.delimiter == "paren":
+            if node.children and tree.nodes[node.children[0]].kind == "atom":
+                kids[0] = digest(b"head:", tree.text(node.children[0]).encode("utf-8", "surrogatepass"))
+            out[k] = digest(mark, *kids).hex()
+    return out
+
+
 def columns(tree: Tree, wanted: set[str] | None = None) -> dict[str, list]:
     """The columns of the ``nodes`` table, a value for each node; of those
     ``wanted`` only, and only what these need is worked out. None: all but
-    shape."""
+    shape_hash."""
     nodes, n = tree.nodes, len(tree.nodes)
-    need = (lambda *names: wanted is None or not wanted.isdisjoint(names)) if wanted is not None else (lambda *names: "shape" not in names)
+    need = (lambda *names: wanted is None or not wanted.isdisjoint(names)) if wanted is not None else (lambda *names: "shape_hash" not in names)
     depth, sib = [0] * n, [0] * n
     for k, node in enumerate(nodes):
         below = depth[k] + 1
@@ -288,8 +309,8 @@ def columns(tree: Tree, wanted: set[str] | None = None) -> dict[str, list]:
         out["local"] = [k in mine for k in range(n)]
     if need("line_span"):
         out["line_span"] = [1 + tree.source.count(b"\n", x.start, max(x.start, x.end - 1)) for x in nodes]
-    if need("shape"):
-        out["shape"] = [shape(tree, k) if x.kind == "list" and x.delimiter == "paren" else None for k, x in enumerate(nodes)]
+    if need("shape_hash"):
+        out["shape_hash"] = shape_hashes(tree)
     elif wanted is None:
-        out["shape"] = [None] * n
+        out["shape_hash"] = [None] * n
     return out

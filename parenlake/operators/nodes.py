@@ -25,15 +25,15 @@ NODES = (
     "span_start long, span_end long, content_start long, open_off long, close_off long, n_children int, subtree_nodes int, leaf_count int, path array<int>, "
     "text string, symbol string, needle string, head string, opaque boolean, opaque_above boolean, top_id int, in_defpackage boolean, qq_depth int, live boolean, definition_like boolean, "
     "category string, def_name string, def_needle string, parameter_count int, body_forms int, min_arity int, max_arity int, has_lambda boolean, "
-    "is_call boolean, call_needle string, enclosing string, local boolean, line_span int, shape string"
+    "is_call boolean, call_needle string, enclosing string, local boolean, line_span int, shape_hash string"
 )
 COMMENTS = "file_id long, span_start long, span_end long, own_line boolean, text string"
 ERRORS = "file_id long, code string, position long, message string"
 
 
-def _parsed(sources: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
+def _parsed(sources: DataFrame, schema: str, rows_of: Callable, also: str | None = None) -> DataFrame:
     """What ``rows_of(tree or Unreadable)`` gives for each source: columns by
-    name, all but file_id."""
+    name, all but file_id. ``also``: a column whose value goes with the tree."""
     arrow = to_arrow_schema(sources.sparkSession.createDataFrame([], schema).schema)
     names = arrow.names[1:]
 
@@ -44,19 +44,19 @@ def _parsed(sources: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out: dict[str, list] = {n: [] for n in arrow.names}
-                for file, dialect, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                for file, dialect, text, *more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     try:
                         got = read(text or "", dialect)
                     except Unreadable as error:
                         got = error
-                    made = rows_of(got)
+                    made = rows_of(got, *more)
                     if made:
                         for n in names:
                             out[n] += made[n]
                         out["file_id"] += [file] * (len(out[names[0]]) - len(out["file_id"]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return sources.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("dialect", F.lit("unknown")).alias("dialect"), "text").mapInArrow(run, schema)
+    return sources.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("dialect", F.lit("unknown")).alias("dialect"), "text", *([also] if also else [])).mapInArrow(run, schema)
 
 
 def by_name(rows: list[dict]) -> dict[str, list]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import KEPT, needle
-from parenlake.operators.nodes import by_name, errors, nodes, parsed
+from parenlake.operators.nodes import _parsed, by_name, errors, nodes, parsed, staged
 
 #: The family of each dialect.
 FAMILY = {"common-lisp": "lisp", "emacs-lisp": "lisp", "scheme": "scheme", "clojure": "clojure", "janet": "janet", "fennel": "fennel", "unknown": "unknown"}
@@ -35,11 +35,6 @@ def with_path(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(sources.select("file_id", F.col("path").alias("file")), "file_id")
 
 
-def gate(report: DataFrame, name: str, limit: Column, violation: str) -> DataFrame:
-    """One row: does the report pass? ``limit`` is an aggregate that must be 0."""
-    return policy(report, name, **{violation: limit > 0})
-
-
 def policy(report: DataFrame, name: str, **violations: Column) -> DataFrame:
     """One row: does the report pass? Each violation is an aggregate over the
     report that is true where it is violated; null counts as no."""
@@ -109,7 +104,7 @@ def let_summary(sources: DataFrame) -> DataFrame:
 
 def duplicate_summary(sources: DataFrame, min_group_size: int = 2, min_node_count: int = 4) -> DataFrame:
     """One row: groups, the forms in them and the largest group."""
-    return duplicates(sources, min_group_size, min_node_count).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("forms"), F.max("count").alias("largest"))
+    return _shape_groups(sources, min_group_size, min_node_count).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("forms"), F.max("count").alias("largest"))
 
 
 def graph_nodes(sources: DataFrame) -> DataFrame:
@@ -315,28 +310,53 @@ def packages(sources: DataFrame) -> DataFrame:
     return joined.groupBy("file_id", "path", "package").agg(pick("use").alias("uses"), pick("export").alias("exports"), pick("nicknames").alias("nicknames"), pick("import-from").alias("imports"), F.countDistinct("o").alias("option_count"))
 
 
-def duplicates(sources: DataFrame, min_group_size: int = 2, min_node_count: int = 4) -> DataFrame:
-    """Paren forms grouped by shape; the forms stay a bounded list of places
-    only in ``duplicate_forms``."""
+def _shaped(sources: DataFrame, min_group_size: int, min_node_count: int, more: str = "") -> DataFrame:
+    """Paren forms, large enough, with the digest of their shape."""
     if min_group_size < 1 or min_node_count < 1:
         raise ValueError("sizes must be 1 or more")
-    forms = nodes(sources, "shape subtree_nodes head path").filter(F.col("shape").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
-    return forms.groupBy("shape").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("file_id").alias("files"), F.first("head").alias("head")).filter(F.col("count") >= min_group_size)
+    return nodes(sources, "shape_hash subtree_nodes node_id" + more).filter(F.col("shape_hash").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
+
+
+def _spelled(sources: DataFrame, groups: DataFrame) -> DataFrame:
+    """shape_hash and shape, written out for one form of each group: ``groups``
+    has shape_hash and place (file_id, node_id)."""
+    from parenlake.functions.facts import shape
+    from parenlake.functions.reader import Tree
+
+    places = groups.groupBy(F.col("place.file_id").alias("file_id")).agg(F.collect_list(F.struct("place.node_id", "shape_hash")).alias("places"))
+    named = lambda got, at: {"shape_hash": [x["shape_hash"] for x in at], "shape": [shape(got, x["node_id"]) for x in at]} if isinstance(got, Tree) else None
+    return _parsed(sources.join(places, "file_id"), "file_id long, shape_hash string, shape string", named, also="places").drop("file_id")
+
+
+def _shape_groups(sources: DataFrame, min_group_size: int, min_node_count: int) -> DataFrame:
+    forms = _shaped(sources, min_group_size, min_node_count, " head")
+    told = forms.groupBy("shape_hash").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("file_id").alias("files"), F.first("head").alias("head"), F.min(F.struct("file_id", "node_id")).alias("place"))
+    return told.filter(F.col("count") >= min_group_size)
+
+
+def duplicates(sources: DataFrame, min_group_size: int = 2, min_node_count: int = 4) -> DataFrame:
+    """Paren forms grouped by shape. Forms meet by digests, made bottom-up; the
+    shape is spelled out for the first form of each group only, in a second
+    pass over the files that these are in."""
+    groups = staged(_shape_groups(sources, min_group_size, min_node_count), "shape-groups")
+    return groups.join(_spelled(sources, groups), "shape_hash").select("shape", "count", "files", "head")
 
 
 def replacement_plan(sources: DataFrame, min_group_size: int = 2, min_node_count: int = 4, keep_first: bool = False) -> DataFrame:
     """Batches of forms of one shape in one file."""
-    forms = nodes(sources, "shape subtree_nodes head path").filter(F.col("shape").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
-    batch = forms.groupBy("file_id", "shape").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list("path")).alias("paths")).filter(F.col("count") >= min_group_size)
+    forms = _shaped(sources, min_group_size, min_node_count, " path")
+    batch = forms.groupBy("file_id", "shape_hash").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list("path")).alias("paths"), F.min(F.struct("file_id", "node_id")).alias("place"))
+    batch = staged(batch.filter(F.col("count") >= min_group_size), "batches")
+    spelled = _spelled(sources, batch.groupBy("shape_hash").agg(F.min("place").alias("place")))
     paths = F.slice("paths", 2, 1 << 30) if keep_first else F.col("paths")
-    return batch.select("file_id", "shape", "count", F.when(F.lit(keep_first), dotted(F.col("paths")[0])).alias("kept_form"), F.array_join(F.transform(paths, dotted), " ").alias("replaced"))
+    kept = F.when(F.lit(keep_first), dotted(F.col("paths")[0])).alias("kept_form")
+    return batch.join(spelled, "shape_hash").select("file_id", "shape", "count", kept, F.array_join(F.transform(paths, dotted), " ").alias("replaced"))
 
 
 def lets(sources: DataFrame) -> DataFrame:
     """Let bindings with their references and what keeps them from inlining."""
     from parenlake.functions.reader import Tree
     from parenlake.functions.scope import lets as rows_of
-    from parenlake.operators.nodes import _parsed
 
     schema = "file_id long, path array<int>, head string, binding_index int, name string, value string, style string, reference_count int, inlineable boolean, risks array<string>"
     found = _parsed(sources, schema, lambda got: by_name(rows_of(got)) if isinstance(got, Tree) else None)

@@ -138,7 +138,7 @@ def class_links(trees: DataFrame, threshold: float) -> DataFrame:
                     # What the label multisets alone force.
                     ours, theirs = Counter(a), Counter(b)
                     least = abs(len(a) - len(b)) * GAP + ATOM * min((ours - theirs).total(), (theirs - ours).total())
-                    cost = None if least > most else distance((a, x), (b, y))
+                    cost = None if least > most else distance((a, x), (b, y), most)
                 if least <= most and (cost is None or cost <= most):
                     kept.append(k)
                     costs.append(cost)
@@ -213,7 +213,7 @@ def similarity_summary(
         told = told.withColumn("suppressed", F.lit(0).cast("long"))
     kept = F.col("matched") - F.col("suppressed")
     told = told.withColumn("evaluated", F.col("possible") - F.col("pruned") - F.col("skipped")).withColumn("reported", F.least(kept, F.lit(max_results)) if max_results is not None else kept)
-    failed, unsure = F.lit(fail_on_matches) & (kept > 0), F.lit(fail_on_skipped) & (F.col("skipped") > 0)
+    failed, unsure = F.lit(fail_on_matches) & (kept > 0), F.lit(fail_on_skipped or fail_on_matches) & (F.col("skipped") > 0)
     told = told.withColumn("decision", F.when(failed, "failed").when(unsure, "indeterminate").otherwise("passed"))
     return told.select("possible", "pruned", "skipped", F.lit(0).cast("long").alias("unprocessed"), "evaluated", "matched", "suppressed", "reported", (F.col("reported") < kept).alias("truncated"), "decision", (F.col("decision") == "passed").alias("passed"))
 
@@ -253,12 +253,21 @@ def _form_pairs(found: DataFrame, links: DataFrame, comparison_scope: str) -> Da
 
 
 def _maximal(matched: DataFrame) -> DataFrame:
-    """The pairs that lie in no other of the same two files."""
-    matched = staged(matched, "form-pairs")
-    outer = matched.select(*[F.col(n).alias(f"o_{n}") for n in NAMES])
-    holds = lambda s: (F.col(f"o_{s}_span_start") <= F.col(f"{s}_span_start")) & (F.col(f"o_{s}_span_end") >= F.col(f"{s}_span_end"))
-    larger = (F.col("o_l_span_end") - F.col("o_l_span_start") > F.col("l_span_end") - F.col("l_span_start")) | (F.col("o_r_span_end") - F.col("o_r_span_start") > F.col("r_span_end") - F.col("r_span_start"))
-    return matched.join(outer, (F.col("l_file_id") == F.col("o_l_file_id")) & (F.col("r_file_id") == F.col("o_r_file_id")) & holds("l") & holds("r") & larger, "left_anti")
+    """The pairs that lie in no other of the same two files.
+
+    Each pair asks for every form that holds its right form, by path. Among the
+    pairs and questions of one such form and one left file, in the order of
+    where left forms start, the running maximum of the ends of pairs' left forms
+    says whether one of them holds the asker's. Equal left forms: a pair comes
+    after its own question and before those of pairs further in."""
+    inner, own, further = F.lit(1), F.lit(0), F.lit(2)
+    asked = F.transform(F.sequence(F.lit(1), F.size("r_path")), lambda n: F.struct(F.slice("r_path", 1, n).alias("holder"), F.when(n == F.size("r_path"), own).otherwise(further).alias("turn")))
+    rows = matched.withColumn("ask", F.explode(F.concat(asked, F.array(F.struct(F.col("r_path").alias("holder"), inner.alias("turn"))))))
+    along = Window.partitionBy("l_file_id", "r_file_id", "ask.holder").orderBy("l_span_start", F.desc("l_span_end"), "ask.turn").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("ask.turn") == inner, F.col("l_span_end"))).over(along)
+    held = F.coalesce((F.col("ask.turn") != inner) & (reach >= F.col("l_span_end")), F.lit(False))
+    told = rows.withColumn("held", held).groupBy(*NAMES, "distance_x10").agg(F.max("held").alias("held"))
+    return told.filter("NOT held").drop("held")
 
 
 def similarity(

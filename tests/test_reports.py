@@ -1,6 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from parenlake.functions import facts
 from parenlake.functions.distance import distance, encode
 from parenlake.functions.reader import read
 from parenlake.operators import reports as R
@@ -159,6 +162,16 @@ def test_unused_and_removal(spark):
     assert "gone" not in W.apply_edits(s, edits).first().text
 
 
+def test_shapes_of_deep_and_headless_forms(spark):
+    deep = "(" * 10_000 + ")" * 10_000
+    s = sources(spark, ("deep.lisp", deep), ("a.clj", "((x) [y] z) ((x) [q] 1) (w (x))"), ("b.clj", "(w (y)) (v (y)) ((x) [y z] z)"))
+    groups = {r["shape"]: (r["count"], r["files"]) for r in R.duplicates(s, min_node_count=3).collect() if not r["shape"].startswith("(paren (paren (paren")}
+    assert groups == {"(paren (paren _atom) (bracket _atom) _atom)": (2, 1), "(paren head:w (paren _atom))": (2, 2)}
+    began = time.time()
+    tree = read(deep)
+    assert len(set(facts.shape_hashes(tree)) - {None}) == 10_000 and time.time() - began < 5
+
+
 def test_duplicates_lets_similarity(spark):
     s = sources(spark, ("a.lisp", "(deftest a (is (f 1 2)))\n(deftest b (is (f 3 4)))\n(defun x () (f 1))"))
     assert [(r["count"], r["head"]) for r in R.duplicates(s, min_node_count=7).collect()] == [(2, "deftest")]

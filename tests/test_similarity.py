@@ -1,7 +1,10 @@
 import random
+import time
+from functools import cache
 
 import pytest
 
+from parenlake.functions import distance as D
 from parenlake.functions.distance import distance, encode
 from parenlake.functions.reader import read
 from parenlake.operators import similarity as S
@@ -98,3 +101,65 @@ def test_summary_of_overlaps_and_decisions(spark):
     empty = spark.createDataFrame([], SCHEMA)
     told = S.similarity_summary(empty, 0.9).first()
     assert (told.possible, told.pruned, told.matched, told.decision) == (0, 0, 0, "passed") and S.similarity_classes(empty).count() == 0
+
+
+def nested(tree, k):
+    """A subtree as (label, subtrees)."""
+    node = tree.nodes[k]
+    marks = ",".join(node.prefixes)
+    label = f"a{tree.text(k)}\0{marks}" if node.kind == "atom" else f"l{node.delimiter}\0{marks}"
+    return (label, tuple(nested(tree, c) for c in node.children))
+
+
+@cache
+def plain(ours, theirs):
+    """Edit distance of two forests by its definition."""
+    size = lambda forest: sum(1 + size(kids) for _, kids in forest)
+    if not ours or not theirs:
+        return 10 * (size(ours) + size(theirs))
+    (a, below), (b, under) = ours[-1], theirs[-1]
+    change = 0 if a == b else 3 if a[0] == b[0] == "a" else 10
+    return min(plain(ours[:-1] + below, theirs) + 10, plain(ours, theirs[:-1] + under) + 10, plain(ours[:-1], theirs[:-1]) + plain(below, under) + change)
+
+
+def test_distance_by_definition_and_within_a_bound():
+    rng = random.Random(7)
+    atom = lambda: rng.choice(["a", "b", "'q", "1"])
+    form = lambda depth: "(" + " ".join(form(depth - 1) if depth and rng.random() < 0.5 else atom() for _ in range(rng.randrange(0, 4))) + ")"
+    for _ in range(300):
+        trees = [read(form(3)), read(form(3))]
+        x, y = (encode(t, 1) for t in trees)
+        due = plain((nested(trees[0], 1),), (nested(trees[1], 1),))
+        assert distance(x, y) == due
+        for most in (0, 9.5, 20, 33, 60, 120):
+            got = distance(x, y, most)
+            assert got == due if due <= most else got > most
+
+
+def test_large_forms_are_decided_or_skipped(spark, monkeypatch):
+    wide = "(f " + " ".join(f"(g{k % 7} (h {k}) x)" for k in range(330)) + ")"
+    other = "(f (new) " + " ".join(f"(g{k % 7} (h {k + (k == 200)}) x y)" if k % 50 == 9 else f"(g{k % 7} (h {k}) x)" for k in range(328)) + " (new))"
+    x, y = (encode(read(t), 1) for t in (wide, other))
+    assert min(len(x[0]), len(y[0])) > 1900
+    began = time.time()
+    cost = distance(x, y, 0.05 * 2000 * 10)
+    assert 0 < cost <= 1000 and time.time() - began < 20
+    assert distance(x, y, 0.05 * 2000 * 10, limit=1000) is None
+    s = spark.createDataFrame([(1, "a.lisp", "common-lisp", wide), (2, "b.lisp", "common-lisp", other)], SCHEMA)
+    options = {"min_node_count": 1000, "fail_on_matches": True}
+    told = S.similarity_summary(s, 0.95, **options).first()
+    assert (told.matched, told.skipped, told.decision) == (1, 0, "failed")
+    monkeypatch.setattr(D, "CELLS", 1000)
+    assert distance(x, y) is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_maximal_pairs_by_brute_force(spark, seed):
+    s = spark.createDataFrame(corpus(seed + 20, files=6), SCHEMA).repartition(2)
+    found = S.staged(S.forms(s, 2).select("file_id", "path", S._head().alias("head"), "tree", "subtree_nodes", "span_start", "span_end", "labels", "leftmost"), "forms")
+    table = S.staged(S._form_pairs(found, S.class_links(S.classes(found), 0.8), "all"), "pairs")
+    pairs, place = table.collect(), lambda p: tuple(p[n] for n in S.NAMES if "span" in n or "file" in n)
+    holds = lambda o, p: all(o[f"{s}_file_id"] == p[f"{s}_file_id"] and o[f"{s}_span_start"] <= p[f"{s}_span_start"] and o[f"{s}_span_end"] >= p[f"{s}_span_end"] for s in "lr")
+    due = {place(p) for p in pairs if not any(o is not p and holds(o, p) for o in pairs)}
+    got = S._maximal(table).collect()
+    assert {place(p) for p in got} == due and len(got) == len(due) and 0 < len(due) < len(pairs)
