@@ -97,6 +97,19 @@ def dependency_summary(sources: DataFrame) -> DataFrame:
     return counted(dependencies(sources), "dependency", F.count_distinct("target").alias("targets"))
 
 
+def dependency_targets(sources: DataFrame) -> DataFrame:
+    """Dependencies by what they name, and all of them (null)."""
+    return counted(dependencies(sources), "target", F.count_distinct("dependency").alias("kinds"))
+
+
+def replacement_summary(sources: DataFrame, min_group_size: int = 2, min_node_count: int = 4, keep_first: bool = False) -> DataFrame:
+    """One row: batches of forms of one shape in one file, the forms in them and
+    those of them to be replaced."""
+    batches = _shaped(sources, min_group_size, min_node_count).groupBy("file_id", "shape_hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_group_size)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return batches.agg(F.count(F.lit(1)).alias("batch_count"), total("n").alias("candidate_form_count"), total(F.col("n") - int(keep_first)).alias("form_count"))
+
+
 def let_summary(sources: DataFrame) -> DataFrame:
     """Let bindings by head, and all of them (null)."""
     return counted(lets(sources), "head", F.count_if("inlineable").alias("inlineable"), F.sum("reference_count").alias("references"))
@@ -221,9 +234,11 @@ def _arities(table: DataFrame) -> DataFrame:
 _SIGNATURE = "depth has_lambda def_needle category min_arity max_arity is_call call_needle n_children path head"
 
 
-def signature(sources: DataFrame, symbol: str | None = None, table: DataFrame | None = None) -> DataFrame:
+def signature(sources: DataFrame, symbol: str | None = None, table: DataFrame | None = None, bounds: bool = False) -> DataFrame:
     """Each call against the sole definition of what it calls. ``table``: the
-    sources' nodes, where they are parsed already."""
+    sources' nodes, where they are parsed already. ``bounds`` adds the least and
+    most parameters of all definitions of the name, null where there is none or
+    no most."""
     table = parsed(sources, _SIGNATURE) if table is None else table
     found = table.filter("is_call AND category IS NULL")
     if symbol is not None:
@@ -234,7 +249,8 @@ def signature(sources: DataFrame, symbol: str | None = None, table: DataFrame |
         F.when(F.col("defined").isNull(), "unknown-definition").when(F.col("defined") > 1, "ambiguous-definition").when(given < F.col("low"), "missing-arguments")
         .when(~F.col("open") & (given > F.col("high")), "extra-arguments").otherwise("exact")
     )
-    return joined.select("file_id", dotted(F.col("path")).alias("path"), "head", given.cast("long").alias("argument_count"), status.alias("status"))
+    known = ([F.col("low").cast("long").alias("min_parameter_count"), F.when(~F.col("open"), F.col("high")).cast("long").alias("max_parameter_count")] if bounds else [])
+    return joined.select("file_id", dotted(F.col("path")).alias("path"), "head", given.cast("long").alias("argument_count"), status.alias("status"), *known)
 
 
 def call_graph(sources: DataFrame, symbol: str | None = None, include_external: bool = True) -> DataFrame:
@@ -370,16 +386,46 @@ def workspace(sources: DataFrame) -> DataFrame:
     return joined.groupingSets([[], ["dialect"], ["status"]], "dialect", "status").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("forms"), F.lit(0)).alias("top_level_forms"), F.coalesce(F.sum("defs"), F.lit(0)).alias("definitions"))
 
 
+#: What ``_uses`` needs of the nodes.
+_USES = "node_id parent_id sib_idx kind opaque_above needle head path is_call category span_start span_end"
+
+
+def _uses(table: DataFrame, key: str) -> DataFrame:
+    """The atoms of a name with their context: the name of a definition, the
+    head of a call, or any other; and the head of the form they are in."""
+    uses = table.filter((F.col("kind") == "atom") & ~F.col("opaque_above") & (F.col("needle") == key)).drop("head", "is_call", "category")
+    around = table.filter("kind = 'list'").select(F.col("file_id").alias("f"), F.col("node_id").alias("p"), F.col("head").alias("around"), F.col("category").isNotNull().alias("is_def"), F.col("is_call").alias("calls"))
+    used = uses.join(around, (F.col("file_id") == F.col("f")) & (F.col("parent_id") == F.col("p")), "left")
+    context = F.when(F.col("is_def") & (F.col("sib_idx") == 1), "definition-name").when(~F.col("is_def") & F.col("calls") & (F.col("sib_idx") == 0), "call").otherwise("reference")
+    return used.withColumn("context", context)
+
+
+def impact_references(sources: DataFrame, symbol: str) -> DataFrame:
+    """Each place of a symbol, with its context and the head around it."""
+    found = _uses(parsed(sources, _USES), needle(symbol))
+    return found.select("file_id", dotted(F.col("path")).alias("path"), "span_start", "span_end", "context", F.col("around").alias("head"))
+
+
+def impact_edges(sources: DataFrame, symbol: str) -> DataFrame:
+    """The calls into (inbound) and out of (outbound) a symbol; what calls itself
+    is both."""
+    key = needle(symbol)
+    ways = F.array_compact(F.array(F.when(F.col("callee") == key, "inbound"), F.when(F.upper("caller") == key, "outbound")))
+    return call_graph(sources, symbol).select(F.explode(ways).alias("direction"), "caller", "callee", "calls", "internal", "definition_count", "callee_categories")
+
+
+def impact_statuses(sources: DataFrame, symbol: str) -> DataFrame:
+    """The calls of a symbol by status, and all of them (null)."""
+    return counted(signature(sources, symbol), "status")
+
+
 def impact(sources: DataFrame, symbol: str) -> DataFrame:
     """One row: what a change of a symbol touches, and how risky that is."""
-    table, key = parsed(sources, _SIGNATURE + " node_id parent_id sib_idx kind opaque_above needle"), needle(symbol)
+    table, key = parsed(sources, f"{_SIGNATURE} {_USES}"), needle(symbol)
     sig = signature(sources, symbol, table).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.when(F.col("status") != "exact", 1)), F.lit(0)).alias("signature_mismatches"))
     defs = table.filter((F.col("depth") == 1) & (F.col("def_needle") == key)).agg(F.count(F.lit(1)).alias("definitions"))
-    uses = table.filter((F.col("kind") == "atom") & ~F.col("opaque_above") & (F.col("needle") == key))
-    heads = table.filter((F.col("kind") == "list") & (F.col("is_call") | F.col("category").isNotNull())).select(F.col("file_id").alias("f"), F.col("node_id").alias("p"), F.col("category").isNotNull().alias("is_def"))
-    used = uses.join(heads, (F.col("file_id") == F.col("f")) & (F.col("parent_id") == F.col("p")), "left")
-    naming = F.coalesce(F.col("is_def") & (F.col("sib_idx") == 1), F.lit(False))
-    calling = F.coalesce(~F.col("is_def") & (F.col("sib_idx") == 0), F.lit(False))
+    used = _uses(table, key)
+    naming, calling = F.col("context") == "definition-name", F.col("context") == "call"
     refs = used.agg(F.coalesce(F.sum(F.when(~naming, 1)), F.lit(0)).alias("references"), F.coalesce(F.sum(F.when(~naming & ~calling, 1)), F.lit(0)).alias("non_call_references"))
     out = defs.crossJoin(sig).crossJoin(refs)  # three rows of one
     risks = F.array_compact(F.array(
@@ -399,7 +445,7 @@ def capabilities(spark) -> DataFrame:
     edit = "format repair-unclosed-lists select replace kill wrap splice raise transpose-forward transpose-backward slurp-forward slurp-backward barf-forward barf-backward".split()
     reports = (
         check, dialect, stats, agent_report, outline, form, form_symbols, symbols, calls, signature, call_graph, graph_nodes, impact, workspace, dependencies, packages, definitions, unused_definitions, duplicates, replacement_plan, lets,
-        signature_summary, definition_summary, dependency_summary, duplicate_summary, let_summary, calls_policy, signature_policy, unused_policy, impact_policy, lets_policy, duplicates_policy,
+        impact_references, impact_edges, impact_statuses, dependency_targets, replacement_summary, signature_summary, definition_summary, dependency_summary, duplicate_summary, let_summary, calls_policy, signature_policy, unused_policy, impact_policy, lets_policy, duplicates_policy,
     )
     said = lambda f, drop: ", ".join(str(p) for p in list(inspect.signature(f).parameters.values())[drop:])
     rows = [("inspect", f.__name__.replace("_", "-"), said(f, 1)) for f in reports] + [("inspect", "similarity", "threshold, min_node_count, min_line_span, comparison_scope, form_scope, overlap_policy, max_results")]

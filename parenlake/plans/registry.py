@@ -218,3 +218,27 @@ add("manifest_status_suppliers", C.bindings, lambda s: manifest_status(preview(s
 QUERIES["capabilities"] = lambda spark, sf_dir: R.capabilities(spark)
 QUERIES |= commands.QUERIES
 ORACLES |= commands.ORACLES
+
+add("impact_references_part", C.shop, lambda s: R.impact_references(s, "part-3").select("file_id", "path", "context", "head"),
+    f"""WITH {_ITEMS} SELECT k AS file_id, '0.' || (3 + i) || '.0' AS path, 'call' AS context, 'part-3' AS head FROM items WHERE name = 'part-3'
+        UNION ALL SELECT -1 - p, '0.1', 'definition-name', 'defun' FROM library WHERE p = 3""")
+add("impact_edges_part", C.shop, lambda s: R.impact_edges(s, "part-3").select("direction", "caller", "callee", "calls", "internal"),
+    f"""WITH {_ITEMS} SELECT 'inbound' AS direction, 'order-' || k AS caller, 'PART-3' AS callee, count(*) AS calls, EXISTS (SELECT 1 FROM library WHERE p = 3) AS internal FROM items WHERE name = 'part-3' GROUP BY k
+        UNION ALL SELECT 'outbound', 'part-3', 'LIST', 1, false FROM library WHERE p = 3""")
+add("impact_statuses_part", C.shop, lambda s: R.impact_statuses(s, "part-3"),
+    f"""WITH {_ITEMS}, told AS (SELECT k, CASE WHEN NOT EXISTS (SELECT 1 FROM library WHERE p = 3) THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status
+        FROM items WHERE name = 'part-3') SELECT status, count(*) AS count, count(DISTINCT k) AS files FROM told GROUP BY ROLLUP (status)""")
+add("signature_bounds_shop", C.shop, lambda s: R.signature(s, bounds=True).groupBy("head", "status", "min_parameter_count", "max_parameter_count").agg(F.count(F.lit(1)).alias("calls")),
+    f"""WITH {_ITEMS}, told AS (SELECT name AS head, args, library.p IS NOT NULL AND known AS defined FROM items LEFT JOIN library ON items.p = library.p UNION ALL SELECT 'list', 2, false FROM library)
+        SELECT head, CASE WHEN NOT defined THEN 'unknown-definition' WHEN args < 2 THEN 'missing-arguments' WHEN args > 2 THEN 'extra-arguments' ELSE 'exact' END AS status,
+        CAST(CASE WHEN defined THEN 2 END AS BIGINT) AS min_parameter_count, CAST(CASE WHEN defined THEN 2 END AS BIGINT) AS max_parameter_count, count(*) AS calls FROM told GROUP BY ALL""")
+add("dependency_targets_nations", C.nations, R.dependency_targets,
+    """WITH told AS (SELECT n_nationkey AS k, 'defpackage-use' AS dependency, '#:cl' AS target FROM nation UNION ALL SELECT n_nationkey, 'defpackage-use', '#:region-' || n_regionkey FROM nation UNION ALL SELECT n_nationkey, 'qualified-symbol', 'region-' || n_regionkey FROM nation)
+        SELECT target, count(*) AS count, count(DISTINCT k) AS files, count(DISTINCT dependency) AS kinds FROM told GROUP BY ROLLUP (target)""")
+add("replacement_summary_orders", C.orders, lambda s: R.replacement_summary(s, keep_first=True),
+    f"""WITH {_ITEMS}, batches AS (SELECT k, name, args, count(*) AS n FROM items WHERE args >= 2 GROUP BY k, name, args HAVING count(*) >= 2)
+        SELECT count(*) AS batch_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS candidate_form_count, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS form_count FROM batches""")
+add("admitted_orders", C.orders, lambda s: C.admitted(s.select("file_id", "path", F.octet_length("text").cast("long").alias("bytes")), max_files=12_000, max_bytes=1_000_000).drop("path"),
+    f"""WITH {_ITEMS}, run AS (SELECT k AS file_id, CAST(strlen(text) AS BIGINT) AS bytes, row_number() OVER w AS ordinal, CAST(sum(strlen(text)) OVER w AS BIGINT) AS total_bytes FROM texts WINDOW w AS (ORDER BY 'orders/' || k || '.lisp')),
+        told AS (SELECT *, CASE WHEN ordinal > 12001 OR total_bytes - bytes > 1000000 THEN 'after-limit' WHEN ordinal > 12000 OR total_bytes > 1000000 THEN 'breaks-limit' ELSE 'admitted' END AS status FROM run)
+        SELECT *, CASE WHEN status = 'breaks-limit' THEN CASE WHEN ordinal > 12000 THEN 'files' ELSE 'bytes' END END AS broken FROM told""")

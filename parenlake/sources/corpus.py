@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import EXTENSIONS
+from parenlake.operators.nodes import staged
 
 #: Names of folders that hold generated files.
 GENERATED = ("target", "build", "dist", "node_modules", ".git", "out", "_build", "coverage", "vendor", "result")
@@ -17,14 +18,20 @@ def dialect_column(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.regexp_extract(path, r"[^/]\.([^./]*)$", 1)), F.lit("unknown"))
 
 
-def from_files(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
+def _binary(spark: SparkSession, paths: list[str], pattern: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(paths)
+
+
+def from_files(spark: SparkSession, paths: list[str], pattern: str | None = None, last: str | None = None) -> DataFrame:
     """All files under the paths, each a row; text is null if it isn't UTF-8.
     ``ordinal`` is the place of a file named itself among the paths, null for
-    files found in folders."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(paths).select("path", "content", F.col("length").alias("bytes"))
+    files found in folders. Files behind ``last`` in the order of their
+    addresses are pruned from the scan: they are never opened."""
+    found = _binary(spark, paths, pattern)
+    if last is not None:
+        found = found.filter(F.col("_metadata.file_path") <= last)
+    files = found.select("path", "content", F.col("length").alias("bytes"))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     bare = lambda path: F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     named = F.array_position(F.array(*[bare(F.lit(p)) for p in paths]), bare(F.col("path")))
@@ -69,6 +76,38 @@ def quota(files: DataFrame, max_files: int | None = None, max_bytes: int | None
     return facts.select("files", "bytes", said.alias("violations"), (F.size(said) == 0).alias("passed"))
 
 
+def admitted(listing: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """``listing`` (path, bytes) with ordinal and total_bytes, both counted in
+    the order of paths, and status: admitted; breaks-limit, the first file with
+    which a limit is passed (``broken``: files or bytes); or after-limit.
+
+    Ranges of paths are summed on their own, then shifted by what lies before
+    them, of which there is one row a range."""
+    ranged = staged(listing.repartitionByRange("path").withColumn("range", F.spark_partition_id()), "listing")
+    within = Window.partitionBy("range").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce("bytes", F.lit(0))
+    shifts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
+    none = F.lit(0).cast("long")
+    shifts = shifts.select("range", F.coalesce(F.sum("n").over(before), none).alias("files_before"), F.coalesce(F.sum("b").over(before), none).alias("bytes_before"))
+    run = ranged.withColumn("ordinal", F.row_number().over(within)).withColumn("total_bytes", F.sum(size).over(within)).join(F.broadcast(shifts), "range")
+    run = run.withColumn("ordinal", F.col("ordinal") + F.col("files_before")).withColumn("total_bytes", F.col("total_bytes") + F.col("bytes_before"))
+    most = lambda limit: F.lit((1 << 63) - 1 if limit is None else limit)
+    files, total = F.col("ordinal") > most(max_files), F.col("total_bytes") > most(max_bytes)
+    already = (F.col("ordinal") - 1 > most(max_files)) | (F.col("total_bytes") - size > most(max_bytes))
+    status = F.when(already, "after-limit").when(files | total, "breaks-limit").otherwise("admitted")
+    broken = F.when(F.col("status") == "breaks-limit", F.when(files, "files").otherwise("bytes"))
+    return run.withColumn("status", status).withColumn("broken", broken).drop("range", "files_before", "bytes_before")
+
+
+def read_within(spark: SparkSession, paths: list[str], max_files: int | None = None, max_bytes: int | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The files that the limits admit, as ``from_files`` reads them, and the
+    listing that says so: lengths are known before any file is opened."""
+    listing = admitted(_binary(spark, paths, pattern).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes")), max_files, max_bytes)
+    last = listing.filter("status = 'admitted'").agg(F.max("path")).first()[0]
+    return from_files(spark, paths, pattern, last=last if last is not None else ""), listing
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from parenlake.operators import rewrites as W
 from parenlake.operators.nodes import comments, nodes
 from parenlake.operators.similarity import similarity, similarity_summary
 from parenlake.plans.registry import QUERIES
-from parenlake.sources.corpus import bindings, dialect_column, from_files, quota, skipped_summary, workspace
+from parenlake.sources.corpus import admitted, bindings, dialect_column, from_files, quota, read_within, skipped_summary, workspace
 
 SCHEMA = "file_id long, path string, dialect string, text string"
 
@@ -261,6 +261,52 @@ def test_workspace_commands(spark):
     assert quota(kept, max_files=1).first().passed and quota(kept, max_bytes=0).first().violations == ["bytes"]
 
 
+def test_relations_of_an_impact(spark):
+    s = sources(spark, *FREIGHT, ("b.lisp", "(defun loop-back (n) (loop-back n)) (mapcar 'freight x) (list #'freight (freight 1))"))
+    places = {(r.file_id, r.path): (r.context, r["head"]) for r in R.impact_references(s, "freight").collect()}
+    assert places[0, "0.1"] == ("definition-name", "defun") and places[0, "1.3.0"] == ("call", "freight")
+    assert places[2, "1.1"] == ("reference", "mapcar") and places[2, "2.1"] == ("reference", "list") and places[2, "2.2.0"] == ("call", "freight") and len(places) == 7
+    edges = {(r.direction, r.caller, r.callee, r.calls) for r in R.impact_edges(s, "loop-back").collect()}
+    assert edges == {("inbound", "loop-back", "LOOP-BACK", 1), ("outbound", "loop-back", "LOOP-BACK", 1)}
+    assert {r.status: r["count"] for r in R.impact_statuses(s, "freight").collect()} == {"exact": 3, "missing-arguments": 1, None: 4}
+    bounds = {(r["head"], r.min_parameter_count, r.max_parameter_count) for r in R.signature(sources(spark, ("a.lisp", "(defun f (a &optional b) a) (defun g (a &rest r) a) (f 1) (g 1) (h 1)")), bounds=True).collect()}
+    assert bounds == {("f", 1, 2), ("g", 1, None), ("h", None, None)}
+    empty = sources(spark, ("a.lisp", "")).filter("false")
+    assert R.impact_edges(empty, "f").count() == R.impact_references(empty, "f").count() == 0 and [tuple(r) for r in R.replacement_summary(empty).collect()] == [(0, 0, 0)]
+
+
+@pytest.mark.parametrize("limits", [(None, None), (3, None), (None, 1000), (40, 900), (0, None), (None, 0)])
+def test_admission_in_order(spark, limits):
+    rows = [(f"w/{k * 7919 % 97:03d}.lisp", (k * 31) % 60 if k % 9 else None) for k in range(97)]
+    got = {r.path: r for r in admitted(spark.createDataFrame(rows, "path string, bytes long").repartition(5), *limits).collect()}
+    assert len(got) == 97
+    total, over = 0, False
+    for nth, (path, size) in enumerate(sorted(rows), 1):
+        total += size or 0
+        files, much = (limit is not None and value > limit for limit, value in zip(limits, (nth, total), strict=True))
+        due = "after-limit" if over else "breaks-limit" if files or much else "admitted"
+        over = over or files or much
+        assert (got[path].ordinal, got[path].total_bytes, got[path].status) == (nth, total, due)
+        assert got[path].broken == (("files" if files else "bytes") if due == "breaks-limit" else None)
+    none = admitted(spark.createDataFrame([], "path string, bytes long"), *limits)
+    assert none.count() == 0
+
+
+def test_files_behind_the_limit_are_never_opened(spark, tmp_path):
+    for name, size in (("a b.lisp", 10), ("b.lisp", 20), ("c.lisp", 400), ("d.lisp", 5)):
+        (tmp_path / name).write_text("x" * size)
+    files, listing = read_within(spark, [str(tmp_path)], max_bytes=100)
+    assert [(r.path.rsplit("/", 1)[1], r.status, r.broken) for r in listing.orderBy("path").collect()] == [
+        ("a%20b.lisp", "admitted", None), ("b.lisp", "admitted", None), ("c.lisp", "breaks-limit", "bytes"), ("d.lisp", "after-limit", None),
+    ]
+    assert sorted(len(r.text) for r in files.collect()) == [10, 20]
+    scan = files._jdf.queryExecution().executedPlan()
+    while scan.children().nonEmpty():
+        scan = scan.children().head()
+    assert scan.metrics().apply("numFiles").value() == 2
+    assert read_within(spark, [str(tmp_path)], max_files=0)[0].count() == 0
+
+
 def test_overlapping_edits_are_an_error(spark):
     s = sources(spark, ("a.lisp", "(abc)"))
     edits = spark.createDataFrame([(0, 1, 3, "x"), (0, 2, 4, "y")], "file_id long, start long, end long, replacement string")
@@ -277,8 +323,8 @@ def test_stream_index(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/nodes").filter("is_call").count() > 4
 
 
-def test_gate_and_capabilities(spark):
+def test_policy_and_capabilities(spark):
     s = sources(spark, *FREIGHT)
-    g = R.gate(R.signature(s), "signature", F.sum(F.when(F.col("status").isin("missing-arguments", "extra-arguments"), 1)), "mismatch").first()
+    g = R.policy(R.signature(s), "signature", mismatch=F.sum(F.when(F.col("status").isin("missing-arguments", "extra-arguments"), 1)) > 0).first()
     assert g.passed and g.violations == []
     assert R.capabilities(spark).count() > 100
