@@ -1,13 +1,15 @@
 """Personal data: detection and surrogate generation.
 
 Every detected entity is replaced by a made-up one of the same type and format:
-digits stay digits, letters stay letters of the same case, card numbers keep
-network, length and check digit, international account numbers their country
-and check, names their gender, script and case. A surrogate is drawn from a
+digits stay digits, letters stay letters of the same case, card numbers keep the
+digits that tell their network, length and check digit, international account
+numbers their country and check, addresses of private networks theirs, names
+their gender, script and case. A surrogate is drawn from a
 keyed hash of the entity's canonical form, so one entity gets one surrogate all
 over the corpus (coreference), however it is written. Of a person's name each
 word has its own surrogate: "Anna Bauer" and "Frau Bauer" keep a family name in
-common, and two persons differ if any of their words does.
+common, and two persons differ if any of their words does. So has the host of a
+mail address, which all addresses at it keep in common.
 
 Different entities may draw the same surrogate, and a surrogate may happen to
 be somebody's real value. So the corpus's distinct entities are collected in a
@@ -19,6 +21,7 @@ out. Only those redrawn need to be looked up later.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
@@ -59,6 +62,8 @@ GIVEN_ENDINGS = {
 }
 #: International calling codes of one and two digits; others have three.
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Leading digits that tell a card's network, from and to.
+NETWORKS = "4-4 34-34 36-39 51-55 62-62 65-65 300-305 644-649 2221-2720 3528-3589 6011-6011".split()
 _GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in names} | {t: g for g, ts in TITLES.items() for t in ts}
 
 
@@ -124,11 +129,17 @@ def poured(digits: str, format_: str) -> str:
 
 
 def _email(draw: Draw, form: str) -> str:
+    """The address with its own host, which has a surrogate of its own; longer
+    where it was drawn often, so short ones don't run out."""
     local, _, domain = form.partition("@")
-    host = Draw(draw.key, "domain", domain, 0)  # one domain, one surrogate domain
-    labels = domain.split(".")
+    return f"{draw.like(local + 'x' * max(0, draw.attempt - 2))}@{domain}"
+
+
+def _host(draw: Draw, form: str) -> str:
+    labels = form.split(".")
     inner = labels[:-2] or labels[:1]
-    return f"{draw.like(local)}@{'.'.join(host.like(x) for x in inner)}.example.{('com', 'net', 'org')[host.below(3)]}"
+    inner[-1] += "x" * max(0, draw.attempt - 2)
+    return f"{'.'.join(draw.like(x) for x in inner)}.example.{('com', 'net', 'org')[draw.below(3)]}"
 
 
 def _phone(draw: Draw, form: str) -> str:
@@ -138,12 +149,33 @@ def _phone(draw: Draw, form: str) -> str:
 
 
 def _card(draw: Draw, form: str) -> str:
-    body = form[:1] + "".join("0123456789"[draw.below(10)] for _ in form[1:-1])
+    ranges = [x.split("-") for x in NETWORKS]
+    kept = max((len(low) for low, high in ranges if low <= form[: len(low)] <= high), default=1)
+    body = form[:kept] + "".join("0123456789"[draw.below(10)] for _ in form[kept:-1])
     return next(body + c for c in "0123456789" if luhn(body + c))
 
 
 def _ip(draw: Draw, form: str) -> str:
-    return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    """Private, loopback and link-local addresses stay in their range; others
+    become public ones. Of sixteen-byte addresses all groups but zeros are drawn."""
+    if ":" in form:
+        first, *groups = form.split(":")
+        local = first[:3] in ("fe8", "fe9", "fea", "feb") or first[:2] in ("fc", "fd")
+        least = [0 if int(g, 16) == 0 else 16 ** (len(g.lstrip("0")) - 1) for g in (first, *groups)]
+        drawn = [f"{low and low + draw.below(15 * low):04x}" for low in least]
+        return ":".join([first if local else drawn[0], *drawn[1:]])
+    octets = [int(x) for x in form.split(".")]
+    own = [1 + draw.below(254) for _ in range(4)]
+    if octets[0] in (10, 127):
+        own[0] = octets[0]
+    elif octets[:2] in ([192, 168], [169, 254]):
+        own[:2] = octets[:2]
+    elif octets[0] == 172 and 16 <= octets[1] < 32:
+        own[:2] = [172, 16 + draw.below(16)]
+    else:
+        while not ipaddress.IPv4Address(".".join(map(str, own))).is_global or own[0] > 223:
+            own = [1 + draw.below(223), *(1 + draw.below(254) for _ in range(3))]
+    return ".".join(map(str, own))
 
 
 def _iban(draw: Draw, form: str) -> str:
@@ -203,12 +235,15 @@ def words_of(form: str) -> list[tuple[str, str]]:
 
 
 def entities_in(kind: str, form: str) -> list[tuple[str, str]]:
-    """What of an entity is drawn: itself, or a person's words."""
-    return [x for x in words_of(form) if x[0] != "INITIAL"] if kind == "PERSON" else [(kind, form)]
+    """What of an entity is drawn: itself, a person's words, or a mail address
+    and its host."""
+    if kind == "PERSON":
+        return [x for x in words_of(form) if x[0] != "INITIAL"]
+    return [(kind, form), ("HOST", form.partition("@")[2])] if kind == "EMAIL" else [(kind, form)]
 
 
 SURROGATE: dict[str, Callable[[Draw, str], str]] = {
-    "EMAIL": _email, "PHONE": _phone, "CARD": _card, "IP": _ip, "IBAN": _iban, "SURNAME": _surname, "GIVEN": _given,
+    "EMAIL": _email, "HOST": _host, "PHONE": _phone, "CARD": _card, "IP": _ip, "IBAN": _iban, "SURNAME": _surname, "GIVEN": _given,
     "SECRET": lambda draw, form: draw.like(form), "SSN": lambda draw, form: poured("".join("0123456789"[draw.below(10)] for _ in range(9)), form),
 }
 
@@ -220,6 +255,7 @@ PATTERNS: dict[str, re.Pattern] = {
     "IBAN": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "CARD": re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d])"),
     "IP": re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
+    "IP6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f:]*[0-9A-Fa-f](?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:)+:(?![\w:])"),
     "SSN": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "PHONE": re.compile(r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
 }
@@ -229,6 +265,18 @@ _FULL = {w for w in _GENDER}
 _DIGIT = re.compile(r"\d")
 
 
+def sixteen_bytes(text: str) -> str | None:
+    """The canonical form of an address of sixteen bytes; None for other text
+    and for addresses without a digit or of zeros but for the last byte."""
+    if not _DIGIT.search(text) or text.count(":") < 2:
+        return None
+    try:
+        found = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return found.exploded if int(found) > 255 else None
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of entities, in order, none overlapping."""
     found: list[tuple[int, int, str, str]] = []
@@ -257,6 +305,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 add(*m.span(), "CARD", form)
         for m in PATTERNS["IP"].finditer(text):
             add(*m.span(), "IP", m[0])
+        if "::" in text or text.count(":") >= 7:
+            for m in PATTERNS["IP6"].finditer(text):
+                form = sixteen_bytes(m[0])
+                if form:
+                    add(*m.span(), "IP", form)
         for m in PATTERNS["SSN"].finditer(text):
             add(*m.span(), "SSN", m[0])
         for m in PATTERNS["PHONE"].finditer(text):
@@ -307,6 +360,16 @@ def rendered(key: bytes, kind: str, form: str, original: str, attempts: dict[tup
 
         return _NAME.sub(one, original)
     fake = drawn(kind, form)
+    if kind == "EMAIL":
+        fake = f"{fake.partition('@')[0]}@{drawn('HOST', form.partition('@')[2])}"
+    if kind == "IP" and ":" in form:
+        # Group by group, as wide and in the case of the original; zeros left out stay out.
+        front, back = (x.split(":") if x else [] for x in original.partition("::")[::2])
+        groups = fake.split(":")
+        write = lambda own, new: f"{int(new, 16):0{len(own)}{'X' if original.isupper() else 'x'}}"
+        head = ":".join(write(o, n) for o, n in zip(front, groups, strict=False))
+        tail = ":".join(write(o, n) for o, n in zip(back, groups[len(groups) - len(back) :], strict=False))
+        return f"{head}::{tail}" if "::" in original else head
     if kind == "PHONE":
         country, number = fake.split(":")
         written = digits_of(original)

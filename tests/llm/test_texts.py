@@ -1,4 +1,5 @@
 import hashlib
+import ipaddress
 import random
 import re
 from collections import Counter
@@ -195,3 +196,35 @@ def test_held_out_is_crc_of_the_id(spark):
 
     for r in spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect():
         assert r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1)
+
+
+def test_networks_hosts_and_private_addresses():
+    say = surrogates_of
+    # Cards keep the digits of their network.
+    for prefix in ("4", "34", "37", "51", "55", "6011", "2221", "3530", "301"):
+        for k in range(20):
+            body = f"{prefix}{k:02d}0718293645"[:15].ljust(15, "7")
+            card = next(body + c for c in "0123456789" if pii.luhn(body + c))
+            (new,) = say(f"paid with {card} today")
+            assert new.startswith(prefix) and pii.luhn(new) and len(new) == 16
+    # Addresses of private networks stay there, others are public.
+    private = ["10.0.0.1", "127.0.0.1", "192.168.3.4", "172.20.1.9", "169.254.7.7"]
+    for old, new in zip(private, say(" and ".join(private)), strict=True):
+        assert new.split(".")[0] == old.split(".")[0] and not ipaddress.ip_address(new).is_global and ipaddress.ip_address(new).is_loopback == ipaddress.ip_address(old).is_loopback
+    assert all(ipaddress.ip_address(x).is_global for k in range(1, 200) for x in say(f"at 8.8.{k}.4 now"))
+    # Sixteen bytes, however written; times, paths and words are none.
+    short, long, upper = say("see 2001:db8::8a2e:1 or 2001:0db8:0000:0000:0000:0000:8a2e:0001, 2001:DB8::8A2E:1")
+    assert ipaddress.ip_address(short) == ipaddress.ip_address(long) == ipaddress.ip_address(upper) != ipaddress.ip_address("2001:db8::8a2e:1")
+    assert re.fullmatch(r"[0-9a-f]{1,4}:[0-9a-f]{1,3}::[0-9a-f]{1,4}:[0-9a-f]", short) and upper == short.upper() and len(long) == 39
+    (link,) = say("fe80::1ff:fe23:4567:890a")
+    assert link.startswith("fe80::")
+    assert say("at 12:30:45 std::vector a::b ::1 :: x:y 10:20:30:40:50:60:70:80:90 C::") == []
+
+
+def test_hosts_stay_apart(spark):
+    hosts = [f"{a}{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(k, f"write to info@{h} or to {'xyz'[k % 3]}@{h}", "en", "s", 1) for k, h in enumerate(hosts)]
+    texts = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    found = {k: re.findall(r"[^\s@]+@(\S+)", t) for k, t in texts.items()}
+    assert all(len(h) == 2 and h[0] == h[1] for h in found.values()) and len({h[0] for h in found.values()}) == len(hosts)
+    assert len({m for t in texts.values() for m in re.findall(r"\S+@\S+", t)}) == 2 * len(hosts)
