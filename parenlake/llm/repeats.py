@@ -117,11 +117,13 @@ def met_arrays(h: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.nd
     )
 
 
-def met_again(met: DataFrame) -> DataFrame:
-    """The occurrences whose hash is met at least twice, and the known runs."""
+def met_again(met: DataFrame, *key: str) -> DataFrame:
+    """The occurrences whose hash (column h, or the columns named) is met at
+    least twice, and the known runs."""
+    key = key or ("h",)
     weight = F.when(F.col("len") == AGAIN, 2).when(F.col("len") == ONE, 1).otherwise(0)
-    counted = met.withColumn("_c", F.sum(weight).over(Window.partitionBy("h")))
-    return counted.filter((F.col("len") > 0) | ((F.col("len") == ONE) & (F.col("_c") > 1))).drop("_c", "h")
+    counted = met.withColumn("_c", F.sum(weight).over(Window.partitionBy(*key)))
+    return counted.filter((F.col("len") > 0) | ((F.col("len") == ONE) & (F.col("_c") > 1))).drop("_c", *key)
 
 
 def anchors(rows: DataFrame, k: int, w: int) -> DataFrame:
@@ -141,6 +143,8 @@ def anchors(rows: DataFrame, k: int, w: int) -> DataFrame:
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
                 words = text.split()
+                if len(words) >> PLACE:
+                    raise ValueError(f"a text has {len(words)} words; places are numbered up to {(1 << PLACE) - 1}")
                 if len(words) >= k + w - 1:
                     kmers = Rolling(known.of(words)).windows(k)
                     at = minimizers(kmers, w)

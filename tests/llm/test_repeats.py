@@ -121,7 +121,7 @@ def test_wide_sketches_never_tell_too_many_differences():
 def test_stretches_around_a_head_in_any_blocks(spark, parts, block):
     rng, side = np.random.default_rng(3), 24
     near = lambda: "".join(chr(97 + x) for x in np.where(rng.random(side) < 0.1, rng.integers(0, 26, side), 0))[: rng.integers(8, side + 1)]
-    code = lambda t: b"".join(ord(c).to_bytes(4, "big") for c in t)
+    code = lambda t: b"".join(ord(c).to_bytes(8, "big") for c in t)
     rows = [(int(h), near(), near(), 1000 * k + 100) for k, h in enumerate(rng.integers(0, 4, 200))]
     kept = spark.createDataFrame([(h, bytearray(code(a)), bytearray(code(b)), loc) for h, a, b, loc in rows], "head long, after binary, before binary, loc long")
     seen = Counter((h, i, a[:i], b[: side - i]) for h, a, b, _ in rows for i in range(side + 1) if len(a) >= i and len(b) >= side - i)
@@ -130,6 +130,33 @@ def test_stretches_around_a_head_in_any_blocks(spark, parts, block):
     assert want and got == want
 
 
+def test_stretches_of_neighbours_are_shared_words():
+    """Also where a word's value is 0, with which short contexts are filled."""
+    rng, side = np.random.default_rng(6), 6
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        head, known = rng.integers(0, 2, n), rng.integers(0, side + 1, n)
+        table = np.where(np.arange(side) < known[:, None], rng.integers(0, 2, (n, side)), 0).astype(np.uint64)
+        ranked = sparse_suffix.Side(head, table, known)
+        for words_ in range(side + 1):
+            has, at = np.flatnonzero(known >= words_), ranked.stretches(words_)
+            for i in has:
+                for j in has:
+                    same = head[i] == head[j] and (table[i, :words_] == table[j, :words_]).all()
+                    assert (at[i] == at[j]) == same
+
+
+def test_rows_group_by_all_keys():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 4, 100), rng.integers(0, 4, 100)
+    first, group, count = sparse_suffix.grouped(a, b)
+    pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+    seen = Counter(pairs)
+    assert [count[g] for g in group] == [seen[x] for x in pairs]
+    assert all(pairs[first[g]] == x and pairs.index(x) == first[g] for g, x in zip(group, pairs, strict=True))
+    assert [len(x) for x in sparse_suffix.grouped(a[:0], b[:0])] == [0, 0, 0]
+
+
 def test_every_window_holds_a_minimizer():
     rng = np.random.default_rng(5)
     for n, w in ((24, 24), (100, 24), (500, 7), (60, 1)):
