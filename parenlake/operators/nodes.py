@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -76,12 +76,10 @@ def nodes(sources: DataFrame, wanted: str | None = None) -> DataFrame:
     return _parsed(sources, schema, lambda got: columns(got, some) if isinstance(got, Tree) else None)
 
 
-def staged(table: DataFrame, name: str) -> DataFrame:
-    """``table``, written once to the folder that the session's
-    spark.checkpoint.dir names and read back. Without that setting a local
-    session writes to a folder of its own; any other has no place that all
-    executors share, and is refused."""
-    spark = table.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's spark.checkpoint.dir names. Without that
+    setting a local session has a folder of its own; any other has no place that
+    all executors share, and is refused."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -90,7 +88,13 @@ def staged(table: DataFrame, name: str) -> DataFrame:
             _own_folder.append(tempfile.mkdtemp(prefix="parenlake-"))
             atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
         shared = f"file://{_own_folder[0]}"
-    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def staged(table: DataFrame, name: str) -> DataFrame:
+    """``table``, written once to the shared folder and read back."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     table.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 

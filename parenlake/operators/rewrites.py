@@ -9,12 +9,13 @@ import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import needle
-from parenlake.operators.nodes import nodes, parsed
+from parenlake.operators.nodes import nodes, parsed, staged
 from parenlake.operators.reports import _UNUSED, dotted, impact, unused_definitions
+from parenlake.sources import versions
 from parenlake.sources.corpus import discovered
 
 REWRITTEN = "file_id long, path string, dialect string, rewritten string, changed boolean, output_parse_ok boolean, refused string, input_hash string, output_hash string, edits array<struct<start:bigint,end:bigint,replacement:string>>"
@@ -33,7 +34,7 @@ def rewrite(sources: DataFrame, command: str, hashes: bool = False, **args: obje
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from parenlake.functions.edits import Refused, apply
-        from parenlake.functions.hashing import fnv1a64
+        from parenlake.functions.hashing import fnv1a64_all
         from parenlake.functions.reader import Unreadable
 
         for batch in batches:
@@ -45,28 +46,37 @@ def rewrite(sources: DataFrame, command: str, hashes: bool = False, **args: obje
                     out, edits, why = done.text, [{"start": a, "end": b, "replacement": r} for a, b, r in done.edits], None
                 except (Refused, Unreadable) as error:
                     out, edits, why = text, [], str(error)
-                told = (fnv1a64(text.encode()), fnv1a64(out.encode())) if hashes else (None, None)
-                rows.append((file, path, dialect, out, out != text, why is None, why, *told, edits))
+                rows.append((file, path, dialect, out, out != text, why is None, why, text, None, edits))
+            told = [fnv1a64_all([r[k].encode() for r in rows]) if hashes else [None] * len(rows) for k in (7, 3)]
+            rows = [(*r[:7], *hashed_, r[9]) for r, *hashed_ in zip(rows, *told, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return sources.select(F.col("file_id").cast("long").alias("file_id"), "path", F.coalesce("dialect", F.lit("unknown")).alias("dialect"), "text").mapInArrow(run, REWRITTEN)
 
 
 def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
-    """Splice edits(file_id, start, end, replacement) into texts on the JVM.
-    Overlapping edits of a file raise an error."""
+    """Splice edits(file_id, start, end, replacement) into texts on the JVM, in
+    time linear in the text and its edits. A null replacement deletes;
+    overlapping edits of a file raise an error."""
     lists = edits.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("_edits"))
-    joined = sources.join(lists, "file_id", "left").withColumn("_bytes", F.col("text").cast("binary"))
-    start = F.struct(F.lit("").cast("binary").alias("out"), F.lit(0).cast("long").alias("at"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,replacement:string>>")
+    zero = F.lit(0).cast("long")
 
-    def step(done, e):
-        gap = F.when(e["start"] < done["at"], F.raise_error(F.lit("edits overlap")).cast("binary")).otherwise(F.substring(F.col("_bytes"), (done["at"] + 1).cast("int"), (e["start"] - done["at"]).cast("int")))
-        return F.struct(F.concat(done["out"], gap, e["replacement"].cast("binary")).alias("out"), e["end"].alias("at"))
+    def cut(whole: Column, start: Column, length: Column) -> Column:
+        return F.substring(whole["bytes"], (start + 1).cast("int"), length.cast("int")).cast("string")
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,replacement:string>>")
-    spliced = joined.withColumn("_done", F.aggregate(F.coalesce("_edits", none), start, step))
-    rest = F.substring(F.col("_bytes"), (F.col("_done.at") + 1).cast("int"), F.lit(1 << 30))
-    return spliced.withColumn("text", F.concat(F.col("_done.out"), rest).cast("string")).select(*sources.columns)
+    def splice(whole: Column) -> Column:
+        def piece(e: Column, i: Column) -> Column:
+            done = F.coalesce(F.when(i > 0, F.get(whole["edits"], i - 1)["end"]), zero)
+            gap = F.when(e["start"] < done, F.raise_error(F.lit("edits overlap")).cast("string")).otherwise(cut(whole, done, e["start"] - done))
+            return F.concat(gap, F.coalesce(e["replacement"], F.lit("")))
+
+        last = F.when(F.size(whole["edits"]) > 0, F.get(whole["edits"], F.size(whole["edits"]) - 1)["end"]).otherwise(zero)
+        return F.concat(F.array_join(F.transform(whole["edits"], piece), ""), cut(whole, last, F.lit(1 << 30)))
+
+    # As a lambda's variable, text and edits are held once and not copied for each edit.
+    whole = F.array(F.struct(F.col("text").cast("binary").alias("bytes"), F.coalesce("_edits", none).alias("edits")))
+    return sources.join(lists, "file_id", "left").withColumn("text", F.get(F.transform(whole, splice), 0)).select(*sources.columns)
 
 
 def preview(sources: DataFrame, command: str = "rename-function", max_preview_bytes: int = 160, **args: object) -> DataFrame:
@@ -141,12 +151,26 @@ def apply_manifest(manifest: DataFrame, sources: DataFrame, path: str, **identit
     joined.select(*sources.columns).write.mode("errorifexists").parquet(path)
 
 
+def commit_manifest(manifest: DataFrame, root: str, base: int, **identity: object) -> int:
+    """Commit the changed files of a manifest to the versioned corpus at ``root``
+    (``sources.versions``), made against version ``base`` of it. What is checked
+    is what is committed: the manifest is staged."""
+    manifest = staged(manifest, "manifest")
+    sources = versions.read(manifest.sparkSession, root, base)
+    state = manifest_status(manifest, sources, **identity).first()
+    if state["action"] != "apply":
+        raise ValueError(f"not applied: {state['action']}")
+    changed = manifest.filter("changed").select(F.col("path").alias("_path"), F.col("rewritten").alias("_new"))
+    files = sources.join(changed, F.col("path") == F.col("_path")).withColumn("text", F.col("_new"))
+    return versions.commit(files.select(*sources.columns), root, base)
+
+
 def hashed(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from parenlake.functions.hashing import fnv1a64
+        from parenlake.functions.hashing import fnv1a64_all
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fnv1a64((t or "").encode()) for t in batch.column(1).to_pylist()], pa.string())], names=["path", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fnv1a64_all([(t or "").encode() for t in batch.column(1).to_pylist()]), pa.string())], names=["path", "hash"])
 
     return sources.select("path", "text").mapInArrow(run, "path string, hash string")
 

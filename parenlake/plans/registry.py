@@ -6,16 +6,19 @@ follows from the tables alone; the SQL never looks at a syntax tree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parenlake.operators import reports as R
-from parenlake.operators.rewrites import apply_edits, check_manifest, diff, hashed, manifest_status, plan, preview, preview_policy, remove_unused, rewrite, verify
+from parenlake.operators.nodes import shared_folder
+from parenlake.operators.rewrites import apply_edits, check_manifest, commit_manifest, diff, hashed, manifest_status, plan, preview, preview_policy, remove_unused, rewrite, verify
 from parenlake.operators.similarity import similarity, similarity_classes, similarity_summary
 from parenlake.plans import commands
 from parenlake.sources import corpus as C
+from parenlake.sources import versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,3 +245,23 @@ add("admitted_orders", C.orders, lambda s: C.admitted(s.select("file_id", "path"
     f"""WITH {_ITEMS}, run AS (SELECT k AS file_id, CAST(strlen(text) AS BIGINT) AS bytes, row_number() OVER w AS ordinal, CAST(sum(strlen(text)) OVER w AS BIGINT) AS total_bytes FROM texts WINDOW w AS (ORDER BY 'orders/' || k || '.lisp')),
         told AS (SELECT *, CASE WHEN ordinal > 12001 OR total_bytes - bytes > 1000000 THEN 'after-limit' WHEN ordinal > 12000 OR total_bytes > 1000000 THEN 'breaks-limit' ELSE 'admitted' END AS status FROM run)
         SELECT *, CASE WHEN status = 'breaks-limit' THEN CASE WHEN ordinal > 12000 THEN 'files' ELSE 'bytes' END END AS broken FROM told""")
+
+
+def _kept_in_versions(sources: DataFrame) -> str:
+    """The folder of a corpus with a rename in every other file, committed as a
+    manifest, every tenth file removed, and a rollback of all that."""
+    spark = sources.sparkSession
+    root = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    versions.commit(sources, root, 0)
+    first = versions.read(spark, root)
+    commit_manifest(preview(first.filter("file_id % 2 = 1"), "rename-symbol", from_="priority", to="rank"), root, 1)
+    versions.commit(first.limit(0), root, 2, removed=first.filter("file_id % 10 = 0").select("path"))
+    versions.roll_back(spark, root, 1, 3)
+    return root
+
+
+add("versions_orders", C.orders, lambda s: versions.read(s.sparkSession, _kept_in_versions(s), 3).select("file_id", "path", "text"),
+    f"WITH {_ITEMS} SELECT k AS file_id, 'orders/' || k || '.lisp' AS path, CASE WHEN k % 2 = 1 THEN replace(text, 'priority', 'rank') ELSE text END AS text FROM texts WHERE k % 10 <> 0")
+add("version_history_orders", C.orders, lambda s: versions.history(s.sparkSession, _kept_in_versions(s)),
+    f"""WITH {_ITEMS}, told AS (SELECT count(*) AS n, count(*) FILTER (k % 2 = 1) AS odd, count(*) FILTER (k % 10 = 0) AS gone FROM texts), none AS (SELECT CAST(0 AS BIGINT) AS z)
+        SELECT CAST(1 AS BIGINT) AS version, n AS changed, z AS removed, 1 AS tables FROM told, none UNION ALL SELECT 2, odd, z, 2 FROM told, none UNION ALL SELECT 3, z, gone, 3 FROM told, none UNION ALL SELECT 4, n, z, 1 FROM told, none""")
