@@ -18,7 +18,7 @@ from parenlake.operators.rewrites import apply_edits, check_manifest, commit_man
 from parenlake.operators.similarity import similarity, similarity_classes, similarity_summary
 from parenlake.plans import commands
 from parenlake.sources import corpus as C
-from parenlake.sources import versions
+from parenlake.sources import versions, walk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,3 +265,33 @@ add("versions_orders", C.orders, lambda s: versions.read(s.sparkSession, _kept_i
 add("version_history_orders", C.orders, lambda s: versions.history(s.sparkSession, _kept_in_versions(s)),
     f"""WITH {_ITEMS}, told AS (SELECT count(*) AS n, count(*) FILTER (k % 2 = 1) AS odd, count(*) FILTER (k % 10 = 0) AS gone FROM texts), none AS (SELECT CAST(0 AS BIGINT) AS z)
         SELECT CAST(1 AS BIGINT) AS version, n AS changed, z AS removed, 1 AS tables FROM told, none UNION ALL SELECT 2, odd, z, 2 FROM told, none UNION ALL SELECT 3, z, gone, 3 FROM told, none UNION ALL SELECT 4, n, z, 1 FROM told, none""")
+
+
+def _walked(sources: DataFrame) -> tuple[str, DataFrame]:
+    """A folder of files, some hidden, generated or excluded, and the walk of it."""
+    spark = sources.sparkSession
+    root = shared_folder(spark)
+    if not root.startswith(("/", "file:/")):
+        raise ValueError(f"{root} is no folder that files can be written to")
+    root = f"/{root.removeprefix('file:').lstrip('/')}/workspace-{uuid.uuid4().hex}"
+    number = F.col("file_id") % 11
+    below = F.when(number == 0, ".cache/").when(number == 1, "src/build/").when(number == 2, "old/").otherwise("src/")
+    walk.write_files(sources.withColumn("path", F.concat(below, "path")), root)
+    return root, walk.walked(spark, [root], exclude=(f"{root}/old",), budget=500)
+
+
+def _walked_files(sources: DataFrame) -> DataFrame:
+    root, found = _walked(sources)
+    texts = walk.contents(found).select(F.col("path").alias("_path"), "text")
+    told = found.filter("kind = 'file' OR skipped IS NOT NULL").join(texts, F.col("path") == F.col("_path"), "left")
+    return told.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "kind", "dialect", "skipped", (F.col("bytes") == F.octet_length("text")).alias("whole"))
+
+
+_WALK = f"""{_CUSTOMERS}, seen AS (SELECT 'src/customers/' || k || '.' || ext AS path, dialect, CASE WHEN dialect = 'unknown' THEN 'unknown' END AS skipped FROM files WHERE k % 11 > 2)"""
+add("walked_customers", C.customers, _walked_files,
+    f"""WITH {_WALK} SELECT path, 'file' AS kind, dialect, skipped, CASE WHEN skipped IS NULL THEN true END AS whole FROM seen
+        UNION ALL SELECT ['.cache', 'src/build', 'old'][CAST(r + 1 AS BIGINT)], 'folder', NULL, ['hidden', 'generated', 'excluded'][CAST(r + 1 AS BIGINT)], NULL FROM (SELECT DISTINCT k % 11 AS r FROM files WHERE k % 11 <= 2)""")
+add("walk_summary_customers", C.customers, lambda s: walk.walk_summary(_walked(s)[1]).drop("bytes"),
+    f"""WITH {_WALK}, pruned AS (SELECT count(DISTINCT k % 11) FILTER (k % 11 = 0) AS hidden, count(DISTINCT k % 11) FILTER (k % 11 = 1) AS built, count(DISTINCT k % 11) FILTER (k % 11 = 2) AS excluded FROM files)
+        SELECT (SELECT count(*) FROM seen WHERE skipped IS NULL) AS files, (SELECT count(*) FROM seen) + hidden + built + excluded + 2 AS entries, (SELECT count(*) FROM seen WHERE skipped = 'unknown') AS skipped_unknown,
+        hidden AS skipped_hidden, built AS skipped_generated, CAST(0 AS BIGINT) AS skipped_symlink, excluded AS skipped_excluded FROM pruned""")

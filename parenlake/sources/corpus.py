@@ -9,7 +9,7 @@ from parenlake.functions.dialects import EXTENSIONS
 from parenlake.operators.nodes import staged
 
 #: Names of folders that hold generated files.
-GENERATED = ("target", "build", "dist", "node_modules", ".git", "out", "_build", "coverage", "vendor", "result")
+GENERATED = (".git", ".direnv", ".devenv", "build", "coverage", "dist", "node_modules", "result", "target", "vendor")
 
 
 def dialect_column(path: Column) -> Column:
@@ -39,7 +39,8 @@ def from_files(spark: SparkSession, paths: list[str], pattern: str | None = None
 
 
 def workspace(files: DataFrame, root: str, include_unknown: bool = False, include_hidden: bool = False, include_generated: bool = False, exclude: tuple[str, ...] = (), max_depth: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
-    """Files with the reason for which discovery skips them (null: kept)."""
+    """Files with the reason for which discovery skips them (null: kept). Files
+    lie at most ``max_depth`` names below the root."""
     relative = F.regexp_replace(F.expr(f"substring(path, {len(root) + 1})"), "^/", "")
     parts = F.split(relative, "/")
     out = F.lit(False)
@@ -48,7 +49,7 @@ def workspace(files: DataFrame, root: str, include_unknown: bool = False, includ
     reason = (
         F.when(out, "excluded")
         .when(F.lit(max_file_bytes is not None) & (F.octet_length("text") > F.lit(max_file_bytes or 0)), "too-large")
-        .when(F.lit(max_depth is not None) & (F.size(parts) > F.lit((max_depth or 0) + 1)), "too-deep")
+        .when(F.lit(max_depth is not None) & (F.size(parts) > F.lit(max_depth or 0)), "too-deep")
         .when(F.lit(not include_hidden) & F.exists(parts, lambda p: p.startswith(".")), "hidden")
         .when(F.lit(not include_generated) & F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(g) for g in GENERATED])), "generated")
         .when(F.lit(not include_unknown) & (F.col("dialect") == "unknown"), "unknown")
