@@ -163,3 +163,17 @@ def test_maximal_pairs_by_brute_force(spark, seed):
     due = {place(p) for p in pairs if not any(o is not p and holds(o, p) for o in pairs)}
     got = S._maximal(table).collect()
     assert {place(p) for p in got} == due and len(got) == len(due) and 0 < len(due) < len(pairs)
+
+
+def test_labels_of_their_own_make_no_more_distances(spark, tmp_path):
+    from parenlake.sources.corpus import bindings, measures
+
+    spark.range(1, 61).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    for table, due in ((bindings(spark, str(tmp_path)), 10), (measures(spark, str(tmp_path), "sizes"), 2)):
+        found = S.staged(S.forms(table, 2, top_level_only=True), "forms")
+        trees = S.classes(found)
+        marked = S.patterns(trees)
+        links = S.pattern_links(trees, marked, 0.9)
+        # (* width 1) shares its number with others: a pattern of its own.
+        assert marked.count() == 60 and 2 <= links.count() <= due
+        assert S.class_links(trees, 0.9).distinct().count() == (60 * 59 // 2 if due > 2 else 2 * (30 * 29 // 2))
