@@ -7,6 +7,8 @@ Files that can't be read have no rows, but in ``check`` and ``workspace``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,14 @@ def quoted_designator() -> Column:
     return (F.col("kind") == "atom") & ~F.col("opaque_above") & F.array_contains("prefixes", "quote")
 
 
+def holding(sources: DataFrame, *names: str) -> DataFrame:
+    """The sources whose text may hold one of the symbols, so that no others
+    need be parsed: a symbol without escapes is written as its needle, in
+    letters of either case (ASCII), and texts with escapes all stay."""
+    spelled = "|".join(re.escape(needle(n)) for n in names)
+    return sources.filter(F.col("text").rlike(rf"(?i){spelled}|[\\|]"))
+
+
 def with_path(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(sources.select("file_id", F.col("path").alias("file")), "file_id")
 
@@ -195,7 +205,7 @@ def form_symbols(sources: DataFrame, path: str | None = None, at: int | None = N
 
 def symbols(sources: DataFrame, symbol: str) -> DataFrame:
     """Occurrences of a symbol and the head of the top-level form around."""
-    table = parsed(sources, "node_id depth kind prefixes opaque_above needle text path span_start span_end top_id head")
+    table = parsed(holding(sources, symbol), "node_id depth kind prefixes opaque_above needle text path span_start span_end top_id head")
     found = table.filter((occurrence() | quoted_designator()) & (F.col("needle") == needle(symbol)))
     top = table.filter("depth = 1").select(F.col("file_id").alias("f"), F.col("node_id").alias("t"), F.col("head").alias("form_head"))
     joined = found.join(top, (F.col("file_id") == F.col("f")) & (F.col("top_id") == F.col("t")))
@@ -206,7 +216,7 @@ find_symbol = symbols
 
 
 def calls(sources: DataFrame, symbol: str | None = None, include_definitions: bool = False) -> DataFrame:
-    found = nodes(sources, "is_call category call_needle path span_start span_end head n_children enclosing").filter("is_call")
+    found = nodes(holding(sources, symbol) if symbol is not None else sources, "is_call category call_needle path span_start span_end head n_children enclosing").filter("is_call")
     if not include_definitions:
         found = found.filter("category IS NULL")
     if symbol is not None:
@@ -239,7 +249,7 @@ def signature(sources: DataFrame, symbol: str | None = None, table: DataFrame |
     sources' nodes, where they are parsed already. ``bounds`` adds the least and
     most parameters of all definitions of the name, null where there is none or
     no most."""
-    table = parsed(sources, _SIGNATURE) if table is None else table
+    table = parsed(holding(sources, symbol) if symbol is not None else sources, _SIGNATURE) if table is None else table
     found = table.filter("is_call AND category IS NULL")
     if symbol is not None:
         found = found.filter(F.col("call_needle") == needle(symbol))
@@ -402,7 +412,7 @@ def _uses(table: DataFrame, key: str) -> DataFrame:
 
 def impact_references(sources: DataFrame, symbol: str) -> DataFrame:
     """Each place of a symbol, with its context and the head around it."""
-    found = _uses(parsed(sources, _USES), needle(symbol))
+    found = _uses(parsed(holding(sources, symbol), _USES), needle(symbol))
     return found.select("file_id", dotted(F.col("path")).alias("path"), "span_start", "span_end", "context", F.col("around").alias("head"))
 
 
@@ -421,7 +431,7 @@ def impact_statuses(sources: DataFrame, symbol: str) -> DataFrame:
 
 def impact(sources: DataFrame, symbol: str) -> DataFrame:
     """One row: what a change of a symbol touches, and how risky that is."""
-    table, key = parsed(sources, f"{_SIGNATURE} {_USES}"), needle(symbol)
+    table, key = parsed(holding(sources, symbol), f"{_SIGNATURE} {_USES}"), needle(symbol)
     sig = signature(sources, symbol, table).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.when(F.col("status") != "exact", 1)), F.lit(0)).alias("signature_mismatches"))
     defs = table.filter((F.col("depth") == 1) & (F.col("def_needle") == key)).agg(F.count(F.lit(1)).alias("definitions"))
     used = _uses(table, key)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import needle
 from parenlake.operators.nodes import nodes, parsed, staged
-from parenlake.operators.reports import _UNUSED, dotted, impact, unused_definitions
+from parenlake.operators.reports import _UNUSED, dotted, holding, impact, unused_definitions
 from parenlake.sources import versions
 from parenlake.sources.corpus import discovered
 
@@ -76,7 +76,9 @@ def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
 
     # As a lambda's variable, text and edits are held once and not copied for each edit.
     whole = F.array(F.struct(F.col("text").cast("binary").alias("bytes"), F.coalesce("_edits", none).alias("edits")))
-    return sources.join(lists, "file_id", "left").withColumn("text", F.get(F.transform(whole, splice), 0)).select(*sources.columns)
+    # Texts without edits, most of them, stay as they are.
+    spliced = F.when(F.col("_edits").isNull(), F.col("text")).otherwise(F.get(F.transform(whole, splice), 0))
+    return sources.join(lists, "file_id", "left").withColumn("text", spliced).select(*sources.columns)
 
 
 def preview(sources: DataFrame, command: str = "rename-function", max_preview_bytes: int = 160, **args: object) -> DataFrame:
@@ -203,9 +205,10 @@ def plan(sources: DataFrame, symbol: str, operation: str = "rename", require_def
 
 def verify(before: DataFrame, symbol: str, new_symbol: str | None = None, operation: str = "rename", after: DataFrame | None = None) -> DataFrame:
     """Checks before (gates) and, given ``after``, once the operation is done."""
-    gates = plan(before, symbol, operation).select(F.lit("gates").alias("check"), (F.col("decision") == "automatic").alias("passed"))
     if after is None:
-        return gates
+        return plan(before, symbol, operation).select(F.lit("gates").alias("check"), (F.col("decision") == "automatic").alias("passed"))
+    # What may hold either name is made once, not for each check.
+    after = staged(holding(after, symbol, *([] if new_symbol is None else [new_symbol])), "after")
     old = impact(after, symbol).select(F.lit("old-symbol-gone").alias("check"), ((F.col("definitions") + F.col("references")) == 0).alias("passed"))
     if new_symbol is None:
         return old

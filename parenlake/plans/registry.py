@@ -211,7 +211,7 @@ add("duplicate_summary_orders", C.orders, lambda s: R.duplicate_summary(s),
     f"""WITH {_ITEMS}, forms AS (SELECT k, '(paren head:' || name || repeat(' _atom', args) || ')' AS shape FROM items WHERE args >= 2
         UNION ALL SELECT k, '(paren head:defun _atom (paren _atom _atom) ' || string_agg('(paren _atom' || repeat(' _atom', args) || ')', ' ' ORDER BY i) || ')' FROM items GROUP BY k),
         shapes AS (SELECT shape, count(*) AS n FROM forms GROUP BY shape HAVING count(*) >= 2) SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS forms, max(n) AS largest FROM shapes""")
-add("verify_after_rename_part", C.shop, lambda s: verify(s, "part-3", "piece-3", after=apply_edits(s, rewrite(s, "rename-symbol", from_="part-3", to="piece-3").select("file_id", F.explode("edits").alias("e")).select("file_id", "e.*"))),
+add("verify_after_rename_part", C.shop, lambda s: verify(s, "part-3", "piece-3", after=apply_edits(s, rewrite(R.holding(s, "part-3"), "rename-symbol", from_="part-3", to="piece-3").select("file_id", F.explode("edits").alias("e")).select("file_id", "e.*"))),
     f"""WITH {_ITEMS}, one AS (SELECT (SELECT count(*) FROM library WHERE p = 3) AS d, (SELECT count(*) FROM items WHERE p = 3 AND (args <> 2 OR NOT EXISTS (SELECT 1 FROM library WHERE p = 3))) AS m)
         SELECT 'old-symbol-gone' AS check, true AS passed UNION ALL SELECT 'new-symbol-present', d > 0 FROM one UNION ALL SELECT 'arity-compatible', m = 0 FROM one""")
 add("manifest_check_orders", C.orders, lambda s: check_manifest(preview(s, "rename-symbol", from_="customer", to="client"), s).select("path", "status", "changed", "output_parse_ok"),

@@ -328,3 +328,17 @@ def test_policy_and_capabilities(spark):
     g = R.policy(R.signature(s), "signature", mismatch=F.sum(F.when(F.col("status").isin("missing-arguments", "extra-arguments"), 1)) > 0).first()
     assert g.passed and g.violations == []
     assert R.capabilities(spark).count() > 100
+
+
+@pytest.mark.parametrize("report", [R.symbols, R.calls, R.signature, R.impact_references, R.impact, R.impact_statuses])
+def test_only_texts_that_may_hold_a_symbol_are_parsed(spark, monkeypatch, report):
+    seen = []
+    texts = ["(defun fee (x) x)", "(FEE 1)", "(f (quote p:fee))", r"(f\ee 2)", "(|FEE| 3)", "(|fee| 4)", "(coffee 1)", "(other)", None, "(fee"]
+    s = sources(spark, *[(f"{k}.lisp", t) for k, t in enumerate(texts)])
+    for name in ("nodes", "parsed"):
+        make = getattr(R, name)
+        monkeypatch.setattr(R, name, lambda table, *more, make=make: (seen.append({r.path for r in table.select("path").collect()}), make(table, *more))[1])
+    got = report(s, "fee")
+    assert got.count() > 0 and seen[0] == {f"{k}.lisp" for k in (0, 1, 2, 3, 4, 5, 6, 9)}
+    monkeypatch.setattr(R, "holding", lambda table, *names: table)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, report(s, "fee").collect()))
