@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from parenlake.functions import facts
 from parenlake.functions.distance import distance, encode
+from parenlake.functions.facts import SITES, columns, sites
 from parenlake.functions.reader import read
 from parenlake.operators import reports as R
 from parenlake.operators import rewrites as W
@@ -335,10 +336,24 @@ def test_only_texts_that_may_hold_a_symbol_are_parsed(spark, monkeypatch, report
     seen = []
     texts = ["(defun fee (x) x)", "(FEE 1)", "(f (quote p:fee))", r"(f\ee 2)", "(|FEE| 3)", "(|fee| 4)", "(coffee 1)", "(other)", None, "(fee"]
     s = sources(spark, *[(f"{k}.lisp", t) for k, t in enumerate(texts)])
-    for name in ("nodes", "parsed"):
+    for name in ("nodes", "parsed", "sites"):
         make = getattr(R, name)
         monkeypatch.setattr(R, name, lambda table, *more, make=make: (seen.append({r.path for r in table.select("path").collect()}), make(table, *more))[1])
     got = report(s, "fee")
     assert got.count() > 0 and seen[0] == {f"{k}.lisp" for k in (0, 1, 2, 3, 4, 5, 6, 9)}
     monkeypatch.setattr(R, "holding", lambda table, *names: table)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, report(s, "fee").collect()))
+
+
+def test_sites_are_the_calls_and_definitions_of_the_nodes():
+    texts = ["(defun f (a &optional b) (g a) (flet ((h (x) x)) (h 1)))", "'(defun q (x) x) (let ((a (b))) `(c ,(d)))", "[(e) {f (g)}] (defmethod m :after ((x y)) (z))", "", "a b", "((f)) ()", "(defvar *v* 1)\n(define-thing t2 :on)"]
+    for text in texts:
+        for dialect in ("common-lisp", "emacs-lisp", "scheme", "clojure", "unknown"):
+            try:
+                tree = read(text, dialect)
+            except ValueError:
+                continue
+            whole, got = columns(tree), sites(tree, set(SITES))
+            kept = [k for k in range(len(tree.nodes)) if whole["is_call"][k] or whole["category"][k] is not None]
+            assert set(got) == SITES and all(got[n] == [whole[n][k] for k in kept] for n in SITES)
+            assert len(kept) < len(tree.nodes)
