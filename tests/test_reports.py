@@ -334,7 +334,7 @@ def test_policy_and_capabilities(spark):
 @pytest.mark.parametrize("report", [R.symbols, R.calls, R.signature, R.impact_references, R.impact, R.impact_statuses])
 def test_only_texts_that_may_hold_a_symbol_are_parsed(spark, monkeypatch, report):
     seen = []
-    texts = ["(defun fee (x) x)", "(FEE 1)", "(f (quote p:fee))", r"(f\ee 2)", "(|FEE| 3)", "(|fee| 4)", "(coffee 1)", "(other)", None, "(fee"]
+    texts = ["(defun fee (x) x)", "(FEE 1)", "(f (quote p:fee))", r"(f\ee 2)", "(|FEE| 3)", "(|fee| 4)", "(coffee 1)", "(feed 1)", None, "(fee"]
     s = sources(spark, *[(f"{k}.lisp", t) for k, t in enumerate(texts)])
     for name in ("nodes", "parsed", "sites"):
         make = getattr(R, name)
