@@ -210,6 +210,15 @@ def test_similarity_of_all_suppliers(spark, tmp_path):
     assert {(r.left_file, r.right_file, r.distance_x10) for r in got} == want and len(got) == len(want)
 
 
+def test_all_pairs_are_not_sorted(spark, tmp_path, capsys):
+    """No pair waits for the others: SQL leaves the order of all pairs open."""
+    spark.createDataFrame([(k,) for k in range(6)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["similarity_suppliers"](spark, str(tmp_path))
+    got.explain()
+    assert "rangepartitioning" not in capsys.readouterr().out
+    assert got.count() == 15
+
+
 def test_manifest_lifecycle(spark, tmp_path):
     s = sources(spark, *FREIGHT)
     manifest = W.preview(s, "rename-function", from_="freight", to="haulage")
