@@ -76,6 +76,54 @@ def sites(sources: DataFrame, wanted: str) -> DataFrame:
     return _parsed(sources, schema, lambda got: rows_of(got, some) if isinstance(got, Tree) else None)
 
 
+#: Names that a task counts before it hands them on.
+COUNTED = 50_000
+NAMED = "needle string, uses long, exported boolean, file_id long, path string, name string, category string, span_start long, span_end long"
+
+
+def named(sources: DataFrame) -> DataFrame:
+    """Rows of three kinds. Definitions at the top, with the uses of the name in
+    the form itself; names with their uses elsewhere, summed over many files
+    (the other columns null); and names that packages export."""
+    schema = to_arrow_schema(sources.sparkSession.createDataFrame([], NAMED).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
+        from parenlake.functions.facts import named as names_of
+        from parenlake.functions.reader import Unreadable, read
+
+        uses: Counter[str] = Counter()
+        exported: set[str] = set()
+
+        def told() -> pa.RecordBatch:
+            keys, n = [*uses, *exported], len(uses) + len(exported)
+            columns = {"needle": keys, "uses": [*uses.values(), *[0] * len(exported)], "exported": [False] * len(uses) + [True] * len(exported)}
+            made = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+            uses.clear()
+            exported.clear()
+            return made
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                found: list[tuple] = []
+                for file, dialect, text in zip(*[c.to_pylist() for c in whole.slice(at, 1024).columns], strict=True):
+                    try:
+                        made, used, public = names_of(read(text or "", dialect))
+                    except Unreadable:
+                        continue
+                    uses.update(used)
+                    exported.update(public)
+                    found += [(key, own, False, file, *more) for key, own, *more in made]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                if len(uses) + len(exported) > COUNTED:
+                    yield told()
+        yield told()
+
+    return sources.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("dialect", F.lit("unknown")).alias("dialect"), "text").mapInArrow(run, NAMED)
+
+
 def nodes(sources: DataFrame, wanted: str | None = None) -> DataFrame:
     """The ``nodes`` table of sources(file_id, dialect, text), or of it the
     columns ``wanted`` (names separated by spaces; only what they need is worked

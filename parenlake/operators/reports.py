@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import KEPT, needle
-from parenlake.operators.nodes import _parsed, by_name, errors, nodes, parsed, sites, staged
+from parenlake.operators.nodes import _parsed, by_name, errors, named, nodes, parsed, sites, staged
 
 #: The family of each dialect.
 FAMILY = {"common-lisp": "lisp", "emacs-lisp": "lisp", "scheme": "scheme", "clojure": "clojure", "janet": "janet", "fennel": "fennel", "unknown": "unknown"}
@@ -277,25 +277,22 @@ def call_graph(sources: DataFrame, symbol: str | None = None, include_external:
     return joined.select("caller", "callee", "calls", "internal", F.coalesce("definition_count", F.lit(0)).cast("long").alias("definition_count"), F.coalesce("categories", F.lit("")).alias("callee_categories"))
 
 
-#: What ``unused_definitions`` needs of the nodes.
-_UNUSED = "node_id depth kind head path opaque_above in_defpackage needle local top_id category def_name def_needle"
+def unused_named(table: DataFrame) -> DataFrame:
+    """The definitions of staged ``named`` with what unused_definitions says of
+    them, and whether a package exports the name.
 
+    References outside = all of the name less those in its own form: names meet
+    by equality once, and nothing is compared pair by pair."""
+    total = table.groupBy("needle").agg(F.sum("uses").alias("all_uses"), F.max("exported").alias("public"))
+    outside = F.col("all_uses") - F.col("uses")
+    joined = table.filter("category IS NOT NULL").drop("exported").join(total, "needle").withColumn("reference_count", outside)
+    return joined.withColumn("unused", F.col("reference_count") == 0).withColumn("actionable", F.col("unused") & ~F.col("category").isin(*KEPT))
 
-def unused_definitions(sources: DataFrame, include_protected: bool = False, table: DataFrame | None = None) -> DataFrame:
-    """Top-level definitions by how many references lie outside of them.
 
-    References outside = all of the name less those in its own form: two
-    aggregations on equality keys, so a name used everywhere is counted where
-    it is read and nothing is compared pair by pair. Atoms that refer to a local
-    binding of the same name are no references."""
-    table = parsed(sources, _UNUSED) if table is None else table
-    uses = table.filter("kind = 'atom' AND NOT opaque_above AND NOT in_defpackage AND NOT local AND needle IS NOT NULL")
-    total = uses.groupBy(F.col("needle").alias("n")).agg(F.count(F.lit(1)).alias("all_uses"))
-    own = uses.groupBy(F.col("file_id").alias("f"), F.col("top_id").alias("t"), F.col("needle").alias("m")).agg(F.count(F.lit(1)).alias("own_uses"))
-    defs = table.filter("depth = 1 AND category IS NOT NULL AND def_needle IS NOT NULL").filter(~F.lower("head").isin("in-package"))
-    joined = defs.join(total, F.col("def_needle") == F.col("n"), "left").join(own, (F.col("file_id") == F.col("f")) & (F.col("node_id") == F.col("t")) & (F.col("def_needle") == F.col("m")), "left")
-    outside = F.coalesce("all_uses", F.lit(0)) - F.coalesce("own_uses", F.lit(0))
-    out = joined.select("file_id", dotted(F.col("path")).alias("path"), F.col("def_name").alias("name"), "category", outside.cast("long").alias("reference_count"), (outside == 0).alias("unused"), ((outside == 0) & ~F.col("category").isin(*KEPT)).alias("actionable"))
+def unused_definitions(sources: DataFrame, include_protected: bool = False) -> DataFrame:
+    """Top-level definitions by how many references lie outside of them. Atoms
+    that refer to a local binding of the same name are no references."""
+    out = unused_named(staged(named(sources), "names")).select("file_id", "path", "name", "category", "reference_count", "unused", "actionable")
     return out if include_protected else out.filter("unused")
 
 

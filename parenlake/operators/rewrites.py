@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import needle
-from parenlake.operators.nodes import nodes, parsed, staged
-from parenlake.operators.reports import _UNUSED, dotted, holding, impact, unused_definitions
+from parenlake.operators.nodes import named, nodes, staged
+from parenlake.operators.reports import dotted, holding, impact, unused_named
 from parenlake.sources import versions
 from parenlake.sources.corpus import discovered
 
@@ -252,15 +252,9 @@ def workspace_execute(sources: DataFrame, from_: str, to: str, path: str | None
 def remove_unused(sources: DataFrame, include_protected: bool = False, include_exported: bool = False) -> DataFrame:
     """Edits that delete every unreferenced definition, and the rest with the
     reason for which it stays: exported first, then protected."""
-    table = parsed(sources, _UNUSED + " parent_id sib_idx span_start span_end")
-    unused = unused_definitions(sources, table=table)
-    at = table.filter("depth = 1").select(F.col("file_id").alias("f"), dotted(F.col("path")).alias("p"), "span_start", "span_end", "def_needle")
-    lists = table.filter("kind = 'list' AND in_defpackage AND lower(head) = ':export'").select(F.col("file_id").alias("lf"), F.col("node_id").alias("ln"))
-    names = table.filter("kind = 'atom' AND in_defpackage AND sib_idx > 0").join(lists, (F.col("file_id") == F.col("lf")) & (F.col("parent_id") == F.col("ln")))
-    exported = names.select(F.col("needle").alias("_e")).distinct()
-    joined = unused.join(at, (F.col("file_id") == F.col("f")) & (F.col("path") == F.col("p"))).join(exported, F.col("def_needle") == F.col("_e"), "left")
-    reason = F.when(F.col("_e").isNotNull() & F.lit(not include_exported), "exported").when(~F.col("actionable") & F.lit(not include_protected), "protected")
-    return joined.select("file_id", "path", "name", "category", reason.alias("skipped"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.lit("").alias("replacement"))
+    unused = unused_named(staged(named(sources), "names")).filter("unused")
+    reason = F.when(F.col("public") & F.lit(not include_exported), "exported").when(~F.col("actionable") & F.lit(not include_protected), "protected")
+    return unused.select("file_id", "path", "name", "category", reason.alias("skipped"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.lit("").alias("replacement"))
 
 
 def move_forms(

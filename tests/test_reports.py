@@ -9,7 +9,7 @@ from parenlake.functions.facts import SITES, columns, sites
 from parenlake.functions.reader import read
 from parenlake.operators import reports as R
 from parenlake.operators import rewrites as W
-from parenlake.operators.nodes import comments, nodes
+from parenlake.operators.nodes import comments, named, nodes
 from parenlake.operators.similarity import similarity, similarity_summary
 from parenlake.plans.registry import QUERIES
 from parenlake.sources.corpus import admitted, bindings, dialect_column, from_files, quota, read_within, skipped_summary, workspace
@@ -152,6 +152,17 @@ def test_symbols_and_forms(spark):
     assert nodes(s).filter("kind = 'root'").count() == 1
 
 
+def test_names_are_counted_where_they_are_read(spark):
+    """Definitions and one row for each other name, not one for each node."""
+    files = [(f"{k}.lisp", f"(defun own-{k} (own-1) (own-{k} own-1) (shared 1) (shared 2))") for k in range(40)]
+    table = named(sources(spark, *files, ("p.lisp", "(defpackage p (:export #:own-3)) (defun shared (x) x)")).coalesce(1))
+    rows = [(r.needle, r.uses, r.exported) for r in table.filter("category IS NULL").collect()]
+    assert sorted(r for r in rows if not r[0].startswith("OWN-")) == [("1", 40, False), ("2", 40, False), ("DEFUN", 41, False), ("SHARED", 80, False)]
+    assert [r for r in rows if r[0].startswith("OWN-")] == [("OWN-3", 0, True)]
+    told = {r.name: (r.reference_count, r.unused) for r in R.unused_definitions(sources(spark, *files, ("s.lisp", "(defun shared (x) x)")), include_protected=True).collect()}
+    assert told == {"shared": (80, False)} | {f"own-{k}": (0, True) for k in range(40)}
+
+
 def test_unused_and_removal(spark):
     text = "(defpackage p (:export kept))\n(defun used () 1)\n(defun kept () (used))\n(defun gone () (gone))\n(defstruct s)"
     s = sources(spark, ("a.lisp", text))
