@@ -24,6 +24,8 @@ from parenlake.sources.corpus import GENERATED, dialect_column
 FOUND = "path string, kind string, skipped string, bytes long, entries long, depth int"
 #: Entries that a task lists at a time before it leaves the rest for others.
 BUDGET = 10_000
+#: Bytes of files that ``contents`` hands on at a time, and one file more.
+HELD = 4 << 20
 Trie = dict
 
 
@@ -177,15 +179,28 @@ def contents(found: DataFrame, max_file_bytes: int = 16 << 20) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("dialect", pa.string()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
+            held: list[tuple] = []
+            size = 0
             for path, dialect in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with open(path, "rb") as file:
                     content = file.read(max_file_bytes + 1)
                 if len(content) > max_file_bytes:
                     raise ValueError(f"{path} has more than {max_file_bytes} bytes")
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((path, dialect, content), schema, strict=True)], schema=schema)
+                held.append((path, dialect, content))
+                size += len(content)
+                if size > HELD or len(held) == 1024:
+                    yield told(held)
+                    held, size = [], 0
+            if held:
+                yield told(held)
 
+    # One task lists a large folder; many read its files.
     kept = found.filter("kind = 'file' AND skipped IS NULL").select("path", "dialect")
+    kept = kept.repartition(4 * found.sparkSession.sparkContext.defaultParallelism, "path")
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return kept.mapInArrow(run, "path string, dialect string, content binary").select(F.xxhash64("path").alias("file_id"), "path", "dialect", text.alias("text"))
 
@@ -195,16 +210,22 @@ def write_files(sources: DataFrame, folder: str) -> None:
     renaming a file of the task's own, so that a task may run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there: set[str] = set()  # folders are made once a task
+        top = os.path.normpath(folder) + "/"
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 target = os.path.normpath(os.path.join(folder, path))
-                if not target.startswith(os.path.normpath(folder) + "/"):
+                if not target.startswith(top):
                     raise ValueError(f"{path} lies outside of the folder")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                if (above := os.path.dirname(target)) not in there:
+                    os.makedirs(above, exist_ok=True)
+                    there.add(above)
                 own = f"{target}.{os.getpid()}.tmp"
                 with open(own, "w", encoding="utf-8", newline="") as file:
                     file.write(text or "")
                 os.replace(own, target)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    sources.select("path", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    # A small table of many files is one partition: its files are dealt out.
+    dealt = sources.select("path", "text").repartition(4 * sources.sparkSession.sparkContext.defaultParallelism, "path")
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()

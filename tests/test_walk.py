@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from parenlake.sources import corpus as C
 from parenlake.sources import walk as K
@@ -71,3 +72,12 @@ def test_an_excluded_folder_is_found_by_its_components(tmp_path):
     said = {p: K.excluded(index, f"{tmp_path}/{p}") for p in ("a", "a/b", "a/b/x/y", "a/bc", "a/d", "z")}
     assert said == {"a": False, "a/b": True, "a/b/x/y": True, "a/bc": False, "a/d": True, "z": False}
     assert not K.excluded({}, "/a")
+
+
+def test_files_of_one_folder_are_dealt_out(spark, tmp_path):
+    """One task lists a folder; several write and read its files, many at a time."""
+    made = spark.range(400).coalesce(1).select(F.concat(F.lit("x/"), "id", F.lit(".lisp")).alias("path"), F.concat(F.lit("(f "), "id", F.lit(")")).alias("text"))
+    K.write_files(made, str(tmp_path))
+    read = K.contents(K.walked(spark, [str(tmp_path)]))
+    assert {(os.path.relpath(r.path, tmp_path), r.text) for r in read.collect()} == {(f"x/{k}.lisp", f"(f {k})") for k in range(400)}
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 1
