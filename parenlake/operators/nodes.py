@@ -76,6 +76,17 @@ def sites(sources: DataFrame, wanted: str) -> DataFrame:
     return _parsed(sources, schema, lambda got: rows_of(got, some) if isinstance(got, Tree) else None)
 
 
+def shaped(sources: DataFrame, least: int, wanted: str) -> DataFrame:
+    """The rows of ``nodes`` that are paren lists of at least so many nodes, with
+    the digests of their shapes: no others are made."""
+    from parenlake.functions.facts import shaped as rows_of
+    from parenlake.functions.reader import Tree
+
+    some = set(wanted.split())
+    schema = ", ".join(c for c in NODES.split(", ") if c.split()[0] in some | {"file_id"})
+    return _parsed(sources, schema, lambda got: rows_of(got, least, some) if isinstance(got, Tree) else None)
+
+
 #: Names that a task counts before it hands them on.
 COUNTED = 50_000
 NAMED = "needle string, uses long, exported boolean, file_id long, path string, name string, category string, span_start long, span_end long"

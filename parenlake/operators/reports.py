@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parenlake.functions.dialects import KEPT, needle
-from parenlake.operators.nodes import _parsed, by_name, errors, named, nodes, parsed, sites, staged
+from parenlake.operators.nodes import _parsed, by_name, errors, named, nodes, parsed, shaped, sites, staged
 
 #: The family of each dialect.
 FAMILY = {"common-lisp": "lisp", "emacs-lisp": "lisp", "scheme": "scheme", "clojure": "clojure", "janet": "janet", "fennel": "fennel", "unknown": "unknown"}
@@ -338,7 +338,7 @@ def _shaped(sources: DataFrame, min_group_size: int, min_node_count: int, more:
     """Paren forms, large enough, with the digest of their shape."""
     if min_group_size < 1 or min_node_count < 1:
         raise ValueError("sizes must be 1 or more")
-    return nodes(sources, "shape_hash subtree_nodes node_id" + more).filter(F.col("shape_hash").isNotNull() & (F.col("subtree_nodes") >= min_node_count))
+    return shaped(sources, min_node_count, "shape_hash subtree_nodes node_id" + more)
 
 
 def _spelled(sources: DataFrame, groups: DataFrame) -> DataFrame:

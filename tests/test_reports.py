@@ -163,6 +163,16 @@ def test_names_are_counted_where_they_are_read(spark):
     assert told == {"shared": (80, False)} | {f"own-{k}": (0, True) for k in range(40)}
 
 
+def test_shapes_make_rows_of_large_lists_only():
+    text = "(defun f (a b) (g [x (h 1 2 3)] 'c) ())"
+    tree = read(text, "unknown")
+    whole = columns(tree, {"shape_hash", "subtree_nodes", "node_id", "head", "path"})
+    for least in (1, 4, 9):
+        want = [k for k, h in enumerate(whole["shape_hash"]) if h is not None and whole["subtree_nodes"][k] >= least]
+        got = facts.shaped(tree, least, {"head", "path"})
+        assert got == {c: [whole[c][k] for k in want] for c in ("shape_hash", "node_id", "subtree_nodes", "head", "path")}
+
+
 def test_unused_and_removal(spark):
     text = "(defpackage p (:export kept))\n(defun used () 1)\n(defun kept () (used))\n(defun gone () (gone))\n(defstruct s)"
     s = sources(spark, ("a.lisp", text))
