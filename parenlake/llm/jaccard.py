@@ -376,6 +376,8 @@ def _open(found: DataFrame, parts: DataFrame, classes: DataFrame, sketches: Data
 BLOCK = 2048
 #: Bytes of the sketches by which long sets are compared within a key.
 MIDDLE = 512
+#: Pairs of members that are made at a time, and bytes of sketches fetched for them.
+PAIRS, GATHERED = 1 << 17, 1 << 21
 
 
 def folded(wide: DataFrame) -> DataFrame:
@@ -395,6 +397,45 @@ def folded(wide: DataFrame) -> DataFrame:
     return wide.filter(F.octet_length("wide") >= MIDDLE).select("node", "wide").mapInArrow(run, "_m long, middle binary")
 
 
+def close_members(held: pa.Table, measure: Measure) -> Iterator[pa.RecordBatch]:
+    """a, b: of the members that lie together in ``held``, by key and blocks,
+    those that ``close_pairs`` gives. Pairs are made PAIRS at a time and their
+    sketches fetched GATHERED bytes at a time, so few megabytes are in use."""
+    held = held.combine_chunks()
+    key, low, high, own, node, n, part = [held.column(k).to_numpy() for k in range(7)]
+    narrow = held.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), SKETCH)
+    there = held.column(8).is_valid().to_numpy()
+    middle = np.zeros((len(node), MIDDLE // 8), np.uint64)
+    if there.any():
+        middle[there] = np.frombuffer(b"".join(held.column(8).drop_null().to_pylist()), np.uint64).reshape(-1, MIDDLE // 8)
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    ends = np.append(np.flatnonzero(fresh)[1:], len(node))[np.cumsum(fresh) - 1]
+    later = ends - np.arange(len(node)) - 1
+    done = np.cumsum(later)
+    start = 0
+    while start < len(node):
+        # As many rows as give about PAIRS pairs.
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + PAIRS, side="right")))
+        many = later[start:stop]
+        x = np.repeat(np.arange(start, stop), many)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+        start = stop
+        fit = (part[x] != part[y]) & ((low[x] == high[x]) | (own[x] != own[y])) & (measure.whole * np.minimum(n[x], n[y]) >= measure.part * np.maximum(n[x], n[y]))
+        x, y = x[fit], y[fit]
+        for table, some in ((narrow, None), (middle, there)):
+            keep = np.ones(len(x), bool)
+            both = np.arange(len(x)) if some is None else np.flatnonzero(some[x] & some[y])
+            step = GATHERED // (8 * table.shape[1])
+            for at in range(0, len(both), step):
+                i = both[at : at + step]
+                bits = np.bitwise_count(table[x[i]] ^ table[y[i]]).sum(axis=1, dtype=np.int64)
+                keep[i] = (measure.whole + measure.part) * bits <= (measure.whole - measure.part) * (n[x[i]] + n[y[i]])
+            x, y = x[keep], y[keep]
+        if len(x):
+            found = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b"])
+
+
 def close_pairs(open_: DataFrame, wide: DataFrame, measure: Measure) -> DataFrame:
     """a, b: members of a key in different components whose sizes and sketches
     leave room for a link. Pairs that don't never become rows.
@@ -405,40 +446,6 @@ def close_pairs(open_: DataFrame, wide: DataFrame, measure: Measure) -> DataFram
     cut = cut.join(folded(wide), F.col("node") == F.col("_m"), "left").withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_g") - 1).cast("int"))))
     group = ["key", "low", "high"]
     rows = cut.select("key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "n", "part", F.array(*_WORDS).alias("sketch"), "middle")
-    names = ["a", "b"]
-
-    def pairs_of(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        held = held.combine_chunks()
-        key, low, high, own, node, n, part = [held.column(k).to_numpy() for k in range(7)]
-        narrow = held.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), SKETCH)
-        there = held.column(8).is_valid().to_numpy()
-        middle = np.zeros((len(node), MIDDLE // 8), np.uint64)
-        if there.any():
-            middle[there] = np.frombuffer(b"".join(held.column(8).drop_null().to_pylist()), np.uint64).reshape(-1, MIDDLE // 8)
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        ends = np.append(np.flatnonzero(fresh)[1:], len(node))[np.cumsum(fresh) - 1]
-        later = ends - np.arange(len(node)) - 1
-        done = np.cumsum(later)
-        start = 0
-        while start < len(node):
-            # As many rows as give about a million pairs.
-            stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + 1_000_000, side="right")))
-            many = later[start:stop]
-            x = np.repeat(np.arange(start, stop), many)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
-            start = stop
-            fit = (part[x] != part[y]) & ((low[x] == high[x]) | (own[x] != own[y])) & (measure.whole * np.minimum(n[x], n[y]) >= measure.part * np.maximum(n[x], n[y]))
-            x, y = x[fit], y[fit]
-            for table, some in ((narrow, None), (middle, there)):
-                keep = np.ones(len(x), bool)
-                both = np.arange(len(x)) if some is None else np.flatnonzero(some[x] & some[y])
-                for at in range(0, len(both), 65_536):
-                    i = both[at : at + 65_536]
-                    bits = np.bitwise_count(table[x[i]] ^ table[y[i]]).sum(axis=1, dtype=np.int64)
-                    keep[i] = (measure.whole + measure.part) * bits <= (measure.whole - measure.part) * (n[x[i]] + n[y[i]])
-                x, y = x[keep], y[keep]
-            found = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -449,15 +456,15 @@ def close_pairs(open_: DataFrame, wide: DataFrame, measure: Measure) -> DataFram
             same = np.logical_and.reduce([batch.column(k).to_numpy() == last[k].as_py() for k in range(3)])
             first = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if first:
-                yield from pairs_of(pa.Table.from_batches([*rest, batch.slice(0, first)]))
+                yield from close_members(pa.Table.from_batches([*rest, batch.slice(0, first)]), measure)
                 rest = [batch.slice(first)]
             else:
                 if rest and [rest[-1].column(k)[0].as_py() for k in range(3)] != [x.as_py() for x in last]:
-                    yield from pairs_of(pa.Table.from_batches(rest))
+                    yield from close_members(pa.Table.from_batches(rest), measure)
                     rest = []
                 rest.append(batch)
         if rest:
-            yield from pairs_of(pa.Table.from_batches(rest))
+            yield from close_members(pa.Table.from_batches(rest), measure)
 
     dealt = rows.repartition(*group).sortWithinPartitions(*group)
     return dealt.mapInArrow(run, "a long, b long").distinct()

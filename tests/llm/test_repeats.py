@@ -1,7 +1,9 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parenlake.llm import debruijn, jaccard, sparse_suffix
@@ -236,3 +238,20 @@ def test_components(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def test_members_of_a_large_key_are_compared_in_little_memory():
+    n, rng = 1500, np.random.default_rng(4)
+    sketch = rng.integers(-(1 << 62), 1 << 62, (n // 3, jaccard.SKETCH)).repeat(3, axis=0)  # three alike in a row
+    middle = [rng.bytes(jaccard.MIDDLE) for _ in range(n // 3)]
+    own, part = np.arange(n) % 2, np.arange(n) // 2
+    columns = [np.zeros(n, np.int64), np.zeros(n, np.int32), np.ones(n, np.int32), own.astype(np.int32), np.arange(n) + 7, np.full(n, 2000), part]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * jaccard.SKETCH, pa.int32()), pa.array(sketch.ravel()))
+    held = pa.table([*map(pa.array, columns), lists, pa.array([middle[k // 3] for k in range(n)], pa.binary())], names=["key", "low", "high", "own", "node", "n", "part", "sketch", "middle"])
+    tracemalloc.start()
+    found = [tuple(x) for b in jaccard.close_members(held, Measure()) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alike = [(a + 7, b + 7) for k in range(0, n, 3) for a in range(k, k + 3) for b in range(a + 1, k + 3)]
+    assert sorted(found) == [(a, b) for a, b in alike if own[a - 7] != own[b - 7] and part[a - 7] != part[b - 7]]
+    assert peak < 24 << 20
