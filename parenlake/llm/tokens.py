@@ -19,6 +19,9 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 _TOUCHING = re.compile(r"\s\s")
+#: Letters, and behind them ASCII punctuation without an apostrophe (which begins
+#: contractions): a byte-level tokenizer always cuts between the two, nowhere else.
+_PARTS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_values() -> dict[str, int]:
@@ -47,10 +50,10 @@ class Recent:
 
     def of(self, lists: list[list[str]]) -> list[list]:
         """The value of every word; values are never None."""
-        get = self.new.get
-        found = [list(map(get, x)) for x in lists]
-        lacking = [k for k, values in enumerate(found) if None in values]
-        unknown = {w for k in lacking for w, v in zip(lists[k], found[k], strict=True) if v is None}
+        found = [list(map(self.new.get, x)) for x in lists]
+        # Only the places that lack a value are looked at again.
+        lacking = [(x, values, [k for k, v in enumerate(values) if v is None]) for x, values in zip(lists, found, strict=True) if None in values]
+        unknown = {x[k] for x, _, places in lacking for k in places}
         missing = []
         for word in unknown:
             value = self.old.get(word)
@@ -60,12 +63,18 @@ class Recent:
                 self.new[word] = value
         if missing:
             self.new.update(zip(missing, self.learn(missing), strict=True))
-        for k in lacking:
-            found[k] = list(map(get, lists[k]))
+        for x, values, places in lacking:
+            for k in places:
+                values[k] = self.new[x[k]]
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         return found
 
+    def get(self, word: str) -> object | None:
+        """The value of a word met lately; None otherwise."""
+        value = self.new.get(word)
+        return self.old.get(word) if value is None else value
+
 
 class LibraryTokens:
     """Encodes texts with one tokenizer; special tokens' strings in a text are
@@ -90,21 +99,53 @@ class LibraryTokens:
         #: Bytes of each id: a byte-level vocabulary writes a byte a character.
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.size)], np.int64)
         self.known = Recent(self.word_ids, self.LIMIT)
+        #: Letters can go to the library's model alone, if no added token is of letters.
+        self.alone = self.splits and all(x.get("special") or not _PARTS.match(x["content"].strip()) for x in told.get("added_tokens", ()))
+        shown = {b: c for c, b in byte_values().items()}
+        self.space, self.letters = shown[32], {k: "".join(shown[b] for b in chr(k).encode()) for k in range(128, 256)}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words, each with a space in front of it."""
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space in front of it. Letters, with or without
+        punctuation behind them, need no search for where they are cut: the
+        library's model gets them as the library would hand them over."""
+        if not self.alone:
+            return list(self.spaced(words))
+        cut = [_PARTS.fullmatch(w) for w in words]
+        others = iter(self.spaced([w for w, m in zip(words, cut, strict=True) if m is None]))
+        tokenize, heads, tails, out = self.tokenizer.model.tokenize, {}, {"": b""}, []
+        for m in cut:
+            if m is None:
+                out.append(next(others))
+                continue
+            head, tail = m.groups()
+            ids = heads.get(head)
+            if ids is None:
+                ids = self.known.get(head) if tail else None
+                if ids is None:
+                    ids = array("I", [x.id for x in tokenize(self.space + (head if head.isascii() else head.translate(self.letters)))]).tobytes()
+                heads[head] = ids
+            if tail not in tails:
+                tails[tail] = self.library([tail])[0]
+            out.append(ids + tails[tail])
+        return out
+
+    def spaced(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, each with a space in front of it, encoded together."""
         blocks = [words[k : k + self.TOGETHER] for k in range(0, len(words), self.TOGETHER)]
-        for block, raw in zip(blocks, self.library([" " + " ".join(x) for x in blocks]), strict=True):
-            ends = np.cumsum([len(x.encode()) + 1 for x in block])
+        joined = [" " + " ".join(x) for x in blocks]
+        for block, text, raw in zip(blocks, joined, self.library(joined), strict=True):
+            # No word holds a space, so each begins at one.
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
             reached = np.cumsum(self.lengths[np.frombuffer(raw, np.uint32)])
             at = np.searchsorted(reached, ends)
-            if len(reached) != at[-1] + 1 or (reached[at] != ends).any():
+            if len(ends) != len(block) or len(reached) != at[-1] + 1 or (reached[at] != ends).any():
                 raise ValueError("the tokenizer does not end a token in front of every space")
             cuts = [0, *(4 * at + 4).tolist()]
-            yield from (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            yield from map(raw.__getitem__, map(slice, cuts, cuts[1:]))
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

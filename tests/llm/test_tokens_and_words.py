@@ -304,3 +304,19 @@ def test_variants_of_odd_tables(spark):
     assert spelling.variant_table(empty(spark)).collect() == []
     assert spelling.variant_table(odd(spark)).columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert Counter(map(tuple, spelling.variant_table(clashing(spark)).collect())) == Counter(map(tuple, spelling.variant_table(odd(spark)).collect()))
+
+
+def test_letters_and_punctuation_are_the_librarys_without_its_search(monkeypatch):
+    rng = np.random.default_rng(8)
+    letters, marks = list("abcdefghijklmnopqrstuvwxyzABCXYZ\u00c0\u00df\u00e9\u00f1\u00ff"), list("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+    drawn = ["".join(rng.choice(letters, rng.integers(1, 15))) + "".join(rng.choice(marks, rng.integers(0, 4))) for _ in range(3000)]
+    drawn += ["a'", "it's", "d\u00d7d", "\u00f7", "x1.", "a.b", "\u0101b", "<|endoftext|>", "\u00b5", "\u00aa", "a\nb."]
+    ours = LibraryTokens(A)
+    want = ours.library([" " + w for w in drawn])
+    assert list(ours.word_ids(drawn)) == want
+    ours.known.of([drawn])
+    assert ours.word_ids([w + "!" for w in drawn]) == ours.library([" " + w + "!" for w in drawn])
+    searched = []
+    monkeypatch.setattr(ours, "library", lambda texts: searched.extend(texts) or LibraryTokens.library(ours, texts))
+    assert list(ours.word_ids(drawn[:3000])) == want[:3000]
+    assert all(set(x) <= set(marks) for x in searched)
