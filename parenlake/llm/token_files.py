@@ -148,9 +148,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
         now = _Open([], [], [])
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                for doc, found in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1).to_pylist()), strict=True):
+            for at in range(0, whole.num_rows, 2_048):
+                batch = whole.slice(at, 2_048)
+                for doc, found in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1)), strict=True):
                     size = len(found) // 4 + 1
                     if now.names and now.bytes + size * width > file_bytes:
                         yield close(now)

@@ -1,11 +1,13 @@
 """Token ids of whole texts by the tokenizers library, stretch by stretch.
 
-A byte-level tokenizer splits a text in front of a space that follows a
-non-space character, so, unless white-space characters touch, the stretches
-between single spaces can be encoded alone and remembered. Those not met before
-are encoded together, one behind the other, and told apart by their bytes, since
-every call costs more than a short stretch. Texts with touching white space go
-to the library whole.
+A byte-level tokenizer always splits a text at certain places, whatever stands
+around them (``cut_places``), so the stretches between them can be encoded alone
+and remembered. Texts are cut and their stretches made distinct on whole Arrow
+columns; each distinct one is looked up once, and ids are dealt out by ``take``.
+
+Words between single spaces (``words_of``, ``word_ids``) are for callers that
+need words: those not met before are encoded together, one behind the other, and
+told apart by their bytes, since every call costs more than a short stretch.
 """
 
 from __future__ import annotations
@@ -14,14 +16,65 @@ import json
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _TOUCHING = re.compile(r"\s\s")
 #: Letters, and behind them ASCII punctuation without an apostrophe (which begins
 #: contractions): a byte-level tokenizer always cuts between the two, nowhere else.
 _PARTS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: A stretch that the library's model can be given as it is, but for its spelling.
+_LETTERS = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
+#: Kinds of bytes: of letters as above, of other visible ASCII, of other characters
+#: that aren't white space; the space, other ASCII white space; of any other character.
+_LETTER, _MARK, _OTHER, _SPACE, _FEED, _UNSURE = range(6)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[:128] = [_LETTER if chr(b).isalpha() else _MARK if 32 < b < 127 else _SPACE if b == 32 else _FEED if 9 <= b <= 13 else _UNSURE for b in range(128)]
+#: White space beyond ASCII (and U+180E, which once was), by first bytes.
+_WHITE: dict[int, list[bytes]] = {}
+for _c in "\u0085\u00a0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))):
+    _WHITE.setdefault(_c.encode()[0], []).append(_c.encode())
+
+
+def _pairs(before: list[int], behind: list[int]) -> list[int]:
+    return [8 * a + b for a in before for b in behind]
+
+
+#: Pairs of kinds between which a text is cut.
+_BETWEEN = np.zeros(64, bool)
+_BETWEEN[[*_pairs([_LETTER, _MARK, _OTHER], [_SPACE, _FEED]), *_pairs([_LETTER], [_MARK]), *_pairs([_FEED], [_LETTER, _MARK, _OTHER])]] = True
+#: Pairs of which the second is white space, and the first may be.
+_RUN = np.zeros(64, bool)
+_RUN[_pairs([_SPACE, _FEED, _UNSURE], [_SPACE, _FEED])] = True
+
+
+def cut_places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 texts, which begin at ``starts``, whether one begins
+    there or a byte-level tokenizer always splits in front of it: white space
+    behind anything else; ASCII that is no letter behind a letter; the last white
+    space in front of anything else, and what follows it unless it is a space."""
+    kinds = _KINDS[data]
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+    kinds[at] = kinds[at + 1] = _LETTER
+    for first, found in _WHITE.items():
+        at = np.flatnonzero(data[: max(0, len(data) + 1 - len(found[0]))] == first)
+        for white in found if len(at) else ():
+            here = at[np.all([data[at + k] == b for k, b in enumerate(white)], axis=0)]
+            for k in range(len(white)):
+                kinds[here + k] = _UNSURE
+    begins, cut = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    begins[starts] = True
+    pairs = 8 * kinds[:-1] + kinds[1:]
+    cut[1:] = _BETWEEN[pairs]
+    last = np.flatnonzero(_RUN[pairs[:-1]]) + 1
+    cut[last[(kinds[last + 1] < _SPACE) & ~begins[last + 1]]] = True
+    return cut | begins
 
 
 def byte_values() -> dict[str, int]:
@@ -80,9 +133,11 @@ class LibraryTokens:
     """Encodes texts with one tokenizer; special tokens' strings in a text are
     ordinary text. ``LIMIT`` bounds what is remembered (twice)."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
     #: Words that are encoded together.
     TOGETHER = 2_000
+    #: Bytes of the longest stretches that are remembered.
+    LONGEST = 100
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,10 +153,14 @@ class LibraryTokens:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: Bytes of each id: a byte-level vocabulary writes a byte a character.
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.size)], np.int64)
-        self.known = Recent(self.word_ids, self.LIMIT)
+        #: stretch -> its ids
+        self.known = Recent(self.stretch_ids, self.LIMIT)
         #: Letters can go to the library's model alone, if no added token is of letters.
         self.alone = self.splits and all(x.get("special") or not _PARTS.match(x["content"].strip()) for x in told.get("added_tokens", ()))
+        #: A stretch holds no added token and cuts none, if no such token is looked for.
+        self.cuts = self.splits and all(x.get("special") for x in told.get("added_tokens", ()))
         shown = {b: c for c, b in byte_values().items()}
+        self.spelling = "".join(shown[b] for b in range(256))
         self.space, self.letters = shown[32], {k: "".join(shown[b] for b in chr(k).encode()) for k in range(128, 256)}
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -123,7 +182,7 @@ class LibraryTokens:
             head, tail = m.groups()
             ids = heads.get(head)
             if ids is None:
-                ids = self.known.get(head) if tail else None
+                ids = self.known.get(" " + head) if tail else None
                 if ids is None:
                     ids = array("I", [x.id for x in tokenize(self.space + (head if head.isascii() else head.translate(self.letters)))]).tobytes()
                 heads[head] = ids
@@ -147,13 +206,46 @@ class LibraryTokens:
             cuts = [0, *(4 * at + 4).tolist()]
             yield from map(raw.__getitem__, map(slice, cuts, cuts[1:]))
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [words_of(x) if self.splits else None for x in texts]
-        known = iter(self.known.of([x[1:] for x in split if x]))
-        # A first word has no space in front of it.
-        whole = iter(self.library([x[0] if x else t for t, x in zip(texts, split, strict=True)]))
-        return [next(whole) + b"".join(next(known)) if x else next(whole) for x in split]
+    def stretch_ids(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches as they are. Letters, with or without a space in front
+        of them, go to the library's model as the library would hand them over."""
+        tokenize, spelling = self.tokenizer.model.tokenize, self.spelling
+        lone = [_LETTERS.fullmatch(x) is not None for x in stretches]
+        others = iter(self.library([x for x, alone in zip(stretches, lone, strict=True) if not alone]))
+        return [
+            array("I", [t.id for t in tokenize(charmap_decode(x.encode(), "strict", spelling)[0])]).tobytes() if alone else next(others)
+            for x, alone in zip(stretches, lone, strict=True)
+        ]
+
+    def of(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        if not self.cuts:
+            return self.library(column.to_pylist())
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        size, base = int(bounds[-1] - bounds[0]), int(bounds[0])
+        if not size:
+            return [b""] * len(column)
+        text = column.buffers()[2].slice(base, size)
+        bounds = bounds - base
+        places = np.append(np.flatnonzero(cut_places(np.frombuffer(text, np.uint8), bounds[bounds < size])), size)
+        coded = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), text).dictionary_encode()
+        values = self.values(coded.dictionary)
+        found = pa.array(values, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[np.searchsorted(places, bounds)].tolist()
+        ids = memoryview(found.buffers()[2])
+        return [bytes(ids[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def values(self, stretches: pa.Array) -> list[bytes]:
+        """Ids of distinct stretches; long ones are not remembered."""
+        long = pc.greater(pc.binary_length(stretches), self.LONGEST)
+        words = stretches.to_numpy(zero_copy_only=False).tolist()
+        places = np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist()
+        if not places:
+            return self.known.of([words])[0]
+        whole = dict(zip(places, self.library([words[k] for k in places]), strict=True))
+        known = iter(self.known.of([[w for k, w in enumerate(words) if k not in whole]])[0])
+        return [whole[k] if k in whole else next(known) for k in range(len(words))]
 
 
 _shared: dict[str, LibraryTokens] = {}

@@ -14,7 +14,7 @@ import public_tokenizers
 from parenlake.llm import alignment, spelling, token_files
 from parenlake.llm.automaton import Automaton
 from parenlake.llm.elias_fano import EliasFano
-from parenlake.llm.tokens import LibraryTokens
+from parenlake.llm.tokens import LibraryTokens, cut_places
 from tests.llm.corpus import SCHEMA, clashing, empty, odd, odd_rows
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -320,3 +320,41 @@ def test_letters_and_punctuation_are_the_librarys_without_its_search(monkeypatch
     monkeypatch.setattr(ours, "library", lambda texts: searched.extend(texts) or LibraryTokens.library(ours, texts))
     assert list(ours.word_ids(drawn[:3000])) == want[:3000]
     assert all(set(x) <= set(marks) for x in searched)
+
+
+def test_stretches_are_cut_where_the_library_always_splits():
+    rng = random.Random(11)
+    white = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "\u180e\u200b\ufeff\x00"
+    parts = ["a", "Bc", "\u00e9", "\u00d7", "\u00f7", "\u00b5", "\u0301", "\u0440", "\u65e5", "\U0001f600", "'s", "'re", "'", "1", "\u00b2", ".", "$$", "<|endoftext|>", "\n", " ", " ", "  ", "\n\n", "\t"]
+    texts = ["".join(rng.choice(parts if rng.random() < 0.85 else white) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    ours = LibraryTokens(A)
+    due = [array("I", x.ids).tobytes() for x in ours.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array(["dropped", *texts, None])
+    for kind in (pa.string(), pa.large_string()):
+        assert ours.of(column.cast(kind).slice(1)) == [*due, b""]
+    # Alone too, where nothing stands around a text.
+    assert [ours.of([t])[0] for t in texts[:2000]] == due[:2000]
+    assert ours.of([]) == [] and ours.of(["", None]) == [b"", b""]
+    # Every cut is one that the library makes.
+    for text in texts[:5000]:
+        if text:
+            splits = {len(text[:a].encode()) for _, (a, _) in ours.tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+            assert set(np.flatnonzero(cut_places(np.frombuffer(text.encode(), np.uint8), np.zeros(1, np.int64))).tolist()) <= splits
+
+
+def test_punctuation_and_touching_white_space_make_no_new_stretches(monkeypatch):
+    ours, asked = LibraryTokens(A), []
+    monkeypatch.setattr(ours, "library", lambda texts: asked.extend(texts) or LibraryTokens.library(ours, texts))
+    texts = ["one two. two, two$$$ two!\ntwo.\n\n two  two", "two two.\ntwo"] * 50
+    due = [array("I", x.ids).tobytes() for x in ours.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ours.of(texts) == due
+    assert {x for x in ours.known.new if "t" in x} == {"two", " two"}
+    # The library is asked for what is not of letters, once each; never for a text.
+    assert len(asked) == len(set(asked)) and not any(len(x) > 6 for x in asked)
+
+
+def test_long_stretches_are_not_remembered():
+    ours = LibraryTokens(A)
+    texts = ["x " + "\u65e5\u672c" * 500 + " y", "a" * 5000 + ". b", "z" * 100]
+    assert ours.of(texts) == LibraryTokens(A).library(texts)
+    assert max(len(x.encode()) for x in ours.known.new) == ours.LONGEST == 100
