@@ -177,3 +177,42 @@ def test_labels_of_their_own_make_no_more_distances(spark, tmp_path):
         # (* width 1) shares its number with others: a pattern of its own.
         assert marked.count() == 60 and 2 <= links.count() <= due
         assert S.class_links(trees, 0.9).distinct().count() == (60 * 59 // 2 if due > 2 else 2 * (30 * 29 // 2))
+
+
+@pytest.mark.parametrize(("seed", "dealt", "scope"), [(31, 1, "all"), (32, 2, "all"), (33, 3, "cross-file"), (34, 2, "same-file"), (35, 2048, "all")])
+def test_all_pairs_by_blocks(spark, monkeypatch, seed, dealt, scope):
+    """Blocks give what joins of classes with their forms give, in their order;
+    copies, and files listed twice, among them."""
+    monkeypatch.setattr(S, "DEALT", dealt)
+    rows = corpus(seed, files=9)
+    s = spark.createDataFrame([*rows, rows[2], (rows[3][0], "again.lisp", "common-lisp", rows[4][3])], SCHEMA).repartition(3)
+    found = S.staged(S.forms(s, 2).select("file_id", "path", S._head().alias("head"), "tree", "subtree_nodes", "span_start", "span_end", "labels", "leftmost"), "forms")
+    pairs = S._form_pairs(found, S.class_links(S.classes(found), 0.75), scope).collect()
+    dotted = lambda path: ".".join(map(str, path))
+    due = sorted((p.l_file_id, dotted(p.l_path), p.r_file_id, dotted(p.r_path), p.distance_x10) for p in pairs)
+    made = S.similarity(s, 0.75, 2, comparison_scope=scope, overlap_policy="all", max_results=None, digits=6).collect()
+    assert sorted(tuple(r)[:5] for r in made) == due and len(due) > 5
+    number = lambda path: [int(x) for x in path.split(".")]
+    assert (order := [(-r.score, -r.similarity, r.left_file, number(r.left_path), r.right_file, number(r.right_path)) for r in made]) == sorted(order)
+    sizes = {(f.file_id, dotted(f.path)): f.subtree_nodes for f in found.collect() if f.file_id != rows[3][0]}
+    for r in made:
+        if (a := sizes.get((r.left_file, r.left_path))) and (b := sizes.get((r.right_file, r.right_path))):
+            alike = 1 - r.distance_x10 / (10 * max(a, b))
+            assert (r.similarity, r.score) == (round(alike, 6), round(alike * (a + b) / 2, 6))
+
+
+def test_pairs_are_made_where_they_go_out(spark, tmp_path, capsys):
+    """No pair is joined, shuffled or rounded once it is made."""
+    from parenlake.plans.registry import QUERIES
+
+    spark.range(30).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["similarity_suppliers"](spark, str(tmp_path))
+    got.explain()
+    plan = capsys.readouterr().out.split("Generate explode(r_forms")[0]
+    assert "Join" not in plan and "Exchange" not in plan and "round(" not in plan
+    assert got.count() == 30 * 29 // 2
+
+
+def test_texts_are_dealt_out(spark):
+    one = spark.createDataFrame([(k, f"{k}.lisp", "common-lisp", f"(f x {k} y)") for k in range(40)], SCHEMA).coalesce(1)
+    assert S.forms(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
